@@ -56,7 +56,8 @@ def compare(spark, con, folder: str, name: str) -> tuple[bool | None, int, float
         return False, len(mine), took, f"columns {names} / {other_names}"
     if mine == other:
         return True, len(mine), took, ""
-    only, extra = [r for r in mine if r not in set(other)][:2], [r for r in other if r not in set(mine)][:2]
+    left, right = set(mine), set(other)
+    only, extra = sorted(left - right, key=repr)[:2], sorted(right - left, key=repr)[:2]
     return False, len(mine), took, f"{len(mine)} / {len(other)} rows; spark {only}; sql {extra}"
 
 

@@ -96,7 +96,8 @@ LEFT JOIN charges ON charges.bill_id = b.bill_id
 WHERE b.total_amount > 0"""
 
 CTES["by_month"] = """
-SELECT account_id, month, avg(total) AS monthly_mean, stddev_samp(total) AS monthly_std
+SELECT account_id, month, CAST(sum(total_amount) * 100 AS HUGEINT) AS month_cents, count(*) AS month_bills,
+       avg(total) AS monthly_mean, stddev_samp(total) AS monthly_std
 FROM base WHERE month IS NOT NULL GROUP BY account_id, month"""
 
 CTES["by_account"] = """
@@ -105,7 +106,7 @@ SELECT account_id, avg(total) AS overall_mean, stddev_samp(total) AS overall_std
 FROM base GROUP BY account_id"""
 
 CTES["stats"] = """
-SELECT base.*, monthly_mean, overall_mean, account_bill_count, mean_rate_used, mean_rate_all,
+SELECT base.*, month_cents, month_bills, monthly_mean, overall_mean, account_bill_count, mean_rate_used, mean_rate_all,
        CASE WHEN monthly_std IS NULL OR monthly_std = 0 THEN 1.0 ELSE monthly_std END AS monthly_std,
        CASE WHEN overall_std IS NULL OR overall_std = 0 THEN 1.0 ELSE overall_std END AS overall_std
 FROM base JOIN by_account ON by_account.account_id = base.account_id
@@ -189,39 +190,49 @@ SELECT *,
        CASE WHEN is_math THEN CAST(stated_discrepancy AS DOUBLE) ELSE greatest(0, total - monthly_mean) END AS recovery
 FROM picked WHERE is_math OR ml_flagged"""
 
-CTES["findings"] = """
+
+
+def half_even(cents: str, parts: str) -> str:
+    """cents / parts as money, halves to the even cent, in integer arithmetic."""
+    down, rest = f"({cents} // {parts})", f"(2 * ({cents} % {parts}))"
+    up = f"CASE WHEN {rest} > {parts} OR ({rest} = {parts} AND {down} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CAST(CAST({down} + {up} AS DECIMAL(18,0)) / 100 AS DECIMAL(18,2))"
+
+
+CTES["findings"] = f"""
 SELECT bill_id AS analysis_id, bill_id, detection_layer, finding_type,
        CASE WHEN recovery >= 5000 THEN 'URGENT' WHEN recovery >= 1000 THEN 'HIGH'
             WHEN recovery >= 200 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-       CAST(round_even(monthly_mean, 2) AS DECIMAL(18,2)) AS expected_value, total_amount AS actual_value,
+       {half_even('month_cents', 'month_bills')} AS expected_value, total_amount AS actual_value,
        round_even(pct_above_monthly, 2) AS deviation_pct, round_even(zscore_monthly, 3) AS zscore_monthly,
        round_even(zscore_overall, 3) AS zscore_overall, actual_dd AS weather_actual, usual_dd AS weather_historical,
        CASE WHEN is_math THEN 1.0 ELSE round_even(ml_anomaly_probability, 4) END AS anomaly_probability,
-       CAST(round_even(recovery, 2) AS DECIMAL(18,2)) AS potential_recovery,
+       CASE WHEN is_math THEN CAST(stated_discrepancy AS DECIMAL(18,2)) WHEN recovery = 0 THEN 0
+         ELSE {half_even('(CAST(total_amount * 100 AS HUGEINT) * month_bills - month_cents)', 'month_bills')} END AS potential_recovery,
        bill_id % 5 IN (0, 1) AS reviewed,
        CASE WHEN is_math THEN 'The listed charges of this ' || lower(utility_type) || ' bill miss its total by $'
-              || format('{:,}', CAST(floor(stated_discrepancy) AS BIGINT)) || '.'
+              || format('{{:,}}', CAST(floor(stated_discrepancy) AS BIGINT)) || '.'
               || lpad(CAST(CAST((stated_discrepancy - floor(stated_discrepancy)) * 100 AS BIGINT) AS VARCHAR), 2, '0')
               || '. Ask the vendor to correct the total.'
-       ELSE 'At $' || format('{:,}', CAST(round_even(total, 0) AS BIGINT)) || ', this ' || lower(utility_type)
-              || ' bill is ' || format('{:,}', CAST(round_even(abs(pct_above_monthly), 0) AS BIGINT)) || '% '
+       ELSE 'At $' || format('{{:,}}', CAST(round_even(total, 0) AS BIGINT)) || ', this ' || lower(utility_type)
+              || ' bill is ' || format('{{:,}}', CAST(round_even(abs(pct_above_monthly), 0) AS BIGINT)) || '% '
               || CASE WHEN pct_above_monthly > 0 THEN 'above' ELSE 'below' END
               || ' the account''s mean for ' || monthname(billing_date) || ' of $'
-              || format('{:,}', CAST(round_even(monthly_mean, 0) AS BIGINT)) || ' ('
+              || format('{{:,}}', CAST(round_even(monthly_mean, 0) AS BIGINT)) || ' ('
               || greatest(1, account_bill_count // 12) || CASE WHEN account_bill_count // 12 <= 1 THEN ' year' ELSE ' years' END
               || ' of bills).'
               || CASE WHEN pct_above_monthly > 0 THEN '' ELSE ' Check the meter and the service for a fault.' END
               || CASE WHEN NOT weather_available THEN ''
-                 WHEN explains THEN ' The month''s weather was ' || format('{:,}', CAST(round_even(abs(round_even(deviation, 1)), 0) AS BIGINT))
-                   || '% harsher than usual (' || format('{:,}', CAST(round_even(actual_dd, 0) AS BIGINT)) || ' ' || metric
-                   || ' against a usual ' || format('{:,}', CAST(round_even(usual_dd, 0) AS BIGINT))
+                 WHEN explains THEN ' The month''s weather was ' || format('{{:,}}', CAST(round_even(abs(round_even(deviation, 1)), 0) AS BIGINT))
+                   || '% harsher than usual (' || format('{{:,}}', CAST(round_even(actual_dd, 0) AS BIGINT)) || ' ' || metric
+                   || ' against a usual ' || format('{{:,}}', CAST(round_even(usual_dd, 0) AS BIGINT))
                    || '), which accounts for part of the change.'
                  WHEN finding_type = 'WEATHER_UNEXPLAINED_SPIKE' THEN ' The month was mild ('
-                   || format('{:,}', CAST(round_even(actual_dd, 0) AS BIGINT)) || ' ' || metric || ' against a usual '
-                   || format('{:,}', CAST(round_even(usual_dd, 0) AS BIGINT)) || '), so weather cannot be the cause.'
+                   || format('{{:,}}', CAST(round_even(actual_dd, 0) AS BIGINT)) || ' ' || metric || ' against a usual '
+                   || format('{{:,}}', CAST(round_even(usual_dd, 0) AS BIGINT)) || '), so weather cannot be the cause.'
                  WHEN finding_type = 'WEATHER_UNEXPLAINED_DROP' THEN ' The month was harsh ('
-                   || format('{:,}', CAST(round_even(actual_dd, 0) AS BIGINT)) || ' ' || metric || ' against a usual '
-                   || format('{:,}', CAST(round_even(usual_dd, 0) AS BIGINT)) || '), so a low bill is odd.'
+                   || format('{{:,}}', CAST(round_even(actual_dd, 0) AS BIGINT)) || ' ' || metric || ' against a usual '
+                   || format('{{:,}}', CAST(round_even(usual_dd, 0) AS BIGINT)) || '), so a low bill is odd.'
                  ELSE ' The month''s weather was ordinary and does not account for it.' END
        END AS plain_english_reason
 FROM judged"""
@@ -317,6 +328,8 @@ def with_ctes(body: str) -> str:
                 needed.add(name)
                 visit(CTES[name])
 
+    if body.lstrip().upper().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     visit(body)
     parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
     return f"WITH {', '.join(parts)} {body}" if parts else body

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import oracle as o
@@ -53,18 +53,17 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def _spark_column(name: str, kind: str) -> Column:
-    value = F.col(name)
+def _spark_column(name: str, kind: str) -> str:
     if kind == "i":
-        return value.cast("long").alias(name)
+        return f"CAST(`{name}` AS BIGINT) AS `{name}`"
     if kind == "d":
-        return value.cast("double").alias(name)
+        return f"CAST(`{name}` AS DOUBLE) AS `{name}`"
     if kind.startswith("r"):
-        rounded = F.round(value.cast("double"), int(kind[1:]))
-        return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded).alias(name)
+        rounded = f"round(CAST(`{name}` AS DOUBLE), {int(kind[1:])})"
+        return f"CASE WHEN {rounded} = 0 THEN 0D ELSE {rounded} END AS `{name}`"
     if kind == "t":
-        return F.date_format(value, "yyyy-MM-dd").alias(name)
-    return value.cast("string").alias(name)
+        return f"date_format(`{name}`, 'yyyy-MM-dd') AS `{name}`"
+    return f"CAST(`{name}` AS STRING) AS `{name}`"
 
 
 def _sql_column(name: str, kind: str) -> str:
@@ -88,7 +87,7 @@ def query(columns: str, sql: str | None = None, name: str | None = None):
     def register(function):
         def run(spark: Spark, folder: str) -> DataFrame:
             tune(spark)
-            return function(spark, folder).select(*[_spark_column(n, k) for n, k in spec.items()])
+            return function(spark, folder).selectExpr(*[_spark_column(n, k) for n, k in spec.items()])
 
         shown = None
         if sql is not None:
@@ -146,7 +145,7 @@ def star_join_unassigned(spark, folder):
 
 @query("unassigned:i", "SELECT count(*) AS unassigned FROM accounts WHERE property_id IS NULL")
 def unassigned_accounts(spark, folder):
-    return star.unassigned_accounts(tables_of(spark, folder)).agg(F.count(F.lit(1)).alias("unassigned"))
+    return star.unassigned_accounts(tables_of(spark, folder)).agg(F.count("*").alias("unassigned"))
 
 
 @query(
@@ -160,7 +159,7 @@ def charge_pivot(spark, folder):
 
 FEATURE_COLUMNS = (
     "bill_id:i account_id:i client_name:s industry:s utility_type:s total_amount:d month:d account_bill_count:i "
-    "monthly_mean:r4 overall_mean:r4 zscore_monthly:r4 zscore_overall:r4 pct_above_monthly:r4 pct_above_overall:r4 "
+    "monthly_mean:r6 overall_mean:r6 zscore_monthly:r4 zscore_overall:r4 pct_above_monthly:r4 pct_above_overall:r4 "
     "delivery_rate_ratio:r4 delivery_pct:r4 supply_pct:r4 demand_pct:r4 taxes_pct:r4"
 )
 
@@ -188,7 +187,7 @@ def base_table(spark, folder):
 
 
 @query(
-    "account_id:i month:i monthly_mean:r4 monthly_std:r4 overall_mean:r4 overall_std:r4",
+    "account_id:i month:i monthly_mean:r6 monthly_std:r4 overall_mean:r6 overall_std:r4",
     """SELECT m.account_id, month, monthly_mean, monthly_std, overall_mean, overall_std
        FROM by_month m JOIN by_account a ON a.account_id = m.account_id""",
 )
@@ -223,10 +222,9 @@ def label_encode(spark, folder):
        strftime(last_day(make_date(year, month, 1)), '%Y-%m-%d') AS last_day FROM bill_months""",
 )
 def billing_calendar(spark, folder):
-    first, last = month_bounds(F.col("year"), F.col("month"))
-    return wx.bill_months(tables_of(spark, folder).bills).select(
-        "year", "month", month_name(F.col("month")).alias("month_name"),
-        first.alias("first_day"), last.alias("last_day"),
+    first, last = month_bounds("year", "month")
+    return wx.bill_months(tables_of(spark, folder).bills).selectExpr(
+        "year", "month", f"{month_name('month')} AS month_name", f"{first} AS first_day", f"{last} AS last_day"
     )
 
 
@@ -440,7 +438,7 @@ def weather_context(spark, folder):
 )
 def severity_levels(spark, folder):
     bills = tables_of(spark, folder).bills
-    return bills.groupBy(severity(F.col("total_amount")).alias("severity")).agg(F.count(F.lit(1)).alias("bills"))
+    return bills.groupBy(F.expr(f"{severity('total_amount')} AS severity")).agg(F.count("*").alias("bills"))
 
 
 @query(
@@ -927,7 +925,7 @@ def rf_cv(spark, folder):
     frame = staged(ml.training_frame(dt.model_features(tables_of(spark, folder))), "frame")
     held = ml.probabilities(ml.train(frame, FAST_TREES, FAST_DEPTH), frame.filter("holdout"))
     area, (mean, spread) = ml.roc_auc(held), ml.cross_validated_f1(frame, FAST_TREES, FAST_DEPTH)
-    return frame.agg(F.count(F.lit(1)).alias("bills")).select(
+    return frame.agg(F.count("*").alias("bills")).select(
         "bills", F.lit(area).alias("roc_auc"), F.lit(mean).alias("mean_f1"), F.lit(spread).alias("f1_spread")
     )
 
@@ -938,7 +936,7 @@ def detection_run(spark, folder):
         tables_of(spark, folder), demo.weather_daily(spark, folder), FAST_TREES, FAST_DEPTH, run_time=RUN_TIME
     )
     return run.findings.groupBy("detection_layer", "finding_type", "severity").agg(
-        F.count(F.lit(1)).alias("findings"), F.sum("potential_recovery").alias("recovery")
+        F.count("*").alias("findings"), F.sum("potential_recovery").alias("recovery")
     )
 
 
@@ -1012,7 +1010,7 @@ def stream_ingest(spark, folder):
 
     def stored(table, total):
         return read_stored(spark, f"{root}/store", table).agg(
-            F.lit(table).alias("kind"), F.count(F.lit(1)).alias("rows"), total.cast("double").alias("total")
+            F.lit(table).alias("kind"), F.count("*").alias("rows"), total.cast("double").alias("total")
         )
 
     none = F.lit(None)

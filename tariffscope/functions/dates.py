@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def parse_date(text: Column) -> Column:
+def parse_date(text: str) -> str:
     """ISO text to DATE; empty or unreadable text becomes null instead of failing."""
-    return F.try_to_date(F.nullif(F.trim(text), F.lit("")), "yyyy-MM-dd")
+    return f"try_to_date(nullif(trim({text}), ''), 'yyyy-MM-dd')"
 
 
-def month_name(month: Column) -> Column:
-    return F.date_format(F.make_date(F.lit(2000), month, F.lit(1)), "MMMM")
+def month_name(month: str) -> str:
+    return f"date_format(make_date(2000, {month}, 1), 'MMMM')"
 
 
-def year_month(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM")
+def year_month(day: str) -> str:
+    return f"date_format({day}, 'yyyy-MM')"
 
 
-def in_year(day: Column, year: int) -> Column:
+def in_year(day: str, year: int) -> str:
     """Range test, so that it prunes partitions and reaches the Parquet scan."""
-    return day.between(F.lit(f"{year:04d}-01-01").cast("date"), F.lit(f"{year:04d}-12-31").cast("date"))
+    return f"{day} BETWEEN DATE '{int(year):04d}-01-01' AND DATE '{int(year):04d}-12-31'"
 
 
-def month_bounds(year: Column, month: Column) -> tuple[Column, Column]:
+def month_bounds(year: str, month: str) -> tuple[str, str]:
     """First and last day of a month as ISO text."""
-    first = F.make_date(year, month, F.lit(1))
-    return F.date_format(first, "yyyy-MM-dd"), F.date_format(F.last_day(first), "yyyy-MM-dd")
+    first = f"make_date({year}, {month}, 1)"
+    return f"date_format({first}, 'yyyy-MM-dd')", f"date_format(last_day({first}), 'yyyy-MM-dd')"

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 LAYER_TITLES = {
     "MATH": "Arithmetic check",
     "ML": "Unusual pattern",
@@ -36,6 +31,6 @@ FEATURE_TITLES = {
 }
 
 
-def titled(code: Column, titles: dict[str, str]) -> Column:
-    names = F.create_map(*[F.lit(x) for x in chain.from_iterable(titles.items())])
-    return F.coalesce(F.try_element_at(names, code), code)
+def titled(code: str, titles: dict[str, str]) -> str:
+    steps = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "\\'")) for k, v in titles.items())
+    return f"CASE {code} {steps} ELSE {code} END"

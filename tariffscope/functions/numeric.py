@@ -2,62 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+MONEY = "DECIMAL(18,2)"
+AUDIT = "DECIMAL(24,6)"  # keeps sub-cent digits while auditing
+ZERO = f"CAST(0 AS {AUDIT})"
 
-from tariffscope.schemas import MONEY
 
-
-def real(value: Column) -> Column:
-    return value.cast("double")
-
-
-def zero_if_null(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0))
-
-
-def money_or_zero(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0).cast(MONEY))
-
-
-def ratio(top: Column, bottom: Column, otherwise: Column | float | None) -> Column:
+def ratio(top: str, bottom: str, otherwise: float) -> str:
     """top / bottom where bottom is positive, else ``otherwise``."""
-    fallback = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
-    return F.when(bottom > 0, real(top) / real(bottom)).otherwise(fallback.cast("double"))
-
-
-def percent_of(part: Column, whole: Column) -> Column:
-    return ratio(part, whole, 0.0) * 100
+    return (
+        f"CASE WHEN {bottom} > 0 THEN CAST({top} AS DOUBLE) / CAST({bottom} AS DOUBLE) "
+        f"ELSE CAST({otherwise} AS DOUBLE) END"
+    )
 
 
-def percent_above(value: Column, base: Column) -> Column:
+def percent_above(value: str, base: str) -> str:
     """How far ``value`` lies above ``base`` in percent; null without a base."""
-    return F.when(base != 0, (value - base) / base * 100)
+    return f"CASE WHEN {base} <> 0 THEN ({value} - {base}) / {base} * 100 END"
 
 
-def usable_std(std: Column) -> Column:
+def usable_std(std: str) -> str:
     """A spread to divide by: missing or zero becomes 1."""
-    return F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std)
+    return f"coalesce(nullif({std}, 0D), 1D)"
 
 
-def mean_money(total: Column, count: Column) -> Column:
-    """Exact decimal mean of a money sum, to the cent, halves away from zero."""
-    whole = F.when(count > 0, count).cast("decimal(12,0)")
-    return F.round(total.cast("decimal(24,2)") / whole, 2).cast(MONEY)
+def mean_money(total: str, count: str) -> str:
+    """Exact decimal mean of a money sum, to the cent, halves away from zero; null of nothing."""
+    whole = f"CAST(nullif({count}, 0) AS DECIMAL(12,0))"
+    return f"CAST(round(CAST({total} AS DECIMAL(24,2)) / {whole}, 2) AS {MONEY})"
 
 
-def percent_change(before: Column, after: Column) -> Column:
+def percent_change(before: str, after: str) -> str:
     """Change from ``before`` to ``after`` in percent, one decimal; 0 if either is null or 0."""
-    usable = before.isNotNull() & after.isNotNull() & (before != 0) & (after != 0)
-    return F.when(
-        usable, F.bround((real(after) - real(before)) / real(before) * 100, 1)
-    ).otherwise(F.lit(0.0))
+    a, b = f"CAST({before} AS DOUBLE)", f"CAST({after} AS DOUBLE)"
+    return f"CASE WHEN {before} <> 0 AND {after} <> 0 THEN bround(({b} - {a}) / {a} * 100, 1) ELSE 0D END"
+
+
+def trend(change: str) -> str:
+    return f"CASE WHEN {change} > 0 THEN 'UP' ELSE 'DOWN' END"
 
 
-def trend(change: Column) -> Column:
-    return F.when(change > 0, "UP").otherwise("DOWN")
+def money_total(value: str) -> str:
+    """Sum of a money column, 0 over no rows."""
+    return f"CAST(coalesce(sum({value}), 0) AS {MONEY})"
 
 
-def amount(value: Column) -> Column:
-    """Decimal used while auditing: keeps sub-cent digits, null if not a number."""
-    return value.try_cast("decimal(24,6)")
+def amount(value: str) -> str:
+    """Number to audit with; 0 if missing or not a number."""
+    return f"coalesce(TRY_CAST({value} AS {AUDIT}), {ZERO})"

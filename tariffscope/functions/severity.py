@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Lowest recoverable amount of each severity, highest first.
 THRESHOLDS = (("URGENT", 5000), ("HIGH", 1000), ("MEDIUM", 200))
 LOWEST = "LOW"
 ORDER = ("URGENT", "HIGH", "MEDIUM", "LOW")
 
 
-def severity(recovery: Column) -> Column:
-    chain = F
-    for name, floor in THRESHOLDS:
-        chain = chain.when(recovery >= floor, name)
-    return chain.otherwise(LOWEST)
+def severity(recovery: str) -> str:
+    steps = " ".join(f"WHEN {recovery} >= {floor} THEN '{name}'" for name, floor in THRESHOLDS)
+    return f"CASE {steps} ELSE '{LOWEST}' END"
 
 
-def severity_rank(code: Column) -> Column:
-    chain = F
-    for position, name in enumerate(ORDER, start=1):
-        chain = chain.when(code == name, position)
-    return chain
+def severity_rank(code: str) -> str:
+    steps = " ".join(f"WHEN '{name}' THEN {place}" for place, name in enumerate(ORDER, start=1))
+    return f"CASE {code} {steps} END"

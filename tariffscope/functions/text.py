@@ -1,4 +1,4 @@
-"""Bill-text rules as column expressions over whole texts."""
+"""Bill-text rules over whole texts, as Column expressions."""
 
 from __future__ import annotations
 
@@ -94,12 +94,12 @@ def is_account_number(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[0-9]{5,}\z"), F.lit(False))
 
 
-def dollars(value: Column, decimals: int = 0) -> Column:
-    """'$1,234' or '$1,234.50'."""
-    return F.concat(F.lit("$"), F.format_number(value, decimals))
+def dollars(value: str, decimals: int = 0) -> str:
+    """SQL text for '$1,234' or '$1,234.50'."""
+    return f"concat('$', format_number({value}, {decimals}))"
 
 
 def contains_pattern(column: Column, wanted: str) -> Column:
     """Case-insensitive 'contains'; % and _ in ``wanted`` act as wildcards."""
     pattern = "%" + wanted.replace("\\", "\\\\") + "%"
-    return F.lower(column).like(F.lower(F.lit(pattern)))
+    return F.like(F.lower(column), F.lower(F.lit(pattern)))

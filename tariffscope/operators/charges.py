@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tariffscope.schemas import MONEY
+from tariffscope.functions.numeric import MONEY
 
 CHARGE_COLUMNS = {
     "delivery_charge": "Delivery Charge",
@@ -21,21 +21,20 @@ def charge_sums(line_items: DataFrame) -> DataFrame:
     Conditional sums combine map-side, so a bill with very many items still
     ships one partial row per task.
     """
-    price, category = F.col("total_price"), F.col("category")
+    sums = [
+        f"CAST(coalesce(sum(CASE WHEN category = '{name}' THEN total_price END), 0) AS {MONEY}) AS {column}"
+        for column, name in CHARGE_COLUMNS.items()
+    ]
     return (
-        line_items.filter(category.isin(*CHARGE_COLUMNS.values()))
+        line_items.filter(F.col("category").isin(*CHARGE_COLUMNS.values()))
         .groupBy("bill_id")
-        .agg(
-            *[
-                F.coalesce(F.sum(F.when(category == name, price)), F.lit(0)).cast(MONEY).alias(column)
-                for column, name in CHARGE_COLUMNS.items()
-            ]
-        )
+        .agg(*map(F.expr, sums))
     )
 
 
 def with_charges(bills: DataFrame, line_items: DataFrame) -> DataFrame:
     """Bills with their charge sums, 0 where a category has no items."""
-    none = F.lit(0).cast(MONEY)
-    joined = bills.join(charge_sums(line_items), "bill_id", "left")
-    return joined.withColumns({c: F.coalesce(F.col(c), none) for c in CHARGE_COLUMNS})
+    return bills.join(charge_sums(line_items), "bill_id", "left").selectExpr(
+        *[f"{c}" for c in bills.columns],
+        *[f"coalesce({c}, CAST(0 AS {MONEY})) AS {c}" for c in CHARGE_COLUMNS],
+    )

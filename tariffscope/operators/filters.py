@@ -30,7 +30,7 @@ def between_days(column: str, start: str | None, end: str | None) -> list[Column
 
 
 def year_is(column: str, year: int | None) -> list[Column]:
-    return [in_year(F.col(column), year)] if year else []
+    return [F.expr(in_year(column, year))] if year else []
 
 
 def unreviewed(show_reviewed: bool) -> list[Column]:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tariffscope.functions.numeric import mean_money, percent_change, trend
+from tariffscope.functions.numeric import MONEY, mean_money, percent_change, trend
+
+
+def _day(text: str) -> str:
+    year, month, day = (int(part) for part in text.split("-"))
+    return f"DATE '{year:04d}-{month:02d}-{day:02d}'"
 
 
 def compare(
@@ -18,46 +23,43 @@ def compare(
     account never meets the join as detail rows. Accounts without bills in either
     period show zero counts.
     """
-    day, total, usage = F.col("billing_date"), F.col("total_amount"), F.col("usage_volume")
     sides = {
-        "p1": day.between(F.lit(first[0]).cast("date"), F.lit(first[1]).cast("date")),
-        "p2": day.between(F.lit(second[0]).cast("date"), F.lit(second[1]).cast("date")),
+        tag: f"(billing_date BETWEEN {_day(a)} AND {_day(b)})" for tag, (a, b) in (("p1", first), ("p2", second))
     }
     sums, shown = [], []
     for tag, inside in sides.items():
         sums += [
-            F.count_if(inside).alias(f"{tag}_bills"),
-            F.sum(F.when(inside, total)).alias(f"{tag}_spend"),
-            F.sum(F.when(inside, usage)).alias(f"{tag}_usage_raw"),
-            F.count(F.when(inside, usage)).alias(f"{tag}_usage_n"),
-            F.count_if(inside & F.col("is_anomaly_detected")).alias(f"{tag}_flagged"),
+            f"count_if({inside}) AS {tag}_bills",
+            f"sum(total_amount) FILTER (WHERE {inside}) AS {tag}_spend",
+            f"sum(usage_volume) FILTER (WHERE {inside}) AS {tag}_usage",
+            f"count(usage_volume) FILTER (WHERE {inside}) AS {tag}_metered",
+            f"count_if({inside} AND is_anomaly_detected) AS {tag}_flagged",
         ]
         shown += [
-            f"{tag}_bills",
-            F.col(f"{tag}_spend").cast("decimal(18,2)").alias(f"{tag}_spend"),
-            mean_money(F.col(f"{tag}_spend"), F.col(f"{tag}_bills")).alias(f"{tag}_avg_bill"),
-            F.round(f"{tag}_usage_raw", 2).alias(f"{tag}_usage"),
-            F.when(
-                F.col(f"{tag}_usage_n") > 0, F.round(F.col(f"{tag}_usage_raw") / F.col(f"{tag}_usage_n"), 2)
-            ).alias(f"{tag}_avg_usage"),
-            f"{tag}_flagged",
+            f"coalesce({tag}_bills, 0) AS {tag}_bills",
+            f"CAST({tag}_spend AS {MONEY}) AS {tag}_spend",
+            f"{mean_money(f'{tag}_spend', f'{tag}_bills')} AS {tag}_avg_bill",
+            f"round({tag}_usage, 2) AS {tag}_usage",
+            f"round({tag}_usage / nullif({tag}_metered, 0), 2) AS {tag}_avg_usage",
+            f"coalesce({tag}_flagged, 0) AS {tag}_flagged",
         ]
     numbers = accounts.select("account_id", "account_number")
-    facts = bills.filter(sides["p1"] | sides["p2"])
+    facts = bills.filter(" OR ".join(sides.values()))
     if account_number:
         numbers = numbers.filter(F.col("account_number") == account_number)
         # The number is unique: this is a lookup of one account's bills.
         facts = facts.join(numbers.select("account_id"), "account_id", "left_semi")
-    compared = facts.groupBy("account_id").agg(*sums).select("account_id", *shown)
-    spend = percent_change(F.col("p1_spend"), F.col("p2_spend"))
-    usage_change = percent_change(F.col("p1_usage"), F.col("p2_usage"))
-    counts = [f"{tag}_{what}" for tag in sides for what in ("bills", "flagged")]
+    sums_per_account = facts.groupBy("account_id").agg(*map(F.expr, sums))
     return (
-        numbers.join(compared, "account_id", "left")
-        .drop("account_id")
-        .na.fill(0, counts)
-        .withColumns({"spend_change_pct": spend, "usage_change_pct": usage_change})
-        .withColumns(
-            {"spend_trend": trend(F.col("spend_change_pct")), "usage_trend": trend(F.col("usage_change_pct"))}
+        numbers.join(sums_per_account, "account_id", "left")
+        .selectExpr("account_number", *shown)
+        .selectExpr(
+            "*",
+            f"{percent_change('p1_spend', 'p2_spend')} AS spend_change_pct",
+            f"{percent_change('p1_usage', 'p2_usage')} AS usage_change_pct",
+        )
+        .selectExpr(
+            "*",
+            f"{trend('spend_change_pct')} AS spend_trend", f"{trend('usage_change_pct')} AS usage_trend",
         )
     )

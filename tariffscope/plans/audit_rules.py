@@ -1,12 +1,8 @@
-"""The arithmetic audit of one bill, and the reason texts it stores."""
+"""The arithmetic audit of one bill, and the reason texts it stores (SQL text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tariffscope.functions.numeric import amount
-from tariffscope.schemas import MONEY
+from tariffscope.functions.numeric import AUDIT, MONEY, amount
 
 # Later runs and other tools find audit failures by these words.
 FAILED_MARK = "MATH AUDIT FAILED"
@@ -15,37 +11,25 @@ DISCREPANCY_PATTERN = r"Discrepancy of \$([0-9]+(?:\.[0-9]+)?)"
 TOLERANCE = "0.02"
 
 PASSED_TEXT = "Charges and total agree."
+UNPRICED_TEXT = f"{FAILED_MARK}. A charge is out of line with this account."
 
 
-def _cents(value: Column) -> Column:
-    return value.cast(MONEY).cast("string")
-
-
-def failed_text(charges: Column, total: Column) -> Column:
-    return F.concat(
-        F.lit(f"{FAILED_MARK}. The charges come to $"), _cents(charges),
-        F.lit(" and the bill asks for $"), _cents(total),
-        F.lit(f". {DISCREPANCY_MARK}"), _cents(F.abs(charges - total)), F.lit("."),
+def failed_text(charges: str, total: str) -> str:
+    return (
+        f"concat('{FAILED_MARK}. The charges come to $', CAST({charges} AS {MONEY}), "
+        f"' and the bill asks for $', CAST({total} AS {MONEY}), "
+        f"'. {DISCREPANCY_MARK}', CAST(abs({charges} - {total}) AS {MONEY}), '.')"
     )
 
 
-def discrepancy_text() -> str:
-    """Reason of a bill that failed without a stated amount."""
-    return f"{FAILED_MARK}. A charge is out of line with this account."
-
-
-def charge_total(include_fixed: bool = True) -> Column:
+def charge_total(include_fixed: bool = True) -> str:
     """Charges less credits; a missing charge counts as 0."""
     names = ["delivery_charge", "supply_charge", "demand_charge", "taxes_and_surcharges"]
     if include_fixed:
         names = ["fixed_monthly_charge", *names]
-    zero = F.lit(0).cast("decimal(24,6)")
-    parts = [F.coalesce(amount(F.col(n)), zero) for n in names]
-    total = parts[0]
-    for part in parts[1:]:
-        total = total + part
-    return (total - F.coalesce(amount(F.col("credits")), zero)).cast("decimal(24,6)")
+    added = " + ".join(amount(n) for n in names)
+    return f"CAST({added} - {amount('credits')} AS {AUDIT})"
 
 
-def misses(discrepancy: Column) -> Column:
-    return discrepancy > F.lit(TOLERANCE).cast("decimal(3,2)")
+def misses(discrepancy: str) -> str:
+    return f"{discrepancy} > {TOLERANCE}BD"

@@ -24,7 +24,7 @@ class DetectionRun:
 
 def model_features(tables: AuditTables) -> DataFrame:
     """Engineered, label-coded features, staged once for fitting and scoring."""
-    engineered = staged(fe.engineer(tables), "features")
+    engineered = staged(fe.engineer(tables, stage_bills=True), "features")
     return staged(fe.with_codes(engineered), "coded-features")
 
 

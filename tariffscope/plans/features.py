@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tariffscope.functions.numeric import percent_above, percent_of, ratio, real, usable_std
+from tariffscope.functions.numeric import percent_above, ratio, usable_std
 from tariffscope.operators.baseline import NO_MONTH, account_profile, month_profile
-from tariffscope.operators.charges import CHARGE_COLUMNS, with_charges
+from tariffscope.operators.charges import with_charges
 from tariffscope.operators.encode import encode_labels
 from tariffscope.operators.filters import positive_total
 from tariffscope.operators.star import account_directory, bill_star
+from tariffscope.session import staged
 from tariffscope.sources.tables import AuditTables
 
 MODEL_INPUTS = [
@@ -29,15 +29,11 @@ _BILL_COLUMNS = [
 
 def priced_bills(tables: AuditTables) -> DataFrame:
     """Bills with a positive total, their four charge sums, calendar parts and rate."""
-    day = F.col("billing_date")
     bills = positive_total(tables.bills).select(*_BILL_COLUMNS)
-    return with_charges(bills, tables.line_items).withColumns(
-        {
-            "month": F.month(day),
-            "year": F.year(day),
-            "month_key": F.coalesce(F.month(day), F.lit(NO_MONTH)),
-            "effective_delivery_rate": ratio(F.col("delivery_charge"), F.col("usage_volume"), 0.0),
-        }
+    return with_charges(bills, tables.line_items).selectExpr(
+        "*", "month(billing_date) AS month", "year(billing_date) AS year",
+        f"coalesce(month(billing_date), {NO_MONTH}) AS month_key",
+        f"{ratio('delivery_charge', 'usage_volume', 0)} AS effective_delivery_rate",
     )
 
 
@@ -47,54 +43,47 @@ def base_table(tables: AuditTables, include_unassigned: bool = False) -> DataFra
 
 
 def engineer(
-    tables: AuditTables, include_unassigned: bool = False,
-    include_zero_usage: bool = False, fill_missing: bool = True,
+    tables: AuditTables, include_unassigned: bool = False, include_zero_usage: bool = False,
+    fill_missing: bool = True, stage_bills: bool = False,
 ) -> DataFrame:
     """Bills with baselines and relative features.
 
     ``include_zero_usage`` averages the delivery rate over all bills instead of
     those with usage; ``fill_missing=False`` leaves percentages null where there
-    is no baseline.
+    is no baseline. The priced bills feed both the baselines and the detail;
+    ``stage_bills`` writes them once instead of joining the line items twice.
     """
     bills = priced_bills(tables)
+    if stage_bills:
+        bills = staged(bills, "priced-bills")
     profile = account_profile(bills).join(
         account_directory(tables, include_unassigned), "account_id"
     )
     # One join brings both the dimensions and the baselines to the detail rows.
-    joined = bills.join(month_profile(profile), ["account_id", "month_key"]).drop("month_key")
+    joined = bills.join(month_profile(profile), ["account_id", "month_key"])
 
-    total = real(F.col("total_amount"))
-    monthly, overall = F.col("monthly_mean"), F.col("overall_mean")
-    known_rate = F.col("mean_rate_all" if include_zero_usage else "mean_rate_used")
+    spreads = {"monthly_std", "overall_std"}
+    kept = [c for c in joined.columns if c not in spreads | {"month_key", "mean_rate_used", "mean_rate_all"}]
+    known_rate = "mean_rate_all" if include_zero_usage else "mean_rate_used"
 
-    def filled(value):
-        return F.coalesce(value, F.lit(0.0)) if fill_missing else value
+    def above(base: str) -> str:
+        percent = percent_above("CAST(total_amount AS DOUBLE)", base)
+        return f"coalesce({percent}, 0D)" if fill_missing else percent
 
     shares = {
         "delivery_pct": "delivery_charge", "supply_pct": "supply_charge",
         "demand_pct": "demand_charge", "taxes_pct": "taxes",
     }
-    return (
-        joined.withColumns(
-            {
-                "monthly_std": usable_std(F.col("monthly_std")),
-                "overall_std": usable_std(F.col("overall_std")),
-                "avg_delivery_rate": known_rate,
-            }
-        )
-        .withColumns(
-            {
-                "zscore_monthly": (total - monthly) / F.col("monthly_std"),
-                "zscore_overall": (total - overall) / F.col("overall_std"),
-                "pct_above_monthly": filled(percent_above(total, monthly)),
-                "pct_above_overall": filled(percent_above(total, overall)),
-                "delivery_rate_ratio": ratio(
-                    F.col("effective_delivery_rate"), F.col("avg_delivery_rate"), 1.0
-                ),
-                **{name: percent_of(F.col(part), F.col("total_amount")) for name, part in shares.items()},
-            }
-        )
-        .drop("mean_rate_used", "mean_rate_all")
+    return joined.selectExpr(
+        *kept, f"{known_rate} AS avg_delivery_rate", *[f"{usable_std(c)} AS {c}" for c in sorted(spreads)]
+    ).selectExpr(
+        "*",
+        "(CAST(total_amount AS DOUBLE) - monthly_mean) / monthly_std AS zscore_monthly",
+        "(CAST(total_amount AS DOUBLE) - overall_mean) / overall_std AS zscore_overall",
+        f"{above('monthly_mean')} AS pct_above_monthly",
+        f"{above('overall_mean')} AS pct_above_overall",
+        f"{ratio('effective_delivery_rate', 'avg_delivery_rate', 1)} AS delivery_rate_ratio",
+        *[f"({ratio(part, 'total_amount', 0)}) * 100 AS {name}" for name, part in shares.items()],
     )
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tariffscope.functions.dates import month_name
-from tariffscope.functions.numeric import real
+from tariffscope.functions.numeric import AUDIT, MONEY, ZERO, money_total
 from tariffscope.functions.severity import severity
 from tariffscope.functions.text import dollars
 from tariffscope.plans.audit_rules import DISCREPANCY_PATTERN, FAILED_MARK
 from tariffscope.plans.features import MIN_HISTORY
 from tariffscope.plans.weather import with_weather
-from tariffscope.schemas import MONEY
 
 # Limits of the finding rules.
 MIN_DISCREPANCY = "0.01"
@@ -20,84 +19,51 @@ CONFIRMED_PCT = 20
 MILD, HARSH = 0.8, 1.2
 
 
-def stated_discrepancy(reason: Column) -> Column:
-    """Amount named in an audit-failure reason; 0 if the reason names none."""
-    named = F.nullif(F.regexp_extract(reason, DISCREPANCY_PATTERN, 1), F.lit(""))
-    return F.coalesce(
-        F.when(reason.contains(FAILED_MARK), named.try_cast("decimal(24,6)")),
-        F.lit(0).cast("decimal(24,6)"),
-    )
-
+def stated_discrepancy(reason: str) -> str:
+    """SQL text: amount named in an audit-failure reason; 0 if the reason names none."""
+    named = f"nullif(regexp_extract({reason}, r'{DISCREPANCY_PATTERN}', 1), '')"
+    return f"coalesce(CASE WHEN contains({reason}, '{FAILED_MARK}') THEN TRY_CAST({named} AS {AUDIT}) END, {ZERO})"
 
-def _finding_type() -> Column:
-    rising = F.col("pct_above_monthly") > 0
-    actual, usual = F.col("weather_actual"), F.col("weather_historical")
-    known = F.col("weather_available")
-    return (
-        F.when(F.col("is_math"), "MATH_ERROR")
-        .when(known & F.col("weather_explains"), "WEATHER_DRIVEN")
-        .when(known & rising & (actual < usual * MILD), "WEATHER_UNEXPLAINED_SPIKE")
-        .when(known & ~rising & (actual > usual * HARSH), "WEATHER_UNEXPLAINED_DROP")
-        .when(rising, "USAGE_SPIKE")
-        .otherwise("USAGE_DROP")
-    )
 
+_LAYER = f"""CASE WHEN is_math THEN 'MATH'
+    WHEN weather_available AND NOT weather_explains AND abs(pct_above_monthly) > {CONFIRMED_PCT} THEN 'COMBINED'
+    ELSE 'ML' END"""
 
-def _layer() -> Column:
-    confirmed = (
-        F.col("weather_available")
-        & ~F.col("weather_explains")
-        & (F.abs("pct_above_monthly") > CONFIRMED_PCT)
-    )
-    return F.when(F.col("is_math"), "MATH").when(confirmed, "COMBINED").otherwise("ML")
+_TYPE = f"""CASE WHEN is_math THEN 'MATH_ERROR'
+    WHEN weather_available AND weather_explains THEN 'WEATHER_DRIVEN'
+    WHEN weather_available AND rising AND weather_actual < weather_historical * {MILD}D THEN 'WEATHER_UNEXPLAINED_SPIKE'
+    WHEN weather_available AND NOT rising AND weather_actual > weather_historical * {HARSH}D THEN 'WEATHER_UNEXPLAINED_DROP'
+    WHEN rising THEN 'USAGE_SPIKE' ELSE 'USAGE_DROP' END"""
 
 
-def _whole(value: Column) -> Column:
-    return F.format_number(value, 0)
+def _whole(value: str) -> str:
+    return f"format_number({value}, 0)"
 
 
-def _explanation() -> Column:
-    utility = F.lower("utility_type")
-    month = month_name(F.col("month"))
-    rising = F.col("pct_above_monthly") > 0
-    years = F.greatest(F.lit(1), F.floor(F.col("account_bill_count") / 12)).cast("int")
-    weather_pair = F.concat(
-        _whole(F.col("weather_actual")), F.lit(" "), F.col("weather_metric"), F.lit(" against a usual "),
-        _whole(F.col("weather_historical")),
-    )
-    math = F.concat(
-        F.lit("The listed charges of this "), utility, F.lit(" bill miss its total by "),
-        dollars(F.col("math_recovery"), 2), F.lit(". Ask the vendor to correct the total."),
+def _explanation() -> str:
+    """SQL text of the sentence an auditor reads."""
+    years = "greatest(1, account_bill_count DIV 12)"
+    pair = f"{_whole('weather_actual')}, ' ', weather_metric, ' against a usual ', {_whole('weather_historical')}"
+    math = (
+        "concat('The listed charges of this ', lower(utility_type), ' bill miss its total by ', "
+        f"{dollars('math_recovery', 2)}, '. Ask the vendor to correct the total.')"
     )
-    opening = F.concat(
-        F.lit("At "), dollars(real(F.col("total_amount"))), F.lit(", this "), utility, F.lit(" bill is "),
-        _whole(F.abs("pct_above_monthly")), F.lit("% "), F.when(rising, "above").otherwise("below"),
-        F.lit(" the account's mean for "), month, F.lit(" of "), dollars(F.col("monthly_mean")),
-        F.lit(" ("), years.cast("string"), F.when(years == 1, " year").otherwise(" years"),
-        F.lit(" of bills)."),
+    opening = (
+        f"'At ', {dollars('CAST(total_amount AS DOUBLE)')}, ', this ', lower(utility_type), ' bill is ', "
+        f"{_whole('abs(pct_above_monthly)')}, '% ', IF(rising, 'above', 'below'), "
+        f"\" the account's mean for \", {month_name('month')}, ' of ', {dollars('monthly_mean')}, "
+        f"' (', {years}, IF({years} = 1, ' year', ' years'), ' of bills).'"
     )
-    caution = F.when(rising, "").otherwise(" Check the meter and the service for a fault.")
-    kind = F.col("finding_type")
-    weather = (
-        F.when(~F.col("weather_available"), F.lit(""))
-        .when(
-            F.col("weather_explains"),
-            F.concat(
-                F.lit(" The month's weather was "), _whole(F.abs("weather_deviation_pct")),
-                F.lit("% harsher than usual ("), weather_pair, F.lit("), which accounts for part of the change."),
-            ),
-        )
-        .when(
-            kind == "WEATHER_UNEXPLAINED_SPIKE",
-            F.concat(F.lit(" The month was mild ("), weather_pair, F.lit("), so weather cannot be the cause.")),
-        )
-        .when(
-            kind == "WEATHER_UNEXPLAINED_DROP",
-            F.concat(F.lit(" The month was harsh ("), weather_pair, F.lit("), so a low bill is odd.")),
-        )
-        .otherwise(F.lit(" The month's weather was ordinary and does not account for it."))
-    )
-    return F.when(F.col("is_math"), math).otherwise(F.concat(opening, caution, weather))
+    caution = "IF(rising, '', ' Check the meter and the service for a fault.')"
+    weather = f"""CASE WHEN NOT weather_available THEN ''
+        WHEN weather_explains THEN concat(" The month's weather was ", {_whole('abs(weather_deviation_pct)')},
+            '% harsher than usual (', {pair}, '), which accounts for part of the change.')
+        WHEN finding_type = 'WEATHER_UNEXPLAINED_SPIKE'
+            THEN concat(' The month was mild (', {pair}, '), so weather cannot be the cause.')
+        WHEN finding_type = 'WEATHER_UNEXPLAINED_DROP'
+            THEN concat(' The month was harsh (', {pair}, '), so a low bill is odd.')
+        ELSE " The month's weather was ordinary and does not account for it." END"""
+    return f"CASE WHEN is_math THEN {math} ELSE concat({opening}, {caution}, {weather}) END"
 
 
 def judged(scored: DataFrame, weather: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
@@ -106,27 +72,26 @@ def judged(scored: DataFrame, weather: DataFrame, min_history: int = MIN_HISTORY
     ``scored`` holds engineered bills plus ``ml_flagged`` and
     ``ml_anomaly_probability``. Undated bills never get a finding.
     """
-    reason = F.when(F.col("is_anomaly_detected"), F.coalesce("anomaly_reason", F.lit(""))).otherwise("")
-    is_math = F.col("math_recovery") > F.lit(MIN_DISCREPANCY).cast("decimal(3,2)")
-    flagged = F.col("ml_flagged") & (F.col("account_bill_count") >= min_history)
-    # Undecided bills leave before the weather join.
+    reason = "IF(is_anomaly_detected, coalesce(anomaly_reason, ''), '')"
+    is_math = f"math_recovery > {MIN_DISCREPANCY}BD"
+    # Unremarkable bills leave before the weather join.
     chosen = (
-        scored.filter(F.col("billing_date").isNotNull())
-        .withColumn("math_recovery", stated_discrepancy(reason))
-        .withColumn("is_math", is_math)
-        .filter(F.col("is_math") | flagged)
+        scored.filter("billing_date IS NOT NULL")
+        .selectExpr("*", f"{stated_discrepancy(reason)} AS math_recovery")
+        .selectExpr("*", f"{is_math} AS is_math", "pct_above_monthly > 0 AS rising")
+        .filter(f"is_math OR (ml_flagged AND account_bill_count >= {min_history})")
     )
-    over = F.greatest(F.lit(0.0), real(F.col("total_amount")) - F.col("monthly_mean"))
+    # Exact decimals: a mean of two bills often ends in half a cent.
+    bills = "CAST(monthly_bills AS DECIMAL(12,0))"
+    over = f"greatest(0BD, CAST(total_amount * {bills} - monthly_spend AS DECIMAL(24,2)) / {bills})"
     return (
         with_weather(chosen, weather)
-        .withColumn("detection_layer", _layer())
-        .withColumn("finding_type", _finding_type())
-        .withColumn("recovery", F.when(F.col("is_math"), real(F.col("math_recovery"))).otherwise(over))
-        .withColumn("severity", severity(F.col("recovery")))
-        .withColumn(
-            "probability",
-            F.when(F.col("is_math"), F.lit(1.0)).otherwise(F.col("ml_anomaly_probability")),
+        .selectExpr(
+            "*", f"{_LAYER} AS detection_layer", f"{_TYPE} AS finding_type",
+            f"IF(is_math, math_recovery, {over}) AS recovery", f"monthly_spend / {bills} AS expected",
+            "IF(is_math, 1D, ml_anomaly_probability) AS probability",
         )
+        .selectExpr("*", f"{severity('recovery')} AS severity")
     )
 
 
@@ -134,56 +99,40 @@ def findings(
     scored: DataFrame, weather: DataFrame, min_history: int = MIN_HISTORY, run_time: str | None = None
 ) -> DataFrame:
     """The findings table. A bill has at most one finding, so its id is the finding's id."""
-    stamp = F.lit(run_time).cast("timestamp") if run_time else F.current_timestamp()
-
-    def cents(value: Column) -> Column:
-        return F.bround(value, 2).cast(MONEY)
-
-    return judged(scored, weather, min_history).select(
-        F.col("bill_id").alias("analysis_id"),
-        "bill_id", "detection_layer", "finding_type", "severity",
-        cents(F.col("monthly_mean")).alias("expected_value"),
-        F.col("total_amount").cast(MONEY).alias("actual_value"),
-        F.bround("pct_above_monthly", 2).alias("deviation_pct"),
-        F.bround("zscore_monthly", 3).alias("zscore_monthly"),
-        F.bround("zscore_overall", 3).alias("zscore_overall"),
-        F.bround("weather_actual", 1).alias("weather_actual"),
-        F.bround("weather_historical", 1).alias("weather_historical"),
-        F.bround("probability", 4).alias("anomaly_probability"),
-        _explanation().alias("plain_english_reason"),
-        cents(F.col("recovery")).alias("potential_recovery"),
-        stamp.alias("detected_at"),
-        F.lit(False).alias("reviewed"),
+    stamp = f"TIMESTAMP '{run_time}'" if run_time else "current_timestamp()"
+    return judged(scored, weather, min_history).selectExpr(
+        "bill_id AS analysis_id", "bill_id", "detection_layer", "finding_type", "severity",
+        f"CAST(bround(expected, 2) AS {MONEY}) AS expected_value",
+        f"CAST(total_amount AS {MONEY}) AS actual_value",
+        "bround(pct_above_monthly, 2) AS deviation_pct",
+        "bround(zscore_monthly, 3) AS zscore_monthly", "bround(zscore_overall, 3) AS zscore_overall",
+        "bround(weather_actual, 1) AS weather_actual", "bround(weather_historical, 1) AS weather_historical",
+        "bround(probability, 4) AS anomaly_probability",
+        f"{_explanation()} AS plain_english_reason",
+        f"CAST(bround(recovery, 2) AS {MONEY}) AS potential_recovery",
+        f"{stamp} AS detected_at", "false AS reviewed",
     )
 
 
 def carry_reviewed(fresh: DataFrame, previous: DataFrame) -> DataFrame:
     """Keep the reviewed mark of findings that an earlier run already had in the same layer."""
-    seen = previous.filter("reviewed").select("analysis_id", "detection_layer", F.lit(True).alias("_seen"))
-    return (
-        fresh.join(seen, ["analysis_id", "detection_layer"], "left")
-        .withColumn("reviewed", F.col("reviewed") | F.coalesce("_seen", F.lit(False)))
-        .drop("_seen")
-        .select(*fresh.columns)
-    )
+    seen = previous.filter("reviewed").selectExpr("analysis_id", "detection_layer", "true AS seen")
+    kept = [c if c != "reviewed" else "reviewed OR coalesce(seen, false) AS reviewed" for c in fresh.columns]
+    return fresh.join(seen, ["analysis_id", "detection_layer"], "left").selectExpr(*kept)
 
 
 def run_totals(found: DataFrame) -> DataFrame:
     """Findings, urgent, high and total recovery of a run, in one row."""
     return found.agg(
-        F.count(F.lit(1)).alias("findings"),
-        F.count_if(F.col("severity") == "URGENT").alias("urgent"),
-        F.count_if(F.col("severity") == "HIGH").alias("high"),
-        F.coalesce(F.sum("potential_recovery"), F.lit(0)).cast(MONEY).alias("recovery"),
+        F.expr("count(*) AS findings"), F.expr("count_if(severity = 'URGENT') AS urgent"),
+        F.expr("count_if(severity = 'HIGH') AS high"), F.expr(f"{money_total('potential_recovery')} AS recovery"),
     )
 
 
 def rule_scores(features: DataFrame, limit: float = 1.5) -> DataFrame:
     """Flag bills far from their account's mean, in place of a trained model."""
-    distance = F.abs("zscore_overall")
-    return features.withColumns(
-        {
-            "ml_flagged": (distance >= limit) & (F.col("account_bill_count") >= MIN_HISTORY),
-            "ml_anomaly_probability": F.least(F.lit(1.0), distance / 3),
-        }
+    return features.selectExpr(
+        "*",
+        f"abs(zscore_overall) >= {limit}D AND account_bill_count >= {MIN_HISTORY} AS ml_flagged",
+        "least(1D, abs(zscore_overall) / 3) AS ml_anomaly_probability",
     )

@@ -12,12 +12,10 @@ from pyspark.sql import types as T
 
 from tariffscope.functions import text as tx
 from tariffscope.functions.dates import parse_date
-from tariffscope.functions.numeric import amount
+from tariffscope.functions.numeric import AUDIT, MONEY, amount
 from tariffscope.operators.upsert import absent_rows
 from tariffscope.plans.audit_rules import PASSED_TEXT, charge_total, failed_text, misses
-from tariffscope.schemas import (
-    ACCOUNTS, EXTRACTED_EXTRAS, EXTRACTED_RECORD, MONEY, UTILITY_TYPES, VENDORS,
-)
+from tariffscope.schemas import EXTRACTED_EXTRAS, EXTRACTED_RECORD, UTILITY_TYPES
 
 _CORRUPT = "_corrupt_record"
 _PAYLOAD = T.StructType(
@@ -141,94 +139,90 @@ def parse_records(answers: DataFrame) -> DataFrame:
 def conformance(rows: DataFrame) -> DataFrame:
     """Add ``conformance_issues``: required fields and enums as the extractor delivered them."""
     required = ("provider_name", "account_number", "utility_type", "total_amount_due", "is_anomaly_detected")
-    issues = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required] + [
-        F.when(~F.col("utility_type").isin(*UTILITY_TYPES), F.lit("unlisted utility_type")),
-        F.when(~F.col("usage_unit").isin("kWh", "Therms"), F.lit("unlisted usage_unit")),
+    issues = [f"IF({c} IS NULL, 'missing {c}', NULL)" for c in required] + [
+        f"IF(utility_type NOT IN {UTILITY_TYPES}, 'unlisted utility_type', NULL)",
+        "IF(usage_unit NOT IN ('kWh', 'Therms'), 'unlisted usage_unit', NULL)",
     ]
-    return rows.withColumn("conformance_issues", F.array_compact(F.array(*issues)))
+    return rows.selectExpr("*", f"{_listed(issues)} AS conformance_issues")
+
+
+def _listed(texts: list[str]) -> str:
+    return f"array_compact(array({', '.join(texts)}))"
+
+
+def _replacing(rows: DataFrame, changed: dict[str, str]) -> DataFrame:
+    """Swap columns for SQL expressions; names new to the frame are appended."""
+    kept = [c for c in rows.columns if c not in changed]
+    return rows.selectExpr(*kept, *[f"{text} AS {name}" for name, text in changed.items()])
 
 
 def normalise(rows: DataFrame) -> DataFrame:
     """CCF is labelled Therms, the unit decides the utility, account digits only, credits positive."""
-    unit = F.when(F.col("usage_unit") == "CCF", "Therms").otherwise(F.col("usage_unit"))
-    return rows.withColumn("usage_unit", unit).withColumns(
-        {
-            "utility_type": F.when(F.col("usage_unit") == "kWh", "Electric")
-            .when(F.col("usage_unit") == "Therms", "Gas")
-            .otherwise(F.col("utility_type")),
-            "account_number": tx.plain_account_number(F.col("account_number")),
-            "credits": F.abs("credits"),
-        }
+    unit = "CASE usage_unit WHEN 'CCF' THEN 'Therms' ELSE usage_unit END"
+    utility = "CASE usage_unit WHEN 'kWh' THEN 'Electric' WHEN 'Therms' THEN 'Gas' ELSE utility_type END"
+    united = _replacing(rows, {"usage_unit": unit, "credits": "abs(credits)"})
+    return _replacing(united, {"utility_type": utility}).withColumn(
+        "account_number", tx.plain_account_number(F.col("account_number"))
     )
 
 
 def coerce_codes(rows: DataFrame) -> DataFrame:
     """Codes outside their lists become Unknown."""
-
-    def listed(column, values):
-        return F.when(F.col(column).isin(*values), F.col(column)).otherwise("Unknown")
-
-    return rows.withColumns(
+    return _replacing(
+        rows,
         {
-            "utility_type": listed("utility_type", ("Electric", "Gas")),
-            "usage_unit": listed("usage_unit", ("kWh", "Therms")),
-        }
+            "utility_type": "IF(utility_type IN ('Electric', 'Gas'), utility_type, 'Unknown')",
+            "usage_unit": "IF(usage_unit IN ('kWh', 'Therms'), usage_unit, 'Unknown')",
+        },
     )
 
 
 def math_audit(rows: DataFrame) -> DataFrame:
     """Add charge total, discrepancy, flag and reason; any delivered flag is overwritten."""
-    due = F.coalesce(amount(F.col("total_amount_due")), F.lit(0).cast("decimal(24,6)"))
-    failed = misses(F.col("discrepancy"))
-    return (
-        rows.withColumn("charge_total", charge_total())
-        .withColumn("discrepancy", F.abs(F.col("charge_total") - due).cast("decimal(24,6)"))
-        .withColumn("is_anomaly_detected", failed)
-        .withColumn(
-            "anomaly_reason", F.when(failed, failed_text(F.col("charge_total"), due)).otherwise(PASSED_TEXT)
-        )
+    due, failed = amount("total_amount_due"), misses("discrepancy")
+    totalled = rows.selectExpr("*", f"{charge_total()} AS charge_total")
+    compared = totalled.selectExpr("*", f"CAST(abs(charge_total - {due}) AS {AUDIT}) AS discrepancy")
+    return _replacing(
+        compared,
+        {
+            "is_anomaly_detected": failed,
+            "anomaly_reason": f"IF({failed}, {failed_text('charge_total', due)}, '{PASSED_TEXT}')",
+        },
     )
 
 
 def form_audit(rows: DataFrame) -> DataFrame:
     """Reviewer variant: no fixed charge, three verdicts, and the missing fields."""
-    due = F.coalesce(amount(F.col("total_amount_due")), F.lit(0).cast("decimal(24,6)"))
-    total = F.col("form_total")
-    checkable = (due > 0) & (total > 0)
-
-    def blank(column):
-        return F.coalesce(F.col(column), F.lit("")) == ""
-
+    due = amount("total_amount_due")
     gaps = [
-        F.when(blank("provider_name"), "provider_name"), F.when(blank("account_number"), "account_number"),
-        F.when(blank("statement_date"), "billing_date"), F.when(due == 0, "total_amount_due"),
-    ]
+        f"IF(coalesce({column}, '') = '', '{shown}', NULL)"
+        for column, shown in (
+            ("provider_name", "provider_name"), ("account_number", "account_number"), ("statement_date", "billing_date")
+        )
+    ] + [f"IF({due} = 0, 'total_amount_due', NULL)"]
     return (
-        rows.withColumn("form_total", charge_total(include_fixed=False))
-        .withColumn("form_discrepancy", F.abs(total - due).cast("decimal(24,6)"))
-        .withColumn(
-            "form_verdict",
-            F.when(~checkable, "not checkable")
-            .when(misses(F.col("form_discrepancy")), "mismatch")
-            .otherwise("agrees"),
+        rows.selectExpr("*", f"{charge_total(include_fixed=False)} AS form_total")
+        .selectExpr("*", f"CAST(abs(form_total - {due}) AS {AUDIT}) AS form_discrepancy")
+        .selectExpr(
+            "*",
+            f"CASE WHEN {due} <= 0 OR form_total <= 0 THEN 'not checkable' "
+            f"WHEN {misses('form_discrepancy')} THEN 'mismatch' ELSE 'agrees' END AS form_verdict",
+            f"{_listed(gaps)} AS missing_fields",
         )
-        .withColumn("missing_fields", F.array_compact(F.array(*gaps)))
     )
 
 
 def gate(rows: DataFrame) -> DataFrame:
     """Add ``reject_reasons`` and ``status`` (accepted or rejected)."""
-    provider = F.coalesce(F.col("provider_name"), F.lit(""))
-    due = F.coalesce(amount(F.col("total_amount_due")), F.lit(0).cast("decimal(24,6)"))
-    read = F.col("read_status") == "read"
+    read = "read_status = 'read'"
     reasons = [
-        F.when(~read, F.col("read_status")),
-        F.when(read & provider.isin("", "UNKNOWN"), "no provider"),
-        F.when(read & ~tx.is_account_number(F.col("account_number")), "bad account number"),
-        F.when(read & (due <= 0), "no positive total"),
+        f"IF(NOT {read}, read_status, NULL)",
+        f"IF({read} AND coalesce(provider_name, '') IN ('', 'UNKNOWN'), 'no provider', NULL)",
+        f"IF({read} AND NOT coalesce(account_number, '') RLIKE r'^[0-9]{{5,}}\\z', 'bad account number', NULL)",
+        f"IF({read} AND {amount('total_amount_due')} <= 0, 'no positive total', NULL)",
     ]
-    return rows.withColumn("reject_reasons", F.array_compact(F.array(*reasons))).withColumn(
-        "status", F.when(F.size("reject_reasons") == 0, "accepted").otherwise("rejected")
+    return rows.selectExpr("*", f"{_listed(reasons)} AS reject_reasons").selectExpr(
+        "*", "IF(size(reject_reasons) = 0, 'accepted', 'rejected') AS status"
     )
 
 
@@ -250,27 +244,21 @@ _CHARGES = (
 )
 
 
-def row_id(*keys: Column) -> Column:
-    """Repeatable 64-bit id of a natural key."""
-    return F.xxhash64(*keys)
-
-
 def line_items(accepted: DataFrame) -> DataFrame:
     """One row per non-zero charge; credits are stored negative."""
 
-    def item(category, column):
-        value = F.coalesce(F.col(column).try_cast(MONEY), F.lit(0).cast(MONEY))
-        price = (-F.abs(value) if category == "Credit" else value).cast(MONEY)
-        return F.struct(F.lit(category).alias("category"), price.alias("total_price"))
+    def item(category: str, column: str) -> str:
+        value = f"coalesce(TRY_CAST({column} AS {MONEY}), CAST(0 AS {MONEY}))"
+        price = f"-abs({value})" if category == "Credit" else value
+        return f"struct('{category}' AS category, CAST({price} AS {MONEY}) AS total_price)"
 
-    items = F.array(*[item(*c) for c in _CHARGES])
+    items = ", ".join(item(*c) for c in _CHARGES)
     return (
-        accepted.select("bill_id", F.explode(items).alias("i"))
-        .filter(F.col("i.total_price") != 0)
-        .select(
-            row_id(F.col("bill_id"), F.col("i.category")).alias("item_id"), "bill_id",
-            F.col("i.category").alias("category"), F.lit(None).cast("string").alias("description"),
-            F.col("i.total_price").alias("total_price"),
+        accepted.selectExpr("bill_id", f"inline(array({items}))")
+        .filter("total_price <> 0")
+        .selectExpr(
+            "xxhash64(bill_id, category) AS item_id", "bill_id", "category",
+            "CAST(NULL AS STRING) AS description", "total_price",
         )
     )
 
@@ -292,49 +280,38 @@ def intake(processed: DataFrame, vendors: DataFrame, accounts: DataFrame, audit_
     Ids are hashes of natural keys, so a retried batch yields the same rows. Known
     vendors and accounts keep their ids; a known account keeps its vendor.
     """
-    accepted = processed.filter("status = 'accepted'").withColumn("bill_id", row_id(F.col("record_id")))
+    accepted = processed.filter("status = 'accepted'").selectExpr("*", "xxhash64(record_id) AS bill_id")
     new_vendors = absent_rows(
-        accepted.select(F.col("provider_name").alias("vendor_name"), "record_id"), vendors, "vendor_name", "record_id"
-    ).select(
-        row_id(F.col("vendor_name")).alias("vendor_id"), "vendor_name", F.lit(None).cast("string").alias("vendor_type")
-    )
-    known_vendors = vendors.select("vendor_name", F.col("vendor_id").alias("known_vendor"))
+        accepted.selectExpr("provider_name AS vendor_name", "record_id"), vendors, "vendor_name", "record_id"
+    ).selectExpr("xxhash64(vendor_name) AS vendor_id", "vendor_name", "CAST(NULL AS STRING) AS vendor_type")
+    known_vendors = vendors.selectExpr("vendor_name", "vendor_id AS known_vendor")
     new_accounts = (
         absent_rows(
-            accepted.select("account_number", F.col("provider_name").alias("vendor_name"), "meter_number", "record_id"),
+            accepted.selectExpr("account_number", "provider_name AS vendor_name", "meter_number", "record_id"),
             accounts, "account_number", "record_id",
         )
         .join(known_vendors, "vendor_name", "left")
-        .select(
-            row_id(F.col("account_number")).alias("account_id"), F.lit(None).cast("long").alias("property_id"),
-            F.coalesce("known_vendor", row_id(F.col("vendor_name"))).alias("vendor_id"), "account_number",
-            "meter_number", F.lit(None).cast("string").alias("rate_code"),
+        .selectExpr(
+            "xxhash64(account_number) AS account_id", "CAST(NULL AS BIGINT) AS property_id",
+            "coalesce(known_vendor, xxhash64(vendor_name)) AS vendor_id", "account_number", "meter_number",
+            "CAST(NULL AS STRING) AS rate_code",
         )
     )
-    known = accounts.select("account_number", F.col("account_id").alias("known_account"))
-    stamp = F.lit(audit_time).cast("timestamp") if audit_time else F.current_timestamp()
-    bills = accepted.join(known, "account_number", "left").select(
-        "bill_id",
-        F.coalesce("known_account", row_id(F.col("account_number"))).alias("account_id"),
-        "utility_type",
-        parse_date(F.col("statement_date")).alias("billing_date"),
-        parse_date(F.col("service_period_start")).alias("service_period_start"),
-        parse_date(F.col("service_period_end")).alias("service_period_end"),
-        parse_date(F.col("due_date")).alias("due_date"),
-        F.col("total_amount_due").try_cast(MONEY).alias("total_amount"),
-        F.coalesce("usage_volume", F.lit(0.0)).alias("usage_volume"),
-        "usage_unit",
-        F.coalesce("demand_read", F.lit(0.0)).alias("demand_read"),
-        F.lit(None).cast("string").alias("demand_unit"),
-        "rate_code", "tariff_code", "is_anomaly_detected", "anomaly_reason",
-        F.lit("Unreviewed").alias("anomaly_status"),
-        stamp.alias("audit_timestamp"), "source_file",
+    known = accounts.selectExpr("account_number", "account_id AS known_account")
+    stamp = f"TIMESTAMP '{audit_time}'" if audit_time else "current_timestamp()"
+    bills = accepted.join(known, "account_number", "left").selectExpr(
+        "bill_id", "coalesce(known_account, xxhash64(account_number)) AS account_id", "utility_type",
+        f"{parse_date('statement_date')} AS billing_date",
+        f"{parse_date('service_period_start')} AS service_period_start",
+        f"{parse_date('service_period_end')} AS service_period_end",
+        f"{parse_date('due_date')} AS due_date",
+        f"TRY_CAST(total_amount_due AS {MONEY}) AS total_amount",
+        "coalesce(usage_volume, 0D) AS usage_volume", "usage_unit", "coalesce(demand_read, 0D) AS demand_read",
+        "CAST(NULL AS STRING) AS demand_unit", "rate_code", "tariff_code", "is_anomaly_detected", "anomaly_reason",
+        "'Unreviewed' AS anomaly_status", f"{stamp} AS audit_timestamp", "source_file",
     )
     rejected = processed.filter("status = 'rejected'").select(
         "record_id", "source_file", "provider_name", "account_number", "total_amount_due",
         "reject_reasons", "conformance_issues",
     )
     return Intake(bills, line_items(accepted), new_vendors, new_accounts, rejected)
-
-
-EMPTY_DIMENSIONS = {"vendors": VENDORS, "accounts": ACCOUNTS}

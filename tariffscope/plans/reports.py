@@ -14,20 +14,19 @@ from pyspark.sql import functions as F
 
 from tariffscope.functions.dates import year_month
 from tariffscope.functions.labels import FINDING_TITLES, LAYER_TITLES, titled
-from tariffscope.functions.numeric import mean_money
+from tariffscope.functions.numeric import MONEY, mean_money, money_total
 from tariffscope.functions.severity import ORDER, severity_rank
 from tariffscope.operators import filters as where
 from tariffscope.operators import periods
 from tariffscope.operators.ordering import numbered
 from tariffscope.operators.star import account_directory, bill_star, finding_star
-from tariffscope.schemas import MONEY
 from tariffscope.sources.tables import AuditTables
 
 
 
 
-def _money(total: Column) -> Column:
-    return F.coalesce(total, F.lit(0)).cast(MONEY)
+def _money(column: str, name: str) -> Column:
+    return F.expr(f"{money_total(column)} AS {name}")
 
 
 # --- clients and bills -----------------------------------------------------
@@ -57,9 +56,9 @@ def _spending(bills: DataFrame) -> DataFrame:
             F.sum("total_amount").alias("spend"),
             F.count_if("is_anomaly_detected").alias("flagged"),
         )
-        .select(
-            "account_id", "utility_type", "bill_count", F.col("spend").cast(MONEY).alias("total_spend"),
-            mean_money(F.col("spend"), F.col("bill_count")).alias("avg_bill"), "flagged",
+        .selectExpr(
+            "account_id", "utility_type", "bill_count", f"CAST(spend AS {MONEY}) AS total_spend",
+            f"{mean_money('spend', 'bill_count')} AS avg_bill", "flagged",
         )
     )
 
@@ -162,8 +161,8 @@ def monthly_trend(bills: DataFrame) -> DataFrame:
     """Bills and spend per month; undated bills are left out."""
     return (
         bills.filter("billing_date IS NOT NULL")
-        .groupBy(year_month(F.col("billing_date")).alias("month"))
-        .agg(F.count("*").alias("bills"), F.sum("total_amount").cast(MONEY).alias("total_spend"))
+        .groupBy(F.expr(f"{year_month('billing_date')} AS month"))
+        .agg(F.count("*").alias("bills"), _money("total_amount", "total_spend"))
         .orderBy("month")
     )
 
@@ -204,7 +203,7 @@ def _per_account(findings: DataFrame, tables: AuditTables) -> DataFrame:
 
 def _roll_up(per_account: DataFrame, *by: str) -> DataFrame:
     return per_account.groupBy(*by).agg(
-        F.sum("findings").alias("findings"), _money(F.sum("recovery")).alias("recovery"),
+        F.sum("findings").alias("findings"), _money("recovery", "recovery"),
         F.sum("urgent").alias("urgent"),
     )
 
@@ -223,10 +222,8 @@ def recovery_by_layer(findings: DataFrame, unreviewed_only: bool = True) -> Data
     return (
         _scope(findings, unreviewed_only)
         .groupBy("detection_layer")
-        .agg(F.count("*").alias("findings"), _money(F.sum("potential_recovery")).alias("recovery"))
-        .select(
-            "detection_layer", titled(F.col("detection_layer"), LAYER_TITLES).alias("method"), "findings", "recovery"
-        )
+        .agg(F.count("*").alias("findings"), _money("potential_recovery", "recovery"))
+        .selectExpr("detection_layer", f"{titled('detection_layer', LAYER_TITLES)} AS method", "findings", "recovery")
         .orderBy(F.desc("recovery"), "detection_layer")
     )
 
@@ -234,7 +231,7 @@ def recovery_by_layer(findings: DataFrame, unreviewed_only: bool = True) -> Data
 def recovery_overall(findings: DataFrame, unreviewed_only: bool = True) -> DataFrame:
     return _scope(findings, unreviewed_only).agg(
         F.count("*").alias("total_findings"),
-        _money(F.sum("potential_recovery")).alias("total_recovery"),
+        _money("potential_recovery", "total_recovery"),
         F.count_if(F.col("severity") == "URGENT").alias("urgent"),
         F.count_if(F.col("severity") == "HIGH").alias("high"),
     )
@@ -279,14 +276,14 @@ def recovery_sections(findings: DataFrame, tables: AuditTables, unreviewed_only:
 
 
 def insights_by_type(findings: DataFrame) -> DataFrame:
-    total = F.sum("potential_recovery")
+    mean = mean_money("sum(potential_recovery)", "count(*)")
     return (
         findings.groupBy("finding_type")
         .agg(
-            F.count("*").alias("findings"), _money(total).alias("recovery"),
-            mean_money(total, F.count("*")).alias("avg_recovery"),
+            F.count("*").alias("findings"), _money("potential_recovery", "recovery"),
+            F.expr(f"{mean} AS avg_recovery"),
         )
-        .withColumn("title", titled(F.col("finding_type"), FINDING_TITLES))
+        .selectExpr("*", f"{titled('finding_type', FINDING_TITLES)} AS title")
         .orderBy(F.desc("recovery"), "finding_type")
     )
 
@@ -307,7 +304,7 @@ def insights_by_utility(findings: DataFrame, tables: AuditTables) -> DataFrame:
         _scope(findings, False)
         .join(tables.bills.select("bill_id", "utility_type"), "bill_id")
         .groupBy("utility_type")
-        .agg(F.count("*").alias("findings"), _money(F.sum("potential_recovery")).alias("recovery"))
+        .agg(F.count("*").alias("findings"), _money("potential_recovery", "recovery"))
     )
 
 
@@ -315,7 +312,7 @@ def dashboard_header(findings: DataFrame) -> DataFrame:
     """One row: findings, recovery, findings per severity and unreviewed findings."""
     return findings.agg(
         F.count("*").alias("total"),
-        _money(F.sum("potential_recovery")).alias("total_recovery"),
+        _money("potential_recovery", "total_recovery"),
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ORDER],
         F.count_if(~F.col("reviewed")).alias("unreviewed"),
     )
@@ -337,7 +334,7 @@ def clients_with_findings(findings: DataFrame, tables: AuditTables) -> DataFrame
 # --- findings: listings ----------------------------------------------------
 
 def _worst_first() -> list[Column]:
-    return [severity_rank(F.col("severity")), F.desc("potential_recovery"), F.col("analysis_id")]
+    return [F.expr(severity_rank("severity")), F.desc("potential_recovery"), F.col("analysis_id")]
 
 
 def review_list(
@@ -360,8 +357,8 @@ def top_findings(findings: DataFrame, tables: AuditTables, limit: int = 10) -> D
     """Unreviewed findings with the most money at stake."""
     return (
         finding_star(findings.filter(~F.col("reviewed")), tables)
-        .select(
-            "analysis_id", "severity", titled(F.col("detection_layer"), LAYER_TITLES).alias("detected_by"),
+        .selectExpr(
+            "analysis_id", "severity", f"{titled('detection_layer', LAYER_TITLES)} AS detected_by",
             "potential_recovery", "utility_type", "billing_date", "total_amount", "client_name",
             "property_name", "vendor_name",
         )
@@ -393,7 +390,7 @@ def dashboard_pages(
     the size of a nested row; together they hold every finding.
     """
     rows = numbered(
-        _listed(findings, tables, client_name).withColumn("severity_rank", severity_rank(F.col("severity"))),
+        _listed(findings, tables, client_name).withColumn("severity_rank", F.expr(severity_rank("severity"))),
         [F.col("severity_rank"), F.desc("potential_recovery"), F.col("analysis_id")],
         within=["client_name"],
     )
@@ -439,7 +436,7 @@ def auditor_report(findings: DataFrame, tables: AuditTables) -> DataFrame:
     clients = recovery_by_client(findings, tables).select("client_name", "findings", "recovery")
     total = clients.agg(
         F.lit("TOTAL").alias("client_name"),
-        F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"), _money(F.sum("recovery")).alias("recovery"),
+        F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"), _money("recovery", "recovery"),
     )
     return clients.unionByName(total)
 

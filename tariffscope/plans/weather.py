@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tariffscope.sources.weather import DEFAULT_LAT, DEFAULT_LON
@@ -24,47 +22,47 @@ SENSITIVITY = {
 }
 DEFAULT_SENSITIVITY = 0.5
 
-_TENTH = "decimal(12,1)"
-
-
-def _tenths(value: Column) -> Column:
-    return F.bround(value.cast("decimal(24,6)"), 1).cast(_TENTH)
+_TENTH = "DECIMAL(12,1)"
 
 
 def degree_days(daily: DataFrame) -> DataFrame:
     """Heating and cooling degree days per location and calendar month."""
-    mean = (F.col("tmax") + F.col("tmin")) / 2
-    zero = F.lit(0.0)
+    mean = "(tmax + tmin) / 2"
+
+    def tenths(value: str) -> str:
+        return f"CAST(bround(CAST({value} AS DECIMAL(24,6)), 1) AS {_TENTH})"
+
     return (
         daily.filter("tmax IS NOT NULL AND tmin IS NOT NULL")
-        .groupBy("lat", "lon", F.year("obs_date").alias("year"), F.month("obs_date").alias("month"))
+        .selectExpr("lat", "lon", "year(obs_date) AS year", "month(obs_date) AS month", f"{mean} AS mean")
+        .groupBy("lat", "lon", "year", "month")
         .agg(
-            _tenths(F.sum(F.greatest(zero, BASE_TEMP - mean))).alias("hdd"),
-            _tenths(F.sum(F.greatest(zero, mean - BASE_TEMP))).alias("cdd"),
-            _tenths(F.avg(mean)).alias("avg_temp"),
-            F.count(F.lit(1)).alias("days"),
+            F.expr(f"{tenths(f'sum(greatest(0D, {BASE_TEMP}D - mean))')} AS hdd"),
+            F.expr(f"{tenths(f'sum(greatest(0D, mean - {BASE_TEMP}D))')} AS cdd"),
+            F.expr(f"{tenths('avg(mean)')} AS avg_temp"),
+            F.expr("count(*) AS days"),
         )
     )
 
 
-def _mean_tenths(column: str) -> Column:
-    return F.bround(F.sum(column).cast("decimal(20,1)") / F.count(column).cast("decimal(10,0)"), 1).cast(_TENTH)
-
-
 def month_baselines(monthly: DataFrame, bill_months: DataFrame) -> DataFrame:
     """Mean degree days of each calendar month over the years that have bills."""
+
+    def mean(column: str) -> str:
+        quotient = f"CAST(sum({column}) AS DECIMAL(20,1)) / CAST(count({column}) AS DECIMAL(10,0))"
+        return f"CAST(bround({quotient}, 1) AS {_TENTH})"
+
     return (
         monthly.join(bill_months, ["year", "month"], "left_semi")
         .groupBy("month")
-        .agg(_mean_tenths("hdd").alias("avg_hdd"), _mean_tenths("cdd").alias("avg_cdd"))
+        .agg(F.expr(f"{mean('hdd')} AS avg_hdd"), F.expr(f"{mean('cdd')} AS avg_cdd"))
     )
 
 
 def bill_months(bills: DataFrame) -> DataFrame:
-    day = F.col("billing_date")
     return (
-        bills.filter(day.isNotNull())
-        .select(F.year(day).alias("year"), F.month(day).alias("month"))
+        bills.filter("billing_date IS NOT NULL")
+        .selectExpr("year(billing_date) AS year", "month(billing_date) AS month")
         .distinct()
     )
 
@@ -74,23 +72,26 @@ def weather_table(
 ) -> DataFrame:
     """(year, month, hdd, cdd, avg_hdd, avg_cdd) of one location, for the months of bills."""
     here = daily.filter((F.col("lat") == lat) & (F.col("lon") == lon))
-    months = bill_months(bills)
-    monthly = degree_days(here).join(months, ["year", "month"], "left_semi")
-    baselines = month_baselines(degree_days(here), months)
-    return monthly.join(F.broadcast(baselines), "month").select(  # at most 12 rows
-        "year", "month", "hdd", "cdd", "avg_hdd", "avg_cdd"
+    monthly = degree_days(here).join(bill_months(bills), ["year", "month"], "left_semi")
+
+    # Windows over calendar months: one row per year each.
+    def mean(column: str) -> str:
+        total, n = f"sum({column}) OVER (PARTITION BY month)", f"count({column}) OVER (PARTITION BY month)"
+        return f"CAST(bround(CAST({total} AS DECIMAL(20,1)) / CAST({n} AS DECIMAL(10,0)), 1) AS {_TENTH})"
+
+    return monthly.selectExpr(
+        "year", "month", "hdd", "cdd", f"{mean('hdd')} AS avg_hdd", f"{mean('cdd')} AS avg_cdd"
     )
 
 
-def sensitivity(industry: Column, utility: Column) -> Column:
-    pairs = [
-        (F.lit(f"{name}|{kind}"), F.lit(weight))
+def sensitivity(industry: str, utility: str) -> str:
+    """SQL text of the weather weight of an industry and utility."""
+    steps = " ".join(
+        f"WHEN {industry} = '{name}' AND lower({utility}) = '{kind}' THEN {weight}D"
         for name, weights in SENSITIVITY.items()
         for kind, weight in zip(("gas", "electric"), weights)
-    ]
-    table = F.create_map(*chain.from_iterable(pairs))
-    key = F.concat_ws("|", industry, F.lower(utility))
-    return F.coalesce(F.try_element_at(table, key), F.lit(DEFAULT_SENSITIVITY))
+    )
+    return f"CASE {steps} ELSE {DEFAULT_SENSITIVITY}D END"
 
 
 def with_weather(features: DataFrame, weather: DataFrame) -> DataFrame:
@@ -99,40 +100,31 @@ def with_weather(features: DataFrame, weather: DataFrame) -> DataFrame:
     ``weather`` is a weather_table: one row per calendar month of one location,
     under 120,000 rows for every representable date, so it is broadcast.
     """
-    joined = features.join(F.broadcast(weather), ["year", "month"], "left")
-    gas = F.lower("utility_type") == "gas"
-    available = F.col("hdd").isNotNull() & F.col("avg_hdd").isNotNull()
-    return (
-        joined.withColumns(
-            {
-                "weather_available": available,
-                "weather_metric": F.when(available, F.when(gas, "HDD").otherwise("CDD")),
-                "weather_actual": F.when(
-                    available, F.when(gas, F.col("hdd")).otherwise(F.col("cdd")).cast("double")
-                ).otherwise(0.0),
-                "weather_historical": F.when(
-                    available, F.when(gas, F.col("avg_hdd")).otherwise(F.col("avg_cdd")).cast("double")
-                ).otherwise(0.0),
-                "sensitivity": sensitivity(F.col("industry"), F.col("utility_type")),
-            }
-        )
-        .withColumn("weather_deviation", _deviation())
-        .withColumn("weather_explains", F.when(F.col("weather_available"), _explains()))
-        .withColumn("weather_deviation_pct", F.bround("weather_deviation", 1))
-        .drop("hdd", "cdd", "avg_hdd", "avg_cdd")
-    )
-
+    gas = "lower(utility_type) = 'gas'"
+    known = "(hdd IS NOT NULL AND avg_hdd IS NOT NULL)"
 
-def _deviation() -> Column:
-    actual, usual = F.col("weather_actual"), F.col("weather_historical")
-    return F.when(usual >= QUIET_MONTH, (actual - usual) / usual * 100).otherwise(0.0)
+    def chosen(heating: str, cooling: str) -> str:
+        return f"CASE WHEN {known} THEN CAST(CASE WHEN {gas} THEN {heating} ELSE {cooling} END AS DOUBLE) ELSE 0D END"
 
-
-def _explains() -> Column:
-    deviation = F.col("weather_deviation")
+    deviation = (
+        f"CASE WHEN weather_historical >= {QUIET_MONTH} "
+        "THEN (weather_actual - weather_historical) / weather_historical * 100 ELSE 0D END"
+    )
+    explains = (
+        f"weather_actual > 0 AND weather_historical > 0 AND weather_deviation > {MIN_DEVIATION} "
+        f"AND weather_deviation * sensitivity >= pct_above_monthly * {EXPLAINED_SHARE}D"
+    )
     return (
-        (F.col("weather_actual") > 0)
-        & (F.col("weather_historical") > 0)
-        & (deviation > MIN_DEVIATION)
-        & (deviation * F.col("sensitivity") >= F.col("pct_above_monthly") * EXPLAINED_SHARE)
+        features.join(F.broadcast(weather), ["year", "month"], "left")
+        .selectExpr(
+            *features.columns, f"{known} AS weather_available",
+            f"CASE WHEN {known} THEN CASE WHEN {gas} THEN 'HDD' ELSE 'CDD' END END AS weather_metric",
+            f"{chosen('hdd', 'cdd')} AS weather_actual", f"{chosen('avg_hdd', 'avg_cdd')} AS weather_historical",
+            f"{sensitivity('industry', 'utility_type')} AS sensitivity",
+        )
+        .selectExpr("*", f"{deviation} AS weather_deviation")
+        .selectExpr(
+            "*", f"CASE WHEN weather_available THEN {explains} END AS weather_explains",
+            "bround(weather_deviation, 1) AS weather_deviation_pct",
+        )
     )

@@ -6,70 +6,70 @@ for any other engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffscope.functions.dates import parse_date
-from tariffscope.functions.numeric import money_or_zero
-from tariffscope.plans.audit_rules import discrepancy_text, failed_text
-from tariffscope.schemas import MONEY
+from tariffscope.functions.numeric import MONEY
+from tariffscope.plans.audit_rules import UNPRICED_TEXT, failed_text
 from tariffscope.sources.tables import AuditTables
 from tariffscope.sources.weather import DEFAULT_LAT, DEFAULT_LON
 
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-LINE_CATEGORIES = {
-    1: "Delivery Charge", 2: "Supply Charge", 3: "Demand Charge", 4: "Taxes and Surcharges",
-    5: "Fixed Monthly Charge", 6: "Rider", 7: "Credit",
+# Declared, so that reading needs no inference job.
+SAMPLE_SCHEMAS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
 }
-REGION_INDUSTRIES = {0: "Healthcare", 1: "Manufacturing", 2: "Food Service", 3: "Education"}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SAMPLE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _choice(value: Column, names: dict, otherwise: str | None = None) -> Column:
-    chain = F
-    for key, name in names.items():
-        chain = chain.when(value == key, name)
-    return chain.otherwise(otherwise)
+def _hundredth(value: str) -> str:
+    return f"CAST(CAST({value} AS {MONEY}) * 0.01BD AS {MONEY})"
 
 
-def _hundredth(value: Column) -> Column:
-    return (value.cast(MONEY) * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY)
+_PROPERTY_ID = (
+    "CAST(c_nationkey AS BIGINT) * 10 + array_position("
+    "array('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'), c_mktsegment) - 1"
+)
+_PRICE = (
+    f"CAST(CASE WHEN l_linenumber = 7 THEN -{_hundredth('l_extendedprice')} "
+    f"ELSE {_hundredth('l_extendedprice')} END AS {MONEY})"
+)
 
 
 def clients(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.lit(None).cast("string")
-    return _table(spark, folder, "nation").select(
-        F.col("n_nationkey").cast("long").alias("client_id"),
-        F.col("n_name").alias("client_name"),
-        _choice(F.col("n_regionkey"), REGION_INDUSTRIES, "Retail").alias("industry"),
-        text.alias("contact_name"), text.alias("contact_email"), text.alias("contact_phone"),
-        F.lit(None).cast("date").alias("date_onboarded"), F.lit(True).alias("is_active"),
+    return _table(spark, folder, "nation").selectExpr(
+        "CAST(n_nationkey AS BIGINT) AS client_id", "n_name AS client_name",
+        "CASE n_regionkey WHEN 0 THEN 'Healthcare' WHEN 1 THEN 'Manufacturing' WHEN 2 THEN 'Food Service' "
+        "WHEN 3 THEN 'Education' ELSE 'Retail' END AS industry",
+        "CAST(NULL AS STRING) AS contact_name", "CAST(NULL AS STRING) AS contact_email",
+        "CAST(NULL AS STRING) AS contact_phone", "CAST(NULL AS DATE) AS date_onboarded", "true AS is_active",
     )
 
 
-def _property_id() -> Column:
-    place = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment")) - 1
-    return F.col("c_nationkey").cast("long") * 10 + place
-
-
 def properties(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.lit(None).cast("string")
     return (
         _table(spark, folder, "customer")
-        .select(
-            _property_id().alias("property_id"),
-            F.col("c_nationkey").cast("long").alias("client_id"),
-            F.col("c_mktsegment").alias("property_name"),
+        .selectExpr(
+            f"{_PROPERTY_ID} AS property_id", "CAST(c_nationkey AS BIGINT) AS client_id",
+            "c_mktsegment AS property_name",
         )
         .distinct()
-        .select(
-            "property_id", "client_id",
-            F.concat(F.lit("Site "), F.col("property_id")).alias("address"),
-            F.concat(F.lit("City "), F.col("client_id")).alias("city"),
-            text.alias("state"), text.alias("zip_code"), "property_name",
+        .selectExpr(
+            "property_id", "client_id", "concat('Site ', property_id) AS address",
+            "concat('City ', client_id) AS city", "CAST(NULL AS STRING) AS state",
+            "CAST(NULL AS STRING) AS zip_code", "property_name",
         )
     )
 
@@ -78,87 +78,64 @@ def vendors(spark: SparkSession, folder: str) -> DataFrame:
     return (
         _table(spark, folder, "supplier")
         .filter("s_suppkey < 10")
-        .select(
-            F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor_name"),
-            F.lit("Both").alias("vendor_type"),
-        )
+        .selectExpr("s_suppkey AS vendor_id", "s_name AS vendor_name", "'Both' AS vendor_type")
     )
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _table(spark, folder, "customer").select(
-        key.alias("account_id"),
-        F.when(key % 50 != 49, _property_id()).alias("property_id"),
-        (key % 10).alias("vendor_id"),
-        F.lpad(key.cast("string"), 8, "0").alias("account_number"),
-        F.lit(None).cast("string").alias("meter_number"),
-        F.lit(None).cast("string").alias("rate_code"),
+    return _table(spark, folder, "customer").selectExpr(
+        "c_custkey AS account_id",
+        f"CASE WHEN c_custkey % 50 <> 49 THEN {_PROPERTY_ID} END AS property_id",
+        "c_custkey % 10 AS vendor_id", "lpad(CAST(c_custkey AS STRING), 8, '0') AS account_number",
+        "CAST(NULL AS STRING) AS meter_number", "CAST(NULL AS STRING) AS rate_code",
     )
 
 
 def line_items(spark: SparkSession, folder: str) -> DataFrame:
-    number = F.col("l_linenumber")
-    price = _hundredth(F.col("l_extendedprice"))
-    return _table(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * 10 + number).alias("item_id"),
-        F.col("l_orderkey").alias("bill_id"),
-        _choice(number, LINE_CATEGORIES).alias("category"),
-        F.lit(None).cast("string").alias("description"),
-        F.when(number == 7, -price).otherwise(price).cast(MONEY).alias("total_price"),
+    return _table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS item_id", "l_orderkey AS bill_id",
+        "CASE l_linenumber WHEN 1 THEN 'Delivery Charge' WHEN 2 THEN 'Supply Charge' WHEN 3 THEN 'Demand Charge' "
+        "WHEN 4 THEN 'Taxes and Surcharges' WHEN 5 THEN 'Fixed Monthly Charge' WHEN 6 THEN 'Rider' "
+        "WHEN 7 THEN 'Credit' END AS category",
+        "CAST(NULL AS STRING) AS description", f"{_PRICE} AS total_price",
     )
 
 
 def bills(spark: SparkSession, folder: str) -> DataFrame:
-    number, price = F.col("l_linenumber"), _hundredth(F.col("l_extendedprice"))
     lines = (
         _table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(
-            F.sum(F.when(number == 7, -price).otherwise(price)).cast(MONEY).alias("line_sum"),
-            F.sum("l_quantity").alias("quantity"),
-        )
-    )
-    key, cust, line_sum = F.col("o_orderkey"), F.col("o_custkey"), F.col("line_sum")
-    itemised = F.coalesce(line_sum > 0, F.lit(False))
-    math_error, spike = key % 20 == 7, key % 40 == 3
-    total = (
-        F.when(~itemised, _hundredth(F.col("o_totalprice")))
-        .when(math_error, (line_sum * F.lit("1.10").cast("decimal(3,2)")).cast(MONEY))
-        .when(spike, (line_sum * F.lit("3.00").cast("decimal(3,2)")).cast(MONEY))
-        .otherwise(line_sum)
-        .cast(MONEY)
+        .agg(F.expr(f"CAST(sum({_PRICE}) AS {MONEY}) AS line_sum"), F.expr("sum(l_quantity) AS quantity"))
     )
-    utility = F.when(cust % 97 == 0, "Unknown").when(cust % 2 == 0, "Electric").otherwise("Gas")
-    raw_date = F.when(key % 500 == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    day, text = F.col("billing_date"), F.lit(None).cast("string")
+    raw_date = "CASE WHEN o_orderkey % 500 = 0 THEN '' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END"
+    math_error, spike = "o_orderkey % 20 = 7", "o_orderkey % 40 = 3"
     return (
         _table(spark, folder, "orders")
         .select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
         .join(lines, "o_orderkey", "left")
-        .select(
-            key.alias("bill_id"), cust.alias("account_id"), utility.alias("utility_type"),
-            parse_date(raw_date).alias("billing_date"),
-            total.alias("total_amount"),
-            F.coalesce("quantity", F.lit(0.0)).alias("usage_volume"),
-            (math_error | spike).alias("is_anomaly_detected"),
-            F.when(math_error, failed_text(money_or_zero(line_sum), total))
-            .when(spike, F.lit(discrepancy_text()))
-            .otherwise("")
-            .alias("anomaly_reason"),
+        .selectExpr(
+            "o_orderkey AS bill_id", "o_custkey AS account_id",
+            "CASE WHEN o_custkey % 97 = 0 THEN 'Unknown' WHEN o_custkey % 2 = 0 THEN 'Electric' ELSE 'Gas' END "
+            "AS utility_type",
+            f"{parse_date(raw_date)} AS billing_date",
+            f"CAST(CASE WHEN line_sum IS NULL OR line_sum <= 0 THEN {_hundredth('o_totalprice')} "
+            f"WHEN {math_error} THEN CAST(line_sum * 1.10BD AS {MONEY}) "
+            f"WHEN {spike} THEN CAST(line_sum * 3.00BD AS {MONEY}) ELSE line_sum END AS {MONEY}) AS total_amount",
+            f"coalesce(line_sum, CAST(0 AS {MONEY})) AS line_sum",
+            "coalesce(quantity, 0D) AS usage_volume", f"{math_error} AS math_error", f"{spike} AS spike",
         )
-        .select(
+        .selectExpr(
             "bill_id", "account_id", "utility_type", "billing_date",
-            F.date_sub(day, 30).alias("service_period_start"),
-            F.date_sub(day, 1).alias("service_period_end"),
-            F.date_add(day, 21).alias("due_date"),
+            "date_sub(billing_date, 30) AS service_period_start",
+            "date_sub(billing_date, 1) AS service_period_end", "date_add(billing_date, 21) AS due_date",
             "total_amount", "usage_volume",
-            _choice(F.col("utility_type"), {"Electric": "kWh", "Gas": "Therms"}, "Unknown").alias("usage_unit"),
-            F.lit(0.0).alias("demand_read"), text.alias("demand_unit"), text.alias("rate_code"),
-            text.alias("tariff_code"), "is_anomaly_detected", "anomaly_reason",
-            F.lit("Unreviewed").alias("anomaly_status"),
-            F.lit("2024-01-01 00:00:00").cast("timestamp").alias("audit_timestamp"),
-            F.concat(F.lit("bill-"), F.col("bill_id"), F.lit(".pdf")).alias("source_file"),
+            "CASE utility_type WHEN 'Electric' THEN 'kWh' WHEN 'Gas' THEN 'Therms' ELSE 'Unknown' END AS usage_unit",
+            "0D AS demand_read", "CAST(NULL AS STRING) AS demand_unit", "CAST(NULL AS STRING) AS rate_code",
+            "CAST(NULL AS STRING) AS tariff_code", "math_error OR spike AS is_anomaly_detected",
+            f"CASE WHEN math_error THEN {failed_text('line_sum', 'total_amount')} "
+            f"WHEN spike THEN '{UNPRICED_TEXT}' ELSE '' END AS anomaly_reason",
+            "'Unreviewed' AS anomaly_status", "TIMESTAMP '2024-01-01 00:00:00' AS audit_timestamp",
+            "concat('bill-', bill_id, '.pdf') AS source_file",
         )
     )
 
@@ -181,21 +158,19 @@ def weather_daily(spark: SparkSession, folder: str) -> DataFrame:
     The calendar comes from the months present in the orders; a day's
     temperatures follow a fixed rule of its date.
     """
-    months = (
+    mid = (
+        f"element_at(array{MONTH_BASE}, month(d)) + (day(d) * 7 + year(d) * 5 + month(d) * 3) % 13 - 6 "
+        "+ (year(d) * month(d)) % 11 - 5"
+    )
+    return (
         _table(spark, folder, "orders")
-        .select(F.trunc("o_orderdate", "month").alias("first"))
+        .selectExpr("CAST(trunc(o_orderdate, 'month') AS DATE) AS first")
         .distinct()
-    )
-    day = F.col("obs_date")
-    y, m, d = F.year(day), F.month(day), F.day(day)
-    base = F.element_at(F.array(*[F.lit(x) for x in MONTH_BASE]), m)
-    jitter = (d * 7 + y * 5 + m * 3) % 13 - 6 + (y * m) % 11 - 5
-    return months.select(
-        F.explode(F.sequence("first", F.last_day("first"))).alias("obs_date")
-    ).select(
-        "obs_date", F.lit(DEFAULT_LAT).alias("lat"), F.lit(DEFAULT_LON).alias("lon"),
-        (base + jitter + 8).cast("double").alias("tmax"),
-        F.when(d != 29, (base + jitter - 8).cast("double")).alias("tmin"),
+        .selectExpr("explode(sequence(first, last_day(first))) AS d")
+        .selectExpr(
+            "d AS obs_date", f"{DEFAULT_LAT}D AS lat", f"{DEFAULT_LON}D AS lon",
+            f"CAST({mid} + 8 AS DOUBLE) AS tmax", f"CASE WHEN day(d) <> 29 THEN CAST({mid} - 8 AS DOUBLE) END AS tmin",
+        )
     )
 
 
@@ -206,15 +181,12 @@ def station_weather(spark: SparkSession, folder: str) -> DataFrame:
     """
     return (
         _table(spark, folder, "events")
-        .groupBy(
-            F.to_date("ts").alias("obs_date"),
-            (F.col("user_id") % 10).cast("double").alias("lat"),
-            F.col("user_id").cast("double").alias("lon"),
-        )
-        .agg(
-            F.max("value").alias("tmax"),
-            F.when(F.count(F.lit(1)) > 1, F.min("value")).alias("tmin"),
+        .selectExpr(
+            "CAST(ts AS DATE) AS obs_date", "CAST(user_id % 10 AS DOUBLE) AS lat", "CAST(user_id AS DOUBLE) AS lon",
+            "value",
         )
+        .groupBy("obs_date", "lat", "lon")
+        .agg(F.expr("max(value) AS tmax"), F.expr("CASE WHEN count(*) > 1 THEN min(value) END AS tmin"))
     )
 
 
@@ -224,69 +196,55 @@ def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
     Faults are planted by bill number: broken JSON, CCF units, dashed accounts,
     negative credits, missing providers, zero totals and short account numbers.
     """
-    tables = audit_tables(spark, folder)
-    price, category = F.col("total_price"), F.col("category")
-    sums = tables.line_items.groupBy("bill_id").agg(
+    categories = {
+        "fixed_monthly_charge": "Fixed Monthly Charge", "delivery_charge": "Delivery Charge",
+        "supply_charge": "Supply Charge", "demand_charge": "Demand Charge",
+        "taxes_and_surcharges": "Taxes and Surcharges", "credit": "Credit",
+    }
+    sums = line_items(spark, folder).groupBy("bill_id").agg(
         *[
-            F.sum(F.when(category == name, price)).cast(MONEY).alias(alias)
-            for alias, name in {
-                "fixed": "Fixed Monthly Charge", "delivery": "Delivery Charge",
-                "supply": "Supply Charge", "demand": "Demand Charge",
-                "taxes": "Taxes and Surcharges", "credit": "Credit",
-            }.items()
+            F.expr(f"CAST(sum(CASE WHEN category = '{name}' THEN total_price END) AS {MONEY}) AS {alias}")
+            for alias, name in categories.items()
         ]
     )
-    key = F.col("bill_id")
-    number = F.lpad(F.col("account_id").cast("string"), 8, "0")
-    account = (
-        F.when(key % 25 == 8, "123")
-        .when(key % 10 == 3, F.concat(F.substring(number, 1, 4), F.lit("-"), F.substring(number, 5, 4)))
-        .otherwise(number)
-    )
-    credit = F.abs(money_or_zero(F.col("credit")))
-    record = F.struct(
-        F.when(key % 25 != 5, F.concat(F.lit("Vendor "), F.col("account_id") % 10)).alias("provider_name"),
-        account.alias("account_number"),
-        F.when(key % 30 == 9, "Water").otherwise(F.col("utility_type")).alias("utility_type"),
-        F.date_format("billing_date", "yyyy-MM-dd").alias("statement_date"),
-        F.date_format("service_period_start", "yyyy-MM-dd").alias("service_period_start"),
-        F.date_format("service_period_end", "yyyy-MM-dd").alias("service_period_end"),
-        F.when(key % 25 == 6, F.lit(0).cast(MONEY)).otherwise(F.col("total_amount")).alias("total_amount_due"),
-        F.col("usage_volume"),
-        F.when(key % 10 == 2, "CCF").otherwise(F.col("usage_unit")).alias("usage_unit"),
-        F.lit("SC1").alias("rate_code"),
-        money_or_zero(F.col("fixed")).alias("fixed_monthly_charge"),
-        money_or_zero(F.col("delivery")).alias("delivery_charge"),
-        money_or_zero(F.col("supply")).alias("supply_charge"),
-        money_or_zero(F.col("demand")).alias("demand_charge"),
-        money_or_zero(F.col("taxes")).alias("taxes_and_surcharges"),
-        F.when(key % 10 == 4, -credit).otherwise(credit).alias("credits"),
-        F.lit(False).alias("is_anomaly_detected"),
-    )
-    body = F.concat(F.lit("```json\n"), F.to_json(record), F.lit("\n```"))
-    return tables.bills.join(sums, "bill_id", "left").select(
-        key.alias("record_id"),
-        F.concat(F.lit("/inbox/"), F.col("source_file")).alias("source_file"),
-        F.when(key % 50 == 1, F.lit("{not json")).otherwise(body).alias("payload"),
+    zero = f"CAST(0 AS {MONEY})"
+    fields = {
+        "provider_name": "CASE WHEN bill_id % 25 <> 5 THEN concat('Vendor ', account_id % 10) END",
+        "account_number": "CASE WHEN bill_id % 25 = 8 THEN '123' WHEN bill_id % 10 = 3 "
+        "THEN concat(substring(number, 1, 4), '-', substring(number, 5, 4)) ELSE number END",
+        "utility_type": "CASE WHEN bill_id % 30 = 9 THEN 'Water' ELSE utility_type END",
+        "statement_date": "date_format(billing_date, 'yyyy-MM-dd')",
+        "service_period_start": "date_format(service_period_start, 'yyyy-MM-dd')",
+        "service_period_end": "date_format(service_period_end, 'yyyy-MM-dd')",
+        "total_amount_due": f"CASE WHEN bill_id % 25 = 6 THEN {zero} ELSE total_amount END",
+        "usage_volume": "usage_volume",
+        "usage_unit": "CASE WHEN bill_id % 10 = 2 THEN 'CCF' ELSE usage_unit END",
+        "rate_code": "'SC1'",
+        **{name: f"coalesce({name}, {zero})" for name in categories if name != "credit"},
+        "credits": f"CASE WHEN bill_id % 10 = 4 THEN -1 ELSE 1 END * abs(coalesce(credit, {zero}))",
+        "is_anomaly_detected": "false",
+    }
+    record = ", ".join(f"{value} AS {name}" for name, value in fields.items())
+    return (
+        bills(spark, folder)
+        .join(sums, "bill_id", "left")
+        .selectExpr("*", "lpad(CAST(account_id AS STRING), 8, '0') AS number")
+        .selectExpr(
+            "bill_id AS record_id", "concat('/inbox/', source_file) AS source_file",
+            f"CASE WHEN bill_id % 50 = 1 THEN '{{not json' "
+            f"ELSE concat('```json\\n', to_json(struct({record})), '\\n```') END AS payload",
+        )
     )
 
 
-BILL_LINE = "Total Amount Due $%s Account Number %s"
-
-
 def bill_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Document texts as pages: (doc_id, page_no, text), four pages a document.
 
     Every third page ends in a billing line.
     """
-    key = F.col("doc_id")
-    line = F.format_string(
-        BILL_LINE,
-        ((key % 900 + 100).cast("decimal(10,2)") + F.lit("0.25").cast("decimal(3,2)")).cast("string"),
-        F.lpad(key.cast("string"), 8, "0"),
-    )
-    return _table(spark, folder, "documents").select(
-        F.floor(key / 4).cast("long").alias("doc_id"),
-        (key % 4).cast("int").alias("page_no"),
-        F.when(key % 3 == 0, F.concat_ws("\n", "text", line)).otherwise(F.col("text")).alias("text"),
+    amount = "CAST(CAST(doc_id % 900 + 100 AS DECIMAL(10,2)) + 0.25BD AS DECIMAL(10,2))"
+    line = f"concat('\\nTotal Amount Due $', {amount}, ' Account Number ', lpad(CAST(doc_id AS STRING), 8, '0'))"
+    return _table(spark, folder, "documents").selectExpr(
+        "doc_id DIV 4 AS doc_id", "CAST(doc_id % 4 AS INT) AS page_no",
+        f"CASE WHEN doc_id % 3 = 0 THEN concat(text, {line}) ELSE text END AS text",
     )
