@@ -297,11 +297,11 @@ SELECT *, regexp_matches(text, '\$\s*\d+\.\d{2}')
           OR (regexp_matches(text, '\b\d+\.\d{2}\b') AND regexp_matches(text, '\b\d{5,}\b')) AS is_billing
 FROM bill_pages"""
 
-_EDGE = r"'^[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+|[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+\z'"
+_SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def trimmed(text: str) -> str:
-    return f"regexp_replace({text}, {_EDGE}, '', 'g')"
+    return f"regexp_replace({text}, '^{_SPACE}|{_SPACE}\\z', '', 'g')"
 
 
 KEPT_LINE = r"""

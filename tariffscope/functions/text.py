@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +31,17 @@ BILLING_WORDS = (
     "rg&e", "pg&e", "provider", "utility",
 )
 
-_EDGE_SPACE = r"(?U)^\s+|\s+\z"
+# The white space that trimming removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 DIGITAL_MIN_CHARS = 100
 
 
 def trim_all(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_billing_page(text: Column) -> Column:
@@ -47,12 +54,10 @@ def text_route(text: Column) -> Column:
     return F.when(F.length(trim_all(text)) > DIGITAL_MIN_CHARS, "digital").otherwise("scan")
 
 
-def _is_noise(line: Column) -> Column:
-    lowered = F.lower(line)
+def _is_noise(line: Column, lowered: Column) -> Column:
     web = lowered.contains(WEB_MARKS[0]) | lowered.contains(WEB_MARKS[1])
     return (
-        (line == "")
-        | line.rlike(UNIT_RATE)
+        (line.contains("x") & line.rlike(UNIT_RATE))
         | line.rlike(MONTH_ROW)
         | (line.rlike(DIGITS_ONLY) & (F.length(line) < 20))
         | web
@@ -60,21 +65,25 @@ def _is_noise(line: Column) -> Column:
     )
 
 
-def _is_billing_line(line: Column) -> Column:
-    lowered = F.lower(line)
-    # One alternation over the whole list: a single scan of the line.
-    words = "|".join(w.replace(".", r"\.") for w in BILLING_WORDS)
-    return line.rlike(ANY_AMOUNT) | lowered.rlike(words)
+def _is_billing_line(line: Column, lowered: Column) -> Column:
+    """An amount or a billing word; plain searches go before the pattern."""
+    words = reduce(or_, [lowered.contains(word) for word in BILLING_WORDS])
+    amount = (line.contains("$") | line.contains(".")) & line.rlike(ANY_AMOUNT)
+    return words | amount
 
 
-def keeps_line(line: Column) -> Column:
-    return ~_is_noise(line) & _is_billing_line(line)
+def keeps_line(line: Column, lowered: Column) -> Column:
+    """Few lines hold billing data, so that is asked first."""
+    return (line != "") & _is_billing_line(line, lowered) & ~_is_noise(line, lowered)
 
 
 def clean_lines(text: Column) -> Column:
     """Text reduced to its billing lines, order kept."""
     lines = F.transform(F.split(text, "\n", -1), trim_all)
-    return F.array_join(F.filter(lines, keeps_line), "\n")
+    # Each line is lowered once, not once per word it is searched for.
+    paired = F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(x).alias("lowered")))
+    kept = F.filter(paired, lambda p: keeps_line(p["line"], p["lowered"]))
+    return F.array_join(kept["line"], "\n")
 
 
 def strip_fences(text: Column) -> Column:

@@ -44,14 +44,15 @@ def base_table(tables: AuditTables, include_unassigned: bool = False) -> DataFra
 
 def engineer(
     tables: AuditTables, include_unassigned: bool = False, include_zero_usage: bool = False,
-    fill_missing: bool = True, stage_bills: bool = False,
+    fill_missing: bool = True, stage_bills: bool = True,
 ) -> DataFrame:
     """Bills with baselines and relative features.
 
     ``include_zero_usage`` averages the delivery rate over all bills instead of
     those with usage; ``fill_missing=False`` leaves percentages null where there
-    is no baseline. The priced bills feed both the baselines and the detail;
-    ``stage_bills`` writes them once instead of joining the line items twice.
+    is no baseline. The priced bills feed both the baselines and the detail, so
+    they are staged: the line items are shuffled once. ``stage_bills=False`` keeps
+    the plan fully lazy at the price of building them twice.
     """
     bills = priced_bills(tables)
     if stage_bills:

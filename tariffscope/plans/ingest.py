@@ -116,23 +116,33 @@ def _pattern_payload() -> Column:
 # --- records ---------------------------------------------------------------
 
 def parse_records(answers: DataFrame) -> DataFrame:
-    """Payload text to typed columns; form field names are accepted as aliases."""
-    parsed = F.from_json(
-        tx.strip_fences(F.col("payload")), _PAYLOAD,
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
+    """Payload text to typed columns; form field names are accepted as aliases.
+
+    The parsed struct is unfolded by a generator, so later filters cannot be
+    pushed below it and repeat the parsing for every field they mention.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _PAYLOAD)
+    parsed = (
+        f"from_json(answer, '{schema}', "
+        f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{_CORRUPT}'))"
     )
-    rows = answers.withColumn("r", parsed)
-    names = [f.name for f in _PAYLOAD if f.name not in ("billing_date", "taxes_surcharges", "error", _CORRUPT)]
-    return rows.select(
-        "record_id",
-        tx.base_name(F.col("source_file")).alias("source_file"),
-        *[F.col(f"r.{n}").alias(n) for n in names if n not in ("statement_date", "taxes_and_surcharges")],
-        F.coalesce("r.statement_date", "r.billing_date").alias("statement_date"),
-        F.coalesce("r.taxes_and_surcharges", "r.taxes_surcharges").alias("taxes_and_surcharges"),
-        F.when(F.col(f"r.{_CORRUPT}").isNotNull() | F.col("r").isNull(), "malformed")
-        .when(F.col("r.error").isNotNull(), "extractor_error")
-        .otherwise("read")
-        .alias("read_status"),
+    aliases = {
+        "statement_date": "coalesce(statement_date, billing_date)",
+        "taxes_and_surcharges": "coalesce(taxes_and_surcharges, taxes_surcharges)",
+    }
+    dropped = {"billing_date", "taxes_surcharges", "error", _CORRUPT, *aliases}
+    return (
+        answers.select(
+            "record_id", tx.base_name(F.col("source_file")).alias("source_file"),
+            tx.strip_fences(F.col("payload")).alias("answer"),
+        )
+        .selectExpr("record_id", "source_file", "answer IS NULL AS no_answer", f"inline(array({parsed}))")
+        .selectExpr(
+            "record_id", "source_file", *[f.name for f in _PAYLOAD if f.name not in dropped],
+            *[f"{text} AS {name}" for name, text in aliases.items()],
+            f"CASE WHEN no_answer OR {_CORRUPT} IS NOT NULL THEN 'malformed' "
+            "WHEN error IS NOT NULL THEN 'extractor_error' ELSE 'read' END AS read_status",
+        )
     )
 
 

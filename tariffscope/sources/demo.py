@@ -234,6 +234,7 @@ def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
             f"CASE WHEN bill_id % 50 = 1 THEN '{{not json' "
             f"ELSE concat('```json\\n', to_json(struct({record})), '\\n```') END AS payload",
         )
+        .repartition("record_id")  # the sample is one small file; an inbox is many
     )
 
 
@@ -244,7 +245,8 @@ def bill_pages(spark: SparkSession, folder: str) -> DataFrame:
     """
     amount = "CAST(CAST(doc_id % 900 + 100 AS DECIMAL(10,2)) + 0.25BD AS DECIMAL(10,2))"
     line = f"concat('\\nTotal Amount Due $', {amount}, ' Account Number ', lpad(CAST(doc_id AS STRING), 8, '0'))"
-    return _table(spark, folder, "documents").selectExpr(
+    # The sample is one small file; stored pages are many.
+    return _table(spark, folder, "documents").repartition("doc_id").selectExpr(
         "doc_id DIV 4 AS doc_id", "CAST(doc_id % 4 AS INT) AS page_no",
         f"CASE WHEN doc_id % 3 = 0 THEN concat(text, {line}) ELSE text END AS text",
     )
