@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks.queries import QUERIES  # noqa: E402
-from tariffscope.session import local_session  # noqa: E402
+from tariffscope.session import drop_staged, local_session  # noqa: E402
 
 HEADLINE = (
     "star_join,charge_pivot,features,account_baselines,client_summary,top_spenders,compare_periods,"
@@ -36,6 +36,7 @@ def main() -> None:
         start = time.time()
         QUERIES[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
+        drop_staged(spark)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

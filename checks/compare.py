@@ -9,7 +9,7 @@ import time
 import duckdb
 
 from checks.queries import QUERIES
-from tariffscope.session import local_session
+from tariffscope.session import drop_staged, local_session
 
 SAMPLE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -71,6 +71,7 @@ if __name__ == "__main__":
             same, count, seconds, note = compare(session, connection, chosen_folder, query_name)
         except Exception as problem:
             same, count, seconds, note = False, 0, 0.0, f"{type(problem).__name__}: {str(problem)[:600]}"
+        drop_staged(session)
         bad += same is False
         print(f"{ {True: 'same', False: 'DIFF', None: 'rows'}[same] } {query_name} {count} {seconds:.1f}s {note}", flush=True)
     print(f"{bad} differ")

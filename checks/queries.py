@@ -212,7 +212,8 @@ def history_gate(spark, folder):
        UNION ALL SELECT DISTINCT 'vendor_name', vendor_name FROM base)""",
 )
 def label_encode(spark, folder):
-    return label_codes(fe.base_table(tables_of(spark, folder)), list(fe.CODED))
+    tables = tables_of(spark, folder)
+    return label_codes(fe.label_values(fe.priced_bills(tables), tables), list(fe.CODED))
 
 
 @query(
@@ -910,19 +911,19 @@ FAST_TREES, FAST_DEPTH = 10, 6
 
 @query("bill_id:i ml_anomaly_probability:r4 ml_flagged:b")
 def rf_score(spark, folder):
-    coded = dt.model_features(tables_of(spark, folder))
+    coded = fe.coded_features(tables_of(spark, folder))
     return ml.score_bills(coded, ml.train(ml.training_frame(coded), FAST_TREES, FAST_DEPTH))
 
 
 @query("feature:s title:s importance:r4")
 def rf_importance(spark, folder):
-    coded = dt.model_features(tables_of(spark, folder))
+    coded = fe.coded_features(tables_of(spark, folder))
     return ml.feature_importance(spark, ml.train(ml.training_frame(coded), FAST_TREES, FAST_DEPTH))
 
 
 @query("bills:i roc_auc:r4 mean_f1:r4 f1_spread:r4")
 def rf_cv(spark, folder):
-    frame = staged(ml.training_frame(dt.model_features(tables_of(spark, folder))), "frame")
+    frame = staged(ml.training_frame(fe.coded_features(tables_of(spark, folder))), "frame")
     held = ml.probabilities(ml.train(frame, FAST_TREES, FAST_DEPTH), frame.filter("holdout"))
     area, (mean, spread) = ml.roc_auc(held), ml.cross_validated_f1(frame, FAST_TREES, FAST_DEPTH)
     return frame.agg(F.count("*").alias("bills")).select(

@@ -11,7 +11,7 @@ from tariffscope.plans import features as fe
 from tariffscope.plans import model as ml
 from tariffscope.plans.findings import findings
 from tariffscope.plans.weather import weather_table
-from tariffscope.session import staged, tune
+from tariffscope.session import tune
 from tariffscope.sources.tables import AuditTables
 
 
@@ -22,12 +22,6 @@ class DetectionRun:
     model: RandomForestClassificationModel
 
 
-def model_features(tables: AuditTables) -> DataFrame:
-    """Engineered, label-coded features, staged once for fitting and scoring."""
-    engineered = staged(fe.engineer(tables), "features")
-    return staged(fe.with_codes(engineered), "coded-features")
-
-
 def detect(
     tables: AuditTables, daily_weather: DataFrame, trees: int = ml.TREES, depth: int = ml.DEPTH,
     threshold: float = ml.FLAG_AT, run_time: str | None = None,
@@ -37,7 +31,7 @@ def detect(
     Fitting is the only step whose result passes through the driver (the trees).
     """
     tune(tables.bills.sparkSession)
-    coded = model_features(tables)
+    coded = fe.coded_features(tables)
     model = ml.train(ml.training_frame(coded), trees, depth)
     scored = ml.score_bills(coded, model, threshold)
     weather = weather_table(tables.bills, daily_weather)

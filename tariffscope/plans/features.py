@@ -44,7 +44,7 @@ def base_table(tables: AuditTables, include_unassigned: bool = False) -> DataFra
 
 def engineer(
     tables: AuditTables, include_unassigned: bool = False, include_zero_usage: bool = False,
-    fill_missing: bool = True, stage_bills: bool = True,
+    fill_missing: bool = True, stage_bills: bool = True, bills: DataFrame | None = None,
 ) -> DataFrame:
     """Bills with baselines and relative features.
 
@@ -52,11 +52,13 @@ def engineer(
     those with usage; ``fill_missing=False`` leaves percentages null where there
     is no baseline. The priced bills feed both the baselines and the detail, so
     they are staged: the line items are shuffled once. ``stage_bills=False`` keeps
-    the plan fully lazy at the price of building them twice.
+    the plan fully lazy at the price of building them twice; ``bills`` passes
+    priced bills that are already stored.
     """
-    bills = priced_bills(tables)
-    if stage_bills:
-        bills = staged(bills, "priced-bills")
+    if bills is None:
+        bills = priced_bills(tables)
+        if stage_bills:
+            bills = staged(bills, "priced-bills")
     profile = account_profile(bills).join(
         account_directory(tables, include_unassigned), "account_id"
     )
@@ -95,6 +97,14 @@ CODED = {
 }
 
 
-def with_codes(features: DataFrame) -> DataFrame:
-    """Add the label codes of industry, utility and vendor."""
-    return encode_labels(features, CODED)
+def label_values(bills: DataFrame, tables: AuditTables) -> DataFrame:
+    """Every combination of coded values that occurs, reduced before it meets the dimensions."""
+    seen = bills.select("account_id", "utility_type").distinct()
+    return seen.join(account_directory(tables), "account_id").select(*CODED).distinct()
+
+
+def coded_features(tables: AuditTables) -> DataFrame:
+    """Features with the label codes of industry, utility and vendor, staged for reuse."""
+    bills = staged(priced_bills(tables), "priced-bills")
+    features = engineer(tables, bills=bills)
+    return staged(encode_labels(features, CODED, label_values(bills, tables)), "features")
