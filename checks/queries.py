@@ -250,11 +250,11 @@ _SPENDING = f"""account_number, utility_type, count(*) AS bill_count, sum(total_
     "client_name:s industry:s property_name:s address:s city:s account_number:s vendor_name:s utility_type:s "
     "bill_count:i total_spend:d avg_bill:d flagged:i",
     f"""SELECT client_name, industry, property_name, address, city, vendor_name, {_SPENDING}
-        FROM bills JOIN directory USING (account_id) WHERE lower(client_name) LIKE lower('%Nation_1%')
+        FROM bills JOIN directory USING (account_id) WHERE lower(client_name) LIKE lower('%Nation_%')
         GROUP BY client_name, industry, property_name, address, city, vendor_name, account_number, utility_type""",
 )
 def client_summary(spark, folder):
-    return rp.client_summary(tables_of(spark, folder), "Nation_1")
+    return rp.client_summary(tables_of(spark, folder), "Nation_")
 
 
 @query(
@@ -577,11 +577,11 @@ def clients_with_findings(spark, folder):
 @query(
     "analysis_id:i severity:s detection_layer:s potential_recovery:d reviewed:b utility_type:s billing_date:t "
     "total_amount:d property_name:s vendor_name:s client_name:s",
-    "SELECT * FROM finding_star WHERE severity = 'HIGH'",
+    "SELECT * FROM finding_star",
 )
 def review_list(spark, folder):
     tables, found = findings_of(spark, folder)
-    return rp.review_list(found, tables, severity="HIGH", show_reviewed=True)
+    return rp.review_list(found, tables, show_reviewed=True)
 
 
 @query(
@@ -598,11 +598,11 @@ def top_findings(spark, folder):
 @query(
     "client_name:s analysis_id:i severity:s potential_recovery:d billing_date:t property_name:s vendor_name:s "
     "plain_english_reason:s",
-    "SELECT * FROM finding_star WHERE NOT reviewed AND lower(client_name) LIKE '%nation_2%'",
+    "SELECT * FROM finding_star WHERE NOT reviewed",
 )
 def dashboard_flat(spark, folder):
     tables, found = findings_of(spark, folder)
-    return rp.dashboard(found, tables, "nation_2")
+    return rp.dashboard(found, tables)
 
 
 _WORST_FIRST = "severity_rank, potential_recovery DESC, analysis_id"
@@ -906,6 +906,21 @@ def roc_auc(spark, folder):
     return spark.createDataFrame([(area,)], "roc_auc double")
 
 
+@query(
+    "bills:i flagged:i flagged_pct:r4 skipped:i",
+    """SELECT count(*) AS bills, count(*) FILTER (ml_flagged) AS flagged,
+       100.0 * count(*) FILTER (ml_flagged) / count(*) AS flagged_pct,
+       count(*) FILTER (account_bill_count < 12) AS skipped FROM scored""",
+)
+def scoring_totals(spark, folder):
+    return ml.scoring_totals(scored_of(tables_of(spark, folder)))
+
+
+@query("bill_id:i label:d holdout:b fold:i")
+def holdout_split(spark, folder):
+    return ml.training_frame(fe.coded_features(tables_of(spark, folder)))
+
+
 FAST_TREES, FAST_DEPTH = 10, 6
 
 
@@ -959,6 +974,15 @@ def decided(spark: Spark, folder: str):
     return apply_decisions(found, tables.bills, decisions, RUN_DATE)
 
 
+@query(
+    "analysis_id:i bill_id:i action:s note:s",
+    """SELECT analysis_id, bill_id, CASE analysis_id % 5 WHEN 0 THEN 'confirm' ELSE 'dismiss' END AS action,
+       CASE WHEN analysis_id % 10 = 0 THEN 'checked' END AS note FROM findings WHERE analysis_id % 5 IN (0, 1)""",
+)
+def review_decisions(spark, folder):
+    return decided(spark, folder).log
+
+
 @query("analysis_id:i reviewed:b", "SELECT analysis_id, analysis_id % 5 IN (0, 1) AS reviewed FROM findings")
 def review_findings(spark, folder):
     return decided(spark, folder).findings

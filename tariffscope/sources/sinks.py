@@ -2,35 +2,72 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "CURRENT"
+from tariffscope.plans.review import Reviewed
+from tariffscope.schemas import AUDIT_CLAIMS
+
+_POINTER = "versions"
 
 
 def write_snapshot(df: DataFrame, folder: str, partition_by: list[str] | None = None) -> str:
     """Write a full new version of a table and make it current.
 
     Readers of the old version are undisturbed, and a frame may be replaced by a
-    result derived from itself. Returns the snapshot folder.
+    result derived from itself. The new version counts once its pointer row is
+    appended; a write that fails before leaves the old one current. Returns the
+    snapshot folder.
     """
-    snapshot = f"snapshot-{uuid.uuid4().hex}"
+    version = time.time_ns()
+    snapshot = f"snapshot-{version}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{folder}/{snapshot}")
-    pointer = df.sparkSession.createDataFrame([(snapshot,)], "value string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{folder}/{_POINTER}")
+    pointer = df.sparkSession.createDataFrame([(version, snapshot)], _POINTER_SCHEMA)
+    pointer.coalesce(1).write.mode("append").json(f"{folder}/{_POINTER}")
     return f"{folder}/{snapshot}"
 
 
+_POINTER_SCHEMA = "version long, snapshot string"
+
+
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    current = spark.read.text(f"{folder}/{_POINTER}").first()["value"]
+    versions = spark.read.schema(_POINTER_SCHEMA).json(f"{folder}/{_POINTER}")
+    current = versions.orderBy(F.desc("version")).first()["snapshot"]
     return spark.read.parquet(f"{folder}/{current}")
 
 
+def write_findings(findings: DataFrame, folder: str) -> str:
+    """Replace the stored findings by those of a new run."""
+    return write_snapshot(findings, f"{folder}/findings")
+
+
+def append_claims(claims: DataFrame, folder: str) -> None:
+    """Append the claims whose id is not stored yet."""
+    spark = claims.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/audit_claims")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        stored = spark.read.schema(AUDIT_CLAIMS).parquet(f"{folder}/audit_claims")
+        claims = claims.join(stored.select("claim_id"), "claim_id", "left_anti").select(*AUDIT_CLAIMS.names)
+    append(claims, folder, "audit_claims")
+
+
+def write_reviewed(reviewed: Reviewed, folder: str) -> None:
+    """Store a review batch: appended claims, then new versions of bills and findings.
+
+    The findings come last, so a batch that stopped half-way can be repeated: its
+    findings are still unreviewed and its stored claims are not appended twice.
+    """
+    append_claims(reviewed.new_claims, folder)
+    write_snapshot(reviewed.bills, f"{folder}/bills")
+    write_findings(reviewed.findings, folder)
+
+
 def write_bills(bills: DataFrame, folder: str) -> None:
     """Append bills by billing year, clustered by account for baseline scans."""
     (

@@ -158,6 +158,17 @@ def test_snapshot_can_replace_itself(spark, tmp_path):
     assert sorted(r["n"] for r in sinks.read_snapshot(spark, folder).collect()) == [1, 2, 3]
 
 
+def test_review_batch_is_stored(spark, reviewed_setup, tmp_path):
+    tables, found = reviewed_setup
+    decisions = spark.createDataFrame([(1, 1, "confirm", None), (2, 2, "dismiss", None)], DECISIONS)
+    sinks.write_findings(found, str(tmp_path))
+    for _ in range(2):  # a repeated batch leaves one claim
+        sinks.write_reviewed(apply_decisions(found, tables.bills, decisions, "2024-05-01"), str(tmp_path))
+    assert sinks.read_snapshot(spark, f"{tmp_path}/findings").filter("reviewed").count() == 3
+    assert sinks.read_snapshot(spark, f"{tmp_path}/bills").filter("anomaly_status = 'Dismissed'").count() == 1
+    assert [r["claim_id"] for r in spark.read.parquet(f"{tmp_path}/audit_claims").collect()] == [1]
+
+
 def test_bills_are_stored_by_year(spark, small_tables, tmp_path):
     tables = small_tables([bill(1, 100, dt.date(2020, 1, 1), "5.00"), bill(2, 100, None, "5.00")])
     sinks.write_bills(tables.bills, str(tmp_path))
