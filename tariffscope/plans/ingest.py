@@ -26,6 +26,8 @@ _PAYLOAD = T.StructType(
 # --- documents -------------------------------------------------------------
 
 PAGES_PER_PART = 500
+# The marker line above each page.
+PAGE_MARK, PAGE_MARK_END = "--- PAGE ", " ---\n"
 
 
 def assemble_documents(
@@ -50,7 +52,7 @@ def assemble_documents(
     )
     marked = F.transform(
         F.array_compact("kept"),
-        lambda p: F.concat(F.lit("--- PAGE "), p["page_no"] + 1, F.lit(" ---\n"), p["text"], F.lit("\n")),
+        lambda p: F.concat(F.lit(PAGE_MARK), p["page_no"] + 1, F.lit(PAGE_MARK_END), p["text"], F.lit("\n")),
     )
     return grouped.select("doc_id", "part", "pages", "included", F.array_join(marked, "").alias("text"))
 
