@@ -7,6 +7,7 @@ can't clash with the columns an operator adds.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,6 +25,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_BYTES = 2 << 20
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this library from where the driver has it, if it isn't installed there."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

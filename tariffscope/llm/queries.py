@@ -4,26 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tariffscope.llm import quality
-from tariffscope.llm.common import table
+from tariffscope.llm import decontaminate, packing, pii, quality
+from tariffscope.llm.common import importable, table
+from tariffscope.llm.sql import SQL as SQL
 from tariffscope.session import tune
 
 Run = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(tune(spark), folder, "documents").select("doc_id", "text")
+def documents(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    return table(importable(tune(spark)), folder, "documents").select("doc_id", "text", *more)
 
 
 def op3_suffix_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(documents(spark, folder))
-    return judged.select("row.doc_id", *[c.split()[0] for c in quality.COLUMNS.split(",")])
+    return judged.select("row.doc_id", *[c.split()[0] for c in quality.COLUMNS.split(", ")])
+
+
+def op4_shortest_pack_first(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), TOKENIZER)
+
+
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(documents(spark, folder), with_redacted=False)
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Run] = {
     "op3_suffix_quality": op3_suffix_quality,
+    "op4_shortest_pack_first": op4_shortest_pack_first,
+    "op8_pii": op8_pii,
+    "op9_decontaminate": op9_decontaminate,
 }
-SQL: dict[str, str] = {}
