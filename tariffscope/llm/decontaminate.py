@@ -7,7 +7,7 @@ window; a hash that hits is verified by its words. No Python runs on executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,38 +27,45 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN), "")
 
 
-def window_hashes(hashes: str, lengths: Sequence[int]) -> Column:
-    """For each length, ``(pos, len, hash)`` of every window of word hashes."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body's lambdas read it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def of(length: int) -> Column:
+
+def window_hashes(words: str, lengths: Sequence[int]) -> Column:
+    """``(pos, len, hash)`` of every window of each length."""
+
+    def of(hashes: Column, length: int) -> Column:
         last = F.size(hashes) - length
         each = F.transform(
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
             lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice(hashes, i + 1, length)).alias("hash")),
         )
-        kind = "array<struct<pos:int,len:int,hash:bigint>>"
-        return F.when(last >= 0, each.cast(kind)).otherwise(F.array().cast(kind))
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<pos:int,len:int,hash:bigint>>"))
 
-    return F.concat(*[of(length) for length in lengths])
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashed, lambda hashes: F.concat(*[of(hashes, length) for length in lengths]))
 
 
-def hashed_words(df: DataFrame) -> DataFrame:
-    return df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+def with_words(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``words``. A generator makes the words, so that later expressions read them and don't split again."""
+    return df.select(*columns, F.explode(F.array(words_of(F.col("text")))).alias("words"))
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``(item_id, len, hash, window)``: windows of ``size`` words; an item of fewer words is one window."""
-    items = hashed_words(benchmark.select("item_id", words_of(F.col("text")).alias("words"))).filter(F.size("words") > 0)
+    items = with_words(benchmark, "item_id").filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(size))
     each = F.transform(
-        F.sequence(F.lit(0), F.size("words") - length),
-        lambda i: F.struct(
-            length.alias("len"),
-            F.xxhash64(F.slice("hashes", i + 1, length)).alias("hash"),
-            F.array_join(F.slice("words", i + 1, length), " ").alias("window"),
-        ),
+        F.sequence(F.lit(0), F.size("words") - length), lambda i: F.slice("words", i + 1, length)
     )
-    return items.select("item_id", F.inline(each)).distinct()
+    windows = items.select("item_id", F.explode(each).alias("words"))
+    return windows.select(
+        "item_id",
+        F.size("words").alias("len"),
+        F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("hash"),
+        F.array_join("words", " ").alias("window"),
+    ).distinct()
 
 
 def scan_plan(items: DataFrame) -> tuple[list[int], bool]:
@@ -69,8 +76,8 @@ def scan_plan(items: DataFrame) -> tuple[list[int], bool]:
 
 def occurrences(docs: DataFrame, key: Sequence[str], windows: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """``key, pos, len, hash, window`` for each window of ``windows`` that stands in a document."""
-    scanned = hashed_words(docs.select(*key, words_of(F.col("text")).alias("words")))
-    each = scanned.select(*key, "words", window_hashes("hashes", lengths).alias("each"))
+    scanned = with_words(docs, *key)
+    each = scanned.select(*key, "words", window_hashes("words", lengths).alias("each"))
     spread = each.select(*key, "words", F.explode("each").alias("at")).select(
         *key, "words", F.col("at.pos").alias("pos"), F.col("at.len").alias("len"), F.col("at.hash").alias("hash")
     )

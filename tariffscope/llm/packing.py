@@ -55,7 +55,7 @@ class WordIds:
         """Ids of words, asked for in lines of words so that one call serves many."""
         lines = [unknown[i : i + 64] for i in range(0, len(unknown), 64)]
         parts = [[w.decode() for w in line] for line in lines]
-        found = self.tokenizer.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)
+        found = self.tokenizer.encode_batch(parts, is_pretokenized=True, add_special_tokens=False)
         made = {}
         for line, encoded in zip(lines, found, strict=True):
             ids = np.array(encoded.ids, "<u4")
