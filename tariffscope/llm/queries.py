@@ -6,20 +6,29 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tariffscope.llm import decontaminate, packing, pii, quality
-from tariffscope.llm.common import importable, table
+from tariffscope.llm import ctw, decontaminate, jaccard, langid, packing, pii, quality, sharding, tokencount
+from tariffscope.llm.common import importable, remainder, table
 from tariffscope.llm.sql import SQL as SQL
 from tariffscope.session import tune
 
 Run = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SHARDS = [f"shard-{number:03d}" for number in range(128)]
 
 
 def documents(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     return table(importable(tune(spark)), folder, "documents").select("doc_id", "text", *more)
 
 
+def op2_byte_gru(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "lang")
+    predicted = langid.predict(docs, langid.train(docs))
+    return predicted.select("row.doc_id", (remainder(F.col("row.doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op3_suffix_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(documents(spark, folder))
     return judged.select("row.doc_id", *[c.split()[0] for c in quality.COLUMNS.split(", ")])
@@ -29,18 +38,40 @@ def op4_shortest_pack_first(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), TOKENIZER)
 
 
+def op5_permutation_table(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id")
+    return sharding.assign(docs, SHARDS).select("row.doc_id", "slot", "shard")
+
+
+def op6_count_vector_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_copies(documents(spark, folder))
+
+
+def op7_trie_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.count_tokens(documents(spark, folder), PIECES).select("row.doc_id", "n_words", "n_tokens")
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.detect(documents(spark, folder), with_redacted=False)
     return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op10_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score(documents(spark, folder))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Run] = {
+    "op2_byte_gru": op2_byte_gru,
     "op3_suffix_quality": op3_suffix_quality,
     "op4_shortest_pack_first": op4_shortest_pack_first,
+    "op5_permutation_table": op5_permutation_table,
+    "op6_count_vector_join": op6_count_vector_join,
+    "op7_trie_tokens": op7_trie_tokens,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
+    "op10_context_tree": op10_context_tree,
 }
