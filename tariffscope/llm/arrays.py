@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -27,16 +26,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int, inverse: bool) -> np.ndarray:
-    steps = np.full(size, _BASE_INVERSE if inverse else _BASE, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
+_POWERS: dict[bool, np.ndarray] = {}
 
 
 def powers(size: int, inverse: bool = False) -> np.ndarray:
-    """Powers of the hash base (or of its inverse) modulo 2**64, at least ``size`` of them."""
-    return _powers(1 << max(int(size - 1).bit_length(), 12), inverse)
+    """Powers of the hash base (or of its inverse) modulo 2**64, at least ``size`` of them; kept and grown."""
+    if len(_POWERS.get(inverse, ())) < size:
+        steps = np.full(1 << max(int(size - 1).bit_length(), 12), _BASE_INVERSE if inverse else _BASE, np.uint64)
+        steps[0] = 1
+        _POWERS[inverse] = np.multiply.accumulate(steps)
+    return _POWERS[inverse]
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:

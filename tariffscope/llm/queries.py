@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import ctw, decontaminate, jaccard, langid, packing, pii, quality, sharding, tokencount
+from tariffscope.llm import ctw, decontaminate, jaccard, langid, packing, pii, quality, sharding, suffixes, tokencount
 from tariffscope.llm.common import importable, remainder, table
 from tariffscope.llm.sql import SQL as SQL
 from tariffscope.session import tune
@@ -23,6 +23,11 @@ def documents(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     return table(importable(tune(spark)), folder, "documents").select("doc_id", "text", *more)
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffixes.without_repeats(documents(spark, folder))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_byte_gru(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, "lang")
     predicted = langid.predict(docs, langid.train(docs))
@@ -65,6 +70,7 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_gru": op2_byte_gru,
     "op3_suffix_quality": op3_suffix_quality,
     "op4_shortest_pack_first": op4_shortest_pack_first,
