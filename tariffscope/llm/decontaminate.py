@@ -144,3 +144,12 @@ def occurrences_by_document(keyed: DataFrame, benchmark: DataFrame, size: int) -
         .groupBy(*key, "n_hit")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Rows of ``docs`` without any benchmark window, with the same columns."""
+    version = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    hit = occurrences_by_document(docs.select("doc_id", "text", version.alias("version")), benchmark, size)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), version.alias("version"))
+    same = rows["id"].eqNullSafe(hit["doc_id"]) & (rows["version"] == hit["version"])
+    return rows.join(hit.select("doc_id", "version"), same, "left_anti").select("row.*")

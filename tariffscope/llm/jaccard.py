@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffscope.llm.arrays import mix, prefix_hash, run_hash, words
@@ -316,8 +316,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of their component, with the same columns.
 
-    Repeated rows of that id stay one row. Rows with a null id are kept.
+    Repeated rows of that id leave one. Rows with a null id are kept.
     """
     kept = near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    number = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.doc_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("row.doc_id") == F.col("kept_id"))
+    first = named.withColumn("number", number).filter("number = 1").select("row.*")
     return first.unionByName(docs.filter(F.col("doc_id").isNull()))

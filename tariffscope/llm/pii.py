@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tariffscope.llm.common import add_columns
 
@@ -188,3 +189,16 @@ def detect(docs: DataFrame, with_redacted: bool = True) -> DataFrame:
     one, extra columns stay inside ``row``, an empty table gives an empty result.
     """
     return add_columns(docs, COLUMNS, lambda bodies: inspect(bodies, with_redacted))
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with the accepted spans replaced in ``text``, and ``n_chars`` (if there is one) counted anew.
+
+    Null texts stay null; every row stays.
+    """
+    text = F.when(F.col("row.text").isNotNull(), F.col("redacted"))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(F.col("row.text").isNotNull(), F.char_length(text)).otherwise(F.col("row.n_chars")).cast(kind))
+    return detect(docs).select(row.alias("row")).select("row.*")
