@@ -27,11 +27,11 @@ SELECT DISTINCT property_id, client_id, c_mktsegment AS property_name,
        'Site ' || property_id AS address, 'City ' || client_id AS city
 FROM custs"""
 
-CTES["vendors"] = "SELECT s_suppkey AS vendor_id, s_name AS vendor_name FROM supplier WHERE s_suppkey < 10"
+CTES["vendors"] = "SELECT s_suppkey AS vendor_id, s_name AS vendor_name FROM supplier"
 
 CTES["accounts"] = """
 SELECT c_custkey AS account_id, CASE WHEN c_custkey % 50 <> 49 THEN property_id END AS property_id,
-       c_custkey % 10 AS vendor_id, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS account_number
+       c_custkey % (SELECT count(*) FROM supplier) AS vendor_id, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS account_number
 FROM custs"""
 
 CTES["line_items"] = """
@@ -52,7 +52,7 @@ FROM line_items GROUP BY bill_id"""
 CTES["raw_bills"] = """
 SELECT o_orderkey AS bill_id, o_custkey AS account_id,
        CASE WHEN o_custkey % 97 = 0 THEN 'Unknown' WHEN o_custkey % 2 = 0 THEN 'Electric' ELSE 'Gas' END AS utility_type,
-       CASE WHEN o_orderkey % 500 <> 0 THEN CAST(o_orderdate AS DATE) END AS billing_date,
+       CASE WHEN o_orderkey % 500 NOT IN (0, 7) THEN CAST(o_orderdate AS DATE) END AS billing_date,
        CAST(CASE WHEN line_sum IS NULL OR line_sum <= 0
                  THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))
                  WHEN o_orderkey % 20 = 7 THEN CAST(line_sum * CAST(1.10 AS DECIMAL(3,2)) AS DECIMAL(18,2))
@@ -177,7 +177,7 @@ FROM deviated"""
 CTES["judged"] = """
 WITH picked AS (
   SELECT *, CASE WHEN is_anomaly_detected THEN stated_discrepancy ELSE 0 END > 0.01 AS is_math
-  FROM weather_bills WHERE billing_date IS NOT NULL)
+  FROM weather_bills)
 SELECT *,
        CASE WHEN is_math THEN 'MATH'
             WHEN weather_available AND NOT explains AND abs(pct_above_monthly) > 20 THEN 'COMBINED'
@@ -188,7 +188,7 @@ SELECT *,
             WHEN weather_available AND pct_above_monthly <= 0 AND actual_dd > usual_dd * 1.2 THEN 'WEATHER_UNEXPLAINED_DROP'
             WHEN pct_above_monthly > 0 THEN 'USAGE_SPIKE' ELSE 'USAGE_DROP' END AS finding_type,
        CASE WHEN is_math THEN CAST(stated_discrepancy AS DOUBLE) ELSE greatest(0, total - monthly_mean) END AS recovery
-FROM picked WHERE is_math OR ml_flagged"""
+FROM picked WHERE is_math OR (ml_flagged AND billing_date IS NOT NULL)"""
 
 
 
@@ -204,8 +204,10 @@ SELECT bill_id AS analysis_id, bill_id, detection_layer, finding_type,
        CASE WHEN recovery >= 5000 THEN 'URGENT' WHEN recovery >= 1000 THEN 'HIGH'
             WHEN recovery >= 200 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
        {half_even('month_cents', 'month_bills')} AS expected_value, total_amount AS actual_value,
-       round_even(pct_above_monthly, 2) AS deviation_pct, round_even(zscore_monthly, 3) AS zscore_monthly,
-       round_even(zscore_overall, 3) AS zscore_overall, actual_dd AS weather_actual, usual_dd AS weather_historical,
+       CASE WHEN billing_date IS NOT NULL THEN round_even(pct_above_monthly, 2) END AS deviation_pct, round_even(zscore_monthly, 3) AS zscore_monthly,
+       round_even(zscore_overall, 3) AS zscore_overall,
+       CASE WHEN billing_date IS NOT NULL THEN actual_dd END AS weather_actual,
+       CASE WHEN billing_date IS NOT NULL THEN usual_dd END AS weather_historical,
        CASE WHEN is_math THEN 1.0 ELSE round_even(ml_anomaly_probability, 4) END AS anomaly_probability,
        CASE WHEN is_math THEN CAST(stated_discrepancy AS DECIMAL(18,2)) WHEN recovery = 0 THEN 0
          ELSE {half_even('(CAST(total_amount * 100 AS HUGEINT) * month_bills - month_cents)', 'month_bills')} END AS potential_recovery,
@@ -261,7 +263,8 @@ WITH sums AS (
          abs(sum(CASE WHEN category = 'Credit' THEN total_price END)) AS credit
   FROM line_items GROUP BY bill_id),
 delivered AS (
-  SELECT b.bill_id AS record_id, 'bill-' || b.bill_id || '.pdf' AS source_file, b.bill_id % 50 <> 1 AS readable,
+  SELECT b.bill_id AS record_id, 'bill-' || b.bill_id || '.pdf' AS source_file, b.bill_id % 50 NOT IN (1, 11, 21, 31) AS readable,
+         CASE WHEN b.bill_id % 50 = 31 THEN 'extractor_error' ELSE 'malformed' END AS fault,
          CASE WHEN b.bill_id % 25 <> 5 THEN 'Vendor ' || (account_id % 10) END AS provider_name,
          CASE WHEN b.bill_id % 25 = 8 THEN '123' ELSE lpad(CAST(account_id AS VARCHAR), 8, '0') END AS account_number,
          CASE WHEN b.bill_id % 30 = 9 THEN 'Water' ELSE utility_type END AS sent_utility,
@@ -279,7 +282,7 @@ SELECT *, CASE WHEN unit = 'kWh' THEN 'Electric' WHEN unit = 'Therms' THEN 'Gas'
        form_total + fixed AS charge_total,
        abs(form_total + fixed - total_amount_due) AS discrepancy,
        abs(form_total - total_amount_due) AS form_discrepancy,
-       concat_ws(', ', CASE WHEN NOT readable THEN 'malformed' END,
+       concat_ws(', ', CASE WHEN NOT readable THEN fault END,
          CASE WHEN readable AND provider_name IS NULL THEN 'no provider' END,
          CASE WHEN readable AND length(account_number) < 5 THEN 'bad account number' END,
          CASE WHEN readable AND total_amount_due <= 0 THEN 'no positive total' END) AS reasons

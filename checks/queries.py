@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import oracle as o
@@ -35,9 +35,10 @@ from tariffscope.plans.review import apply_decisions
 from tariffscope.session import staging_root, staged, tune
 from tariffscope.sources import demo
 from tariffscope.sources.documents import as_json
-from tariffscope.sources.tables import AuditTables, read_only_sql
+from tariffscope.sources.tables import AuditTables, read_only_sql, read_tables
 from tariffscope.sources.weather import daily_rows
-from tariffscope.streaming.intake import read_stored, start_intake
+from tariffscope.sources.store import prepare_store, read_table, write_batch, write_review
+from tariffscope.streaming.intake import start_intake
 
 Spark = SparkSession
 RUN_TIME, RUN_DATE = "2024-06-01 00:00:00", "2024-06-01"
@@ -457,6 +458,14 @@ def finding_text(spark, folder):
     return findings_of(spark, folder)[1]
 
 
+@query(
+    "bill_id:i account_id:i total_amount:d overall_mean:r4 pct_above_overall:r4 zscore_overall:r4",
+    "SELECT * FROM scored WHERE billing_date IS NULL AND ml_flagged",
+)
+def undated_flags(spark, folder):
+    return fd.undated_flags(scored_of(tables_of(spark, folder)))
+
+
 @query(
     "findings:i urgent:i high:i recovery:d",
     """SELECT count(*) AS findings, count(*) FILTER (severity = 'URGENT') AS urgent,
@@ -654,7 +663,7 @@ def records_of(spark: Spark, folder: str) -> DataFrame:
 
 @query(
     "record_id:i source_file:s read_status:s provider_name:s issues:s",
-    """SELECT record_id, source_file, CASE WHEN readable THEN 'read' ELSE 'malformed' END AS read_status,
+    """SELECT record_id, source_file, CASE WHEN readable THEN 'read' ELSE fault END AS read_status,
        CASE WHEN readable THEN provider_name END AS provider_name,
        concat_ws(', ', CASE WHEN NOT readable OR provider_name IS NULL THEN 'missing provider_name' END,
          CASE WHEN NOT readable THEN 'missing account_number' END, CASE WHEN NOT readable THEN 'missing utility_type' END,
@@ -916,31 +925,35 @@ def scoring_totals(spark, folder):
     return ml.scoring_totals(scored_of(tables_of(spark, folder)))
 
 
-@query("bill_id:i label:d holdout:b fold:i")
-def holdout_split(spark, folder):
-    return ml.training_frame(fe.coded_features(tables_of(spark, folder)))
+_BUCKET = "CAST('0x' || substr(md5(bill_id || ':{seed}'), 1, 8) AS BIGINT) % {size}"
 
 
-FAST_TREES, FAST_DEPTH = 10, 6
+@query(
+    "bill_id:i label:d holdout:b fold:i",
+    f"""SELECT bill_id, CAST(is_anomaly_detected AS INT) AS label, {_BUCKET.format(seed=42, size=100)} < 20 AS holdout,
+       {_BUCKET.format(seed=43, size=5)} AS fold FROM scored WHERE account_bill_count >= 12""",
+)
+def holdout_split(spark, folder):
+    return ml.training_frame(fe.coded_features(tables_of(spark, folder)))
 
 
 @query("bill_id:i ml_anomaly_probability:r4 ml_flagged:b")
 def rf_score(spark, folder):
     coded = fe.coded_features(tables_of(spark, folder))
-    return ml.score_bills(coded, ml.train(ml.training_frame(coded), FAST_TREES, FAST_DEPTH))
+    return ml.score_bills(coded, ml.train(ml.training_frame(coded)))
 
 
 @query("feature:s title:s importance:r4")
 def rf_importance(spark, folder):
     coded = fe.coded_features(tables_of(spark, folder))
-    return ml.feature_importance(spark, ml.train(ml.training_frame(coded), FAST_TREES, FAST_DEPTH))
+    return ml.feature_importance(spark, ml.train(ml.training_frame(coded)))
 
 
 @query("bills:i roc_auc:r4 mean_f1:r4 f1_spread:r4")
 def rf_cv(spark, folder):
     frame = staged(ml.training_frame(fe.coded_features(tables_of(spark, folder))), "frame")
-    held = ml.probabilities(ml.train(frame, FAST_TREES, FAST_DEPTH), frame.filter("holdout"))
-    area, (mean, spread) = ml.roc_auc(held), ml.cross_validated_f1(frame, FAST_TREES, FAST_DEPTH)
+    held = ml.probabilities(ml.train(frame), frame.filter("holdout"))
+    area, (mean, spread) = ml.roc_auc(held), ml.cross_validated_f1(frame)
     return frame.agg(F.count("*").alias("bills")).select(
         "bills", F.lit(area).alias("roc_auc"), F.lit(mean).alias("mean_f1"), F.lit(spread).alias("f1_spread")
     )
@@ -948,9 +961,7 @@ def rf_cv(spark, folder):
 
 @query("detection_layer:s finding_type:s severity:s findings:i recovery:d")
 def detection_run(spark, folder):
-    run = dt.detect(
-        tables_of(spark, folder), demo.weather_daily(spark, folder), FAST_TREES, FAST_DEPTH, run_time=RUN_TIME
-    )
+    run = dt.detect(tables_of(spark, folder), demo.weather_daily(spark, folder), run_time=RUN_TIME)
     return run.findings.groupBy("detection_layer", "finding_type", "severity").agg(
         F.count("*").alias("findings"), F.sum("potential_recovery").alias("recovery")
     )
@@ -1018,6 +1029,98 @@ def review_errors(spark, folder):
     return decided(spark, folder).errors
 
 
+def stored(spark: Spark, folder: str) -> AuditTables:
+    """Bills, two detection runs and two review batches, written and read back; each batch is written twice."""
+    root = f"{staging_root(spark)}/store-{uuid.uuid4().hex}"
+    prepare_store(spark, root)
+    tables, found = findings_of(spark, folder)
+    for name in ("clients", "properties", "vendors", "accounts", "bills", "line_items"):
+        write_batch(getattr(tables, name), root, name, 0)
+    found = found.withColumn("reviewed", F.lit(False))
+    for run in (0, 1):
+        fresh = found.withColumn("detected_at", F.col("detected_at") + F.expr(f"INTERVAL {run} DAY"))
+        for _ in range(2):
+            write_batch(fresh, root, "findings", run)
+        current = read_tables(spark, root)
+        decisions = current.findings.filter(f"analysis_id % 5 < {run + 1}").selectExpr(
+            "analysis_id * 10 AS decision_no", "analysis_id",
+            "IF(analysis_id % 5 = 0, 'confirm', 'dismiss') AS action", "CAST(NULL AS STRING) AS note",
+        )
+        reviewed = apply_decisions(current.findings, current.bills, decisions, RUN_DATE)
+        for _ in range(2):
+            write_review(reviewed, root, run)
+    return read_tables(spark, root)
+
+
+@query(
+    "analysis_id:i detection_layer:s potential_recovery:d detected_at:t reviewed:b",
+    "SELECT * EXCLUDE (reviewed), DATE '2024-06-02' AS detected_at, analysis_id % 5 < 2 AS reviewed FROM findings",
+)
+def findings_store(spark, folder):
+    """The second run's findings, with its reviews laid over."""
+    return stored(spark, folder).findings
+
+
+@query(
+    "bill_id:i amount_disputed:d run:i",
+    """SELECT bill_id, potential_recovery AS amount_disputed, run FROM findings, (VALUES (0), (1)) AS runs(run)
+       WHERE bill_id % 5 = 0""",
+)
+def claims_store(spark, folder):
+    """Claims of both runs, each once."""
+    claims = stored(spark, folder).audit_claims
+    run = F.row_number().over(Window.partitionBy("bill_id").orderBy("claim_id")) - 1
+    return claims.select("bill_id", "amount_disputed", run.alias("run"))
+
+
+@query(
+    "bill_id:i account_id:i billing_date:t billing_year:i total_amount:d anomaly_status:s",
+    """SELECT b.*, year(b.billing_date) AS billing_year, CASE WHEN f.bill_id IS NULL OR b.bill_id % 5 > 1 THEN 'Unreviewed'
+       WHEN b.bill_id % 5 = 0 THEN 'Confirmed' ELSE 'Dismissed' END AS anomaly_status
+       FROM (SELECT * EXCLUDE (anomaly_status) FROM bills) b LEFT JOIN findings f ON f.bill_id = b.bill_id""",
+)
+def bills_store(spark, folder):
+    """Bills by year, with the status of their last review."""
+    return stored(spark, folder).bills
+
+
+@query(
+    "decision_no:i analysis_id:i action:s outcome:s",
+    """WITH named AS (SELECT analysis_id, analysis_id * 10 AS decision_no,
+         CASE analysis_id % 5 WHEN 0 THEN 'confirm' WHEN 1 THEN 'dismiss' ELSE 'archive' END AS action
+         FROM findings WHERE analysis_id % 5 < 3)
+       SELECT decision_no, analysis_id, action,
+         CASE WHEN action = 'archive' THEN 'unknown action' ELSE 'applied' END AS outcome FROM named
+       UNION ALL SELECT decision_no + 1, analysis_id, 'dismiss', 'repeated' FROM named WHERE analysis_id % 5 = 0
+       UNION ALL SELECT decision_no, -analysis_id, action,
+         CASE WHEN action = 'archive' THEN 'unknown action' ELSE 'no such finding' END
+       FROM named WHERE analysis_id % 7 = 1""",
+)
+def review_outcomes(spark, folder):
+    return decided(spark, folder).outcomes
+
+
+@query(
+    "bill_id:i decision_no:i run:s",
+    """SELECT bill_id, bill_id * 10 AS decision_no, run FROM findings, (VALUES ('first'), ('second')) AS runs(run)
+       WHERE bill_id % 5 = 0""",
+)
+def review_claims_of_two_runs(spark, folder):
+    """Confirmed findings of two detection runs: each run's claims have ids of their own."""
+    tables, found = findings_of(spark, folder)
+    found = staged(found.withColumn("reviewed", F.lit(False)), "findings")
+    decisions = found.filter("analysis_id % 5 = 0").selectExpr(
+        "analysis_id * 10 AS decision_no", "analysis_id", "'confirm' AS action", "CAST(NULL AS STRING) AS note"
+    )
+    later = found.withColumn("detected_at", F.col("detected_at") + F.expr("INTERVAL 1 DAY"))
+    claims = [
+        apply_decisions(run, tables.bills, decisions, RUN_DATE).new_claims.withColumn("run", F.lit(name))
+        for name, run in (("first", found), ("second", later))
+    ]
+    kept = claims[0].unionByName(claims[1]).dropDuplicates(["claim_id"])
+    return kept.select("bill_id", (F.col("bill_id") * 10).alias("decision_no"), "run")
+
+
 @query(
     "kind:s rows:i total:d",
     """SELECT 'bills' AS kind, count(*) AS rows, sum(total_amount_due) AS total FROM records WHERE reasons = ''
@@ -1034,7 +1137,7 @@ def stream_ingest(spark, folder):
     start_intake(spark, f"{root}/inbox", f"{root}/store", f"{root}/checkpoint", files_per_batch=2).awaitTermination()
 
     def stored(table, total):
-        return read_stored(spark, f"{root}/store", table).agg(
+        return read_table(spark, f"{root}/store", table).agg(
             F.lit(table).alias("kind"), F.count("*").alias("rows"), total.cast("double").alias("total")
         )
 

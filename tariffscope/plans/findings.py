@@ -36,6 +36,10 @@ _TYPE = f"""CASE WHEN is_math THEN 'MATH_ERROR'
     WHEN rising THEN 'USAGE_SPIKE' ELSE 'USAGE_DROP' END"""
 
 
+#: Comparisons with a month need one.
+_DATED = "CASE WHEN billing_date IS NOT NULL THEN"
+
+
 def _whole(value: str) -> str:
     return f"format_number({value}, 0)"
 
@@ -70,16 +74,16 @@ def judged(scored: DataFrame, weather: DataFrame, min_history: int = MIN_HISTORY
     """Bills that carry a finding, with every column the finding needs.
 
     ``scored`` holds engineered bills plus ``ml_flagged`` and
-    ``ml_anomaly_probability``. Undated bills never get a finding.
+    ``ml_anomaly_probability``. An arithmetic error needs no date; undated bills
+    that are only flagged are listed by ``undated_flags``.
     """
     reason = "IF(is_anomaly_detected, coalesce(anomaly_reason, ''), '')"
     is_math = f"math_recovery > {MIN_DISCREPANCY}BD"
     # Unremarkable bills leave before the weather join.
     chosen = (
-        scored.filter("billing_date IS NOT NULL")
-        .selectExpr("*", f"{stated_discrepancy(reason)} AS math_recovery")
+        scored.selectExpr("*", f"{stated_discrepancy(reason)} AS math_recovery")
         .selectExpr("*", f"{is_math} AS is_math", "pct_above_monthly > 0 AS rising")
-        .filter(f"is_math OR (ml_flagged AND account_bill_count >= {min_history})")
+        .filter(f"is_math OR (ml_flagged AND billing_date IS NOT NULL AND account_bill_count >= {min_history})")
     )
     # Exact decimals: a mean of two bills often ends in half a cent.
     bills = "CAST(monthly_bills AS DECIMAL(12,0))"
@@ -104,9 +108,10 @@ def findings(
         "bill_id AS analysis_id", "bill_id", "detection_layer", "finding_type", "severity",
         f"CAST(bround(expected, 2) AS {MONEY}) AS expected_value",
         f"CAST(total_amount AS {MONEY}) AS actual_value",
-        "bround(pct_above_monthly, 2) AS deviation_pct",
+        f"{_DATED} bround(pct_above_monthly, 2) END AS deviation_pct",
         "bround(zscore_monthly, 3) AS zscore_monthly", "bround(zscore_overall, 3) AS zscore_overall",
-        "bround(weather_actual, 1) AS weather_actual", "bround(weather_historical, 1) AS weather_historical",
+        f"{_DATED} bround(weather_actual, 1) END AS weather_actual",
+        f"{_DATED} bround(weather_historical, 1) END AS weather_historical",
         "bround(probability, 4) AS anomaly_probability",
         f"{_explanation()} AS plain_english_reason",
         f"CAST(bround(recovery, 2) AS {MONEY}) AS potential_recovery",
@@ -114,6 +119,13 @@ def findings(
     )
 
 
+def undated_flags(scored: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
+    """Flagged bills that a missing date keeps out of the findings, measured against their account's overall mean."""
+    return scored.filter(f"billing_date IS NULL AND ml_flagged AND account_bill_count >= {min_history}").select(
+        "bill_id", "account_id", "total_amount", "overall_mean", "pct_above_overall", "zscore_overall", "ml_anomaly_probability"
+    )
+
+
 def carry_reviewed(fresh: DataFrame, previous: DataFrame) -> DataFrame:
     """Keep the reviewed mark of findings that an earlier run already had in the same layer."""
     seen = previous.filter("reviewed").selectExpr("analysis_id", "detection_layer", "true AS seen")

@@ -78,7 +78,10 @@ def extract(
     )
 
 
-_AMOUNT = r"[^0-9$\n]*\$?\s*([0-9][0-9,]*\.[0-9]{2})"
+# The last amount of the line; cents end there, and a factor ("0.07 x 304 kWh") is no amount.
+_AMOUNT = r".*(?<![0-9.,])([0-9][0-9,]*\.[0-9]{2})(?![0-9])(?!\s*x\b)"
+_DAY = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
+_PERIOD = r"(?i)(?:service|billing) period[^0-9\n]*"
 _LABELS = {
     "total_amount_due": "(?:total )?amount due",
     "delivery_charge": "(?:total )?delivery(?: services| charge)?",
@@ -107,7 +110,13 @@ def _pattern_payload() -> Column:
             _captured(r"(?im)^\s*(?:provider|vendor)(?: name)?\s*:?\s*(\S.*?)\s*$").alias("provider_name"),
             _captured(r"(?i)account (?:number|no\.?)\s*:?\s*([0-9][0-9 -]*[0-9])").alias("account_number"),
             F.when(unit == "kWh", "Electric").when(unit.isNotNull(), "Gas").otherwise("Unknown").alias("utility_type"),
-            _captured(r"(?i)(?:statement|billing) date\s*:?\s*([0-9]{4}-[0-9]{2}-[0-9]{2})").alias("statement_date"),
+            _captured(rf"(?i)(?:statement|billing) date\s*:?\s*{_DAY}").alias("statement_date"),
+            _captured(_PERIOD + _DAY).alias("service_period_start"),
+            _captured(rf"{_PERIOD}[0-9-]+[^0-9\n]+{_DAY}").alias("service_period_end"),
+            F.regexp_replace(
+                _captured(r"(?i)(?:usage|consumption)[^0-9\n]*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:kwh|therms?|ccf)\b"), ",", ""
+            ).try_cast("double").alias("usage_volume"),
+            _captured(r"(?i)rate(?: code)?\s*:?\s*\b([A-Z]{1,4}-?[0-9][A-Z0-9-]*)").alias("rate_code"),
             unit.alias("usage_unit"),
             *[money(label).alias(name) for name, label in _LABELS.items()],
             F.lit(False).alias("is_anomaly_detected"),
@@ -124,8 +133,10 @@ def parse_records(answers: DataFrame) -> DataFrame:
     pushed below it and repeat the parsing for every field they mention.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _PAYLOAD)
+    # Text after the object, an empty answer and any error key are refused.
+    whole = r"trim(answer) RLIKE r'(?s)^\{.*\}\z'"
     parsed = (
-        f"from_json(answer, '{schema}', "
+        f"from_json(IF({whole}, answer, NULL), '{schema}', "
         f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{_CORRUPT}'))"
     )
     aliases = {
@@ -138,12 +149,15 @@ def parse_records(answers: DataFrame) -> DataFrame:
             "record_id", tx.base_name(F.col("source_file")).alias("source_file"),
             tx.strip_fences(F.col("payload")).alias("answer"),
         )
-        .selectExpr("record_id", "source_file", "answer IS NULL AS no_answer", f"inline(array({parsed}))")
+        .selectExpr(
+            "record_id", "source_file", f"NOT coalesce({whole}, false) AS no_object",
+            "coalesce(array_contains(json_object_keys(answer), 'error'), false) AS has_error", f"inline(array({parsed}))",
+        )
         .selectExpr(
             "record_id", "source_file", *[f.name for f in _PAYLOAD if f.name not in dropped],
             *[f"{text} AS {name}" for name, text in aliases.items()],
-            f"CASE WHEN no_answer OR {_CORRUPT} IS NOT NULL THEN 'malformed' "
-            "WHEN error IS NOT NULL THEN 'extractor_error' ELSE 'read' END AS read_status",
+            f"CASE WHEN no_object OR {_CORRUPT} IS NOT NULL THEN 'malformed' "
+            "WHEN has_error THEN 'extractor_error' ELSE 'read' END AS read_status",
         )
     )
 

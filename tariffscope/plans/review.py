@@ -20,6 +20,7 @@ class Reviewed:
     new_claims: DataFrame
     errors: DataFrame
     log: DataFrame
+    outcomes: DataFrame
 
 
 def apply_decisions(
@@ -28,8 +29,10 @@ def apply_decisions(
     """Apply (decision_no, analysis_id, action, note) rows.
 
     The first decision on a finding counts; findings already reviewed stay as
-    they are, so replaying a batch makes no second claim. Unknown ids and actions
-    become error rows. Every join key is unique on the findings and bills side.
+    they are. A claim's id comes from the finding, its run and the decision:
+    replaying a batch makes no second claim, a later run's finding makes its own.
+    Unknown ids and actions become error rows, and ``outcomes`` has every decision
+    once. Every join key is unique on the findings and bills side.
     """
     first = first_per_key(decisions, "analysis_id", "decision_no")
     known = F.col("action").isin(*STATUS_OF)
@@ -42,6 +45,7 @@ def apply_decisions(
     )
 
     taken = findings.filter(~F.col("reviewed")).join(valid, "analysis_id")
+    outcomes = _outcomes(findings, decisions, first)
     marks = taken.select("analysis_id", F.lit(True).alias("_now"))
     new_findings = (
         findings.join(marks, "analysis_id", "left")
@@ -63,10 +67,25 @@ def apply_decisions(
         F.concat("plain_english_reason", F.lit(" Reviewer: "), note)
     )
     new_claims = taken.filter("action = 'confirm'").select(
-        F.col("analysis_id").alias("claim_id"), "bill_id", day.alias("claim_date"),
+        F.xxhash64("analysis_id", "detected_at", "decision_no").alias("claim_id"), "bill_id", day.alias("claim_date"),
         reason.alias("claim_reason"), F.col("potential_recovery").alias("amount_disputed"),
         F.lit(0).cast(MONEY).alias("amount_recovered"), F.lit("Open").alias("status"),
         F.lit(None).cast("string").alias("vendor_response"), F.lit(None).cast("date").alias("resolved_date"),
     )
-    log = taken.select("analysis_id", "bill_id", "action", F.col("note"))
-    return Reviewed(new_findings, new_bills, new_claims, no_finding.unionByName(no_action), log)
+    log = taken.select("analysis_id", "bill_id", "detected_at", "action", F.col("note"))
+    return Reviewed(new_findings, new_bills, new_claims, no_finding.unionByName(no_action), log, outcomes)
+
+
+def _outcomes(findings: DataFrame, decisions: DataFrame, first: DataFrame) -> DataFrame:
+    """(decision_no, analysis_id, action, outcome) of every decision given."""
+    counted = first.select("analysis_id", F.col("decision_no").alias("_first"))
+    state = findings.select("analysis_id", F.col("reviewed").alias("_reviewed"))
+    outcome = (
+        F.when(F.col("_first").isNull() | (F.col("decision_no") != F.col("_first")), "repeated")
+        .when(F.col("action").isNull() | ~F.col("action").isin(*STATUS_OF), "unknown action")
+        .when(F.col("_reviewed").isNull(), "no such finding")
+        .when(F.col("_reviewed"), "already reviewed")
+        .otherwise("applied")
+    )
+    known = decisions.join(counted, "analysis_id", "left").join(state, "analysis_id", "left")
+    return known.select("decision_no", "analysis_id", "action", outcome.alias("outcome"))

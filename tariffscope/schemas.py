@@ -83,6 +83,11 @@ EXTRACTED_EXTRAS = _struct(
     demand_read=_REAL, tariff_code=_TEXT, error=_TEXT,
 )
 
+QUARANTINE = _struct(
+    record_id=_TEXT, source_file=_TEXT, provider_name=_TEXT, account_number=_TEXT, total_amount_due=_REAL,
+    reject_reasons=T.ArrayType(_TEXT), conformance_issues=T.ArrayType(_TEXT),
+)
+REVIEWS = _struct(analysis_id=_ID, bill_id=_ID, detected_at=_TIME, action=_TEXT, note=_TEXT)
 DECISIONS = _struct(decision_no=_ID, analysis_id=_ID, action=_TEXT, note=_TEXT)
 
 # The allowed codes of the enumerated columns.

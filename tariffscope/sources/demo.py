@@ -75,18 +75,17 @@ def properties(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vendors(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        _table(spark, folder, "supplier")
-        .filter("s_suppkey < 10")
-        .selectExpr("s_suppkey AS vendor_id", "s_name AS vendor_name", "'Both' AS vendor_type")
+    return _table(spark, folder, "supplier").selectExpr(
+        "s_suppkey AS vendor_id", "s_name AS vendor_name", "'Both' AS vendor_type"
     )
 
 
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
+    vendor_count = _table(spark, folder, "supplier").count()  # from the files' metadata
     return _table(spark, folder, "customer").selectExpr(
         "c_custkey AS account_id",
         f"CASE WHEN c_custkey % 50 <> 49 THEN {_PROPERTY_ID} END AS property_id",
-        "c_custkey % 10 AS vendor_id", "lpad(CAST(c_custkey AS STRING), 8, '0') AS account_number",
+        f"c_custkey % {vendor_count} AS vendor_id", "lpad(CAST(c_custkey AS STRING), 8, '0') AS account_number",
         "CAST(NULL AS STRING) AS meter_number", "CAST(NULL AS STRING) AS rate_code",
     )
 
@@ -107,7 +106,7 @@ def bills(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.expr(f"CAST(sum({_PRICE}) AS {MONEY}) AS line_sum"), F.expr("sum(l_quantity) AS quantity"))
     )
-    raw_date = "CASE WHEN o_orderkey % 500 = 0 THEN '' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END"
+    raw_date = "CASE WHEN o_orderkey % 500 IN (0, 7) THEN '' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END"
     math_error, spike = "o_orderkey % 20 = 7", "o_orderkey % 40 = 3"
     return (
         _table(spark, folder, "orders")
@@ -193,7 +192,8 @@ def station_weather(spark: SparkSession, folder: str) -> DataFrame:
 def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
     """Extractor answers made from the bills: (record_id, source_file, payload).
 
-    Faults are planted by bill number: broken JSON, CCF units, dashed accounts,
+    Faults are planted by bill number: broken JSON, empty answers, text after the
+    object, error payloads, CCF units, dashed accounts,
     negative credits, missing providers, zero totals and short account numbers.
     """
     categories = {
@@ -231,10 +231,10 @@ def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
         .selectExpr("*", "lpad(CAST(account_id AS STRING), 8, '0') AS number")
         .selectExpr(
             "bill_id AS record_id", "concat('/inbox/', source_file) AS source_file",
-            f"CASE WHEN bill_id % 50 = 1 THEN '{{not json' "
+            f"CASE bill_id % 50 WHEN 1 THEN '{{not json' WHEN 11 THEN '``````' "
+            f"WHEN 21 THEN concat(to_json(struct({record})), ' and a remark') WHEN 31 THEN '{{\"error\": null}}' "
             f"ELSE concat('```json\\n', to_json(struct({record})), '\\n```') END AS payload",
         )
-        .repartition("record_id")  # the sample is one small file; an inbox is many
     )
 
 
@@ -245,8 +245,7 @@ def bill_pages(spark: SparkSession, folder: str) -> DataFrame:
     """
     amount = "CAST(CAST(doc_id % 900 + 100 AS DECIMAL(10,2)) + 0.25BD AS DECIMAL(10,2))"
     line = f"concat('\\nTotal Amount Due $', {amount}, ' Account Number ', lpad(CAST(doc_id AS STRING), 8, '0'))"
-    # The sample is one small file; stored pages are many.
-    return _table(spark, folder, "documents").repartition("doc_id").selectExpr(
+    return _table(spark, folder, "documents").selectExpr(
         "doc_id DIV 4 AS doc_id", "CAST(doc_id % 4 AS INT) AS page_no",
         f"CASE WHEN doc_id % 3 = 0 THEN concat(text, {line}) ELSE text END AS text",
     )

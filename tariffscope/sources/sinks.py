@@ -1,4 +1,4 @@
-"""Writers. Stored tables are snapshots: a new folder plus a pointer."""
+"""Snapshots of a whole table: a new folder plus a pointer. The audit tables are kept by ``store``."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.plans.review import Reviewed
-from tariffscope.schemas import AUDIT_CLAIMS
-
 _POINTER = "versions"
 
 
@@ -40,44 +37,3 @@ def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     versions = spark.read.schema(_POINTER_SCHEMA).json(f"{folder}/{_POINTER}")
     current = versions.orderBy(F.desc("version")).first()["snapshot"]
     return spark.read.parquet(f"{folder}/{current}")
-
-
-def write_findings(findings: DataFrame, folder: str) -> str:
-    """Replace the stored findings by those of a new run."""
-    return write_snapshot(findings, f"{folder}/findings")
-
-
-def append_claims(claims: DataFrame, folder: str) -> None:
-    """Append the claims whose id is not stored yet."""
-    spark = claims.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/audit_claims")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        stored = spark.read.schema(AUDIT_CLAIMS).parquet(f"{folder}/audit_claims")
-        claims = claims.join(stored.select("claim_id"), "claim_id", "left_anti").select(*AUDIT_CLAIMS.names)
-    append(claims, folder, "audit_claims")
-
-
-def write_reviewed(reviewed: Reviewed, folder: str) -> None:
-    """Store a review batch: appended claims, then new versions of bills and findings.
-
-    The findings come last, so a batch that stopped half-way can be repeated: its
-    findings are still unreviewed and its stored claims are not appended twice.
-    """
-    append_claims(reviewed.new_claims, folder)
-    write_snapshot(reviewed.bills, f"{folder}/bills")
-    write_findings(reviewed.findings, folder)
-
-
-def write_bills(bills: DataFrame, folder: str) -> None:
-    """Append bills by billing year, clustered by account for baseline scans."""
-    (
-        bills.withColumn("billing_year", F.year("billing_date"))
-        .sortWithinPartitions("billing_year", "account_id")
-        .write.mode("append")
-        .partitionBy("billing_year")
-        .parquet(f"{folder}/bills")
-    )
-
-
-def append(df: DataFrame, folder: str, table: str) -> None:
-    df.write.mode("append").parquet(f"{folder}/{table}")

@@ -31,10 +31,10 @@ class AuditTables:
 
 def read_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> AuditTables:
     """Read stored tables with their declared schemas; no inference pass."""
-    chosen = names or [n for n in schemas.TABLES if n not in ("audit_claims", "findings")]
-    return AuditTables(
-        **{n: spark.read.schema(schemas.TABLES[n]).parquet(f"{folder}/{n}") for n in chosen}
-    )
+    from tariffscope.sources.store import read_table
+
+    chosen = names or list(schemas.TABLES)
+    return AuditTables(**{n: read_table(spark, folder, n) for n in chosen})
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,

@@ -6,44 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tariffscope.plans.ingest import intake, process
-from tariffscope.schemas import ACCOUNTS, BILLS, LINE_ITEMS, VENDORS
+from tariffscope.sources.store import prepare_store, read_batches, write_batch
 
 ANSWERS = "record_id string, source_file string, payload string"
-QUARANTINE = (
-    "record_id string, source_file string, provider_name string, account_number string, "
-    "total_amount_due double, reject_reasons array<string>, conformance_issues array<string>"
-)
-STORED = {
-    "bills": BILLS, "line_items": LINE_ITEMS, "vendors": VENDORS, "accounts": ACCOUNTS,
-    "quarantine": QUARANTINE,
-}
-
-
-def _batches(spark: SparkSession, store: str, table: str) -> DataFrame:
-    """All batches of a stored table; an empty frame before the first one."""
-    return (
-        spark.read.schema(_with_batch(STORED[table]))
-        .option("ignoreMissingFiles", "true")
-        .parquet(f"{store}/{table}")
-    )
-
-
-def _with_batch(schema) -> str:
-    ddl = schema if isinstance(schema, str) else ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in schema
-    )
-    return f"{ddl}, batch_id long"
-
-
-def read_stored(spark: SparkSession, store: str, table: str) -> DataFrame:
-    return _batches(spark, store, table).drop("batch_id")
-
-
-def prepare_store(spark: SparkSession, store: str) -> None:
-    """Create the empty tables of a new store."""
-    for table, schema in STORED.items():
-        empty = spark.createDataFrame([], schema)
-        empty.write.mode("ignore").parquet(f"{store}/{table}/batch_id=-1")
 
 
 def store_batch(answers: DataFrame, batch_id: int, store: str) -> None:
@@ -56,7 +21,7 @@ def store_batch(answers: DataFrame, batch_id: int, store: str) -> None:
     spark = answers.sparkSession
 
     def earlier(table):
-        return _batches(spark, store, table).filter(f"batch_id < {batch_id}").drop("batch_id")
+        return read_batches(spark, store, table).filter(f"batch_id < {batch_id}").drop("batch_id")
 
     # The gated records are written first: they are the batch's log, and the
     # tables below read them instead of parsing the answers five times.
@@ -67,7 +32,7 @@ def store_batch(answers: DataFrame, batch_id: int, store: str) -> None:
         "vendors": parts.new_vendors, "accounts": parts.new_accounts, "bills": parts.bills,
         "line_items": parts.line_items, "quarantine": parts.quarantine,
     }.items():
-        df.write.mode("overwrite").parquet(f"{store}/{table}/batch_id={batch_id}")
+        write_batch(df, store, table, batch_id)
 
 
 def start_intake(

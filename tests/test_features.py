@@ -126,7 +126,9 @@ def test_math_finding_wins_and_needs_an_amount(spark, small_tables):
         bill(53, 100, None, "100.00", is_anomaly_detected=True, anomaly_reason=reason),
     ]
     found = finding_set(spark, small_tables, bills, [], flag="false")
-    assert set(found) == {50}
+    assert set(found) == {50, 53}
+    undated = found[53]
+    assert undated["expected_value"] is None and undated["deviation_pct"] is None and undated["weather_actual"] is None
     assert found[50]["detection_layer"] == "MATH" and found[50]["finding_type"] == "MATH_ERROR"
     assert found[50]["potential_recovery"] == Decimal("1300.00") and found[50]["severity"] == "HIGH"
     assert found[50]["anomaly_probability"] == 1.0

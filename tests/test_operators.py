@@ -12,8 +12,8 @@ from tariffscope.plans import reports as rp
 from tariffscope.plans.review import apply_decisions
 from tariffscope.plans.tools import AuditTools
 from tariffscope.schemas import DECISIONS
-from tariffscope.sources import sinks
-from tariffscope.sources.tables import read_only_sql
+from tariffscope.sources import sinks, store
+from tariffscope.sources.tables import read_only_sql, read_tables
 from tariffscope.sources.weather import daily_rows
 from tests.test_features import bill
 
@@ -160,17 +160,25 @@ def test_snapshot_can_replace_itself(spark, tmp_path):
 
 def test_review_batch_is_stored(spark, reviewed_setup, tmp_path):
     tables, found = reviewed_setup
+    folder = str(tmp_path)
     decisions = spark.createDataFrame([(1, 1, "confirm", None), (2, 2, "dismiss", None)], DECISIONS)
-    sinks.write_findings(found, str(tmp_path))
+    store.prepare_store(spark, folder)
+    store.write_batch(tables.bills, folder, "bills", 0)
+    store.write_batch(found, folder, "findings", 0)
     for _ in range(2):  # a repeated batch leaves one claim
-        sinks.write_reviewed(apply_decisions(found, tables.bills, decisions, "2024-05-01"), str(tmp_path))
-    assert sinks.read_snapshot(spark, f"{tmp_path}/findings").filter("reviewed").count() == 3
-    assert sinks.read_snapshot(spark, f"{tmp_path}/bills").filter("anomaly_status = 'Dismissed'").count() == 1
-    assert [r["claim_id"] for r in spark.read.parquet(f"{tmp_path}/audit_claims").collect()] == [1]
+        store.write_review(apply_decisions(found, tables.bills, decisions, "2024-05-01"), folder, 0)
+    stored = read_tables(spark, folder)
+    assert stored.findings.filter("reviewed").count() == 3
+    assert stored.bills.filter("anomaly_status = 'Dismissed'").count() == 1
+    assert [r["bill_id"] for r in stored.audit_claims.collect()] == [1]
 
 
 def test_bills_are_stored_by_year(spark, small_tables, tmp_path):
     tables = small_tables([bill(1, 100, dt.date(2020, 1, 1), "5.00"), bill(2, 100, None, "5.00")])
-    sinks.write_bills(tables.bills, str(tmp_path))
-    stored = spark.read.parquet(f"{tmp_path}/bills")
+    store.prepare_store(spark, str(tmp_path))
+    for _ in range(2):
+        store.write_batch(tables.bills, str(tmp_path), "bills", 7)
+    stored = store.read_batches(spark, str(tmp_path), "bills")
     assert stored.count() == 2 and stored.filter("billing_year = 2020").count() == 1
+    plan = stored.filter("billing_year = 2020")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(billing_year" in plan

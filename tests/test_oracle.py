@@ -1,9 +1,4 @@
-"""Registered queries against their SQL on the smallest sample.
-
-ORACLE_ALL=1 runs every query; by default a cross-section keeps the suite short.
-"""
-
-import os
+"""Every registered query that has SQL against it, on the smallest sample."""
 
 import pytest
 
@@ -11,13 +6,7 @@ import __spark_entry__ as contract
 from checks.compare import compare, connect
 from checks.queries import QUERIES
 
-SECTION = (
-    "star_join_unassigned features rate_ratio_all_usage account_baselines client_summary compare_periods top_spenders "
-    "weather_source weather_context findings finding_text recovery_summary dashboard_nested group_breaks parse_records "
-    "normalise form_audit reject_gate line_items_explode dim_upsert constraint_violations line_cleaner "
-    "document_assembly class_report roc_auc review_bills review_errors"
-).split()
-CHOSEN = [n for n in QUERIES if QUERIES[n].sql] if os.environ.get("ORACLE_ALL") else SECTION
+CHOSEN = [n for n in QUERIES if QUERIES[n].sql]
 
 
 @pytest.mark.parametrize("name", CHOSEN)

@@ -1,6 +1,7 @@
 import json
 
-from tariffscope.streaming.intake import read_stored, start_intake, store_batch
+from tariffscope.sources.store import read_table as read_stored
+from tariffscope.streaming.intake import start_intake, store_batch
 from tests.test_ingest import GOOD
 
 
