@@ -21,7 +21,7 @@ HEADLINE = (
     "star_join,charge_pivot,features,account_baselines,client_summary,top_spenders,compare_periods,"
     "weather_context,findings,recovery_by_client,insights_by_vendor,dashboard_flat,dashboard_nested,"
     "monthly_trend,math_audit,reject_gate,line_items_explode,bill_intake,constraint_violations,"
-    "line_cleaner,document_assembly,review_bills,rf_score"
+    "line_cleaner,document_assembly,review_bills,rf_score,detection_run"
 )
 
 

@@ -404,10 +404,11 @@ def weather_source(spark, folder):
 
 
 @query(
-    "lat:d lon:d year:i month:i hdd:r1 cdd:r1 days:i",
+    "lat:d lon:d year:i month:i hdd:r1 cdd:r1 avg_temp:r1 days:i",
     f"""SELECT lat, lon, year(obs_date) AS year, month(obs_date) AS month, count(*) AS days,
         round_even(CAST(sum(greatest(0, 65 - (tmax + tmin) / 2)) AS DECIMAL(24,6)), 1) AS hdd,
-        round_even(CAST(sum(greatest(0, (tmax + tmin) / 2 - 65)) AS DECIMAL(24,6)), 1) AS cdd
+        round_even(CAST(sum(greatest(0, (tmax + tmin) / 2 - 65)) AS DECIMAL(24,6)), 1) AS cdd,
+        round_even(CAST(avg((tmax + tmin) / 2) AS DECIMAL(24,6)), 1) AS avg_temp
         FROM ({_STATIONS}) WHERE tmax IS NOT NULL AND tmin IS NOT NULL GROUP BY 1, 2, 3, 4""",
 )
 def degree_days(spark, folder):

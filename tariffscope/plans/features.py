@@ -45,16 +45,16 @@ def base_table(tables: AuditTables, include_unassigned: bool = False) -> DataFra
 
 def engineer(
     tables: AuditTables, include_unassigned: bool = False, include_zero_usage: bool = False,
-    fill_missing: bool = True, stage_bills: bool = False, bills: DataFrame | None = None,
+    fill_missing: bool = True, stage_bills: bool = True, bills: DataFrame | None = None,
 ) -> DataFrame:
     """Bills with baselines and relative features.
 
     ``include_zero_usage`` averages the delivery rate over all bills instead of
     those with usage; ``fill_missing=False`` leaves percentages null where there
-    is no baseline. The priced bills feed both the baselines and the detail. A
-    lazy plan builds them twice but only with the columns its caller uses;
-    callers that use them all (the model) set ``stage_bills`` or pass stored
-    priced bills as ``bills``, so that the line items are shuffled once.
+    is no baseline. The priced bills feed both the baselines and the detail, so
+    they are staged and the line items are shuffled once; ``bills`` takes priced
+    bills that are stored already. ``stage_bills=False`` keeps the plan lazy and
+    builds them twice, but only with the columns its caller uses.
     """
     if bills is None:
         bills = priced_bills(tables)

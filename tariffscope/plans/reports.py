@@ -433,11 +433,14 @@ def group_breaks(findings: DataFrame, tables: AuditTables) -> DataFrame:
 
 def auditor_report(findings: DataFrame, tables: AuditTables) -> DataFrame:
     """Unreviewed findings and recovery per client, with the grand total as last row."""
-    clients = recovery_by_client(findings, tables).select("client_name", "findings", "recovery")
+    last = F.lit(False).alias("is_total")
+    clients = recovery_by_client(findings, tables).select("client_name", "findings", "recovery", last)
     total = clients.agg(
         F.lit("TOTAL").alias("client_name"),
         F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"), _money("recovery", "recovery"),
+        F.lit(True).alias("is_total"),
     )
-    return clients.unionByName(total)
+    order = ["is_total", F.desc("recovery"), "client_name"]
+    return clients.unionByName(total).orderBy(*order).drop("is_total")
 
 
