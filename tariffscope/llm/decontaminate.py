@@ -1,8 +1,10 @@
 """Benchmark decontamination with built-in functions only: broadcast test windows, scanned documents.
 
 The benchmark's normalised windows go out as a broadcast hash table when they
-are few enough, by a shuffled join otherwise. Documents are scanned window by
-window; a hash that hits is verified by its words. No Python runs on executors.
+are few enough, by a shuffled join otherwise. A full window holds a run of half
+its words that starts at a multiple of ``stride`` words, so documents are scanned
+in strides; only around a run that some window has are all windows looked up, and
+a hash that hits is verified by its words. No Python runs on executors.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return windows.select(
         "item_id",
         F.size("words").alias("len"),
-        F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("hash"),
+        hash_of(F.col("words")).alias("hash"),
         F.array_join("words", " ").alias("window"),
     ).distinct()
 
@@ -74,14 +76,50 @@ def scan_plan(items: DataFrame) -> tuple[list[int], bool]:
     return sorted(r["len"] for r in sizes), sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS
 
 
-def occurrences(docs: DataFrame, key: Sequence[str], windows: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """``key, pos, len, hash, window`` for each window of ``windows`` that stands in a document."""
-    scanned = with_words(docs, *key)
+def hash_of(words: Column) -> Column:
+    return F.xxhash64(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def runs_of(windows: DataFrame, length: int, size: int) -> DataFrame:
+    """Distinct hashes of the runs of ``length`` words in windows of ``size`` words."""
+    words = F.split("window", " ")
+    each = F.transform(F.sequence(F.lit(1), F.lit(size - length + 1)), lambda i: hash_of(F.slice(words, i, length)))
+    return windows.filter(F.col("len") == size).select(F.explode(each).alias("run")).distinct()
+
+
+def places_by_stride(scanned: DataFrame, key: Sequence[str], windows: DataFrame, size: int, few: bool) -> DataFrame:
+    """``key, words, pos, len, hash`` of the windows of ``size`` words around each run that some window has."""
+    length = size - size // 2
+    stride = size - length + 1
+    runs = runs_of(windows, length, size)
+    last = F.size("words") - length
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))
+    hashed = F.transform(F.filter(starts, lambda p: p <= last), lambda p: F.struct(p.alias("at"), hash_of(F.slice("words", p + 1, length)).alias("run")))
+    spread = scanned.select(*key, "words", hashed.alias("each")).select(*key, "words", F.explode("each").alias("one"))
+    met = spread.select(*key, "words", F.col("one.at").alias("at"), F.col("one.run").alias("run"))
+    met = met.join(F.broadcast(runs) if few else runs, "run", "left_semi")
+    near = met.select(*key, "words", F.explode(F.sequence(F.col("at") - stride + 1, F.col("at"))).alias("pos"))
+    near = near.filter((F.col("pos") >= 0) & (F.col("pos") <= F.size("words") - size))
+    window_hash = hash_of(F.slice("words", F.col("pos") + 1, size))
+    return near.select(*key, "words", "pos", F.lit(size).alias("len"), window_hash.alias("hash"))
+
+
+def all_places(scanned: DataFrame, key: Sequence[str], lengths: Sequence[int]) -> DataFrame:
+    """``key, words, pos, len, hash`` of every window of each length."""
     each = scanned.select(*key, "words", window_hashes("words", lengths).alias("each"))
-    spread = each.select(*key, "words", F.explode("each").alias("at")).select(
+    return each.select(*key, "words", F.explode("each").alias("at")).select(
         *key, "words", F.col("at.pos").alias("pos"), F.col("at.len").alias("len"), F.col("at.hash").alias("hash")
     )
-    hits = spread.join(windows, ["len", "hash"])
+
+
+def occurrences(docs: DataFrame, key: Sequence[str], windows: DataFrame, lengths: Sequence[int], size: int, few: bool) -> DataFrame:
+    """``key, pos, len, hash, window`` for each window of ``windows`` that stands in a document."""
+    scanned = with_words(docs, *key)
+    short = [length for length in lengths if length < size]
+    places = [places_by_stride(scanned, key, windows, size, few)] if size in lengths else []
+    places += [all_places(scanned, key, short)] if short else []
+    found = places[0] if len(places) == 1 else places[0].unionByName(places[1])
+    hits = found.join(F.broadcast(windows) if few else windows, ["len", "hash"])
     hits = hits.filter(F.array_join(F.slice("words", F.col("pos") + 1, F.col("len")), " ") == F.col("window"))
     return hits.select(*key, "pos", "len", "hash", "window")
 
@@ -133,7 +171,7 @@ def occurrences_by_document(keyed: DataFrame, benchmark: DataFrame, size: int) -
         none = F.array().cast("array<string>")
         return keyed.select(*key, F.lit(0).cast("long").alias("n_hit"), none.alias("items")).filter(F.lit(False))
     distinct = items.select("len", "hash", "window").distinct()
-    hits = occurrences(keyed, key, F.broadcast(distinct) if few else distinct, lengths)
+    hits = occurrences(keyed, key, distinct, lengths, size, few)
     per_text = hits.groupBy(*key).agg(
         F.array_sort(F.collect_set(F.struct("pos", (F.col("pos") + F.col("len")).alias("stop")))).alias("spans"),
         F.collect_set(F.struct("len", "hash", "window")).alias("windows"),
