@@ -41,7 +41,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for step in range(8):
         shift += np.log(x + step)
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 def log_kt(counts: np.ndarray) -> np.ndarray:
