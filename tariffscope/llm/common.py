@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,16 +20,21 @@ from tariffscope.session import staging_root
 
 #: ASCII letters, the only ones that "lower-case A-Z" changes.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bytes of text that the numpy operators look at together.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that the numpy operators look at together; their arrays take some 60 times as much.
+CHUNK_BYTES = (1 << 20) - 4096
+#: Bits of the filter that keeps rows no later join needs from being shuffled.
+FILTER_BITS = 1 << 22
+#: Bytes of a batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this library from where the driver has it, if it isn't installed there."""
+    """Let Python workers import this library from where the driver has it, and bound what they get at once."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -107,5 +111,14 @@ def body_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def bucket_of(value: object, buckets: int) -> int:
-    return zlib.crc32(str(value).encode()) % buckets
+def flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false only if their key isn't among ``keys``.
+
+    A filter of fixed size, so its broadcast is bounded whatever the corpus; when
+    it is full, every row may be among them and is simply shuffled.
+    """
+    spot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)))
+    words = keys.select(F.shiftright(spot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    joined = rows.withColumn("word", F.shiftright(spot, 6)).join(F.broadcast(words), "word", "left")
+    return joined.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit), F.lit(0)) != 0).drop("word", "bits")

@@ -3,17 +3,21 @@
 1. Texts with equal shingle sets form a class; only classes go on.
 2. Two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1``
    of each in any common order. Common shingles (seen by a fixed-size sketch)
-   stand last in that order. Classes that share such a shingle are tied to the
-   smallest one, not to each other, which gives candidate clusters.
-3. In a cluster, shingles are hashed into groups and each class is a point of
-   group counts. An R-tree over the points prunes by the bound
-   ``sum(min(count, count))`` on the overlap; surviving pairs are verified.
-   Pairs that are known to be connected need no test.
-4. Links give components. A large cluster is dealt over tasks as pairs of blocks.
+   stand last in that order. Classes with a first shingle in common form a block.
+3. A class that shares much with the smallest class of a block is compared with
+   it at once. What these links connect needs no further test, so a group of
+   copies costs as many tests as it has classes, not pairs.
+4. Shingles are hashed into groups and each class is a point of group counts. In
+   every block an R-tree over the points bounds the overlap of two classes by
+   ``sum(min(count, count))``; only pairs that pass, of classes that aren't
+   connected yet, are verified on the sets themselves: first each class's best
+   partner, then its best one in every other component, at last all that is left.
+5. All links give the components. A large block is dealt over tasks as pairs of parts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +26,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffscope.llm.arrays import mix, prefix_hash, run_hash, words
-from tariffscope.llm.common import body_bytes, slices, staged
+from tariffscope.llm.common import body_bytes, flagged, slices, staged
 from tariffscope.llm.graph import components
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Counters of the sketch of common shingles: bounds what reaches the driver.
-COUNTERS = 1 << 16
+#: Counters of the sketch of common shingles: bounds what reaches the driver and is broadcast.
+COUNTERS = 1 << 21
+#: Tasks that add up sketches before the last one.
+ADDERS = 16
 #: Tasks that share the rows of one common shingle.
 SALTS = 64
 #: Coordinates of a point, and points of a leaf.
-GROUPS, LEAF = 64, 16
-#: Classes of a block; larger clusters are joined block by block.
-BLOCK = 1024
+GROUPS, LEAF = 256, 16
+#: Classes of a block that a task joins; larger blocks are joined part by part.
+PART = 1024
+#: Share of its first shingles (percent) that a class has in common with a hub to be compared at once.
+CLOSE = 40
+#: Pairs whose points are compared in one go.
+TOGETHER = 20_000
 
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
@@ -72,41 +82,78 @@ def prefix_order(hashes: np.ndarray, first: np.ndarray, rarity: np.ndarray) -> t
     return order[chosen], doc[chosen]
 
 
+def points_of(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Group counts of each set, in one byte each, or in four where a count needs more."""
+    n = np.diff(first)
+    cell = np.repeat(np.arange(len(n)), n) * GROUPS + (hashes >> np.uint64(56)).astype(np.int64)
+    counts = np.bincount(cell, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+    wide = counts.max(1, initial=0) > 255
+    small, large = counts.astype(np.uint8), counts.astype("<u4")
+    return [(large if w else small)[k].tobytes() for k, w in enumerate(wide)]
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    rows = [np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<u4") for p in points]
+    return np.stack(rows).astype(np.int32) if rows else np.zeros((0, GROUPS), np.int32)
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """``key, n, class, check`` of every row, and ``bucket, n`` rows of the sketch of common shingles."""
+    """``key, n, class, check, point`` of every row, and one row per task with its ``sketch`` of shingle counts."""
     given = docs.select(F.col("key"), F.col("doc_id"), F.col("body"))
     kind = given.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "key", "n", "class", "check", "point", "sketch"]
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         id_type = None
         for batch in source:
             id_type = batch.schema.field("doc_id").type
             for run in slices(batch, "body"):
                 hashes, first = shingle_sets(run.column("body"))
-                sketch += np.bincount(hashes % np.uint64(COUNTERS), minlength=COUNTERS)
+                counts += np.bincount(hashes % np.uint64(COUNTERS), minlength=COUNTERS)
                 yield pa.RecordBatch.from_arrays(
                     [run.column("doc_id"), run.column("key"), pa.array(np.diff(first)),
                      pa.array(set_hash(hashes, first, np.uint64(0))), pa.array(set_hash(hashes, first, _SECOND)),
-                     pa.nulls(run.num_rows, pa.int32())],
-                    names=["doc_id", "key", "n", "class", "check", "bucket"],
+                     pa.array(points_of(hashes, first), pa.binary()), pa.nulls(run.num_rows, pa.binary())],
+                    names=names,
                 )
         if id_type is not None:
-            high = np.flatnonzero(sketch > 2 * sketch.mean() + 8)
-            none = pa.nulls(len(high), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(high), id_type), none, pa.array(sketch[high]), none, none, pa.array(high.astype(np.int32))],
-                names=["doc_id", "key", "n", "class", "check", "bucket"],
-            )
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), none, none, none, none, pa.nulls(1, pa.binary()), pa.array([_shrunk(counts)])], names=names)
+
+    return given.mapInArrow(work, f"doc_id {kind}, key long, n long, class long, check long, point binary, sketch binary")
+
+
+def _shrunk(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _grown(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sketch), np.int64)
 
-    return given.mapInArrow(work, f"doc_id {kind}, key long, n long, class long, check long, bucket int")
+
+def rarity_levels(sketches: DataFrame) -> np.ndarray:
+    """Level of each counter: 0 for what chance alone may count, more for what is common."""
+
+    def add(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in source:
+            for sketch in batch.column("sketch").to_pylist():
+                total += _grown(sketch)
+        yield pa.RecordBatch.from_arrays([pa.array([_shrunk(total)])], names=["sketch"])
+
+    partial = sketches.select("sketch").repartition(ADDERS).mapInArrow(add, "sketch binary")
+    total = _grown(partial.coalesce(1).mapInArrow(add, "sketch binary").first()["sketch"])
+    chance = total.mean() + 4 * np.sqrt(total.mean()) + 2
+    return np.where(total > chance, np.ceil(4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
 
 
 def tokens(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     """``token, salt, class``: the first shingles of each class, once per task. Salts split common shingles."""
-    common = rarity > 0
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
         seen = np.zeros(0, np.int64)
         for batch in source:
             for run in slices(batch, "body"):
@@ -120,7 +167,7 @@ def tokens(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                 where, doc = prefix_order(hashes, first, rarity)
                 where, doc = where[fresh[doc]], doc[fresh[doc]]
                 token, own = hashes[where], classes[doc]
-                salt = np.where(common[token % np.uint64(COUNTERS)], own % SALTS, -1)
+                salt = np.where(rarity[token % np.uint64(COUNTERS)] > 0, own % SALTS, -1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(own)], names=["token", "salt", "class"]
                 )
@@ -128,62 +175,65 @@ def tokens(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     return docs.select("body").mapInArrow(work, "token long, salt int, class long")
 
 
-def stars(rows: DataFrame) -> DataFrame:
-    """``token, salt, u, v``: each class with the first of its (token, salt) group; first ones of salted groups with themselves."""
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """``token, class, hub``: members of (token, salt) groups that aren't alone, with the first one; of salted groups all."""
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        waiting = None  # the last row, while its group may go on
+        hub = None
         for batch in source:
-            token, salt, own = (batch.column(c).to_numpy() for c in ("token", "salt", "class"))
-            if not len(token):
+            rows = np.stack([batch.column(c).to_numpy() for c in ("token", "salt", "class")], 1)
+            if waiting is not None:
+                rows = np.concatenate([waiting, rows])
+            if not len(rows):
                 continue
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-            if last is not None and last[:2] == (token[0], salt[0]):
-                new[0] = False
-            head = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-            hub = np.where(head >= 0, own[np.maximum(head, 0)], last[2] if last is not None else 0)
-            last = (token[-1], salt[-1], hub[-1])
-            pick = np.flatnonzero((own != hub) | (new & (salt >= 0)))
-            pairs, at = np.unique(np.stack([own[pick], hub[pick], np.where(own[pick] == hub[pick], token[pick], 0)], 1), axis=0, return_index=True)
-            pick = pick[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[pick]), pa.array(salt[pick]), pa.array(own[pick]), pa.array(hub[pick])], names=["token", "salt", "u", "v"]
-            )
+            rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
+            went_on = waiting is not None and hub is not None
+            new[0] = not went_on
+            head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
+            hubs = np.where(head >= 0, rows[np.maximum(head, 0), 2], hub if went_on else 0)
+            with_next = np.zeros(len(rows), bool)
+            with_next[:-1] = ~new[1:]
+            # The last row waits: the next batch may hold more of its group.
+            done = np.arange(len(rows)) < len(rows) - 1
+            pick = np.flatnonzero(done & (~new | with_next | (rows[:, 1] >= 0)))
+            yield _shared_rows(rows[pick], hubs[pick])
+            waiting, hub = rows[-1:], (None if new[-1] else hubs[-1])
+        if waiting is not None:
+            keep = hub is not None or waiting[0, 1] >= 0
+            yield _shared_rows(waiting[: int(keep)], np.array([waiting[0, 2] if hub is None else hub])[: int(keep)])
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
-    return dealt.mapInArrow(work, "token long, salt int, u long, v long")
+    return dealt.mapInArrow(work, "token long, class long, hub long")
 
 
-def candidate_links(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """``u, v``: classes tied to a smaller one with which they share a first shingle, in one step or more."""
-    first = staged(stars(tokens(docs, rarity)), "stars")
-    hubs = first.filter("u = v").select("token", F.lit(-1).alias("salt"), F.col("u").alias("class"))
-    joined = stars(hubs).select("u", "v")
-    return first.filter("u <> v").select("u", "v").unionByName(joined)
+def _shared_rows(rows: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 2])), pa.array(hubs)], names=["token", "class", "hub"]
+    )
 
 
 class Tree:
     """Points of group counts, ordered by set size and packed into leaves with upper corners."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets])
-        self.points = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets])
-        starts = np.arange(0, len(sets), LEAF)
-        self.corner = np.maximum.reduceat(self.points, starts, axis=0)
-        self.smallest = np.minimum.reduceat(self.size, starts)
-        self.largest = np.maximum.reduceat(self.size, starts)
-
-    def overlapping(self, q: int, stop: int) -> np.ndarray:
-        """Points before ``stop`` whose overlap with point ``q`` may suffice."""
-        point, size = self.points[q], self.size[q]
-        leaves = -(-stop // LEAF)
-        bound = np.minimum(self.corner[:leaves], point).sum(1)
-        fits = (100 * self.largest[:leaves] >= PERCENT * size) & enough(bound, size, self.smallest[:leaves])
-        near = (np.flatnonzero(fits)[:, None] * LEAF + np.arange(LEAF)).ravel()
-        near = near[near < stop]
-        near = near[100 * self.size[near] >= PERCENT * size]
-        return near[enough(np.minimum(self.points[near], point).sum(1), size, self.size[near])]
+    def __init__(self, size: np.ndarray, points: np.ndarray):
+        self.size, self.points = size, points
+        starts = np.arange(0, len(size), LEAF)
+        self.corner = np.maximum.reduceat(points, starts, axis=0)
+        self.smallest = np.minimum.reduceat(size, starts)
+        self.largest = np.maximum.reduceat(size, starts)
+
+    def near(self, q: int) -> np.ndarray:
+        """Points before ``q`` in leaves whose bound on the overlap with it may suffice."""
+        leaves = -(-q // LEAF)
+        fits = 100 * self.largest[:leaves] >= PERCENT * self.size[q]
+        at = np.flatnonzero(fits)
+        bound = np.minimum(self.corner[at], self.points[q]).sum(1)
+        at = at[enough(bound, self.size[q], self.smallest[at])]
+        found = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+        return found[found < q]
 
 
 def enough(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
@@ -191,92 +241,164 @@ def enough(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.
     return (100 + PERCENT) * overlap >= PERCENT * (a + b)
 
 
-def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links connect. With ``side``, only between the two sides."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets = [sets[k] for k in order]
-    side = None if side is None else side[order]
-    tree, root, found = Tree(sets), np.arange(len(sets)), []
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), tree.size)
-    values, local = np.unique(every, return_inverse=True)
-    by = np.argsort(local, kind="stable")
-    posting = owner[by]
-    begin = np.searchsorted(local[by], np.arange(len(values) + 1))
-    first = np.concatenate(([0], np.cumsum(tree.size)))
-    for q in range(1, len(sets)):
-        near = tree.overlapping(q, q)
-        near = near[root[near] != root[q]]
-        if side is not None:
-            near = near[side[near] != side[q]]
-        if not len(near):
-            continue
-        own = local[first[q] : first[q + 1]]
-        lengths = begin[own + 1] - begin[own]
-        at = np.repeat(begin[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        shared = np.bincount(posting[at], minlength=len(sets))[near]
-        for k in near[enough(shared, tree.size[q], tree.size[near])]:
-            if root[k] != root[q]:
-                found.append((int(order[q]), int(order[k])))
-                root[root == root[k]] = root[q]
-    return found
-
-
-def links(members: DataFrame) -> DataFrame:
-    """``u, v`` from ``cluster, left, right, side, class, shingles``: verified links within each (cluster, left, right)."""
+def pairs_in_blocks(first: np.ndarray, size: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions, block by block, that the R-tree leaves; a block of one leaf needs no tree.
 
-    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, {}
-
-        def close() -> pa.RecordBatch:
-            classes = list(held)
-            sets = [np.frombuffer(held[c][1], np.uint64) for c in classes]
-            apart = group[1] != group[2]
-            side = np.array([held[c][0] for c in classes]) if apart else None
-            pairs = spanning_links(sets, side) if len(sets) > 1 else []
-            u, v = ([classes[p[k]] for p in pairs] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    ``first`` has where each block begins; sizes ascend within a block.
+    """
+    sizes = np.diff(first)
+    low = sizes <= LEAF
+    small = np.repeat(first[:-1][low], sizes[low])
+    own = np.arange(len(small)) - np.repeat(np.cumsum(sizes[low]) - sizes[low], sizes[low])
+    at = small + own
+    later = np.repeat(at, own)
+    earlier = np.repeat(small, own) + np.arange(len(later)) - np.repeat(np.cumsum(own) - own, own)
+    yield later, earlier
+    for block in np.flatnonzero(~low):
+        start, stop = first[block], first[block + 1]
+        tree = Tree(size[start:stop], points[start:stop])
+        for q in range(1, stop - start):
+            near = tree.near(q)
+            yield np.full(len(near), start + q), start + near
+
+
+#: Which of a class's partners a round verifies.
+BEST, EACH_COMPONENT, ALL = "best", "each component", "all"
+
+
+def block_pairs(table: pa.Table, which: str) -> Iterator[pa.RecordBatch]:
+    """``u, v, target, score`` of whole blocks: pairs, not yet connected, that pass the bound on sizes and group counts."""
+    token, left, right, side, own, component, n = (
+        table.column(c).to_numpy() for c in ("token", "left", "right", "side", "class", "component", "n")
+    )
+    points = unpacked(table.column("point").to_pylist())
+    new = np.ones(len(points), bool)
+    new[1:] = (np.diff(token) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)
+    held: list[np.ndarray] = []
+    for a, b in pairs_in_blocks(np.append(np.flatnonzero(new), len(points)), n, points):
+        fits = (component[a] != component[b]) & (100 * n[b] >= PERCENT * n[a])
+        fits &= (left[a] == right[a]) | (side[a] != side[b])
+        held.append(np.stack([a[fits], b[fits]]))
+        if sum(x.shape[1] for x in held) > TOGETHER:
+            yield _passing(np.concatenate(held, 1), own, component, n, points, which)
+            held = []
+    if held:
+        yield _passing(np.concatenate(held, 1), own, component, n, points, which)
+
+
+def _passing(
+    pairs: np.ndarray, own: np.ndarray, component: np.ndarray, n: np.ndarray, points: np.ndarray, which: str
+) -> pa.RecordBatch:
+    kept, scores = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+    for start in range(0, pairs.shape[1], TOGETHER):
+        a, b = pairs[:, start : start + TOGETHER]
+        bound = np.minimum(points[a], points[b]).sum(1)
+        passes = enough(bound, n[a], n[b])
+        kept.append(np.stack([a[passes], b[passes]]))
+        scores.append((bound / (n[a] + n[b]))[passes])
+    (a, b), score = np.concatenate(kept, 1), np.concatenate(scores)
+    if which == ALL:
+        u, v, target = own[a], own[b], own[b]
+    else:
+        one, other, score = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
+        u, v = own[one], own[other]
+        target = component[other] if which == EACH_COMPONENT else np.zeros(len(one), np.int64)
+    order = np.lexsort((v, score, target, u))
+    last = np.ones(len(order), bool)
+    last[:-1] = (np.diff(u[order]) != 0) | (np.diff(target[order]) != 0)
+    chosen = order[last]
+    return pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (u, v, target, score)], names=["u", "v", "target", "score"])
+
+
+def surviving_pairs(members: DataFrame, which: str = ALL) -> DataFrame:
+    """``u, v`` from ``token, left, right, side, class, component, n, point``: what the R-trees of all blocks leave."""
 
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in source:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "left", "right", "side", "class", "shingles")]
-            for cluster, left, right, side, own, shingles in zip(*columns, strict=True):
-                if group != (cluster, left, right):
-                    if group is not None:
-                        yield close()
-                    group, held = (cluster, left, right), {}
-                held[own] = (side, shingles)
-        if group is not None:
-            yield close()
-
-    dealt = members.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-    return dealt.mapInArrow(work, "u long, v long")
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 2 * PART:
+                continue
+            table = pa.Table.from_batches(held)
+            token, left, right = (table.column(c).to_numpy() for c in ("token", "left", "right"))
+            other = np.flatnonzero((token != token[-1]) | (left != left[-1]) | (right != right[-1]))
+            whole = int(other[-1]) + 1 if len(other) else 0
+            if whole:
+                yield from block_pairs(table.slice(0, whole), which)
+            held, rows = table.slice(whole).to_batches(), rows - whole
+        if rows:
+            yield from block_pairs(pa.Table.from_batches(held), which)
+
+    block = ["token", "left", "right"]
+    dealt = members.repartition(*block).sortWithinPartitions(*block, "n")
+    found = dealt.mapInArrow(work, "u long, v long, target long, score double")
+    return found.groupBy("u", "target").agg(F.max(F.struct("score", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+
+
+def in_parts(members: DataFrame) -> DataFrame:
+    """Members of a block in one part, or in every pair of parts that holds theirs."""
+    own = F.pmod(F.xxhash64("class"), F.col("parts"))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
+        lambda other: F.struct(F.least(own, other).alias("left"), F.greatest(own, other).alias("right"), own.alias("side")),
+    )
+    return members.select("token", "class", "component", "n", "point", F.inline(pairs))
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (key, class, cluster, blocks) with the shingles of each class."""
+    """``class, shingles`` for ``wanted`` (key, class)."""
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for run in slices(batch, "body"):
                 hashes, first = shingle_sets(run.column("body"))
                 blobs = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(run.column(c) for c in ("class", "cluster", "blocks")), pa.array(blobs, pa.binary())],
-                    names=["class", "cluster", "blocks", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([run.column("class"), pa.array(blobs, pa.binary())], names=["class", "shingles"])
 
-    chosen = docs.select("key", "body").join(wanted, "key").select("class", "cluster", "blocks", "body")
-    return chosen.mapInArrow(work, "class long, cluster long, blocks long, shingles binary")
+    chosen = flagged(docs.select("key", "body"), wanted).filter("maybe").join(wanted, "key")
+    return chosen.select("class", "body").mapInArrow(work, "class long, shingles binary")
 
 
-def dealt_blocks(members: DataFrame) -> DataFrame:
-    """Members of a cluster in one block, or in every pair of blocks that holds theirs."""
-    own = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda other: F.struct(F.least(own, other).alias("left"), F.greatest(own, other).alias("right"), own.alias("side")),
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets are similar enough."""
+
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            links = np.zeros(batch.num_rows, bool)
+            sides = zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True)
+            for k, (one, other) in enumerate(sides):
+                a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+                links[k] = enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(pa.array(links)) for c in ("u", "v")], names=["u", "v"]
+            )
+
+    named = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
+    sets = staged(with_sets(docs, staged(classes.select("key", "class").join(named, "class"), "wanted")), "sets")
+    one = sets.select(F.col("class").alias("u"), F.col("shingles").alias("one"))
+    other = sets.select(F.col("class").alias("v"), F.col("shingles").alias("other"))
+    return pairs.join(one, "u").join(other, "v").mapInArrow(work, "u long, v long").distinct()
+
+
+def close_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """``u, v``: each class and the hub with which it shares most of its first shingles, if they are many."""
+    counts = shared.filter("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("c"))
+    best = counts.groupBy("class").agg(F.max(F.struct("c", "hub")).alias("best"))
+    enough_shared = F.col("best.c") * 100 >= CLOSE * (F.floor(F.col("n") * (100 - PERCENT) / 100) + 1)
+    return best.join(classes, "class").filter(enough_shared).select(F.col("class").alias("u"), F.col("best.hub").alias("v"))
+
+
+def open_blocks(shared: DataFrame, connected: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the blocks whose classes aren't all connected, with all that the R-tree needs."""
+    labels = connected.select(F.col("u").alias("class"), F.col("v").alias("component"))
+    labelled = shared.select("token", "class").distinct().join(labels, "class", "left")
+    labelled = staged(labelled.withColumn("component", F.coalesce("component", "class")), "blocks")
+    sizes = labelled.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / PART).alias("parts")
     )
-    return members.select("cluster", "class", "shingles", F.inline(pairs))
+    return in_parts(labelled.join(sizes.filter("low <> high").select("token", "parts"), "token").join(classes, "class"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -292,21 +414,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     given = docs.select("doc_id", body.alias("body"), F.xxhash64("doc_id", body).alias("key"))
     described = staged(describe(given), "shingled")
-    rows = described.filter("bucket IS NULL").select("doc_id", "key", F.col("n").alias("n_shingles"), "class", "check")
-    rarity = np.zeros(COUNTERS, np.int8)
-    for row in described.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        rarity[row["bucket"]] = int(row["n"]).bit_length()
-
-    clusters = components(candidate_links(given, rarity)).select(F.col("u").alias("class"), F.col("v").alias("cluster"))
-    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("class"), "cluster").distinct())
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = described.filter("sketch IS NULL").select("doc_id", "key", F.col("n").alias("n_shingles"), "class", "check", "point")
     same = F.assert_true(F.min("check") == F.max("check"), F.lit("two shingle sets have one hash"))
-    classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("key").alias("key"), same.alias("same"))
-    wanted = classes.filter("same IS NULL").join(clusters, "class").join(sizes, "cluster").select("key", "class", "cluster", "blocks")
-    found = components(links(dealt_blocks(with_sets(given, wanted))))
+    classes = rows.filter("n_shingles > 0").groupBy("class").agg(
+        F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.min("point").alias("point"), same.alias("same")
+    )
+    classes = staged(classes.filter("same IS NULL").drop("same"), "classes")
+
+    rarity = rarity_levels(described.filter("sketch IS NOT NULL"))
+    shared = staged(shared_tokens(tokens(given, rarity)), "tokens")
+    links = staged(verified(staged(close_pairs(shared, classes), "pairs"), given, classes), "verified")
+    for which in (BEST, EACH_COMPONENT, ALL):
+        pairs = staged(surviving_pairs(open_blocks(shared, components(links), classes), which), "pairs")
+        if which == BEST:  # a class without any partner here has none later either
+            shared = staged(shared.join(pairs.select(F.col("u").alias("class")), "class", "left_semi"), "tokens")
+        links = staged(links.unionByName(verified(pairs, given, classes)), "verified")
+    found = components(links)
 
     rooted = rows.join(found.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "class"))
+    rooted = rooted.select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
     least = rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = rooted.join(least, "root", "left")
     name = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))

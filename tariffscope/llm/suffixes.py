@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tariffscope.llm.arrays import byte_values, mix, powers, prefix_hash, run_hash
-from tariffscope.llm.common import body_bytes, body_offsets, slices, staged
+from tariffscope.llm.common import body_bytes, body_offsets, flagged, slices, staged
 
 LENGTH = 400
 COVER = 149
@@ -41,8 +41,6 @@ LOCAL = 16
 CLASS = 20_000
 #: Starts of a part of a split class.
 PART = 30
-#: Bits of the filter that keeps documents without any repeat from being shuffled.
-FILTER_BITS = 1 << 22
 #: Neighbourhoods sorted in one go.
 TOGETHER = 2_000
 
@@ -288,19 +286,6 @@ def spans(given: DataFrame) -> DataFrame:
     return whole.unionByName(partly).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("starts"))
 
 
-def flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``maybe``: false only if their key isn't among ``keys``.
-
-    A filter of fixed size, so its broadcast is bounded whatever the corpus; when
-    it is full, every row may be among them and is simply shuffled.
-    """
-    spot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)))
-    words = keys.select(F.shiftright(spot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    joined = rows.withColumn("word", F.shiftright(spot, 6)).join(F.broadcast(words), "word", "left")
-    return joined.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit), F.lit(0)) != 0).drop("word", "bits")
-
-
 def cut(body: bytes, starts: list[dict[str, int]]) -> tuple[bytes, int, int]:
     """What is left of a text, the bytes removed, and the maximal runs they form."""
     left, removed, runs, done = [], 0, 0, 0
