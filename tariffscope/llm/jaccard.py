@@ -40,6 +40,8 @@ ADDERS = 16
 SALTS = 64
 #: Coordinates of a point, and points of a leaf.
 GROUPS, LEAF = 256, 16
+#: Groups of the finer points that are compared before two sets are.
+FINE = 1 << 13
 #: Classes of a block that a task joins; larger blocks are joined part by part.
 PART = 1024
 #: Share of its first shingles (percent) that a class has in common with a hub to be compared at once.
@@ -348,17 +350,48 @@ def in_parts(members: DataFrame) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, shingles`` for ``wanted`` (key, class)."""
+    """``class, shingles, fine`` for ``wanted`` (key, class); ``fine`` has the packed counts of ``FINE`` groups."""
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for run in slices(batch, "body"):
                 hashes, first = shingle_sets(run.column("body"))
                 blobs = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([run.column("class"), pa.array(blobs, pa.binary())], names=["class", "shingles"])
+                fine = [fine_point(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [run.column("class"), pa.array(blobs, pa.binary()), pa.array(fine, pa.binary())], names=["class", "shingles", "fine"]
+                )
 
     chosen = flagged(docs.select("key", "body"), wanted).filter("maybe").join(wanted, "key")
-    return chosen.select("class", "body").mapInArrow(work, "class long, shingles binary")
+    return chosen.select("class", "body").mapInArrow(work, "class long, shingles binary, fine binary")
+
+
+def fine_point(shingles: np.ndarray) -> bytes:
+    counts = np.bincount((shingles >> np.uint64(51)).astype(np.int64), minlength=FINE)
+    return zlib.compress(counts.astype("<u2" if len(shingles) < 1 << 16 else "<u4").tobytes(), 1)
+
+
+def fine_counts(point: bytes) -> np.ndarray:
+    raw = zlib.decompress(point)
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * FINE else "<u4").astype(np.int64)
+
+
+def still_close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that pass the bound on the finer points too, which are far smaller than long sets."""
+
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            keep = []
+            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
+                a, b = fine_counts(one), fine_counts(other)
+                keep.append(bool(enough(np.minimum(a, b).sum(), a.sum(), b.sum())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], names=["u", "v"]
+            )
+
+    one = sets.select(F.col("class").alias("u"), F.col("fine").alias("one"))
+    other = sets.select(F.col("class").alias("v"), F.col("fine").alias("other"))
+    return pairs.join(one, "u").join(other, "v").mapInArrow(work, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -377,6 +410,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
     named = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
     sets = staged(with_sets(docs, staged(classes.select("key", "class").join(named, "class"), "wanted")), "sets")
+    pairs = staged(still_close(pairs, sets), "pairs")
     one = sets.select(F.col("class").alias("u"), F.col("shingles").alias("one"))
     other = sets.select(F.col("class").alias("v"), F.col("shingles").alias("other"))
     return pairs.join(one, "u").join(other, "v").mapInArrow(work, "u long, v long").distinct()
