@@ -5,9 +5,10 @@ context of 0 to ``DEPTH`` preceding bytes. Krichevsky-Trofimov estimates of all
 depths are mixed by their posterior weights, computed bottom-up. Byte
 ``END`` (never part of UTF-8) stands before and after each text.
 
-Training counts of words and byte strings come from one pass and one grouping.
-Word counts, which grow with the corpus, reach the documents by a join per part
-of the corpus; the byte model has at most 256**DEPTH contexts and is broadcast.
+Training counts of words and of byte strings grow with the corpus and reach the
+documents by a join per part of the corpus. Only the tree's top, of at most
+256**TOP contexts, is broadcast. Below it, all contexts that end with the same
+``TOP + 1`` bytes are one task's work: at most 256**(DEPTH - TOP) counts.
 """
 
 from __future__ import annotations
@@ -18,18 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tariffscope.llm.arrays import mix
 from tariffscope.llm.common import body_bytes, remainder, slices, staged
 
-#: Context bytes. The broadcast model has at most 256**DEPTH rows of 256 float32: 64 MB.
-DEPTH = 2
+#: Context bytes of the tree; at most 7, as contexts and the next byte are one 64-bit key.
+DEPTH = 5
+#: Context bytes of its broadcast top: at most 256**TOP rows of 255 nodes with three float32.
+TOP = 2
 END = 0xFF
 #: Text bytes of one part of the corpus, whose words are looked up together.
 PART_BYTES = 16 << 20
 #: Distinct keys a task counts before it passes them on.
 HELD = 300_000
+#: Distinct byte strings a task counts before it passes them on.
+HELD_STRINGS = 4_000_000
 SMOOTHING = 0.1
 WORD, BYTES = 0, 1
 _NODES = 255
@@ -59,19 +66,25 @@ def decisions(symbols: np.ndarray) -> np.ndarray:
     return made
 
 
-def log_symbols(ones: np.ndarray) -> np.ndarray:
-    """Log10 probability of each byte from the nodes' probabilities of a 1 [..., 255]."""
-    logs = np.zeros((*ones.shape[:-1], 1))
+def log_symbols(shares: np.ndarray) -> np.ndarray:
+    """Log10 probability of each byte from the nodes' shares [..., 255, 3], if nothing deeper is known."""
+    p = np.log10(shares[..., :2] + shares[..., 2:] / 2)
+    logs = np.zeros((*p.shape[:-2], 1))
     for bit in range(8):
-        p = ones[..., (1 << bit) - 1 : (2 << bit) - 1]
-        pair = np.stack([np.log10(1 - p), np.log10(p)], -1)
-        logs = (logs[..., None] + pair).reshape(*ones.shape[:-1], -1)
+        pair = p[..., (1 << bit) - 1 : (2 << bit) - 1, :]
+        logs = (logs[..., None] + pair).reshape(*p.shape[:-2], -1)
     return logs
 
 
 def estimate(counts: np.ndarray) -> np.ndarray:
-    """Krichevsky-Trofimov probability of a 1."""
-    return (counts[..., 1] + 0.5) / (counts.sum(-1) + 1.0)
+    """Krichevsky-Trofimov probabilities of a 0 and a 1."""
+    return (counts + 0.5) / (counts.sum(-1, keepdims=True) + 1.0)
+
+
+def with_node(shares: np.ndarray, counts: np.ndarray, own: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Shares [..., 3] one depth further down: probabilities of a 0 and a 1 gathered so far, and the weight left for what is deeper."""
+    gathered = shares[..., :2] + (shares[..., 2] * own)[..., None] * estimate(counts)
+    return np.concatenate([gathered, (shares[..., 2] * rest)[..., None]], -1)
 
 
 def mixed(own: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +106,164 @@ def triples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[real], offsets + np.arange(documents + 1)
 
 
+def strings_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys ``last byte, ..., DEPTH-th last byte, byte`` at every byte and end of each text, and where texts start in them."""
+    documents = len(offsets) - 1
+    start = offsets + (DEPTH + 1) * np.arange(documents + 1)
+    spread = np.full(len(data) + (DEPTH + 1) * documents, END, np.uint64)
+    where = np.ones(len(spread), bool)
+    where[start[1:] - 1] = False
+    real = np.ones(len(spread) - DEPTH, bool)
+    for back in range(DEPTH):
+        where[start[:-1] + back] = False
+        real[start[1:-1] - 1 - back] = False
+    spread[where] = data
+    keys = spread[DEPTH:].copy()
+    for back in range(1, DEPTH + 1):
+        keys |= spread[DEPTH - back : len(spread) - back] << np.uint64(8 * (DEPTH + 1 - back))
+    return keys[real], offsets + np.arange(documents + 1)
+
+
+def shortened(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys with ``depth`` context bytes of keys with ``DEPTH``."""
+    return (keys >> np.uint64(8 * (DEPTH + 1 - depth)) << np.uint64(8)) | (keys & np.uint64(255))
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that deals sorted keys to buckets by their last ``TOP + 1`` context bytes, and where each bucket starts in it."""
+    bucket = mix(keys >> np.uint64(8 * (DEPTH - TOP))) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest bytes of all first; sorted ones compress well that way."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and their summed counts."""
+    keys = np.concatenate([k for k, _ in held])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[head], np.add.reduceat(np.concatenate([n for _, n in held])[order], head)
+
+
+def string_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, keys, n``: one row per bucket with the byte strings of training texts and their counts, packed."""
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, n = summed(held)
+        order, bounds = by_bucket(keys, buckets)
+        cuts = [(b, order[bounds[b] : bounds[b + 1]]) for b in np.flatnonzero(np.diff(bounds))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _ in cuts], pa.int32()), pa.array([packed(keys[c]) for _, c in cuts], pa.binary()),
+             pa.array([packed(n[c]) for _, c in cuts], pa.binary())],
+            names=["bucket", "keys", "n"],
+        )
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in source:
+            for run in slices(batch, "text"):
+                held.append(np.unique(strings_of(*body_bytes(run.column("text")))[0], return_counts=True))
+                if sum(len(k) for k, _ in held) > HELD_STRINGS:
+                    held = [summed(held)]
+                    if len(held[0][0]) > HELD_STRINGS // 2:
+                        yield rows(held)
+                        held = []
+        if held:
+            yield rows(held)
+
+    def together(table: pa.Table) -> pa.Table:
+        pairs = zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)
+        keys, n = summed([(unpacked(k), unpacked(c)) for k, c in pairs])
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([packed(keys)], pa.binary()), "n": pa.array([packed(n)], pa.binary())})
+
+    kinds = "bucket int, keys binary, n binary"
+    partial = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, kinds)
+    return partial.groupBy("bucket").applyInArrow(together, kinds)
+
+
+def lower_tree(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, dict[int, tuple], np.ndarray, np.ndarray]]:
+    """For each bit of the next byte, the nodes below the top with counts: by depth their sorted ids, counts, own weight and the rest.
+
+    An id is the context, last byte first, and the bits before. Also the ids at
+    depth ``TOP`` that the nodes of the next depth belong to, and their weighted
+    log probabilities. Without counts a node's probability is one half whatever
+    its weight, so that it needs no entry.
+    """
+    levels = {DEPTH: (keys, n.astype(np.float64))}
+    for depth in range(DEPTH - 1, TOP, -1):
+        short, back = np.unique(shortened(keys, depth), return_inverse=True)
+        levels[depth] = short, np.bincount(back, levels[DEPTH][1], len(short))
+    for bit in range(8):
+        nodes: dict[int, tuple] = {}
+        above, weighted = keys[:0], np.zeros(0)
+        for depth in range(DEPTH, TOP, -1):
+            own_keys, own_n = levels[depth]
+            cell = own_keys >> np.uint64(8 - bit)
+            head = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            one = (own_keys >> np.uint64(7 - bit) & np.uint64(1)).astype(np.float64)
+            counts = np.stack([np.add.reduceat(own_n * (1 - one), head), np.add.reduceat(own_n * one, head)], -1)
+            cell, own = cell[head], log_kt(counts)
+            if depth == DEPTH:
+                nodes[depth] = cell, counts, np.ones(len(cell)), np.zeros(len(cell))
+                weighted = own
+            else:
+                deeper = np.bincount(np.searchsorted(cell, above), weighted, len(cell))
+                nodes[depth] = cell, counts, mixed(own, deeper)[0], mixed(deeper, own)[0]
+                weighted = mixed(own, deeper)[1]
+            above = (cell >> np.uint64(bit + 8) << np.uint64(bit)) | (cell & np.uint64((1 << bit) - 1))
+        yield bit, nodes, above, weighted
+
+
+def below_top(counts: DataFrame) -> DataFrame:
+    """``last, before, node, weighted``: for each node of the deepest contexts of the top, the sum over their longer contexts."""
+
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for bit, _, above, weighted in lower_tree(unpacked(keys), unpacked(n)):
+                    cell, back = np.unique(above, return_inverse=True)
+                    context = (cell >> np.uint64(bit)).astype(np.int64)
+                    node = (1 << bit) - 1 + (cell & np.uint64((1 << bit) - 1)).astype(np.int64)
+                    last = pa.array([bytes([c]) for c in context >> 8], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [last, pa.array(context & 255), pa.array(node), pa.array(np.bincount(back, weighted, len(cell)))],
+                        names=["last", "before", "node", "weighted"],
+                    )
+
+    partial = counts.mapInArrow(work, "last binary, before long, node long, weighted double")
+    return partial.groupBy("last", "before", "node").agg(F.sum("weighted").alias("weighted"))
+
+
+def log_strings(wanted: np.ndarray, keys: np.ndarray, n: np.ndarray, rows: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Log10 probability of the last byte of each wanted key after the others; ``keys`` has the counts of its bucket."""
+    context = (wanted >> np.uint64(8 * (DEPTH + 1 - TOP))).astype(np.int64)
+    row = rows[(context & 255) * 256 + (context >> 8)]
+    byte = (wanted & np.uint64(255)).astype(np.int64)
+    logs = np.zeros(len(wanted))
+    tree = lower_tree(keys, n) if len(keys) else ((bit, {}, None, None) for bit in range(8))
+    for bit, nodes, _, _ in tree:
+        shares = top[row, (1 << bit) - 1 + (byte >> (8 - bit))].astype(np.float64)
+        for depth in sorted(nodes):
+            cell, counts, own, rest = nodes[depth]
+            own_cell = shortened(wanted, depth) >> np.uint64(8 - bit)
+            at = np.minimum(np.searchsorted(cell, own_cell), len(cell) - 1)
+            hit = np.flatnonzero(cell[at] == own_cell)
+            at = at[hit]
+            shares[hit] = with_node(shares[hit], counts[at], own[at], rest[at])
+        p = shares[:, :2] + shares[:, 2:] / 2
+        logs += np.log10(np.where(byte >> (7 - bit) & 1, p[:, 1], p[:, 0]))
+    return logs
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -136,45 +307,56 @@ def _grouped(table: pa.Table) -> tuple[int, np.ndarray]:
     return int(keys[0, 1]), counts
 
 
-def byte_model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Row of each two-byte context, and rows of log10 probabilities of the next byte.
+def top_model(counts: DataFrame, deeper: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each context of ``TOP`` bytes, and rows of the 255 nodes' shares down to there.
 
+    ``deeper`` has the sums over longer contexts; without it the tree ends here.
     Each group of contexts with the same last byte (at most 65,536 counts) is
     one task's work; the root mixes 255 sums over at most 256 groups.
     """
-    grouped = counts.filter(F.col("kind") == BYTES).groupBy(F.substring("key", 2, 1).alias("last"))
+    ends = deeper is None
+    if deeper is None:
+        deeper = counts.sparkSession.createDataFrame([], "last binary, before long, node long, weighted double")
+    grouped = counts.filter(F.col("kind") == BYTES).groupBy(F.substring("key", 2, 1).alias("last")).cogroup(deeper.groupBy("last"))
 
-    def weigh(table: pa.Table) -> pa.Table:
+    def nodes_of(table: pa.Table, below: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         last, found = _grouped(table)
-        deepest = log_kt(decisions(found)).sum(0)
+        sums = np.zeros((256, _NODES))
+        sums[below.column("before").to_numpy(), below.column("node").to_numpy()] = below.column("weighted").to_numpy()
+        nodes = decisions(found)
+        own = log_kt(nodes)
+        return last, found, nodes, own, sums
+
+    def weigh(table: pa.Table, below: pa.Table) -> pa.Table:
+        _, found, _, deepest, sums = nodes_of(table, below)
         own = decisions(found.sum(0))
-        return pa.table({"node": np.arange(_NODES), "zeros": own[:, 0], "ones": own[:, 1], "weighted": mixed(log_kt(own), deepest)[1]})
+        under = (deepest if ends else mixed(deepest, sums)[1]).sum(0)
+        return pa.table({"node": np.arange(_NODES), "zeros": own[:, 0], "ones": own[:, 1], "weighted": mixed(log_kt(own), under)[1]})
 
     sums = grouped.applyInArrow(weigh, "node long, zeros double, ones double, weighted double")
     root_rows = sums.groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect()
     root = np.zeros((_NODES, 3))
     for row in root_rows:
         root[row[0]] = row[1:]
-    root_counts = root[:, :2]
-    root_weight = mixed(log_kt(root_counts), root[:, 2])[0]
-    root_one = estimate(root_counts)
-
-    def finish(below: np.ndarray) -> np.ndarray:
-        return log_symbols(root_weight * root_one + (1 - root_weight) * below).astype("<f4")
+    root_own = log_kt(root[:, :2])
+    start = np.broadcast_to(np.array([0.0, 0.0, 1.0]), (_NODES, 3))
+    at_root = with_node(start, root[:, :2], mixed(root_own, root[:, 2])[0], mixed(root[:, 2], root_own)[0])
 
-    def predict(table: pa.Table) -> pa.Table:
-        last, found = _grouped(table)
-        nodes = decisions(found)
+    def predict(table: pa.Table, below: pa.Table) -> pa.Table:
+        last, found, nodes, deepest, sums = nodes_of(table, below)
         own = decisions(found.sum(0))
-        weight = mixed(log_kt(own), log_kt(nodes).sum(0))[0]
+        log_own, under = log_kt(own), (deepest if ends else mixed(deepest, sums)[1]).sum(0)
+        short = with_node(at_root, own, mixed(log_own, under)[0], mixed(under, log_own)[0])
         seen = np.flatnonzero(found.sum(1))
-        deeper = np.vstack([estimate(nodes[seen]), np.full((1, _NODES), 0.5)])
-        logs = finish(weight * estimate(own) + (1 - weight) * deeper)
+        weight = np.ones((len(seen), _NODES)) if ends else mixed(deepest[seen], sums[seen])[0]
+        rest = 0 * weight if ends else mixed(sums[seen], deepest[seen])[0]
+        full = with_node(np.broadcast_to(short, (len(seen), _NODES, 3)), nodes[seen], weight, rest)
+        shares = [*full, short]
         context = np.concatenate([seen * 256 + last, [-1 - last]])
-        return pa.table({"context": context, "logs": [row.tobytes() for row in logs]})
+        return pa.table({"context": context, "shares": pa.array([row.astype("<f4").tobytes() for row in shares], pa.binary())})
 
-    predicted = grouped.applyInArrow(predict, "context long, logs binary").collect()
-    table = [finish(np.full(_NODES, 0.5)), *(np.frombuffer(r["logs"], "<f4") for r in predicted)]
+    predicted = grouped.applyInArrow(predict, "context long, shares binary").collect()
+    table = [at_root.astype("<f4"), *(np.frombuffer(r["shares"], "<f4").reshape(_NODES, 3) for r in predicted)]
     rows = np.zeros((256, 256), np.int32)
     for number, row in enumerate(predicted, 1):
         if row["context"] < 0:
@@ -185,11 +367,21 @@ def byte_model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows.reshape(-1), np.stack(table)
 
 
-def score_texts(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """Log10 probability of each text with its end."""
-    keys, first = triples(data, offsets)
-    each = logs[rows[keys >> np.uint32(8)], keys & np.uint32(255)].astype(np.float64)
-    return np.add.reduceat(each, first[:-1]) if len(first) > 1 else np.zeros(0)
+def byte_model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tree that ends at its top: row of each two-byte context, and rows of log10 probabilities of the next byte."""
+    rows, shares = top_model(counts, None)
+    return rows, log_symbols(shares.astype(np.float64)).astype("<f4")
+
+
+def part_strings(texts: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distinct byte strings of a part, sorted, and for each run of texts its own, where they stand, and where texts start."""
+    runs = []
+    for batch in texts.to_batches():
+        for run in slices(batch, "text"):
+            keys, first = strings_of(*body_bytes(run.column("text")))
+            own, back = np.unique(keys, return_inverse=True)
+            runs.append((own, back.astype(np.int32), first))
+    return np.unique(np.concatenate([own for own, _, _ in runs])), runs
 
 
 def part_of(parts: int) -> Column:
@@ -214,10 +406,10 @@ def score(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     size = given.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     total = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total["n"] or 0, total["v"]
-    rows, logs = byte_model(counts)
-    model = docs.sparkSession.sparkContext.broadcast((rows, logs))
+    parts = buckets = max(1, -(-size // part_bytes))
+    strings = staged(string_counts(given, buckets), "string-counts")
+    model = docs.sparkSession.sparkContext.broadcast(top_model(counts, below_top(strings)))
 
-    parts = max(1, -(-size // part_bytes))
     dealt = given.withColumn("part", part_of(parts)).repartition(parts, "part")
 
     def vocabulary(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +425,31 @@ def score(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     wanted = dealt.mapInArrow(vocabulary, "part int, key binary")
     found = wanted.join(known, "key").select("part", "key", "c")
 
+    def ask(texts: pa.Table) -> pa.Table:
+        runs = (run for batch in texts.to_batches() for run in slices(batch, "text"))
+        keys = np.unique(np.concatenate([np.unique(strings_of(*body_bytes(run.column("text")))[0]) for run in runs]))
+        order, bounds = by_bucket(keys, buckets)
+        asked = np.flatnonzero(np.diff(bounds))
+        return pa.table({
+            "part": pa.array([texts.column("part")[0].as_py()] * len(asked), pa.int32()), "bucket": pa.array(asked, pa.int32()),
+            "keys": pa.array([packed(keys[order[bounds[b] : bounds[b + 1]]]) for b in asked], pa.binary()),
+        })
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = [unpacked(k) for k in left.column("keys").to_pylist()]
+        wanted = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.uint64)
+        found = [unpacked(right.column(c)[0].as_py()) if len(right) else np.zeros(0, np.uint64) for c in ("keys", "n")]
+        logs = log_strings(wanted, *found, *model.value).astype("<f4")
+        given_back = pa.array([logs[np.searchsorted(wanted, k)].tobytes() for k in asked], pa.binary())
+        return pa.table({"part": left.column("part"), "bucket": left.column("bucket"), "logs": given_back})
+
+    asked = dealt.groupBy("part").applyInArrow(ask, "part int, bucket int, keys binary")
+    answers = asked.groupBy("bucket").cogroup(strings.groupBy("bucket")).applyInArrow(answer, "part int, bucket int, logs binary")
+    found = found.unionByName(answers, allowMissingColumns=True)
+
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        strings_right = right.filter(pc.is_valid(right.column("logs"))).sort_by("bucket")
+        right = right.filter(pc.is_valid(right.column("key")))
         lookup = dict(zip(right.column("key").to_pylist(), right.column("c").to_pylist(), strict=True))
         floor = tokens + SMOOTHING * (distinct + 1)
         logs_of = {w: math.log10((c + SMOOTHING) / floor) for w, c in lookup.items()}
@@ -248,7 +464,12 @@ def score(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
                     made["n_tokens"].append(len(own))
                     made["n_known"].append(len(hits))
                     made["base_score"].append(math.fsum(hits) + (len(own) - len(hits)) * unknown)
-                made["score"].extend(score_texts(*body_bytes(column), *model.value))
+        keys, runs = part_strings(left)
+        logs = np.zeros(len(keys))
+        logs[by_bucket(keys, buckets)[0]] = np.frombuffer(b"".join(strings_right.column("logs").to_pylist()), "<f4")
+        for own, back, first in runs:
+            each = logs[np.searchsorted(keys, own)][back]
+            made["score"].extend(np.add.reduceat(each, first[:-1]))
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"),
             "n_tokens": pa.array(made["n_tokens"], pa.int64()), "n_known": pa.array(made["n_known"], pa.int64()),

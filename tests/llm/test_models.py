@@ -97,6 +97,57 @@ def test_scores_and_base(docs):
     assert untrained["train_tokens"] == 0 and math.isclose(untrained["score"], -3 * math.log10(256), rel_tol=1e-3)
 
 
+def test_score_is_the_conditional_of_the_whole_tree(docs):
+    """Bytes far behind count: each byte's gain by the recursive definition over all contexts of up to ``DEPTH`` bytes."""
+    depth = ctw.DEPTH
+    assert depth > 2
+    train = [b"abracadabra", b"abracadab", b"banana band xyzab", b""]
+    counts = defaultdict(lambda: [0, 0])
+
+    def symbols(text):
+        data = bytes([ctw.END] * depth) + text + bytes([ctw.END])
+        return [(data[at - depth : at], data[at]) for at in range(depth, len(data))]
+
+    def path(byte):
+        return [((1 << (7 - bit)) | (byte >> (bit + 1)), byte >> bit & 1) for bit in range(7, -1, -1)]
+
+    for text in train:
+        for before, byte in symbols(text):
+            for node, one in path(byte):
+                for d in range(depth + 1):
+                    counts[before[depth - d :], node][one] += 1
+    contexts = defaultdict(set)
+    for before, node in counts:
+        if before:
+            contexts[before[1:], node].add(before)
+
+    def weighted(before, node, added):
+        a, b = counts[before, node] if (before, node) in counts else (0, 0)
+        at, one = added
+        if at.endswith(before):
+            a, b = a + (one == 0), b + (one == 1)
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        if len(before) == depth:
+            return own
+        below = set(contexts.get((before, node), ()))
+        if at.endswith(before) and one is not None:
+            below.add(at[depth - len(before) - 1 :])
+        deeper = sum(weighted(c, node, added) for c in below)
+        high = max(own, deeper)
+        return high + math.log((math.exp(own - high) + math.exp(deeper - high)) / 2)
+
+    def log10_of(text):
+        gains = [weighted(b"", node, (before, one)) - weighted(b"", node, (before, None)) for before, byte in symbols(text) for node, one in path(byte)]
+        return sum(gains) / math.log(10)
+
+    held = [b"abracadabra", b"anana xyz\xc3\xa9", b"", b"qab"]
+    rows = list(zip(TRAIN_IDS, train, strict=True)) + list(zip(HELD, held, strict=False))
+    for part_bytes in (1 << 20, 20):
+        got = {r["doc_id"]: r["score"] for r in ctw.score(docs([(i, t.decode()) for i, t in rows]), part_bytes=part_bytes).collect()}
+        for i, text in rows:
+            assert math.isclose(got[i], log10_of(text), rel_tol=1e-5), (text, part_bytes)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 3.5, 100.5, 1e9])
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-10)
