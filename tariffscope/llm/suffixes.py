@@ -1,24 +1,25 @@
-"""Long repeated strings of a corpus, removed from every place, by a truncated distributed suffix array.
-
-Only prefixes of ``LENGTH`` bytes matter, so suffixes are named that far:
-
-1. A content-defined difference cover samples suffixes: of every ``COVER``
-   consecutive positions the one with the least local hash. Equal strings of
-   ``LENGTH`` bytes have their sampled position at the same distance from their
-   start, which is what a difference cover is for; each sampled suffix answers
-   for the run of starts ("lead") that lead to it.
-2. Sampled suffixes are named by the triple of their next three blocks. A name
-   that occurs once ends there.
-3. The names recurse on the whole neighbourhood: a sampled suffix whose lead and
-   following bytes have a twin is repeated with its whole lead.
-4. For the rest, the remaining suffixes (the starts of the lead) are merged:
-   within each triple name, their names are sorted.
-5. Adjacent prefixes are compared: equal ones are repeated.
-
-Names are 64-bit hashes, so the order within the array is that of names; equality
-of prefixes is all that removal asks. Counting is partial before each shuffle,
-and a triple name with very many neighbourhoods is split by distance, down to
-one start, until its parts are small or plain counts.
+"""Long repeated strings of a corpus, removed from every place, by grouping hashes of sampled suffixes.
+
+No suffix array is built: removal asks which prefixes of ``LENGTH`` bytes are
+equal, not for their order, so sorting, recursion and merging are replaced:
+
+1. A content-defined cover samples suffixes: of every ``COVER`` consecutive
+   positions the one with the least local hash. Equal strings of ``LENGTH`` bytes
+   have their sampled position at the same distance from their start, as with a
+   difference cover; each sampled suffix answers for the run of starts ("lead")
+   that lead to it.
+2. In place of sorted triples: sampled suffixes are grouped by a hash of their
+   next three blocks. One that occurs once ends there.
+3. In place of a recursion on names: one grouping by a hash of the whole
+   neighbourhood. A sampled suffix whose lead and following bytes have a twin is
+   repeated with its whole lead.
+4. In place of merging the remaining suffixes: hashes of all ``LENGTH`` byte
+   strings of the lead are sorted within a task, for each triple name, and equal
+   neighbours are repeated.
+
+Names are 64-bit hashes. Counting is partial before each shuffle, and a triple
+name with very many neighbourhoods is split by distance, down to one start,
+until its parts are small or plain counts.
 """
 
 from __future__ import annotations
