@@ -65,15 +65,16 @@ def extract(
 ) -> DataFrame:
     """(record_id, source_file, text) to (record_id, source_file, payload).
 
-    ``extractor`` is a mapInPandas function given ``record_id, source_file, prompt``
-    batches, where the prompt is the cleaned text and the opening of the raw one.
+    ``extractor`` is a mapInPandas function given ``record_id, source_file, prompt,
+    text`` batches, where the prompt is the cleaned text and the opening of the raw
+    one, and the text is the whole raw one, for the extractor to cut.
     Without it labelled amounts are read by patterns.
     """
     if extractor is None:
         return documents.select("record_id", "source_file", _pattern_payload().alias("payload"))
     prompt = F.concat(tx.clean_lines(F.col("text")), F.lit("\n\n"), F.substring("text", 1, 300))
     kind = documents.schema["record_id"].dataType.simpleString()
-    return documents.select("record_id", "source_file", prompt.alias("prompt")).mapInPandas(
+    return documents.select("record_id", "source_file", prompt.alias("prompt"), "text").mapInPandas(
         extractor, f"record_id {kind}, source_file string, payload string"
     )
 

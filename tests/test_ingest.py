@@ -131,3 +131,14 @@ def test_documents_are_read_whole(spark, tmp_path):
     rows = {r["source_file"]: r["text"] for r in documents.read_documents(spark, str(tmp_path)).collect()}
     assert rows == {"a.txt": "one\ntwo", "b.txt": "three"}
     assert documents.discover(spark, str(tmp_path), "*.txt").count() == 2
+
+
+def test_extractor_gets_the_whole_raw_text(spark):
+    raw = "".join(f"line {k}: 1.00\n" for k in range(100)) + "  |  late note \u00a7\n-\n"
+    docs = spark.createDataFrame([(1, "a.pdf", raw)], "record_id long, source_file string, text string")
+
+    def answer(batches):
+        for batch in batches:
+            yield batch.assign(payload=batch["text"])[["record_id", "source_file", "payload"]]
+
+    assert ig.extract(docs, answer).first()["payload"] == raw
