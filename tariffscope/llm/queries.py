@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import ctw, decontaminate, jaccard, langid, packing, pii, quality, sharding, spelling, suffixes, tokencount
+from tariffscope.llm import bbit, ctw, decontaminate, jaccard, langid, packing, pii, quality, sharding, spelling, suffixes, tokencount
 from tariffscope.llm.common import importable, remainder, table
 from tariffscope.llm.sql import SQL as SQL
 from tariffscope.session import tune
@@ -69,6 +69,10 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+def op11_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bbit.near_copies(documents(spark, folder))
+
+
 def op12_trie_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(documents(spark, folder))
 
@@ -84,5 +88,6 @@ QUERIES: dict[str, Run] = {
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_context_tree": op10_context_tree,
+    "op11_bbit_minhash": op11_bbit_minhash,
     "op12_trie_pairs": op12_trie_pairs,
 }

@@ -28,17 +28,24 @@ FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _SPACED = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
-OP6 = f"""
+
+def _near_copies(width: int, percent: int) -> str:
+    """Components of documents whose sets of ``width``-word shingles are similar."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS words FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, list_slice(words, k, k + least(len(words), 5) - 1) AS shingle
-  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS k FROM d WHERE len(words) > 0)),
+  SELECT DISTINCT doc_id, list_slice(words, k, k + least(len(words), {width}) - 1) AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {width - 1}, 1) + 1)) AS k FROM d WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= {percent} * (x.n + y.n - c)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op6_count_vector_join": OP6, "op9_decontaminate": OP9}
+
+OP6 = _near_copies(5, 75)
+OP11 = f"SELECT *, doc_id = component_id AS kept FROM ({_near_copies(3, 85)})"
+
+SQL: dict[str, str] = {"op6_count_vector_join": OP6, "op9_decontaminate": OP9, "op11_bbit_minhash": OP11}
