@@ -66,13 +66,13 @@ class Words:
     hash: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
-    """Runs of bytes that aren't ASCII white space; texts never share a word."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, between: np.ndarray = SPACE) -> Words:
+    """Runs of bytes that aren't ASCII white space (or not ``between``); texts never share a word."""
     documents = len(offsets) - 1
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(documents + 1, np.int64), np.zeros(0, np.uint64))
-    inside = ~SPACE[data]
+    inside = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begins = inside.copy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffscope.llm import bbit, ctw, decontaminate, jaccard, langid, packing, pii, quality, sharding, spelling, suffixes, tokencount
+from tariffscope.llm import bbit, collocations, ctw, decontaminate, jaccard, langid, packing, pii, quality, sharding, spelling, suffixes, tokencount
 from tariffscope.llm.common import importable, remainder, table
 from tariffscope.llm.sql import SQL as SQL
 from tariffscope.session import tune
@@ -77,6 +77,10 @@ def op12_trie_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(documents(spark, folder))
 
 
+def op13_best_first(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder, "lang"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_gru": op2_byte_gru,
@@ -90,4 +94,5 @@ QUERIES: dict[str, Run] = {
     "op10_context_tree": op10_context_tree,
     "op11_bbit_minhash": op11_bbit_minhash,
     "op12_trie_pairs": op12_trie_pairs,
+    "op13_best_first": op13_best_first,
 }

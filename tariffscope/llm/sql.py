@@ -48,4 +48,30 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 OP6 = _near_copies(5, 75)
 OP11 = f"SELECT *, doc_id = component_id AS kept FROM ({_near_copies(3, 85)})"
 
-SQL: dict[str, str] = {"op6_count_vector_join": OP6, "op9_decontaminate": OP9, "op11_bbit_minhash": OP11}
+OP13 = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS words FROM pieces),
+lengths AS (SELECT unnest(range(1, 5)) AS size),
+grams AS (
+  SELECT lang, size, list_slice(words, k, k + size - 1) AS p
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM w, lengths WHERE len(words) >= size)),
+f AS (SELECT lang, size, p, count(*) AS a FROM grams GROUP BY lang, size, p HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM grams WHERE size = 1 GROUP BY lang),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+sides AS (SELECT c.lang, c.size, c.p, c.a, c.k, x.a AS l, y.a AS r,
+    CAST((2000000::HUGEINT * c.a) // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = list_slice(c.p, 1, c.k)
+  JOIN f y ON y.lang = c.lang AND y.p = list_slice(c.p, c.k + 1, c.size)),
+lowest AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS a FROM (
+    SELECT lang, list_slice(p, 1, size - 1) AS part, a FROM f WHERE size > 2
+    UNION ALL SELECT lang, list_slice(p, 2, size), a FROM f WHERE size > 2) GROUP BY lang, part),
+kept AS (SELECT c.lang, array_to_string(c.p, ' ') AS phrase, c.a, c.l, c.r, c.score
+  FROM lowest c LEFT JOIN longer g ON g.lang = c.lang AND g.part = c.p WHERE g.a IS NULL OR 100 * g.a < 80 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op6_count_vector_join": OP6, "op9_decontaminate": OP9, "op11_bbit_minhash": OP11, "op13_best_first": OP13}
