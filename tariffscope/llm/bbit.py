@@ -4,9 +4,10 @@
    ``BANDS * ROWS`` minima of its set as ``BITS`` low bits each, packed into words,
    and one key per band, a hash of the band's whole minima.
 2. Classes with a band key in common form a bucket. Within it the packed signatures
-   are compared by counting equal bit fields; ``estimate`` corrects for fields that
-   agree by chance. A bucket hands on the links of a spanning forest, at most one
-   for each member, not its pairs.
+   are compared by counting equal bit fields; the least count that passes allows
+   for fields that agree by chance, as ``estimate`` does. A bucket hands on the links
+   of a spanning forest, at most one for each member, not its pairs. Buckets of the
+   same members are looked at once.
 3. What these connect is a cluster; every pair that shares a bucket and passes the
    estimate lies within one. Each cluster's full sets meet once, and pairs of them
    that pass the estimate are confirmed on the sets. Again a forest is handed on.
@@ -19,7 +20,7 @@ task gets more than two parts whatever the group, and no pair is left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ MISS = 1e-10
 #: Signatures of a bucket, and shingles of a cluster, that make one part.
 BUCKET_PART, CLUSTER_PART = 8192, 1 << 21
 
+#: Signatures that are compared in one go.
+TOGETHER = 1 << 16
+
 MINIMA = BANDS * ROWS
 _WORDS = MINIMA * BITS // 64
 _ONES = np.uint64(0x1111111111111111)
@@ -95,26 +99,29 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def agreements(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """How many bit fields of ``one`` each row of ``others`` shares, by counting bits of what differs."""
+    """How many bit fields signatures share (their words are the last axis), by counting bits of what differs."""
     differ = one ^ others
     differ |= differ >> np.uint64(2)
     differ |= differ >> np.uint64(1)
-    return MINIMA - np.bitwise_count(differ & _ONES).sum(1, dtype=np.int64)
+    return MINIMA - np.bitwise_count(differ & _ONES).sum(-1, dtype=np.int64)
 
 
 def estimate(agree: np.ndarray) -> np.ndarray:
-    """Similarity from the share of equal fields, of which 2 ** -BITS of the others agree by chance."""
+    """Similarity from the share of equal fields, corrected for those that agree by chance, 2 ** -BITS of the others."""
     return (agree / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def lowest_estimate() -> float:
-    """The estimate that a pair at the limit misses with a chance of at most ``MISS``."""
+def least_fields() -> int:
+    """Equal fields of which a pair at the limit has fewer with a chance of at most ``MISS``."""
     p = PERCENT / 100
     p += (1 - p) * 2.0**-BITS
     below, fields = 0.0, 0
     while (below := below + math.comb(MINIMA, fields) * p**fields * (1 - p) ** (MINIMA - fields)) <= MISS:
         fields += 1
-    return float(estimate(np.float64(fields)))
+    return fields
+
+
+LEAST_FIELDS = least_fields()
 
 
 def enough(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
@@ -169,97 +176,115 @@ def in_parts(members: DataFrame, group: str, parts: Column) -> DataFrame:
     return members.select(F.col(group).alias("group"), "class", "n", "payload", F.inline(pairs))
 
 
-def forests(members: DataFrame, close: Callable[[np.ndarray, list[bytes]], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
-    """``u, v``: links that connect the members of each group wherever ``close`` ones do; at most one for each member.
+class Signatures:
+    """Members of one group, the smallest set first, compared by their packed signatures."""
 
-    ``close(sizes, payloads)`` looks at a group's members, the smallest set first, and
-    returns a function that says which of some positions are close to one.
-    """
+    def __init__(self, sizes: np.ndarray, payloads: list[bytes]):
+        self.sizes = sizes
+        self.rows = self.signatures(payloads)
 
-    def linked(table: pa.Table) -> pa.RecordBatch:
-        n, side, own = (table.column(c).to_numpy() for c in ("n", "side", "class"))
-        same_part = table.column("left")[0] == table.column("right")[0]
-        near = close(n, table.column("payload").to_pylist())
-        label = np.arange(len(n))
-        links = [np.zeros((2, 0), np.int64)]
+    def signatures(self, payloads: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(payloads), np.uint64).reshape(-1, _WORDS)
+
+    def passing(self, of: np.ndarray) -> np.ndarray:
+        """For each of some members, which ones pass the estimate and the bound on sizes."""
+        fits = 100 * np.minimum(self.sizes, self.sizes[of, None]) >= PERCENT * np.maximum(self.sizes, self.sizes[of, None])
+        return fits & (agreements(self.rows[of, None], self.rows) >= LEAST_FIELDS)
+
+    def confirmed(self, q: int, at: np.ndarray) -> np.ndarray:
+        """Those of the passing ``at`` that count as linked with member ``q``."""
+        return at
+
+
+class Sets(Signatures):
+    """The same with payloads that are full sets, on which links are confirmed."""
+
+    def signatures(self, payloads: list[bytes]) -> np.ndarray:
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        hashes = np.concatenate([np.frombuffer(p, np.uint64) for p in payloads])
+        self.ids = np.unique(hashes, return_inverse=True)[1]
+        self.marked = np.zeros(self.ids.max() + 1, bool)
+        return packed(minima(hashes, self.first))
 
-        hub = len(n) // 2
-        others = np.delete(np.arange(len(n)), hub)
-        others = others[near(hub, others)]
-        if len(others):
-            links.append(np.stack([np.full(len(others), own[hub]), own[others]]))
-            label[others] = hub
-        # Pairs that are both connected by the hub need no look; all others have a member that isn't.
-        unseen = np.ones(len(n), bool)
-        for q in np.flatnonzero(label != hub):
+    def confirmed(self, q: int, at: np.ndarray) -> np.ndarray:
+        own = self.ids[self.first[q] : self.first[q + 1]]
+        each = self.sizes[at]
+        begin = np.cumsum(each) - each
+        places = np.repeat(self.first[at] - begin, each) + np.arange(each.sum())
+        self.marked[own] = True
+        overlap = np.add.reduceat(self.marked[self.ids[places]], begin, dtype=np.int64)
+        self.marked[own] = False
+        return at[enough(overlap, self.sizes[q], each)]
+
+
+def forest(group: Signatures, side: np.ndarray | None) -> list[np.ndarray]:
+    """Links as pairs of positions that connect a group's members wherever linked ones are; with ``side``, only across."""
+    size = len(group.sizes)
+    label = np.arange(size)
+    unseen = np.ones(size, bool)
+    hub = size // 2
+    unseen[hub] = False
+    at = np.flatnonzero(group.passing(np.array([hub]))[0] & unseen)
+    at = group.confirmed(hub, at) if len(at) else at
+    links = [np.stack([np.full(len(at), hub), at])]
+    label[at] = hub
+    # Pairs that the hub connects need no look; all others have a member that it doesn't.
+    rest = np.flatnonzero(label != hub)
+    step = max(1, TOGETHER // size)
+    for start in range(0, len(rest) if size > 2 else 0, step):
+        block = rest[start : start + step]
+        for q, row in zip(block, group.passing(block), strict=True):
             unseen[q] = False
-            fits = unseen & (label != label[q]) & (100 * np.minimum(n, n[q]) >= PERCENT * np.maximum(n, n[q]))
-            at = np.flatnonzero(fits if same_part else fits & (side != side[q]))
-            at = at[near(q, at)]
-            for to in at[np.unique(label[at], return_index=True)[1]]:
-                links.append(own[[[q], [to]]])
+            at = np.flatnonzero(row & unseen & (label != label[q]))
+            at = at if side is None else at[side[at] != side[q]]
+            at = group.confirmed(q, at) if len(at) else at
+            for to in at[np.unique(label[at], return_index=True)[1]] if len(at) else ():
+                links.append(np.array([[q], [to]]))
                 label[label == label[to]] = label[q]
+    return links
+
+
+def forests(members: DataFrame, kind: type[Signatures]) -> DataFrame:
+    """``u, v``: links that connect the members of each group wherever those of ``kind`` do; at most one for each member."""
+
+    def of(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        n, side, own, left, right = (table.column(c).to_numpy() for c in ("n", "side", "class", "left", "right"))
+        payloads = table.column("payload").to_pylist()
+        links = [np.zeros((2, 0), np.int64)]
+        for start, stop in zip(starts[:-1], starts[1:], strict=True):
+            if stop - start > 1:
+                group = kind(n[start:stop], payloads[start:stop])
+                across = side[start:stop] if left[start] != right[start] else None
+                links += [own[start + pairs] for pairs in forest(group, across)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(links, 1)], names=["u", "v"])
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for batch in source:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held.column(c).to_numpy() for c in ("group", "left", "right")])
+            table = pa.Table.from_batches([*held, batch])
+            keys = np.stack([table.column(c).to_numpy() for c in ("group", "left", "right")])
             starts = np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1)
-            for start, stop in zip(starts[:-1], starts[1:], strict=True):
-                if stop - start > 1:
-                    yield linked(held.slice(start, stop - start))
-            held = held.slice(starts[-1]) if held.num_rows else None
-        if held is not None and held.num_rows > 1:
-            yield linked(held)
+            if starts[-1]:
+                yield of(table.slice(0, starts[-1]), starts)
+            held = table.slice(starts[-1]).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield of(table, np.array([0, table.num_rows]))
 
     block = ["group", "left", "right"]
     return members.repartition(*block).sortWithinPartitions(*block, "n", "class").mapInArrow(work, "u long, v long").distinct()
 
 
-def close_signatures(sizes: np.ndarray, payloads: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
-    rows = np.frombuffer(b"".join(payloads), np.uint64).reshape(-1, _WORDS)
-    least = lowest_estimate()
-    return lambda q, at: estimate(agreements(rows[q], rows[at])) >= least
-
-
-def similar_sets(sizes: np.ndarray, payloads: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Pairs that pass the estimate, confirmed on the full sets."""
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    hashes = np.concatenate([np.frombuffer(p, np.uint64) for p in payloads])
-    rows = packed(minima(hashes, first))
-    ids = np.unique(hashes, return_inverse=True)[1]
-    marked = np.zeros(ids.max() + 1, bool)
-    least = lowest_estimate()
-
-    def near(q: int, at: np.ndarray) -> np.ndarray:
-        close = estimate(agreements(rows[q], rows[at])) >= least
-        hopeful = at[close]
-        if not len(hopeful):
-            return close
-        marked[ids[first[q] : first[q + 1]]] = True
-        each = sizes[hopeful]
-        begin = np.cumsum(each) - each
-        places = np.repeat(first[hopeful] - begin, each) + np.arange(each.sum())
-        overlap = np.add.reduceat(marked[ids[places]], begin, dtype=np.int64)
-        marked[ids[first[q] : first[q + 1]]] = False
-        close[close] = enough(overlap, sizes[q], each)
-        return close
-
-    return near
-
-
 def clusters(classes: DataFrame) -> DataFrame:
     """``class, cluster`` of the classes that share a band with one they may be linked to."""
     rows = band_rows(classes)
-    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = staged(shared, "buckets")
+    print_of = [F.bit_xor(F.xxhash64("class")).alias("x"), F.sum(F.hash("class").cast("long")).alias("s"), F.min("class").alias("low")]
+    shared = rows.groupBy("key").agg(F.count("*").alias("members"), *print_of).filter("members > 1")
+    shared = staged(shared.groupBy("members", "x", "s", "low").agg(F.min("key").alias("key")).select("key", "members"), "buckets")
     members = flagged(rows, shared.select("key")).filter("maybe").join(shared, "key")
     given = members.join(classes.select("class", "n", F.col("signature").alias("payload")), "class")
     parts = F.ceil(F.col("members") / BUCKET_PART)
-    links = staged(forests(in_parts(given, "key", parts), close_signatures), "candidates")
+    links = staged(forests(in_parts(given, "key", parts), Signatures), "candidates")
     found = components(links)
     names = found.select(F.col("u").alias("class"), F.col("v").alias("cluster"))
     return staged(names.union(found.select("v", "v").distinct()), "clusters")
@@ -287,7 +312,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     named = clusters(classes).join(classes.select("class", "key", "n"), "class")
     sizes = named.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_PART).alias("parts"))
     given = with_sets(docs, staged(named.join(sizes, "cluster"), "wanted"))
-    return staged(forests(in_parts(given, "cluster", F.col("parts")), similar_sets), "links")
+    return staged(forests(in_parts(given, "cluster", F.col("parts")), Sets), "links")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
