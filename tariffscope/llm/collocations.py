@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tariffscope.llm.arrays import mix, words
+from tariffscope.llm.arrays import FOLD, mix
 from tariffscope.llm.common import body_bytes, slices, staged
 
 LONGEST = 4
@@ -42,7 +42,7 @@ AHEAD = 2
 #: Bits of a filter: 2 MB on every executor, whatever the corpus.
 BITS = 24
 #: Rows a task counts before it passes them on.
-HELD = 400_000
+HELD = 1_000_000
 #: Tasks that share the last ranking of one language.
 SALTS = 64
 
@@ -52,21 +52,49 @@ _BETWEEN = _SPLIT.copy()
 _BETWEEN[[0x20, 0x09]] = True
 _FACTORS = np.random.default_rng(13).integers(1, 1 << 63, LONGEST, dtype=np.uint64) | np.uint64(1)
 _PLACES = ["w1", "w2", "w3", "w4"]
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as one number; past the end they are zero."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data), "<u8", padded, strides=(1,))
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Hash of each word's bytes, eight at a time, beginning with ``seed``."""
+    ahead = eight_bytes(data)
+    left = stop - start
+    found = mix(seed ^ left.astype(np.uint64))
+    live, step = np.arange(len(start)), 0
+    while len(live):
+        spare = np.maximum(8 - left[live], 0).astype(np.uint64) * np.uint64(8)
+        found[live] = mix(found[live] * _FACTORS[0] ^ (ahead[start[live] + step] << spare))
+        step += 8
+        left[live] -= 8
+        live = live[left[live] > 0]
+    return found
 
 
 class Corpus:
-    """Words of a run of rows: hashes that tell languages apart, and how many words of a piece still follow each."""
+    """Words of a run of rows: hashes that tell languages apart, and whether the next word stands in the same piece."""
 
     def __init__(self, rows: pa.RecordBatch):
-        self.data, offsets = body_bytes(rows.column("body"))
-        w = words(self.data, offsets, fold=True, between=_BETWEEN)
-        lang = rows.column("lang").to_pylist()
-        salts = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in set(lang)}
-        self.lang, self.doc, self.start, self.stop = lang, w.doc, w.start, w.stop
-        self.hash = mix(w.hash ^ np.array([salts[x] for x in lang], np.uint64)[w.doc])
-        pieces = np.cumsum(_SPLIT[self.data])[w.start] if len(w.start) else w.start
-        self.with_next = (pieces[1:] == pieces[:-1]) & (w.doc[1:] == w.doc[:-1])
+        raw, offsets = body_bytes(rows.column("body"))
+        self.data = FOLD[raw]
+        self.lang = rows.column("lang").to_pylist()
+        last = np.zeros(len(raw) + 1, bool)
+        last[offsets] = True
+        inside = ~_BETWEEN[raw]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | last[1:-1]
+        ends[:-1] &= ~inside[1:] | last[1:-1]
+        self.start, self.stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.doc = np.repeat(np.arange(len(self.lang)), np.diff(np.searchsorted(self.start, offsets)))
+        salts = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in set(self.lang)}
+        self.hash = word_hash(self.data, self.start, self.stop, np.array([salts[x] for x in self.lang], np.uint64)[self.doc])
+        breaks = np.flatnonzero(_SPLIT[raw])
+        pieces = np.searchsorted(breaks, self.start)
+        self.with_next = (pieces[1:] == pieces[:-1]) & (self.doc[1:] == self.doc[:-1])
 
     def windows(self, size: int) -> np.ndarray:
         """Where ``size`` consecutive words of one piece begin."""
@@ -110,29 +138,53 @@ class Filter:
         return (self.bits.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def grouped(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ``keys`` and the sum of ``n`` of each.
+
+    One sort of numbers made of a hash and the row's place; if two rows' hashes
+    clash, all of them are sorted in full.
+    """
+    places = max(int(len(n) - 1).bit_length(), 1)
+    hashed = phrase_key(keys) >> np.uint64(places) << np.uint64(places)
+    order = np.sort(hashed | np.arange(len(n), dtype=np.uint64)) & np.uint64((1 << places) - 1)
+    columns, by = [key[order] for key in keys], hashed[order]
+    new = np.ones(len(n), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    if (new[1:] & (by[1:] == by[:-1])).any():
+        order = np.lexsort(keys)
+        columns = [key[order] for key in keys]
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(n[order], first)
+
+
 class Counter:
-    """Counts of equal rows, merged as they come and handed on when they are too many to hold."""
+    """Counts of equal rows of hashes, merged as they come and handed on when they are too many to hold."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.rows = names, [], 0
+    def __init__(self, width: int):
+        self.width, self.held, self.rows = width, [], 0
 
-    def add(self, columns: list, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        n = np.ones(len(columns[0]), np.int64) if n is None else n
-        self.held.append(pa.table([*map(pa.array, columns), pa.array(n)], names=[*self.names, "n"]))
-        self.rows += len(n)
+    def add(self, keys: list[np.ndarray], n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        if not len(keys[0]):
+            return
+        self.held.append((keys, np.ones(len(keys[0]), np.int64) if n is None else n))
+        self.rows += len(keys[0])
         if self.rows > HELD:
             self._merge()
             if self.rows > HELD // 2:
                 yield from self.rest()
 
     def _merge(self) -> None:
-        summed = pa.concat_tables(self.held).group_by(self.names).aggregate([("n", "sum")]).rename_columns([*self.names, "n"])
-        self.held, self.rows = [summed], summed.num_rows
+        columns = [np.concatenate([keys[k] for keys, _ in self.held]) for k in range(len(self.held[0][0]))]
+        self.held = [grouped(columns, np.concatenate([n for _, n in self.held]))]
+        self.rows = len(self.held[0][1])
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             self._merge()
-            yield from self.held[0].to_batches()
+            keys, n = self.held[0]
+            columns = [pa.array(key.view(np.int64)) for key in keys] + [pa.nulls(len(n), pa.int64())] * (self.width - len(keys))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=[*_PLACES[: self.width], "n"])
             self.held, self.rows = [], 0
 
 
@@ -142,44 +194,75 @@ def given_rows(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(rows: DataFrame, least: int) -> DataFrame:
-    """``lang, word, hash, n`` of frequent words; a row without a word has the number of all words of a language."""
+    """``hash, lang, word, n`` of frequent words; a row without a hash has the number of all words of a language."""
+    names = ["hash", "lang", "word", "n"]
+
+    def table(hashes: list, lang: list, word: list, n: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((hashes, lang, word, n), kinds, strict=True)], names=names)
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(["lang", "word", "hash"])
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        order = np.zeros(0, np.uint64)  # hashes in the order in which lang and word spell them
+        lang: list[str] = []
+        word: list[bytes] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            (hashes,), n = grouped([np.concatenate([h for h, _ in counts])], np.concatenate([n for _, n in counts]))
+            return hashes, n
+
+        def named() -> pa.RecordBatch:
+            hashes, n = merged()
+            by = np.argsort(order)
+            at = by[np.searchsorted(order[by], hashes)].tolist()
+            return table(hashes.view(np.int64), [lang[k] for k in at], [word[k] for k in at], n)
+
         for batch in source:
             for run in slices(batch, "body"):
                 c = Corpus(run)
-                hashes, at, n = np.unique(c.hash, return_index=True, return_counts=True)
-                folded = bytes(c.data).translate(_FOLD)
-                spelled = [folded[a:b] for a, b in zip(c.start[at].tolist(), c.stop[at].tolist(), strict=True)]
-                lang = [c.lang[k] for k in c.doc[at].tolist()]
-                yield from counter.add([pa.array(lang, pa.string()), pa.array(spelled, pa.binary()), pa.array(hashes.view(np.int64))], n)
-                total = dict.fromkeys(c.lang, 0)
-                for name, k in zip(lang, n.tolist(), strict=True):
-                    total[name] += k
-                none = len(total)
-                yield from counter.add(
-                    [pa.array(list(total), pa.string()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64())], np.array(list(total.values()), np.int64)
-                )
-        yield from counter.rest()
-
-    counted = rows.mapInArrow(work, "lang string, word binary, hash long, n long")
-    summed = counted.groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
-    return summed.filter(F.col("word").isNull() | (F.col("n") >= least)).withColumn("word", F.col("word").cast("string"))
+                each = np.bincount(c.doc, minlength=len(c.lang)).tolist()
+                totals = dict.fromkeys(c.lang, 0)
+                for name, k in zip(c.lang, each, strict=True):
+                    totals[name] += k
+                yield table([None] * len(totals), list(totals), [None] * len(totals), list(totals.values()))
+                if not len(c.hash):
+                    continue
+                (hashes,), n = grouped([c.hash], np.ones(len(c.hash), np.int64))
+                counts.append((hashes, n))
+                fresh = np.setdiff1d(hashes, order)
+                place = np.minimum(np.searchsorted(fresh, c.hash), max(len(fresh) - 1, 0))
+                found = np.flatnonzero(fresh[place] == c.hash) if len(fresh) else place[:0]
+                at = np.empty(len(fresh), np.int64)
+                at[place[found]] = found
+                data = c.data.tobytes()
+                word += [data[a:b] for a, b in zip(c.start[at].tolist(), c.stop[at].tolist(), strict=True)]
+                lang += [c.lang[k] for k in c.doc[at].tolist()]
+                order = np.concatenate((order, fresh))
+                if sum(len(n) for _, n in counts) > HELD:
+                    counts = [merged()]
+                if len(order) > HELD:
+                    yield named()
+                    counts, order, lang, word = [], order[:0], [], []
+        if counts:
+            yield named()
+
+    counted = rows.mapInArrow(work, "hash long, lang string, word binary, n long")
+    summed = counted.groupBy("hash", "lang", "word").agg(F.sum("n").alias("n"))
+    return summed.filter(F.col("hash").isNull() | (F.col("n") >= least)).withColumn("word", F.col("word").cast("string"))
 
 
 def pair_counts(rows: DataFrame, frequent: Filter, least: int) -> DataFrame:
     """``path, a`` of all frequent pairs of frequent words."""
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(_PLACES[:2])
+        counter = Counter(2)
         for batch in source:
             for run in slices(batch, "body"):
                 c = Corpus(run)
                 good = frequent.has(phrase_key([c.hash]))
                 at = c.windows(2)
                 at = at[good[at] & good[at + 1]]
-                yield from counter.add([c.hash[at].view(np.int64), c.hash[at + 1].view(np.int64)])
+                yield from counter.add([c.hash[at], c.hash[at + 1]])
         yield from counter.rest()
 
     counted = rows.mapInArrow(work, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("a"))
@@ -190,7 +273,7 @@ def longer_counts(rows: DataFrame, pairs: Filter, opened: dict[int, Filter], lea
     """``path, a`` of frequent phrases that begin or end with an opened one and have one word more."""
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(_PLACES)
+        counters = {size: Counter(LONGEST) for size in opened}
         for batch in source:
             for run in slices(batch, "body"):
                 c = Corpus(run)
@@ -202,9 +285,9 @@ def longer_counts(rows: DataFrame, pairs: Filter, opened: dict[int, Filter], lea
                         at = at[frequent[at + step]]
                     keys = [phrase_key([c.hash[at + side + step] for step in range(size)]) for side in (0, 1)]
                     at = at[known.has(keys[0]) | known.has(keys[1])]
-                    hashes = [pa.array(c.hash[at + step].view(np.int64)) for step in range(size + 1)]
-                    yield from counter.add([*hashes, *[pa.nulls(len(at), pa.int64())] * (LONGEST - size - 1)])
-        yield from counter.rest()
+                    yield from counters[size].add([c.hash[at + step] for step in range(size + 1)])
+        for counter in counters.values():
+            yield from counter.rest()
 
     counted = rows.mapInArrow(work, "w1 long, w2 long, w3 long, w4 long, n long").groupBy(_PLACES).agg(F.sum("n").alias("a"))
     return counted.filter(F.col("a") >= least).select(F.array_compact(F.array(*_PLACES)).alias("path"), "a")
@@ -286,12 +369,12 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT) -> Dat
     Null and empty texts have no words, a null language is ``und``, repeated rows
     count again. Ties go by ``a``, then by the phrase in byte order. Texts of any length are read
     whole. Extra columns are ignored; an empty table gives an empty result. Two
-    words with one 64-bit hash stop the job.
+    frequent words with one 64-bit hash stop the job.
     """
     rows = given_rows(docs)
     counts = staged(word_counts(rows, least), "words")
     clash = F.assert_true(F.count("*") == 1, F.lit("two words have one hash"))
-    vocabulary = counts.filter("word IS NOT NULL").groupBy("hash").agg(
+    vocabulary = counts.filter("hash IS NOT NULL").groupBy("hash").agg(
         F.min("lang").alias("lang"), F.min("word").alias("word"), F.min("n").alias("n"), clash.alias("clash")
     )
     vocabulary = staged(vocabulary.filter("clash IS NULL").drop("clash"), "vocabulary")
@@ -303,6 +386,6 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT) -> Dat
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
     part = named.withColumn("salt", salt).withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
     ranked = part.filter(F.col("place") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    totals = counts.filter("word IS NULL").select("lang", "n")
+    totals = counts.filter("hash IS NULL").select("lang", "n")
     found = ranked.filter(F.col("rank") <= top).join(totals, "lang")
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
