@@ -926,18 +926,38 @@ def scoring_totals(spark, folder):
     return ml.scoring_totals(scored_of(tables_of(spark, folder)))
 
 
-_BUCKET = "CAST('0x' || substr(md5(bill_id || ':{seed}'), 1, 8) AS BIGINT) % {size}"
+_DRAWN = "CAST('0x' || substr(md5(bill_id || ':{seed}'), 1, 15) AS BIGINT)"
+_STRATA = f"""SELECT bill_id, CAST(is_anomaly_detected AS INT) AS label, count(*) OVER (PARTITION BY is_anomaly_detected) AS n,
+  row_number() OVER (PARTITION BY is_anomaly_detected ORDER BY {_DRAWN.format(seed=42)}, bill_id) AS h,
+  row_number() OVER (PARTITION BY is_anomaly_detected ORDER BY {_DRAWN.format(seed=43)}, bill_id) AS f
+  FROM scored WHERE account_bill_count >= 12"""
 
 
 @query(
     "bill_id:i label:d holdout:b fold:i",
-    f"""SELECT bill_id, CAST(is_anomaly_detected AS INT) AS label, {_BUCKET.format(seed=42, size=100)} < 20 AS holdout,
-       {_BUCKET.format(seed=43, size=5)} AS fold FROM scored WHERE account_bill_count >= 12""",
+    f"""SELECT bill_id, label, h <= (n * 20 + 50) // 100 AS holdout,
+       CAST(f > n // 5 AS INT) + CAST(f > n * 2 // 5 AS INT) + CAST(f > n * 3 // 5 AS INT) + CAST(f > n * 4 // 5 AS INT) AS fold
+       FROM ({_STRATA})""",
 )
 def holdout_split(spark, folder):
     return ml.training_frame(fe.coded_features(tables_of(spark, folder)))
 
 
+@query(
+    "part:s label:d rows:i",
+    f"""SELECT part, label, count(*) AS rows FROM (
+       SELECT label, 'held out' AS part FROM ({_STRATA}) WHERE h <= (n * 20 + 50) // 100
+       UNION ALL SELECT label, 'fold ' || (CAST(f > n // 5 AS INT) + CAST(f > n * 2 // 5 AS INT)
+         + CAST(f > n * 3 // 5 AS INT) + CAST(f > n * 4 // 5 AS INT)) FROM ({_STRATA})) GROUP BY part, label""",
+)
+def strata_sizes(spark, folder):
+    """Rows of each class held out and in each fold."""
+    frame = staged(ml.training_frame(fe.coded_features(tables_of(spark, folder))).drop("features"), "frame")
+    held = frame.filter("holdout").select(F.lit("held out").alias("part"), "label")
+    folds = frame.select(F.concat(F.lit("fold "), "fold").alias("part"), "label")
+    return held.unionByName(folds).groupBy("part", "label").agg(F.count("*").alias("rows"))
+
+
 @query("bill_id:i ml_anomaly_probability:r4 ml_flagged:b")
 def rf_score(spark, folder):
     coded = fe.coded_features(tables_of(spark, folder))

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tariffscope.operators import strata
 from tariffscope.plans import detect as dt
+from tariffscope.plans import features as fe
 from tariffscope.plans import model as ml
 from tariffscope.session import staged
 from tariffscope.sources import demo
@@ -59,6 +61,27 @@ def test_detection_run_is_repeatable_and_useful(spark, sample):
     assert totals["bills"] == first.scored.count() and totals["skipped"] == short.count()
 
 
-def test_holdout_is_about_a_fifth(spark):
-    share = spark.range(20000).filter(ml.bucket(F.col("id"), 100) < ml.HOLDOUT_PERCENT).count() / 20000
-    assert share == pytest.approx(0.2, abs=0.02)
+@pytest.mark.parametrize("few", [1000, 2])
+def test_strata_are_exact(spark, monkeypatch, few):
+    """The same when cells are refined down to a row or two."""
+    monkeypatch.setattr(strata, "FEW", few)
+    rows = spark.range(5003).select("id", (F.col("id") % 7 == 0).cast("double").alias("label"), strata.row_hash(F.col("id"), 3).alias("h"))
+    ranks = {0.0: [0, 1, 800, 4288], 1.0: [143, 715]}
+    found = strata.cuts(rows, "label", "id", "h", ranks)
+    for label, wanted in ranks.items():
+        ordered = sorted((r["h"], r["id"]) for r in rows.filter(F.col("label") == label).collect())
+        assert [found[label, k] for k in wanted] == [ordered[k - 1] if k else (-1, -1) for k in wanted]
+    above = rows.filter(strata.above(found, "label", "id", "h", {0.0: 800, 1.0: 143})).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in above} == {0.0: 4288 - 800, 1.0: 715 - 143}
+
+
+def test_equal_hashes_are_cut_by_key(spark):
+    rows = spark.range(50).select("id", F.lit(1.0).alias("label"), F.lit(77).cast("long").alias("h"))
+    assert strata.cuts(rows, "label", "id", "h", {1.0: [20]}) == {(1.0, 0): (-1, -1), (1.0, 20): (77, 19)}
+    assert strata.cuts(rows.filter("id < 0"), "label", "id", "h", {}) == {}
+
+
+def test_forest_does_not_depend_on_how_rows_come(spark, sample):
+    frame = staged(ml.training_frame(fe.coded_features(demo.audit_tables(spark, sample))), "frame")
+    shuffled = frame.repartition(7).orderBy(F.rand(5))
+    assert ml.train(frame, 5, 6).toDebugString.split("\n", 1)[1] == ml.train(shuffled, 5, 6).toDebugString.split("\n", 1)[1]
