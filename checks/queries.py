@@ -7,6 +7,7 @@ b flag as text, t date as text.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ from tariffscope.operators.baseline import account_profile, month_profile
 from tariffscope.operators.constraints import violations
 from tariffscope.operators.encode import label_codes
 from tariffscope.operators.filters import with_history
+from tariffscope.plans import batch as bt
 from tariffscope.plans import detect as dt
 from tariffscope.plans import features as fe
 from tariffscope.plans import findings as fd
@@ -32,12 +34,12 @@ from tariffscope.plans import model as ml
 from tariffscope.plans import reports as rp
 from tariffscope.plans import weather as wx
 from tariffscope.plans.review import apply_decisions
-from tariffscope.session import staging_root, staged, tune
+from tariffscope.session import importable, staged, staging_root, tune
 from tariffscope.sources import demo
 from tariffscope.sources.documents import as_json
 from tariffscope.sources.tables import AuditTables, read_only_sql, read_tables
 from tariffscope.sources.weather import daily_rows
-from tariffscope.sources.store import prepare_store, read_table, write_batch, write_review
+from tariffscope.sources.store import prepare_store, read_batches, read_table, write_batch, write_review
 from tariffscope.streaming.intake import start_intake
 
 Spark = SparkSession
@@ -855,6 +857,123 @@ def pattern_extract(spark, folder):
     )
 
 
+# --- documents to stored bills ---------------------------------------------
+
+_PAPER_FIELDS = (
+    "record_id:i provider_name:s account_number:s utility_type:s statement_date:s service_period_start:s service_period_end:s "
+    "total_amount_due:d usage_volume:d usage_unit:s rate_code:s fixed_monthly_charge:d delivery_charge:d supply_charge:d "
+    "demand_charge:d taxes_and_surcharges:d credits:d is_anomaly_detected:b"
+)
+_PAPER_SQL = """SELECT d AS record_id, provider AS provider_name, account_number, utility AS utility_type, month || '15' AS statement_date,
+  month || '01' AS service_period_start, month || '14' AS service_period_end, total AS total_amount_due, usage AS usage_volume,
+  CASE unit WHEN 'CCF' THEN 'Therms' ELSE unit END AS usage_unit, rate_code, basic AS fixed_monthly_charge, delivery AS delivery_charge,
+  supply AS supply_charge, demand AS demand_charge, taxes AS taxes_and_surcharges, credits, false AS is_anomaly_detected FROM papers"""
+
+
+def paper_texts(spark: Spark, folder: str) -> DataFrame:
+    texts = bt.document_texts(demo.paper_bills(spark, folder))
+    return texts.filter("doc_id % 12 <> 5").withColumn("record_id", F.col("doc_id"))
+
+
+@query(_PAPER_FIELDS, f"{_PAPER_SQL} WHERE d % 12 <> 5")
+def extractor_fields(spark, folder):
+    """All fields that the default extractor reads, from every paper that holds a bill."""
+    return ig.normalise(ig.parse_records(ig.extract(paper_texts(spark, folder))))
+
+
+def read_paper(prompt: str, text: str) -> dict:
+    """A small extractor of labelled lines; it fails on short account numbers."""
+    found = dict(re.findall(r"(?m)^([A-Z][A-Za-z ]+?)(?::| \$) ?(.+)$", text[: text.index("Total Amount Due") + 60]))
+
+    def money(name):
+        return float(found[name].replace(",", ""))
+
+    if len(found["Account Number"]) < 5:
+        raise ValueError("no account")
+    usage, unit = found["Usage"].replace(",", "").split()
+    start, end = found["Service Period"].split(" to ")
+    return {
+        "provider_name": found.get("Provider"), "account_number": found["Account Number"], "utility_type": "Unknown",
+        "statement_date": found["Statement Date"], "service_period_start": start, "service_period_end": end,
+        "total_amount_due": money("Total Amount Due"), "usage_volume": float(usage), "usage_unit": unit, "rate_code": found["Rate Code"],
+        "fixed_monthly_charge": money("Basic Service Charge"), "delivery_charge": money("Delivery Services"),
+        "supply_charge": money("Supply Charge"), "demand_charge": money("Demand Charge"),
+        "taxes_and_surcharges": money("Taxes and Surcharges"), "credits": -money("Credits"), "is_anomaly_detected": False,
+    }
+
+
+@query(
+    f"read_status:s {_PAPER_FIELDS}",
+    f"""SELECT 'read' AS read_status, * FROM ({_PAPER_SQL}) WHERE record_id % 12 NOT IN (5, 9)
+        UNION ALL SELECT 'extractor_error', d, NULL, '', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM papers WHERE d % 12 = 9""",
+)
+def extractor_hook(spark, folder):
+    """The same through a plugged-in extractor that fails on some papers."""
+    importable(spark)
+    answers = ig.extract(paper_texts(spark, folder), bt.row_extractor(read_paper))
+    return ig.normalise(ig.parse_records(answers))
+
+
+def papers_taken_in(spark: Spark, folder: str) -> tuple[str, bt.BatchResult]:
+    """All papers in one batch, which is written twice, and a second one that delivers every seventh paper again."""
+    root = f"{staging_root(spark)}/papers-{uuid.uuid4().hex}"
+    prepare_store(spark, root)
+    pages = demo.paper_bills(spark, folder)
+    for _ in range(2):
+        result = bt.take_in_documents(pages, 0, root, audit_time=RUN_TIME)
+    bt.take_in_documents(pages.filter("doc_id % 7 = 0"), 1, root, audit_time=RUN_TIME)
+    return root, result
+
+
+@query(
+    "source_file:s vendor_name:s account_number:s utility_type:s billing_date:t service_period_start:t service_period_end:t "
+    "total_amount:d usage_volume:d usage_unit:s rate_code:s is_anomaly_detected:b items:i charged:d",
+    """SELECT d || '.pdf' AS source_file, provider AS vendor_name, account_number, utility AS utility_type, CAST(month || '15' AS DATE) AS billing_date,
+       CAST(month || '01' AS DATE) AS service_period_start, CAST(month || '14' AS DATE) AS service_period_end, total AS total_amount,
+       usage AS usage_volume, CASE unit WHEN 'CCF' THEN 'Therms' ELSE unit END AS usage_unit, rate_code, total <> charged AS is_anomaly_detected,
+       4 + CAST(demand > 0 AS INT) + CAST(credits > 0 AS INT) AS items, charged FROM papers WHERE reasons = ''""",
+)
+def document_intake(spark, folder):
+    """Papers to stored bills with their vendors, accounts and items, read back from the store."""
+    root, _ = papers_taken_in(spark, folder)
+    bills, accounts, vendors, items = (read_table(spark, root, t) for t in ("bills", "accounts", "vendors", "line_items"))
+    charged = items.groupBy("bill_id").agg(F.count("*").alias("items"), F.sum("total_price").alias("charged"))
+    named = bills.join(accounts.select("account_id", "account_number", "vendor_id"), "account_id")
+    return named.join(vendors, "vendor_id").join(charged, "bill_id")
+
+
+@query(
+    "batch_id:i record_id:i source_file:s route:s pages:i included:i answers:i status:s reasons:s stored:b",
+    """SELECT batch_id, d AS record_id, '/papers/' || d || '.pdf' AS source_file, CASE WHEN d % 5 = 3 THEN 'scan' ELSE 'digital' END AS route,
+       pages, CASE WHEN d % 5 = 3 THEN billing_pages ELSE pages END AS included, 1 AS answers,
+       CASE WHEN reasons <> '' THEN 'rejected' WHEN batch_id = 0 THEN 'accepted' ELSE 'repeated' END AS status, reasons, reasons = '' AS stored
+       FROM papers, (VALUES (0), (1)) AS batches(batch_id) WHERE batch_id = 0 OR d % 7 = 0""",
+)
+def document_status(spark, folder):
+    """What became of every paper, batch by batch."""
+    root, _ = papers_taken_in(spark, folder)
+    status = read_batches(spark, root, "document_status")
+    return status.withColumns({"reasons": F.array_join("reject_reasons", ", "), "stored": F.col("bill_id").isNotNull()})
+
+
+@query(
+    "counter:s value:i",
+    """WITH good AS (SELECT * FROM papers WHERE reasons = '')
+       SELECT 'documents' AS counter, count(*) AS value FROM papers UNION ALL SELECT 'answers', count(*) FROM papers
+       UNION ALL SELECT 'digital', count(*) FROM papers WHERE d % 5 <> 3 UNION ALL SELECT 'scan', count(*) FROM papers WHERE d % 5 = 3
+       UNION ALL SELECT 'accepted', count(*) FROM good UNION ALL SELECT 'bills', count(*) FROM good UNION ALL SELECT 'taken', count(*) FROM good
+       UNION ALL SELECT 'rejected', count(*) FROM papers WHERE reasons <> '' UNION ALL SELECT 'quarantine', count(*) FROM papers WHERE reasons <> ''
+       UNION ALL SELECT 'repeated', 0 UNION ALL SELECT 'unanswered', 0 UNION ALL SELECT 'vendors', count(DISTINCT provider) FROM good
+       UNION ALL SELECT 'accounts', count(DISTINCT account_number) FROM good
+       UNION ALL SELECT 'line_items', sum(4 + CAST(demand > 0 AS INT) + CAST(credits > 0 AS INT)) FROM good""",
+)
+def document_counters(spark, folder):
+    """Counters taken while the batch was written, without another pass."""
+    _, result = papers_taken_in(spark, folder)
+    return spark.createDataFrame(sorted(result.counters.items()), "counter string, value long")
+
+
 # --- model -----------------------------------------------------------------
 
 def rule_frame(spark: Spark, folder: str) -> DataFrame:

@@ -25,25 +25,25 @@ _PAYLOAD = T.StructType(
 
 # --- documents -------------------------------------------------------------
 
-PAGES_PER_PART = 500
 # The marker line above each page.
 PAGE_MARK, PAGE_MARK_END = "--- PAGE ", " ---\n"
 
 
 def assemble_documents(
-    pages: DataFrame, filter_pages: bool = True, pages_per_part: int = PAGES_PER_PART
+    pages: DataFrame, filter_pages: bool = True, pages_per_part: int | None = None
 ) -> DataFrame:
     """Billing pages of each document joined in page order under page markers.
 
-    A document longer than ``pages_per_part`` pages continues in further rows
-    (``part``), so no row grows with the size of a document. A part without a
-    billing page keeps a row with empty text.
+    A document is one row, part 0. With ``pages_per_part`` a longer one continues in
+    further rows, for readers that can't hold a whole document. What has no billing
+    page keeps a row with empty text.
     """
+    part = F.floor(F.col("page_no") / pages_per_part).cast("long") if pages_per_part else F.lit(0).cast("long")
     billing = tx.is_billing_page(F.col("text")) if filter_pages else F.lit(True)
     entry = F.struct("page_no", "text")
     grouped = (
         pages.withColumn("is_billing", billing)
-        .groupBy("doc_id", F.floor(F.col("page_no") / pages_per_part).cast("long").alias("part"))
+        .groupBy("doc_id", part.alias("part"))
         .agg(
             F.count(F.lit(1)).alias("pages"),
             F.count_if("is_billing").alias("included"),
@@ -151,11 +151,11 @@ def parse_records(answers: DataFrame) -> DataFrame:
             tx.strip_fences(F.col("payload")).alias("answer"),
         )
         .selectExpr(
-            "record_id", "source_file", f"NOT coalesce({whole}, false) AS no_object",
+            "record_id", "source_file", "xxhash64(answer) AS answer_hash", f"NOT coalesce({whole}, false) AS no_object",
             "coalesce(array_contains(json_object_keys(answer), 'error'), false) AS has_error", f"inline(array({parsed}))",
         )
         .selectExpr(
-            "record_id", "source_file", *[f.name for f in _PAYLOAD if f.name not in dropped],
+            "record_id", "source_file", "answer_hash", *[f.name for f in _PAYLOAD if f.name not in dropped],
             *[f"{text} AS {name}" for name, text in aliases.items()],
             f"CASE WHEN no_object OR {_CORRUPT} IS NOT NULL THEN 'malformed' "
             "WHEN has_error THEN 'extractor_error' ELSE 'read' END AS read_status",
@@ -243,6 +243,7 @@ def gate(rows: DataFrame) -> DataFrame:
     """Add ``reject_reasons`` and ``status`` (accepted or rejected)."""
     read = "read_status = 'read'"
     reasons = [
+        "IF(record_id IS NULL, 'no record id', NULL)",
         f"IF(NOT {read}, read_status, NULL)",
         f"IF({read} AND coalesce(provider_name, '') IN ('', 'UNKNOWN'), 'no provider', NULL)",
         f"IF({read} AND NOT coalesce(account_number, '') RLIKE r'^[0-9]{{5,}}\\z', 'bad account number', NULL)",

@@ -87,6 +87,12 @@ QUARANTINE = _struct(
     record_id=_TEXT, source_file=_TEXT, provider_name=_TEXT, account_number=_TEXT, total_amount_due=_REAL,
     reject_reasons=T.ArrayType(_TEXT), conformance_issues=T.ArrayType(_TEXT),
 )
+#: Records whose bills are stored, and what became of each document of a batch.
+TAKEN = _struct(record_id=_TEXT)
+DOCUMENT_STATUS = _struct(
+    record_id=_TEXT, source_file=_TEXT, route=_TEXT, pages=_ID, included=_ID, answers=_ID, status=_TEXT,
+    reject_reasons=T.ArrayType(_TEXT), bill_id=_ID,
+)
 REVIEWS = _struct(analysis_id=_ID, bill_id=_ID, detected_at=_TIME, action=_TEXT, note=_TEXT)
 DECISIONS = _struct(decision_no=_ID, analysis_id=_ID, action=_TEXT, note=_TEXT)
 

@@ -249,3 +249,52 @@ def bill_pages(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id DIV 4 AS doc_id", "CAST(doc_id % 4 AS INT) AS page_no",
         f"CASE WHEN doc_id % 3 = 0 THEN concat(text, {line}) ELSE text END AS text",
     )
+
+
+# The planted numbers of paper bill d, in cents; the other engine states the same.
+PAPER_CENTS = {
+    "basic": "1500 + 100 * (d % 7)", "delivery": "10000 + (d * 37) % 90000", "demand": "CASE WHEN d % 4 = 0 THEN 0 ELSE 1250 END",
+    "supply": "20000 + (d * 53) % 90000 + CASE WHEN d % 8 = 2 THEN 150000 ELSE 0 END", "taxes": "500 + d % 100",
+    "credits": "CASE WHEN d % 6 = 1 THEN 700 ELSE 0 END",
+}
+
+
+def paper_bills(spark: SparkSession, folder: str) -> DataFrame:
+    """Bills as papers: (doc_id, page_no, source_file, text, ocr_text), four pages of prose, the first below a bill's lines.
+
+    Every fifth paper is a scan without a text layer. Faults are planted by number:
+    no bill at all, no provider, a short account number, a wrong total. Rate lines
+    ("0.07 x 304 kWh") hold no amount.
+    """
+
+    def amount(cents: str) -> str:
+        return f"format_number(CAST({cents} AS DECIMAL(14,2)) / 100, 2)"
+
+    number = "lpad(CAST(d AS STRING), 8, '0')"
+    unit = "CASE WHEN d % 10 < 5 THEN 'kWh' WHEN d % 10 < 8 THEN 'Therms' ELSE 'CCF' END"
+    month = "concat('2024-0', d % 9 + 1, '-')"
+    total = " + ".join(f"({PAPER_CENTS[c]})" for c in PAPER_CENTS if c != "credits") + f" - ({PAPER_CENTS['credits']})"
+    lines = [
+        "CASE WHEN d % 12 <> 7 THEN concat('Provider: Vendor ', d % 7) END",
+        f"concat('Account Number: ', CASE WHEN d % 12 = 9 THEN '123' WHEN d % 3 = 0 "
+        f"THEN concat(substring({number}, 1, 4), '-', substring({number}, 5, 4)) ELSE {number} END)",
+        f"concat('Statement Date: ', {month}, '15')", f"concat('Service Period: ', {month}, '01 to ', {month}, '14')",
+        f"concat('Usage: ', format_number(100 + d % 1900, 0), ' ', {unit})", "concat('Rate Code: SC-', d % 5 + 1)",
+        f"concat('Supply 0.07 x 304 ', {unit})", f"concat('Basic Service Charge $', {amount(PAPER_CENTS['basic'])})",
+        f"concat('Delivery Services $', {amount(PAPER_CENTS['delivery'])})", f"concat('Supply Charge $', {amount(PAPER_CENTS['supply'])})",
+        f"concat('Demand Charge $', {amount(PAPER_CENTS['demand'])})", f"concat('Taxes and Surcharges $', {amount(PAPER_CENTS['taxes'])})",
+        f"concat('Credits $', {amount(PAPER_CENTS['credits'])})",
+        f"concat('Total Amount Due $', {amount(total + ' + CASE WHEN d % 12 = 11 THEN 1000 ELSE 0 END')})", "''",
+    ]
+    return (
+        _table(spark, folder, "documents")
+        .selectExpr("doc_id DIV 4 AS d", "CAST(doc_id % 4 AS INT) AS page_no", "text AS prose")
+        .selectExpr(
+            "d", "page_no",
+            f"CASE WHEN page_no = 0 AND d % 12 <> 5 THEN concat(concat_ws('\n', {', '.join(lines)}), coalesce(prose, '')) ELSE prose END AS page",
+        )
+        .selectExpr(
+            "d AS doc_id", "page_no", "concat('/papers/', d, '.pdf') AS source_file", "CASE WHEN d % 5 <> 3 THEN page END AS text",
+            "CASE WHEN d % 5 = 3 THEN page END AS ocr_text",
+        )
+    )

@@ -5,34 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tariffscope.plans.ingest import intake, process
-from tariffscope.sources.store import prepare_store, read_batches, write_batch
+from tariffscope.plans.batch import store_answers
+from tariffscope.sources.store import prepare_store
 
 ANSWERS = "record_id string, source_file string, payload string"
 
 
-def store_batch(answers: DataFrame, batch_id: int, store: str) -> None:
-    """Process one micro-batch and write it under its batch id.
-
-    Every table of the batch goes to its own batch folder in overwrite mode, and
-    dimensions are read from earlier batches only, so a batch repeated after a
-    failure replaces itself.
-    """
-    spark = answers.sparkSession
-
-    def earlier(table):
-        return read_batches(spark, store, table).filter(f"batch_id < {batch_id}").drop("batch_id")
-
-    # The gated records are written first: they are the batch's log, and the
-    # tables below read them instead of parsing the answers five times.
-    log = f"{store}/processed/batch_id={batch_id}"
-    process(answers).write.mode("overwrite").parquet(log)
-    parts = intake(spark.read.parquet(log), earlier("vendors"), earlier("accounts"))
-    for table, df in {
-        "vendors": parts.new_vendors, "accounts": parts.new_accounts, "bills": parts.bills,
-        "line_items": parts.line_items, "quarantine": parts.quarantine,
-    }.items():
-        write_batch(df, store, table, batch_id)
+def _stored(answers: DataFrame, batch_id: int, store: str) -> None:
+    store_answers(answers, batch_id, store)
 
 
 def start_intake(
@@ -40,7 +20,8 @@ def start_intake(
 ) -> StreamingQuery:
     """Process every file waiting in ``inbox`` in micro-batches, then stop.
 
-    The checkpoint records which files were taken, so each is stored once.
+    The checkpoint records which files were taken, and the store which records: one
+    delivered again in a later file is logged as ``repeated``.
     """
     prepare_store(spark, store)
     answers = (
@@ -49,7 +30,7 @@ def start_intake(
         .json(inbox)
     )
     return (
-        answers.writeStream.foreachBatch(lambda df, batch_id: store_batch(df, batch_id, store))
+        answers.writeStream.foreachBatch(lambda df, batch_id: _stored(df, batch_id, store))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

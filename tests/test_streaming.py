@@ -1,7 +1,9 @@
 import json
 
+from tariffscope.plans.batch import store_answers
+from tariffscope.sources import store
 from tariffscope.sources.store import read_table as read_stored
-from tariffscope.streaming.intake import start_intake, store_batch
+from tariffscope.streaming.intake import start_intake
 from tests.test_ingest import GOOD
 
 
@@ -40,6 +42,23 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     take_in(spark, tmp_path)
     before = sorted(read_stored(spark, f"{tmp_path}/store", "bills").drop("audit_timestamp").collect())
     answers = spark.read.schema("record_id string, source_file string, payload string").json(f"{tmp_path}/in")
-    store_batch(answers, 0, f"{tmp_path}/store")
+    store_answers(answers, 0, f"{tmp_path}/store")
     after = sorted(read_stored(spark, f"{tmp_path}/store", "bills").drop("audit_timestamp").collect())
     assert before == after and count(spark, tmp_path, "accounts") == 1
+
+
+def test_a_record_in_two_files_is_stored_once(spark, tmp_path, monkeypatch):
+    """Over many batches, so that what is known has been folded twice; a rejected record may come again."""
+    monkeypatch.setattr(store, "FOLD_EVERY", 2)
+    bad = {**GOOD, "total_amount_due": 0}
+    for number, records in enumerate([[("a", GOOD), ("b", bad)], [("c", GOOD)], [("a", GOOD), ("a", {**GOOD, "rate_code": "X"})], [("b", GOOD)], [("c", GOOD), ("d", GOOD), ("d", GOOD)]]):
+        drop(tmp_path / "in", f"{number}.json", *records)
+        take_in(spark, tmp_path)
+    bills = read_stored(spark, f"{tmp_path}/store", "bills")
+    assert bills.count() == 4 == bills.select("bill_id").distinct().count() and count(spark, tmp_path, "accounts") == 1
+    log = spark.read.parquet(f"{tmp_path}/store/processed").groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in log} == {"accepted": 4, "rejected": 1, "repeated": 3}
+    known = store.known_rows(spark, f"{tmp_path}/store", "taken", 5)
+    assert sorted(r[0] for r in known.collect()) == ["a", "b", "c", "d"]
+    folders = {f.split("/store/")[1].rsplit("/", 1)[0] for f in known.inputFiles()}
+    assert folders <= {"folded/taken/upto=4", "taken/batch_id=4"}
