@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from tariffscope.operators.baseline import account_profile, month_profile
 from tariffscope.operators.constraints import violations
 from tariffscope.operators.encode import label_codes
 from tariffscope.operators.filters import with_history
+from tariffscope.operators.nearest import nearest
 from tariffscope.plans import batch as bt
 from tariffscope.plans import detect as dt
 from tariffscope.plans import features as fe
@@ -40,7 +42,7 @@ from tariffscope.sources.documents import as_json
 from tariffscope.sources.tables import AuditTables, read_only_sql, read_tables
 from tariffscope.sources.weather import daily_rows
 from tariffscope.sources.store import prepare_store, read_batches, read_table, write_batch, write_review
-from tariffscope.streaming.intake import start_intake
+from tariffscope.streaming.intake import start_document_intake, start_intake
 
 Spark = SparkSession
 RUN_TIME, RUN_DATE = "2024-06-01 00:00:00", "2024-06-01"
@@ -340,6 +342,37 @@ def adhoc_sql(spark, folder):
     )
 
 
+_STATEMENTS = {
+    1: "SELECT utility_type AS k, count(*) AS n FROM bills WHERE total_amount > 100 GROUP BY utility_type",
+    2: "SELECT * FROM (WITH x AS (SELECT account_id, count(*) AS n FROM bills GROUP BY account_id) "
+    "SELECT a.account_number AS k, x.n FROM x JOIN accounts a ON a.account_id = x.account_id);",
+    3: "SELECT reflect('java.lang.System', 'getenv', 'HOME') AS k, count(*) AS n FROM bills",
+    4: "SELECT n_name AS k, 1 AS n FROM parquet.`{folder}/nation.parquet`",
+    5: "SELECT 'x' AS k, 1 / (bill_id - bill_id) AS n FROM bills",
+    6: "DROP VIEW bills", 7: "SELECT nothing AS k, 1 AS n FROM bills", 8: "SELECT TRANSFORM(bill_id) USING 'cat' AS (k, n) FROM bills",
+}
+
+
+@query(
+    "statement:i outcome:s rows:i total:i",
+    """SELECT 1 AS statement, 'answered' AS outcome, count(*) AS rows, sum(n) AS total FROM (
+         SELECT count(*) AS n FROM bills WHERE total_amount > 100 GROUP BY utility_type)
+       UNION ALL SELECT 2, 'answered', count(*), sum(n) FROM (SELECT count(*) AS n FROM bills GROUP BY account_id)
+       UNION ALL SELECT unnest([3, 4, 5, 6, 7, 8]), 'error', 1, NULL""",
+)
+def adhoc_guard(spark, folder):
+    """Allowed statements are answered; files, reflection, scripts, commands and failures come back as error rows."""
+    tables, made = tables_of(spark, folder), []
+    for number, text in _STATEMENTS.items():
+        answer = read_only_sql(spark, text.format(folder=folder), tables)
+        failed = answer.columns == ["error"]
+        total = F.lit(None).cast("long") if failed else F.sum("n").cast("long")
+        made.append(answer.agg(
+            F.lit(number).alias("statement"), F.lit("error" if failed else "answered").alias("outcome"), F.count("*").alias("rows"), total.alias("total")
+        ))
+    return reduce(DataFrame.unionByName, made)
+
+
 @query(
     "account_number:s vendor_name:s", "SELECT account_number, vendor_name FROM accounts JOIN vendors USING (vendor_id)"
 )
@@ -648,6 +681,48 @@ def group_breaks(spark, folder):
     return rp.group_breaks(staged(found, "findings"), tables)
 
 
+@query(
+    "client_name:s first_position:i client_rank:i",
+    f"""SELECT client_name, min(p) AS first_position, row_number() OVER (ORDER BY min(p)) AS client_rank FROM (
+        SELECT client_name, row_number() OVER (ORDER BY {_WORST_FIRST}) AS p FROM finding_star WHERE NOT reviewed) GROUP BY client_name""",
+)
+def group_order(spark, folder):
+    """Clients in the order in which the listing first names them."""
+    tables, found = findings_of(spark, folder)
+    return rp.group_order(staged(found, "findings"), tables)
+
+
+@query(
+    "bills:i accounts:i clients:i",
+    """SELECT count(*) AS bills, count(DISTINCT account_id) AS accounts, count(DISTINCT client_id) AS clients
+       FROM bills JOIN (SELECT account_id, client_id FROM accounts JOIN properties USING (property_id)) USING (account_id) WHERE total_amount > 0""",
+)
+def distinct_counts(spark, folder):
+    return rp.distinct_counts(tables_of(spark, folder))
+
+
+_PLACES = """(SELECT DISTINCT CAST(c_custkey % 131 AS DOUBLE) / 10 - 1.5 AS lat,
+  CASE WHEN c_custkey % 3 = 0 THEN -179.9 ELSE CAST(c_custkey % 977 AS DOUBLE) / 3 - 20 END AS lon FROM customer)"""
+_GRID = "(SELECT DISTINCT CAST(user_id % 10 AS DOUBLE) AS lat, CASE WHEN user_id % 7 = 0 THEN 179.75 ELSE CAST(user_id % 300 AS DOUBLE) END AS lon FROM events)"
+
+
+@query(
+    "lat:r6 lon:r6 point_lat:d point_lon:d distance_km:r4",
+    f"""WITH asked AS {_PLACES}, grid AS {_GRID},
+        pairs AS (SELECT a.lat, a.lon, g.lat AS point_lat, g.lon AS point_lon,
+          12742.0 * asin(sqrt(least(1.0, sin(radians(g.lat - a.lat) / 2) * sin(radians(g.lat - a.lat) / 2)
+            + cos(radians(a.lat)) * cos(radians(g.lat)) * sin(radians(g.lon - a.lon) / 2) * sin(radians(g.lon - a.lon) / 2)))) AS distance_km
+          FROM asked a JOIN grid g ON abs(a.lat - g.lat) <= 0.75
+            AND least(abs(a.lon - g.lon), 360 - abs(a.lon - g.lon)) <= 0.75),
+        best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY lat, lon ORDER BY distance_km, point_lat, point_lon) = 1)
+        SELECT a.lat, a.lon, point_lat, point_lon, distance_km FROM asked a LEFT JOIN best b ON a.lat = b.lat AND a.lon = b.lon""",
+)
+def nearest_weather(spark, folder):
+    """The nearest grid point of every location, over the date line too; locations without one keep nulls."""
+    asked, grid = (spark.sql(text.strip("()").replace("customer", f"parquet.`{folder}/customer.parquet`").replace("events", f"parquet.`{folder}/events.parquet`")) for text in (_PLACES, _GRID))
+    return nearest(asked, grid, 0.75)
+
+
 @query(
     "client_name:s findings:i recovery:d",
     f"""SELECT client_name, findings, recovery FROM ({_BY_CLIENT} WHERE NOT reviewed GROUP BY client_name)
@@ -1288,3 +1363,41 @@ def stream_ingest(spark, folder):
         .unionByName(stored("accounts", none)).unionByName(stored("line_items", F.sum("total_price")))
     )
 
+
+@query(
+    "kind:s rows:i",
+    """SELECT 'bills' AS kind, count(*) AS rows FROM records WHERE reasons = ''
+       UNION ALL SELECT 'accepted', count(*) FROM records WHERE reasons = '' UNION ALL SELECT 'rejected', count(*) FROM records WHERE reasons <> ''
+       UNION ALL SELECT 'repeated', count(*) FROM records WHERE reasons = '' AND record_id % 7 = 0""",
+)
+def stream_repeats(spark, folder):
+    """Records that a later file delivers again are logged, not stored."""
+    root = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
+    answers = demo.extracted_json(spark, folder).withColumn("record_id", F.col("record_id").cast("string"))
+    answers = staged(answers, "answers")
+    again = answers.filter("CAST(record_id AS BIGINT) % 7 = 0").join(
+        ig.process(answers).filter("status = 'accepted'").select("record_id"), "record_id", "left_semi"
+    )
+    answers.repartition(3).write.json(f"{root}/inbox/first")
+    again.withColumn("source_file", F.concat(F.lit("/again"), "source_file")).repartition(2).write.json(f"{root}/inbox/second")
+    start_intake(spark, f"{root}/inbox/*", f"{root}/store", f"{root}/checkpoint", files_per_batch=2).awaitTermination()
+    log = spark.read.parquet(f"{root}/store/processed").groupBy(F.col("status").alias("kind")).agg(F.count("*").alias("rows"))
+    return log.unionByName(read_table(spark, f"{root}/store", "bills").agg(F.lit("bills").alias("kind"), F.count("*").alias("rows")))
+
+
+@query(
+    "paper:i run:i status:s pages:i",
+    """SELECT d AS paper, CAST(d % 2 AS INT) AS run, CASE WHEN reasons = '' THEN 'accepted' ELSE 'rejected' END AS status, 1 AS pages
+       FROM papers WHERE d % 12 <> 5""",
+)
+def file_intake(spark, folder):
+    """Text files found in a folder, in two runs; the second one finds what is new, a third one nothing."""
+    root = f"{staging_root(spark)}/files-{uuid.uuid4().hex}"
+    texts = staged(paper_texts(spark, folder).select("doc_id", F.col("text").alias("value")), "texts")
+    for run in (0, 1):
+        # One file for each paper.
+        texts.filter(F.col("doc_id") % 2 == run).repartition("doc_id").write.mode("append").partitionBy("doc_id").text(f"{root}/inbox")
+        start_document_intake(spark, f"{root}/inbox", f"{root}/store", f"{root}/checkpoint").awaitTermination()
+    start_document_intake(spark, f"{root}/inbox", f"{root}/store", f"{root}/checkpoint").awaitTermination()
+    status = read_batches(spark, f"{root}/store", "document_status")
+    return status.withColumns({"paper": F.regexp_extract("record_id", "doc_id=([0-9]+)", 1), "run": F.col("batch_id")})

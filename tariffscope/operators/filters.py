@@ -33,6 +33,17 @@ def year_is(column: str, year: int | None) -> list[Column]:
     return [F.expr(in_year(column, year))] if year else []
 
 
+def stored_years(df: DataFrame, start: str | None, end: str | None) -> list[Column]:
+    """Bounds on the folder column of stored bills that follow from bounds on their day; none where it is missing.
+
+    Bills without a day lie in a folder without a year, which no range of days holds.
+    """
+    if "billing_year" not in df.columns:
+        return []
+    year = F.col("billing_year")
+    return ([year >= int(start[:4])] if start else []) + ([year <= int(end[:4])] if end else [])
+
+
 def unreviewed(show_reviewed: bool) -> list[Column]:
     return [] if show_reviewed else [~F.col("reviewed")]
 

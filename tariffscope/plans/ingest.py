@@ -148,10 +148,10 @@ def parse_records(answers: DataFrame) -> DataFrame:
     return (
         answers.select(
             "record_id", tx.base_name(F.col("source_file")).alias("source_file"),
-            tx.strip_fences(F.col("payload")).alias("answer"),
+            tx.strip_fences(F.col("payload")).alias("answer"), F.xxhash64("source_file", "payload").alias("answer_hash"),
         )
         .selectExpr(
-            "record_id", "source_file", "xxhash64(answer) AS answer_hash", f"NOT coalesce({whole}, false) AS no_object",
+            "record_id", "source_file", "answer_hash", f"NOT coalesce({whole}, false) AS no_object",
             "coalesce(array_contains(json_object_keys(answer), 'error'), false) AS has_error", f"inline(array({parsed}))",
         )
         .selectExpr(

@@ -20,6 +20,7 @@ from tariffscope.operators import filters as where
 from tariffscope.operators import periods
 from tariffscope.operators.ordering import numbered
 from tariffscope.operators.star import account_directory, bill_star, finding_star
+from tariffscope.session import staged
 from tariffscope.sources.tables import AuditTables
 
 
@@ -103,7 +104,7 @@ def bill_search(
     """Newest bills under optional filters."""
     bills = where.where_all(
         tables.bills, where.equals("utility_type", utility_type),
-        where.between_days("billing_date", start_date, end_date),
+        where.between_days("billing_date", start_date, end_date), where.stored_years(tables.bills, start_date, end_date),
     )
     return (
         where.where_all(
@@ -129,7 +130,8 @@ def compare_periods(
 def top_spenders(tables: AuditTables, utility_type: str = "", year: int = 0, limit: int = 10) -> DataFrame:
     """Accounts and utilities with the highest spend."""
     bills = where.where_all(
-        tables.bills, where.equals("utility_type", utility_type), where.year_is("billing_date", year)
+        tables.bills, where.equals("utility_type", utility_type), where.year_is("billing_date", year),
+        where.stored_years(tables.bills, *[f"{year:04d}" if year else None] * 2),
     )
     return (
         _spending(bills)
@@ -411,6 +413,26 @@ def dashboard_pages(
     )
 
 
+def group_order(findings: DataFrame, tables: AuditTables) -> DataFrame:
+    """``client_name, first_position, client_rank``: clients in the order in which the listing first names them.
+
+    Positions come from ``numbered``, so the listing is never gathered in one task.
+    """
+    listed = staged(_listed(findings, tables), "listing")
+    first = numbered(listed, _worst_first()).groupBy("client_name").agg(F.min("position").alias("first_position"))
+    return numbered(first, [F.col("first_position")], name="client_rank")
+
+
+def distinct_counts(tables: AuditTables) -> DataFrame:
+    """One row: bills with a price, and how many accounts and clients they belong to."""
+    per_account = where.positive_total(tables.bills).groupBy("account_id").agg(F.count(F.lit(1)).alias("bills"))
+    owned = per_account.join(account_directory(tables).select("account_id", "client_id"), "account_id")
+    return owned.groupBy("client_id").agg(F.sum("bills").alias("bills"), F.count(F.lit(1)).alias("accounts")).agg(
+        F.coalesce(F.sum("bills"), F.lit(0).cast("long")).alias("bills"),
+        F.coalesce(F.sum("accounts"), F.lit(0).cast("long")).alias("accounts"), F.count(F.lit(1)).alias("clients"),
+    )
+
+
 def group_breaks(findings: DataFrame, tables: AuditTables) -> DataFrame:
     """The dashboard with ``is_group_start`` on the first finding of each client and severity.
 

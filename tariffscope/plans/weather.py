@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tariffscope.operators.nearest import nearest, nearest_point
 from tariffscope.sources.weather import DEFAULT_LAT, DEFAULT_LON
 
+#: How far (degrees) a grid point may lie from the location it stands for.
+GRID_DEGREES = 0.25
 # Base temperature (°F) and the thresholds of the weather test.
 BASE_TEMP = 65.0
 QUIET_MONTH = 5
@@ -67,23 +70,34 @@ def bill_months(bills: DataFrame) -> DataFrame:
     )
 
 
+def here(daily: DataFrame, lat: float, lon: float, within: float = GRID_DEGREES) -> DataFrame:
+    """Days of the grid point nearest to a location; none if no point is near enough."""
+    point = nearest_point(daily, lat, lon, within)
+    return daily.filter((F.col("lat") == point[0]) & (F.col("lon") == point[1])) if point else daily.filter(F.lit(False))
+
+
 def weather_table(
-    bills: DataFrame, daily: DataFrame, lat: float = DEFAULT_LAT, lon: float = DEFAULT_LON
+    bills: DataFrame, daily: DataFrame, lat: float = DEFAULT_LAT, lon: float = DEFAULT_LON, within: float = GRID_DEGREES
 ) -> DataFrame:
-    """(year, month, hdd, cdd, avg_hdd, avg_cdd) of one location, for the months of bills."""
-    here = daily.filter((F.col("lat") == lat) & (F.col("lon") == lon))
-    monthly = degree_days(here).join(bill_months(bills), ["year", "month"], "left_semi")
-
-    # Windows over calendar months: one row per year each.
-    def mean(column: str) -> str:
-        total, n = f"sum({column}) OVER (PARTITION BY month)", f"count({column}) OVER (PARTITION BY month)"
-        return f"CAST(bround(CAST({total} AS DECIMAL(20,1)) / CAST({n} AS DECIMAL(10,0)), 1) AS {_TENTH})"
+    """(year, month, hdd, cdd, avg_hdd, avg_cdd) of one location, for the months of bills.
 
-    return monthly.selectExpr(
-        "year", "month", "hdd", "cdd", f"{mean('hdd')} AS avg_hdd", f"{mean('cdd')} AS avg_cdd"
+    A weather service answers for the nearest point of its grid, so its coordinates
+    aren't those that were asked for.
+    """
+    months = bill_months(bills)
+    monthly = degree_days(here(daily, lat, lon, within))
+    # Twelve rows at most.
+    usual = F.broadcast(month_baselines(monthly, months))
+    return monthly.join(months, ["year", "month"], "left_semi").join(usual, "month").select(
+        "year", "month", "hdd", "cdd", "avg_hdd", "avg_cdd"
     )
 
 
+def unmatched_locations(locations: DataFrame, daily: DataFrame, within: float = GRID_DEGREES) -> DataFrame:
+    """Locations for which no weather is near enough."""
+    return nearest(locations, daily.select("lat", "lon"), within).filter("distance_km IS NULL").select(*locations.columns)
+
+
 def sensitivity(industry: str, utility: str) -> str:
     """SQL text of the weather weight of an industry and utility."""
     steps = " ".join(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tariffscope.plans.batch import store_answers
+from tariffscope.plans.batch import Extractor, store_answers, take_in_documents
 from tariffscope.sources.store import prepare_store
 
 ANSWERS = "record_id string, source_file string, payload string"
@@ -35,3 +36,31 @@ def start_intake(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_document_intake(
+    spark: SparkSession, inbox: str, store: str, checkpoint: str, pattern: str = "*", files_per_batch: int = 1000, extractor: Extractor | None = None
+) -> StreamingQuery:
+    """Take in every text file below ``inbox`` that no earlier run has taken, then stop.
+
+    A file is a document, its path the record's id, and form feeds end its pages. The
+    checkpoint knows the files taken, so a later run reads only those that are new.
+    """
+    prepare_store(spark, store)
+    files = (
+        spark.readStream.format("text")
+        .option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(inbox)
+        .select(F.col("_metadata.file_path").alias("path"), "value")
+    )
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        # No file ends a page that it doesn't begin: a last form feed adds none.
+        pages = batch.select("path", F.posexplode(F.split(F.regexp_replace("value", "\\f\\z", ""), "\f")).alias("page_no", "text"))
+        take_in_documents(
+            pages.select(F.col("path").alias("doc_id"), "page_no", F.col("path").alias("source_file"), "text", F.lit(None).cast("string").alias("ocr_text")),
+            batch_id, store, extractor,
+        )
+
+    return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,9 +6,12 @@ from contextlib import contextmanager
 import pytest
 
 from checks.queries import QUERIES
+from tariffscope.operators.constraints import violations
 from tariffscope.operators.star import bill_star
 from tariffscope.plans import features as fe
 from tariffscope.plans import reports as rp
+from tariffscope.schemas import TableRules
+from tariffscope.sources import demo
 from tariffscope.sources.tables import AuditTables
 from tests.test_features import bill
 
@@ -79,3 +82,30 @@ def test_hot_account_is_split_at_the_joins(spark, small_tables, tmp_path):
         assert "(skew=true)" in plan_of(features)
         assert "Window" not in plan_of(features)
     assert {r["account_bill_count"] for r in rows if r["account_id"] == 100} == {8000}
+
+
+def test_constraints_scan_each_table_once_and_shuffle_once(spark, sample, tmp_path):
+    tables = demo.audit_tables(spark, sample)
+    stored = {}
+    for name in ("clients", "properties", "vendors", "accounts"):
+        getattr(tables, name).write.parquet(f"{tmp_path}/{name}")
+        stored[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    plan = violations(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 4 and plan.count("Exchange") == 1
+    assert violations(stored).count() == 0
+
+
+def test_constraints_of_keys(spark):
+    rules = {
+        "a": TableRules(required=("id",), unique=("id",), references={"up": ("b", "code")}),
+        "b": TableRules(allowed={"kind": ("x",)}, references={"top": ("a", "id"), "gone": ("c", "id")}),
+    }
+    tables = {
+        "a": spark.createDataFrame([(1, "p"), (1, "q"), (None, None), (3, "q")], "id int, up string"),
+        "b": spark.createDataFrame([("p", "x", 1, 9), ("p", "y", 2, 9), ("r", "y", 2, 9), (None, None, None, 9)], "code string, kind string, top int, gone int"),
+    }
+    found = sorted(map(tuple, violations(tables, rules).collect()), key=repr)
+    assert found == sorted([
+        ("a", "NOT NULL", "id", None, 1), ("a", "UNIQUE", "id", "1", 2), ("a", "FOREIGN KEY", "up", "q", 2),
+        ("b", "ALLOWED VALUES", "kind", "y", 2), ("b", "FOREIGN KEY", "top", "2", 2),
+    ], key=repr)
