@@ -1120,6 +1120,23 @@ def scoring_totals(spark, folder):
     return ml.scoring_totals(scored_of(tables_of(spark, folder)))
 
 
+@query(
+    "bills:i flagged:i flagged_pct:r4 skipped:i findings:i urgent:i high:i recovery:d stored:i",
+    """SELECT * FROM (SELECT count(*) AS bills, count(*) FILTER (ml_flagged) AS flagged,
+         100.0 * count(*) FILTER (ml_flagged) / count(*) AS flagged_pct, count(*) FILTER (account_bill_count < 12) AS skipped FROM scored),
+       (SELECT count(*) AS findings, count(*) FILTER (severity = 'URGENT') AS urgent, count(*) FILTER (severity = 'HIGH') AS high,
+         sum(potential_recovery) AS recovery, count(*) AS stored FROM findings)""",
+)
+def detection_counters(spark, folder):
+    """What a run counts while its findings are written, beside what is stored."""
+    root = f"{staging_root(spark)}/run-{uuid.uuid4().hex}"
+    prepare_store(spark, root)
+    tables = tables_of(spark, folder)
+    totals = dt.record_findings(scored_of(tables), weather_of(spark, folder, tables), root, 0, RUN_TIME)
+    stored = read_table(spark, root, "findings").agg(F.count("*").alias("stored"))
+    return stored.select("stored", *[F.lit(value).alias(name) for name, value in totals.items()])
+
+
 _DRAWN = "CAST('0x' || substr(md5(bill_id || ':{seed}'), 1, 15) AS BIGINT)"
 _STRATA = f"""SELECT bill_id, CAST(is_anomaly_detected AS INT) AS label, count(*) OVER (PARTITION BY is_anomaly_detected) AS n,
   row_number() OVER (PARTITION BY is_anomaly_detected ORDER BY {_DRAWN.format(seed=42)}, bill_id) AS h,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tariffscope.functions.dates import parse_date
 from tariffscope.functions.numeric import MONEY
 from tariffscope.plans.audit_rules import UNPRICED_TEXT, failed_text
+from tariffscope.session import staged
 from tariffscope.sources.tables import AuditTables
 from tariffscope.sources.weather import DEFAULT_LAT, DEFAULT_LON
 
@@ -189,8 +190,17 @@ def station_weather(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Files of the sample's inbox and of its pages.
+FILES = 16
+
+
+def _delivered(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` as a source that comes in several files, as an inbox does; the sample tables are one file each."""
+    return staged(rows.repartition(FILES), label)
+
+
 def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Extractor answers made from the bills: (record_id, source_file, payload).
+    """Extractor answers made from the bills: (record_id, source_file, payload), in several files.
 
     Faults are planted by bill number: broken JSON, empty answers, text after the
     object, error payloads, CCF units, dashed accounts,
@@ -225,7 +235,7 @@ def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
         "is_anomaly_detected": "false",
     }
     record = ", ".join(f"{value} AS {name}" for name, value in fields.items())
-    return (
+    answers = (
         bills(spark, folder)
         .join(sums, "bill_id", "left")
         .selectExpr("*", "lpad(CAST(account_id AS STRING), 8, '0') AS number")
@@ -236,6 +246,7 @@ def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
             f"ELSE concat('```json\\n', to_json(struct({record})), '\\n```') END AS payload",
         )
     )
+    return _delivered(answers, "inbox")
 
 
 def bill_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,10 +256,11 @@ def bill_pages(spark: SparkSession, folder: str) -> DataFrame:
     """
     amount = "CAST(CAST(doc_id % 900 + 100 AS DECIMAL(10,2)) + 0.25BD AS DECIMAL(10,2))"
     line = f"concat('\\nTotal Amount Due $', {amount}, ' Account Number ', lpad(CAST(doc_id AS STRING), 8, '0'))"
-    return _table(spark, folder, "documents").selectExpr(
+    pages = _table(spark, folder, "documents").selectExpr(
         "doc_id DIV 4 AS doc_id", "CAST(doc_id % 4 AS INT) AS page_no",
         f"CASE WHEN doc_id % 3 = 0 THEN concat(text, {line}) ELSE text END AS text",
     )
+    return _delivered(pages, "pages")
 
 
 # The planted numbers of paper bill d, in cents; the other engine states the same.
