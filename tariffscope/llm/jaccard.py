@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tariffscope.llm.arrays import mix, prefix_hash, run_hash, words
@@ -445,8 +445,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result. A clash of two
     sets' 64-bit hashes is found by a second hash and stops the job.
     """
+    rooted = rooted_rows(docs)
+    least = rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = rooted.join(least, "root", "left")
+    name = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", "n_shingles", name.alias("component_id"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, body, key``: the text as bytes and a hash of both."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    given = docs.select("doc_id", body.alias("body"), F.xxhash64("doc_id", body).alias("key"))
+    return docs.select("doc_id", body.alias("body"), F.xxhash64("doc_id", body).alias("key"))
+
+
+def rooted_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, n_shingles, root`` of every row: rows of one component have one root."""
+    given = keyed(docs)
     described = staged(describe(given), "shingled")
     rows = described.filter("sketch IS NULL").select("doc_id", "key", F.col("n").alias("n_shingles"), "class", "check", "point")
     same = F.assert_true(F.min("check") == F.max("check"), F.lit("two shingle sets have one hash"))
@@ -466,21 +480,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
     found = components(links)
 
     rooted = rows.join(found.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left")
-    rooted = rooted.select("doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
-    least = rooted.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = rooted.join(least, "root", "left")
-    name = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", name.alias("component_id"))
+    return rooted.select("doc_id", "key", "n_shingles", F.coalesce("root", "class").alias("root"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of their component, with the same columns.
+    """One row of every component of ``docs``, with the same columns: that of the smallest id.
 
-    Repeated rows of that id leave one. Rows with a null id are kept.
+    Decided for each (id, text), so different texts that share an id, or have none,
+    are judged apart. A null id comes last; among texts of one id the smallest hash
+    stays, among rows of one id and text the first by all columns' hash (equal rows
+    differ in nothing). Texts without words are linked with nothing: each of their
+    (id, text) stays once.
     """
-    kept = near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    number = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.doc_id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    named = rows.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("row.doc_id") == F.col("kept_id"))
-    first = named.withColumn("number", number).filter("number = 1").select("row.*")
-    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+    empty = F.col("n_shingles") == 0
+    group = F.struct(empty.alias("empty"), F.when(empty, F.col("key")).otherwise(F.col("root")).alias("name"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    first = rooted_rows(docs).groupBy(group.alias("group")).agg(F.min(place).alias("first")).select(F.col("first.key").alias("kept"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("key"),
+    )
+    named = rows.join(first.distinct(), F.col("key") == F.col("kept"), "left_semi")
+    return named.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")

@@ -76,6 +76,16 @@ def test_near_copies_of_odd_rows(docs):
     assert jaccard.near_copies(docs([])).count() == 0
 
 
+def test_one_of_each_loses_no_unlinked_text(docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (2, a), (None, c), (None, c.upper()), (None, b), (4, None), (4, ""), (4, " . "), (None, None), (5, c + " d")]
+    kept = jaccard.one_of_each(docs(rows)).collect()
+    texts = sorted(((r["doc_id"] or 0), (r["text"] or "").lower()) for r in kept)
+    assert [t for t in texts if t[1].strip(" .")] == [(1, a), (1, b), (5, c + " d")]
+    assert sorted(t[0] for t in texts if not t[1].strip(" .")) == [0, 4, 4]
+    assert jaccard.one_of_each(docs([])).count() == 0
+
+
 def test_components(spark):
     draw = random.Random(3)
     pairs = [(k, k + 1) for k in range(40)] + [(draw.randrange(100, 160), draw.randrange(100, 160)) for _ in range(40)] + [(200, k) for k in range(201, 260)]
