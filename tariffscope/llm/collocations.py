@@ -203,7 +203,8 @@ def word_counts(rows: DataFrame, least: int) -> DataFrame:
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[tuple[np.ndarray, np.ndarray]] = []
-        order = np.zeros(0, np.uint64)  # hashes in the order in which lang and word spell them
+        known = np.zeros(0, np.uint64)  # hashes that are spelled, sorted
+        order: list[np.ndarray] = []  # the same in the order in which lang and word spell them
         lang: list[str] = []
         word: list[bytes] = []
 
@@ -213,8 +214,8 @@ def word_counts(rows: DataFrame, least: int) -> DataFrame:
 
         def named() -> pa.RecordBatch:
             hashes, n = merged()
-            by = np.argsort(order)
-            at = by[np.searchsorted(order[by], hashes)].tolist()
+            by = np.argsort(np.concatenate(order))
+            at = by[np.searchsorted(known, hashes)].tolist()
             return table(hashes.view(np.int64), [lang[k] for k in at], [word[k] for k in at], n)
 
         for batch in source:
@@ -229,7 +230,9 @@ def word_counts(rows: DataFrame, least: int) -> DataFrame:
                     continue
                 (hashes,), n = grouped([c.hash], np.ones(len(c.hash), np.int64))
                 counts.append((hashes, n))
-                fresh = np.setdiff1d(hashes, order)
+                hashes = np.sort(hashes)
+                slot = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+                fresh = hashes[known[slot] != hashes] if len(known) else hashes
                 place = np.minimum(np.searchsorted(fresh, c.hash), max(len(fresh) - 1, 0))
                 found = np.flatnonzero(fresh[place] == c.hash) if len(fresh) else place[:0]
                 at = np.empty(len(fresh), np.int64)
@@ -237,12 +240,13 @@ def word_counts(rows: DataFrame, least: int) -> DataFrame:
                 data = c.data.tobytes()
                 word += [data[a:b] for a, b in zip(c.start[at].tolist(), c.stop[at].tolist(), strict=True)]
                 lang += [c.lang[k] for k in c.doc[at].tolist()]
-                order = np.concatenate((order, fresh))
+                order.append(fresh)
+                known = np.sort(np.concatenate((known, fresh)))
                 if sum(len(n) for _, n in counts) > HELD:
                     counts = [merged()]
-                if len(order) > HELD:
+                if len(known) > HELD:
                     yield named()
-                    counts, order, lang, word = [], order[:0], [], []
+                    counts, known, order, lang, word = [], known[:0], [], [], []
         if counts:
             yield named()
 
