@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tariffscope.operators import strata
@@ -85,3 +86,10 @@ def test_forest_does_not_depend_on_how_rows_come(spark, sample):
     frame = staged(ml.training_frame(fe.coded_features(demo.audit_tables(spark, sample))), "frame")
     shuffled = frame.repartition(7).orderBy(F.rand(5))
     assert ml.train(frame, 5, 6).toDebugString.split("\n", 1)[1] == ml.train(shuffled, 5, 6).toDebugString.split("\n", 1)[1]
+
+
+def test_scoring_works_in_a_session_that_observes(spark, sample):
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    coded = fe.coded_features(demo.audit_tables(spark, sample))
+    assert seen.get == {"n": 3} and ml.score_bills(coded, ml.train(ml.training_frame(coded), 3, 3)).count() == coded.count()
