@@ -3,16 +3,21 @@
 1. Texts with equal shingle sets form a class; only classes go on.
 2. Two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1``
    of each in any common order. Common shingles (seen by a fixed-size sketch)
-   stand last in that order. Classes with a first shingle in common form a block.
-3. A class that shares much with the smallest class of a block is compared with
-   it at once. What these links connect needs no further test, so a group of
-   copies costs as many tests as it has classes, not pairs.
-4. Shingles are hashed into groups and each class is a point of group counts. In
+   stand last in that order. Classes with a first shingle in common form a block;
+   blocks of the same members are looked at once, at their first shingle.
+3. Shingles are hashed into groups and each class is a point of group counts. In
    every block an R-tree over the points bounds the overlap of two classes by
-   ``sum(min(count, count))``; only pairs that pass, of classes that aren't
-   connected yet, are verified on the sets themselves: first each class's best
-   partner, then its best one in every other component, at last all that is left.
-5. All links give the components. A large block is dealt over tasks as pairs of parts.
+   ``sum(min(count, count))``; before that, the places of the block's shingle in both
+   orders bound it by what stands behind it, which is exact for the first shingle that
+   two sets share. A block hands on a spanning forest of the pairs that pass, at
+   most one link for each member, not the pairs.
+4. What these connect is a cluster; every pair that passes lies within one. Each
+   cluster's sets meet once, and pairs that an R-tree over them leaves, of members not
+   connected yet, are verified on the sets. Again a forest is handed on.
+5. All links give the components.
+
+Blocks and clusters above a size are dealt over tasks as pairs of parts, so no task
+gets more than two parts whatever the group, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tariffscope.llm.arrays import mix, prefix_hash, run_hash, words
+from tariffscope.llm.bbit import forests, in_parts
 from tariffscope.llm.common import body_bytes, flagged, slices, staged
 from tariffscope.llm.graph import components
 
@@ -38,16 +44,14 @@ COUNTERS = 1 << 21
 ADDERS = 16
 #: Tasks that share the rows of one common shingle.
 SALTS = 64
-#: Coordinates of a point, and points of a leaf.
+#: Coordinates of a point; points of a leaf, and nodes of a node above.
 GROUPS, LEAF = 256, 16
-#: Groups of the finer points that are compared before two sets are.
-FINE = 1 << 13
-#: Classes of a block that a task joins; larger blocks are joined part by part.
-PART = 1024
-#: Share of its first shingles (percent) that a class has in common with a hub to be compared at once.
-CLOSE = 40
+#: Classes of a block, and shingles of a cluster, that make one part.
+PART, CLUSTER_PART = 8192, 1 << 21
 #: Pairs whose points are compared in one go.
-TOGETHER = 20_000
+TOGETHER = 1 << 14
+#: A first shingle's ``place`` is its level times this, plus its rank.
+RANKS = 1 << 40
 
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
@@ -74,21 +78,26 @@ def set_hash(hashes: np.ndarray, first: np.ndarray, salt: np.uint64) -> np.ndarr
     return mix(sums[first[1:]] - sums[first[:-1]]).view(np.int64)
 
 
-def prefix_order(hashes: np.ndarray, first: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of each set's first shingles in the common order (rare first), and their sets."""
+def prefix_order(hashes: np.ndarray, first: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of each set's first shingles in the common order (rare first), their sets and their ranks."""
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((hashes, rarity[hashes % np.uint64(COUNTERS)], doc))
+    order = np.lexsort((hashes.view(np.int64), rarity[hashes % np.uint64(COUNTERS)], doc))
     rank = np.arange(len(doc)) - first[doc]
     chosen = rank <= n[doc] * (100 - PERCENT) // 100
-    return order[chosen], doc[chosen]
+    return order[chosen], doc[chosen], rank[chosen]
 
 
-def points_of(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Group counts of each set, in one byte each, or in four where a count needs more."""
+def counted(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Group counts of each set, one row each."""
     n = np.diff(first)
     cell = np.repeat(np.arange(len(n)), n) * GROUPS + (hashes >> np.uint64(56)).astype(np.int64)
-    counts = np.bincount(cell, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+    return np.bincount(cell, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+
+
+def points_of(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Group counts of each set, in one byte each, or in four where a count needs more."""
+    counts = counted(hashes, first)
     wide = counts.max(1, initial=0) > 255
     small, large = counts.astype(np.uint8), counts.astype("<u4")
     return [(large if w else small)[k].tobytes() for k, w in enumerate(wide)]
@@ -151,7 +160,7 @@ def rarity_levels(sketches: DataFrame) -> np.ndarray:
 
 
 def tokens(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """``token, salt, class``: the first shingles of each class, once per task. Salts split common shingles."""
+    """``token, salt, class, place``: the first shingles of each class, once per task. Salts split common shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,76 +175,42 @@ def tokens(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                 seen = np.union1d(seen, classes[at])
                 fresh = np.zeros(len(classes), bool)
                 fresh[at] = True
-                where, doc = prefix_order(hashes, first, rarity)
-                where, doc = where[fresh[doc]], doc[fresh[doc]]
+                where, doc, rank = prefix_order(hashes, first, rarity)
+                where, doc, rank = where[fresh[doc]], doc[fresh[doc]], rank[fresh[doc]]
                 token, own = hashes[where], classes[doc]
-                salt = np.where(rarity[token % np.uint64(COUNTERS)] > 0, own % SALTS, -1)
+                level = rarity[token % np.uint64(COUNTERS)].astype(np.int64)
+                salt = np.where(level > 0, own % SALTS, -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(own)], names=["token", "salt", "class"]
+                    [pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(own), pa.array(level * RANKS + rank)],
+                    names=["token", "salt", "class", "place"],
                 )
 
-    return docs.select("body").mapInArrow(work, "token long, salt int, class long")
+    return docs.select("body").mapInArrow(work, "token long, salt int, class long, place long")
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
-    """``token, class, hub``: members of (token, salt) groups that aren't alone, with the first one; of salted groups all."""
+    """``token, class, place``: members of (token, salt) groups that aren't alone; of salted groups all."""
+    columns = ("token", "salt", "class", "place")
+
+    def some(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in (0, 2, 3)], names=["token", "class", "place"])
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None  # the last row, while its group may go on
-        hub = None
+        waiting = np.zeros((0, 4), np.int64)  # the last row, while its group may go on
+        follows = False  # it isn't its group's first
         for batch in source:
-            rows = np.stack([batch.column(c).to_numpy() for c in ("token", "salt", "class")], 1)
-            if waiting is not None:
-                rows = np.concatenate([waiting, rows])
+            rows = np.concatenate([waiting, np.stack([batch.column(c).to_numpy() for c in columns], 1)])
             if not len(rows):
                 continue
             rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
-            went_on = waiting is not None and hub is not None
-            new[0] = not went_on
-            head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
-            hubs = np.where(head >= 0, rows[np.maximum(head, 0), 2], hub if went_on else 0)
-            with_next = np.zeros(len(rows), bool)
-            with_next[:-1] = ~new[1:]
-            # The last row waits: the next batch may hold more of its group.
-            done = np.arange(len(rows)) < len(rows) - 1
-            pick = np.flatnonzero(done & (~new | with_next | (rows[:, 1] >= 0)))
-            yield _shared_rows(rows[pick], hubs[pick])
-            waiting, hub = rows[-1:], (None if new[-1] else hubs[-1])
-        if waiting is not None:
-            keep = hub is not None or waiting[0, 1] >= 0
-            yield _shared_rows(waiting[: int(keep)], np.array([waiting[0, 2] if hub is None else hub])[: int(keep)])
+            new = np.append(not follows, (rows[1:, :2] != rows[:-1, :2]).any(1))
+            alone = new[:-1] & new[1:] & (rows[:-1, 1] < 0)
+            yield some(rows[:-1][~alone])
+            waiting, follows = rows[-1:], not new[-1]
+        yield some(waiting[follows | (waiting[:, 1] >= 0)])
 
     dealt = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
-    return dealt.mapInArrow(work, "token long, class long, hub long")
-
-
-def _shared_rows(rows: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 2])), pa.array(hubs)], names=["token", "class", "hub"]
-    )
-
-
-class Tree:
-    """Points of group counts, ordered by set size and packed into leaves with upper corners."""
-
-    def __init__(self, size: np.ndarray, points: np.ndarray):
-        self.size, self.points = size, points
-        starts = np.arange(0, len(size), LEAF)
-        self.corner = np.maximum.reduceat(points, starts, axis=0)
-        self.smallest = np.minimum.reduceat(size, starts)
-        self.largest = np.maximum.reduceat(size, starts)
-
-    def near(self, q: int) -> np.ndarray:
-        """Points before ``q`` in leaves whose bound on the overlap with it may suffice."""
-        leaves = -(-q // LEAF)
-        fits = 100 * self.largest[:leaves] >= PERCENT * self.size[q]
-        at = np.flatnonzero(fits)
-        bound = np.minimum(self.corner[at], self.points[q]).sum(1)
-        at = at[enough(bound, self.size[q], self.smallest[at])]
-        found = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-        return found[found < q]
+    return dealt.mapInArrow(work, "token long, class long, place long")
 
 
 def enough(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
@@ -243,196 +218,137 @@ def enough(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.
     return (100 + PERCENT) * overlap >= PERCENT * (a + b)
 
 
-def pairs_in_blocks(first: np.ndarray, size: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions, block by block, that the R-tree leaves; a block of one leaf needs no tree.
+def tiled(points: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Leaves of the points ``at``: halved at the coordinate of the widest spread until they fit one."""
+    if len(at) <= LEAF:
+        return [at]
+    own = points[at]
+    along = own[:, np.argmax(np.ptp(own, axis=0))]
+    at = at[np.argsort(along, kind="stable")]
+    half = LEAF * (-(-len(at) // LEAF) // 2)
+    return tiled(points, at[:half]) + tiled(points, at[half:])
 
-    ``first`` has where each block begins; sizes ascend within a block.
-    """
-    sizes = np.diff(first)
-    low = sizes <= LEAF
-    small = np.repeat(first[:-1][low], sizes[low])
-    own = np.arange(len(small)) - np.repeat(np.cumsum(sizes[low]) - sizes[low], sizes[low])
-    at = small + own
-    later = np.repeat(at, own)
-    earlier = np.repeat(small, own) + np.arange(len(later)) - np.repeat(np.cumsum(own) - own, own)
-    yield later, earlier
-    for block in np.flatnonzero(~low):
-        start, stop = first[block], first[block + 1]
-        tree = Tree(size[start:stop], points[start:stop])
-        for q in range(1, stop - start):
-            near = tree.near(q)
-            yield np.full(len(near), start + q), start + near
-
-
-#: Which of a class's partners a round verifies.
-BEST, EACH_COMPONENT, ALL = "best", "each component", "all"
-
-
-def block_pairs(table: pa.Table, which: str) -> Iterator[pa.RecordBatch]:
-    """``u, v, target, score`` of whole blocks: pairs, not yet connected, that pass the bound on sizes and group counts."""
-    token, left, right, side, own, component, n = (
-        table.column(c).to_numpy() for c in ("token", "left", "right", "side", "class", "component", "n")
-    )
-    points = unpacked(table.column("point").to_pylist())
-    new = np.ones(len(points), bool)
-    new[1:] = (np.diff(token) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)
-    held: list[np.ndarray] = []
-    for a, b in pairs_in_blocks(np.append(np.flatnonzero(new), len(points)), n, points):
-        fits = (component[a] != component[b]) & (100 * n[b] >= PERCENT * n[a])
-        fits &= (left[a] == right[a]) | (side[a] != side[b])
-        held.append(np.stack([a[fits], b[fits]]))
-        if sum(x.shape[1] for x in held) > TOGETHER:
-            yield _passing(np.concatenate(held, 1), own, component, n, points, which)
-            held = []
-    if held:
-        yield _passing(np.concatenate(held, 1), own, component, n, points, which)
-
-
-def _passing(
-    pairs: np.ndarray, own: np.ndarray, component: np.ndarray, n: np.ndarray, points: np.ndarray, which: str
-) -> pa.RecordBatch:
-    kept, scores = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
-    for start in range(0, pairs.shape[1], TOGETHER):
-        a, b = pairs[:, start : start + TOGETHER]
-        bound = np.minimum(points[a], points[b]).sum(1)
-        passes = enough(bound, n[a], n[b])
-        kept.append(np.stack([a[passes], b[passes]]))
-        scores.append((bound / (n[a] + n[b]))[passes])
-    (a, b), score = np.concatenate(kept, 1), np.concatenate(scores)
-    if which == ALL:
-        u, v, target = own[a], own[b], own[b]
-    else:
-        one, other, score = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
-        u, v = own[one], own[other]
-        target = component[other] if which == EACH_COMPONENT else np.zeros(len(one), np.int64)
-    order = np.lexsort((v, score, target, u))
-    last = np.ones(len(order), bool)
-    last[:-1] = (np.diff(u[order]) != 0) | (np.diff(target[order]) != 0)
-    chosen = order[last]
-    return pa.RecordBatch.from_arrays([pa.array(x[chosen]) for x in (u, v, target, score)], names=["u", "v", "target", "score"])
-
-
-def surviving_pairs(members: DataFrame, which: str = ALL) -> DataFrame:
-    """``u, v`` from ``token, left, right, side, class, component, n, point``: what the R-trees of all blocks leave."""
 
-    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in source:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 2 * PART:
-                continue
-            table = pa.Table.from_batches(held)
-            token, left, right = (table.column(c).to_numpy() for c in ("token", "left", "right"))
-            other = np.flatnonzero((token != token[-1]) | (left != left[-1]) | (right != right[-1]))
-            whole = int(other[-1]) + 1 if len(other) else 0
-            if whole:
-                yield from block_pairs(table.slice(0, whole), which)
-            held, rows = table.slice(whole).to_batches(), rows - whole
-        if rows:
-            yield from block_pairs(pa.Table.from_batches(held), which)
-
-    block = ["token", "left", "right"]
-    dealt = members.repartition(*block).sortWithinPartitions(*block, "n")
-    found = dealt.mapInArrow(work, "u long, v long, target long, score double")
-    return found.groupBy("u", "target").agg(F.max(F.struct("score", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-
-
-def in_parts(members: DataFrame) -> DataFrame:
-    """Members of a block in one part, or in every pair of parts that holds theirs."""
-    own = F.pmod(F.xxhash64("class"), F.col("parts"))
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
-        lambda other: F.struct(F.least(own, other).alias("left"), F.greatest(own, other).alias("right"), own.alias("side")),
-    )
-    return members.select("token", "class", "component", "n", "point", F.inline(pairs))
+class Tree:
+    """R-tree over points of group counts: leaves close in the points, nodes with upper corners above them."""
+
+    def __init__(self, sizes: np.ndarray, points: np.ndarray):
+        self.sizes, self.points = sizes, points
+        self.order = np.concatenate(tiled(points, np.arange(len(sizes))))
+        #: From the root's children to the leaves: upper corners, smallest set, first member of each node.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        corner, smallest, width = points[self.order], sizes[self.order], 1
+        while len(corner) > LEAF:
+            starts = np.arange(0, len(corner), LEAF)
+            corner, smallest = np.maximum.reduceat(corner, starts, axis=0), np.minimum.reduceat(smallest, starts)
+            width *= LEAF
+            self.levels.insert(0, (corner, smallest, np.arange(0, len(sizes), width)))
+
+    def passing(self, of: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """``fits`` (a row for each of the members ``of``) without those whose bound on the overlap is too small."""
+        fits = fits[:, self.order]
+        open_ = np.ones((len(of), 1), bool)
+        for corner, smallest, starts in self.levels:
+            open_ = np.repeat(open_, LEAF, axis=1)[:, : len(starts)] & np.logical_or.reduceat(fits, starts, axis=1)
+            self._bound(of, open_, corner, smallest)
+        fits &= np.repeat(open_, LEAF, axis=1)[:, : len(self.sizes)]
+        self._bound(of, fits, self.points[self.order], self.sizes[self.order])
+        found = np.empty_like(fits)
+        found[:, self.order] = fits
+        return found
+
+    def _bound(self, of: np.ndarray, open_: np.ndarray, corner: np.ndarray, smallest: np.ndarray) -> None:
+        row, node = np.nonzero(open_)
+        for start in range(0, len(row), TOGETHER):
+            r, c = row[start : start + TOGETHER], node[start : start + TOGETHER]
+            overlap = np.minimum(self.points[of[r]], corner[c]).sum(1)
+            open_[r, c] = enough(overlap, self.sizes[of[r]], smallest[c])
+
+
+class Points:
+    """Members of one block, the smallest set first: the bounds by sizes, places and group counts."""
+
+    def __init__(self, sizes: np.ndarray, payloads: list[bytes]):
+        self.sizes = sizes
+        #: Shingles from the block's own one on, in the common order.
+        self.rest = sizes - np.array([int.from_bytes(p[:8], "big") for p in payloads])
+        self.tree = Tree(sizes, unpacked([p[8:] for p in payloads]))
+
+    def passing(self, of: np.ndarray) -> np.ndarray:
+        """For each of some members, which ones pass all bounds."""
+        overlap = np.minimum(np.minimum(self.sizes, self.rest), self.rest[of, None])
+        return self.tree.passing(of, enough(overlap, self.sizes, self.sizes[of, None]))
+
+    def confirmed(self, q: int, at: np.ndarray) -> np.ndarray:
+        """Those of the passing ``at`` that count as linked with member ``q``."""
+        return at
+
+
+class Sets:
+    """Members of one cluster, the smallest first, with their sets, on which links are verified."""
+
+    def __init__(self, sizes: np.ndarray, payloads: list[bytes]):
+        self.sizes = sizes
+        self.first = np.concatenate(([0], np.cumsum(sizes)))
+        hashes = np.frombuffer(b"".join(payloads), np.uint64)
+        self.ids = np.unique(hashes, return_inverse=True)[1]
+        self.marked = np.zeros(self.ids.max() + 1, bool)
+        self.tree = Tree(sizes, counted(hashes, self.first).astype(np.int32))
+
+    def passing(self, of: np.ndarray) -> np.ndarray:
+        return self.tree.passing(of, enough(np.minimum(self.sizes, self.sizes[of, None]), self.sizes, self.sizes[of, None]))
+
+    def confirmed(self, q: int, at: np.ndarray) -> np.ndarray:
+        each = self.sizes[at]
+        begin = np.cumsum(each) - each
+        places = np.repeat(self.first[at] - begin, each) + np.arange(each.sum())
+        own = self.ids[self.first[q] : self.first[q + 1]]
+        self.marked[own] = True
+        overlap = np.add.reduceat(self.marked[self.ids[places]], begin, dtype=np.int64)
+        self.marked[own] = False
+        return at[enough(overlap, self.sizes[q], each)]
+
+
+def clusters(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """``class, cluster`` of the classes that pass the bounds with another one."""
+    members_print = [F.bit_xor(F.xxhash64("class")).alias("x"), F.sum(F.hash("class").cast("long")).alias("s"), F.min("class").alias("low")]
+    level = F.floor(F.min("place") / RANKS).alias("level")
+    blocks = shared.groupBy("token").agg(F.count("*").alias("members"), level, *members_print).filter("members > 1")
+    # A pair's first shared shingle comes first among the blocks of the same members too.
+    blocks = blocks.groupBy("members", "x", "s", "low").agg(F.min(F.struct("level", "token")).alias("first"))
+    blocks = staged(blocks.select(F.col("first.token").alias("token"), "members"), "blocks")
+    rank = F.unhex(F.lpad(F.hex(F.col("place") % RANKS), 16, "0"))
+    given = shared.join(blocks, "token").join(classes.select("class", "n", "point"), "class")
+    given = given.withColumn("payload", F.concat(rank, "point"))
+    links = staged(forests(in_parts(given, "token", F.ceil(F.col("members") / PART)), Points), "candidates")
+    found = components(links)
+    names = found.select(F.col("u").alias("class"), F.col("v").alias("cluster"))
+    return staged(names.union(found.select("v", "v").distinct()), "clusters")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, shingles, fine`` for ``wanted`` (key, class); ``fine`` has the packed counts of ``FINE`` groups."""
+    """``wanted`` (with ``key``) and the set of each, its sorted hashes as ``payload``."""
+    names = wanted.columns
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for run in slices(batch, "body"):
                 hashes, first = shingle_sets(run.column("body"))
                 blobs = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                fine = [fine_point(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [run.column("class"), pa.array(blobs, pa.binary()), pa.array(fine, pa.binary())], names=["class", "shingles", "fine"]
-                )
-
-    chosen = flagged(docs.select("key", "body"), wanted).filter("maybe").join(wanted, "key")
-    return chosen.select("class", "body").mapInArrow(work, "class long, shingles binary, fine binary")
+                yield pa.RecordBatch.from_arrays([*(run.column(c) for c in names), pa.array(blobs, pa.binary())], names=[*names, "payload"])
 
+    # Rows of one id and text have one key: any of them will do, and one of each task is enough.
+    chosen = flagged(docs.select("key", "body"), wanted.select("key")).filter("maybe").groupBy("key").agg(F.first("body").alias("body"))
+    return chosen.join(wanted, "key").select(*names, "body").mapInArrow(work, f"{fields}, payload binary")
 
-def fine_point(shingles: np.ndarray) -> bytes:
-    counts = np.bincount((shingles >> np.uint64(51)).astype(np.int64), minlength=FINE)
-    return zlib.compress(counts.astype("<u2" if len(shingles) < 1 << 16 else "<u4").tobytes(), 1)
 
-
-def fine_counts(point: bytes) -> np.ndarray:
-    raw = zlib.decompress(point)
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * FINE else "<u4").astype(np.int64)
-
-
-def still_close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` that pass the bound on the finer points too, which are far smaller than long sets."""
-
-    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            keep = []
-            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
-                a, b = fine_counts(one), fine_counts(other)
-                keep.append(bool(enough(np.minimum(a, b).sum(), a.sum(), b.sum())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], names=["u", "v"]
-            )
-
-    one = sets.select(F.col("class").alias("u"), F.col("fine").alias("one"))
-    other = sets.select(F.col("class").alias("v"), F.col("fine").alias("other"))
-    return pairs.join(one, "u").join(other, "v").mapInArrow(work, "u long, v long").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets are similar enough."""
-
-    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            links = np.zeros(batch.num_rows, bool)
-            sides = zip(batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True)
-            for k, (one, other) in enumerate(sides):
-                a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
-                links[k] = enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(pa.array(links)) for c in ("u", "v")], names=["u", "v"]
-            )
-
-    named = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
-    sets = staged(with_sets(docs, staged(classes.select("key", "class").join(named, "class"), "wanted")), "sets")
-    pairs = staged(still_close(pairs, sets), "pairs")
-    one = sets.select(F.col("class").alias("u"), F.col("shingles").alias("one"))
-    other = sets.select(F.col("class").alias("v"), F.col("shingles").alias("other"))
-    return pairs.join(one, "u").join(other, "v").mapInArrow(work, "u long, v long").distinct()
-
-
-def close_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """``u, v``: each class and the hub with which it shares most of its first shingles, if they are many."""
-    counts = shared.filter("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("c"))
-    best = counts.groupBy("class").agg(F.max(F.struct("c", "hub")).alias("best"))
-    enough_shared = F.col("best.c") * 100 >= CLOSE * (F.floor(F.col("n") * (100 - PERCENT) / 100) + 1)
-    return best.join(classes, "class").filter(enough_shared).select(F.col("class").alias("u"), F.col("best.hub").alias("v"))
-
-
-def open_blocks(shared: DataFrame, connected: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the blocks whose classes aren't all connected, with all that the R-tree needs."""
-    labels = connected.select(F.col("u").alias("class"), F.col("v").alias("component"))
-    labelled = shared.select("token", "class").distinct().join(labels, "class", "left")
-    labelled = staged(labelled.withColumn("component", F.coalesce("component", "class")), "blocks")
-    sizes = labelled.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / PART).alias("parts")
-    )
-    return in_parts(labelled.join(sizes.filter("low <> high").select("token", "parts"), "token").join(classes, "class"))
+def verified(named: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``u, v``: verified links that connect each component of similar classes, from ``class, cluster``."""
+    named = named.join(classes.select("class", "key", "n"), "class")
+    sizes = named.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER_PART).alias("parts"))
+    given = with_sets(docs, staged(named.join(sizes, "cluster"), "wanted"))
+    return staged(forests(in_parts(given, "cluster", F.col("parts")), Sets), "links")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -471,13 +387,7 @@ def rooted_rows(docs: DataFrame) -> DataFrame:
 
     rarity = rarity_levels(described.filter("sketch IS NOT NULL"))
     shared = staged(shared_tokens(tokens(given, rarity)), "tokens")
-    links = staged(verified(staged(close_pairs(shared, classes), "pairs"), given, classes), "verified")
-    for which in (BEST, EACH_COMPONENT, ALL):
-        pairs = staged(surviving_pairs(open_blocks(shared, components(links), classes), which), "pairs")
-        if which == BEST:  # a class without any partner here has none later either
-            shared = staged(shared.join(pairs.select(F.col("u").alias("class")), "class", "left_semi"), "tokens")
-        links = staged(links.unionByName(verified(pairs, given, classes)), "verified")
-    found = components(links)
+    found = components(verified(clusters(shared, classes), given, classes))
 
     rooted = rows.join(found.select(F.col("u").alias("class"), F.col("v").alias("root")), "class", "left")
     return rooted.select("doc_id", "key", "n_shingles", F.coalesce("root", "class").alias("root"))

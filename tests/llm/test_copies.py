@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tariffscope.llm import decontaminate, graph, jaccard, suffixes
@@ -47,15 +48,29 @@ def brute_components(rows):
     return [(rows[k][0], len(sets[k]), least[name[k]]) for k in range(len(rows))]
 
 
-@pytest.mark.parametrize(("seed", "part", "close"), [(1, 1024, 40), (2, 3, 40), (3, 1024, 1000)])
-def test_near_copies_match_brute_force(docs, monkeypatch, seed, part, close):
+@pytest.mark.parametrize(("seed", "part", "shingles_"), [(1, 8192, 1 << 21), (2, 3, 1 << 21), (3, 8192, 150), (5, 2, 100)])
+def test_near_copies_match_brute_force(docs, monkeypatch, seed, part, shingles_):
+    """Whole blocks and clusters, and ones dealt as pairs of parts."""
     monkeypatch.setattr(jaccard, "PART", part)
-    monkeypatch.setattr(jaccard, "CLOSE", close)
+    monkeypatch.setattr(jaccard, "CLUSTER_PART", shingles_)
     rows = list(enumerate(families(seed)))
     found = jaccard.near_copies(docs(rows)).collect()
     assert sorted(map(tuple, found)) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("size", [1, 2, 16, 17, 300, 700])
+def test_tree_leaves_what_the_bound_leaves(size):
+    draw = np.random.default_rng(size)
+    base = draw.poisson(1.0, (5, jaccard.GROUPS))
+    points = np.sort(base[draw.integers(0, 5, size)] + draw.poisson(0.05, (size, jaccard.GROUPS)), axis=0).astype(np.int32)
+    points = points[draw.permutation(size)]
+    sizes = points.sum(1)
+    fits = draw.random((size, size)) < 0.8
+    bound = np.minimum(points[:, None], points).sum(2)
+    expected = fits & jaccard.enough(bound, sizes, sizes[:, None])
+    assert (jaccard.Tree(sizes, points).passing(np.arange(size), fits) == expected).all()
+
+
 def test_common_shingles_lose_no_link(docs, monkeypatch):
     """With every shingle called common, salted blocks still meet."""
     monkeypatch.setattr(jaccard, "SALTS", 3)
