@@ -5,7 +5,8 @@
    of each in any common order. Common shingles (seen by a fixed-size sketch)
    stand last in that order. Classes with a first shingle in common form a block;
    blocks of the same members are looked at once, at their first shingle.
-3. Shingles are hashed into groups and each class is a point of group counts. In
+3. Shingles are hashed into groups and each class is a point of group counts, with
+   groups in proportion to the set: a power of two, folded down for a smaller partner. In
    every block an R-tree over the points bounds the overlap of two classes by
    ``sum(min(count, count))``; before that, the places of the block's shingle in both
    orders bound it by what stands behind it, which is exact for the first shingle that
@@ -44,12 +45,14 @@ COUNTERS = 1 << 21
 ADDERS = 16
 #: Tasks that share the rows of one common shingle.
 SALTS = 64
-#: Coordinates of a point; points of a leaf, and nodes of a node above.
-GROUPS, LEAF = 256, 16
-#: Classes of a block, and shingles of a cluster, that make one part.
-PART, CLUSTER_PART = 8192, 1 << 21
-#: Pairs whose points are compared in one go.
-TOGETHER = 1 << 14
+#: Least coordinates of a point (a power of two), and shingles for each coordinate that more are taken for.
+GROUPS, FILL = 256, 4
+#: Points of a leaf, and nodes of a node above.
+LEAF = 16
+#: Coordinates of a block's points, and shingles of a cluster, that make one part.
+PART, CLUSTER_PART = 1 << 21, 1 << 21
+#: Coordinates that are compared in one go.
+TOGETHER = 1 << 22
 #: A first shingle's ``place`` is its level times this, plus its rank.
 RANKS = 1 << 40
 
@@ -88,24 +91,28 @@ def prefix_order(hashes: np.ndarray, first: np.ndarray, rarity: np.ndarray) -> t
     return order[chosen], doc[chosen], rank[chosen]
 
 
-def counted(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Group counts of each set, one row each."""
-    n = np.diff(first)
-    cell = np.repeat(np.arange(len(n)), n) * GROUPS + (hashes >> np.uint64(56)).astype(np.int64)
-    return np.bincount(cell, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+def bits_of(n: np.ndarray) -> np.ndarray:
+    """Logarithm of the coordinates of a set of each size: at most ``FILL`` shingles for one."""
+    least = GROUPS.bit_length() - 1
+    return np.maximum(least, np.ceil(np.log2(np.maximum(n, 1) / FILL))).astype(np.int64)
+
+
+def counted(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Group counts of each set."""
+    bits = bits_of(np.diff(first))
+    return [
+        np.bincount((hashes[a:b] >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+        for a, b, k in zip(first[:-1], first[1:], bits.tolist(), strict=True)
+    ]
 
 
 def points_of(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
     """Group counts of each set, in one byte each, or in four where a count needs more."""
-    counts = counted(hashes, first)
-    wide = counts.max(1, initial=0) > 255
-    small, large = counts.astype(np.uint8), counts.astype("<u4")
-    return [(large if w else small)[k].tobytes() for k, w in enumerate(wide)]
+    return [c.astype(np.uint8 if c.max() < 256 else "<u4").tobytes() for c in counted(hashes, first)]
 
 
-def unpacked(points: list[bytes]) -> np.ndarray:
-    rows = [np.frombuffer(p, np.uint8 if len(p) == GROUPS else "<u4") for p in points]
-    return np.stack(rows).astype(np.int32) if rows else np.zeros((0, GROUPS), np.int32)
+def unpacked(points: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+    return [np.frombuffer(p, np.uint8 if len(p) == 1 << k else "<u4") for p, k in zip(points, bits_of(sizes).tolist(), strict=True)]
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -259,12 +266,40 @@ class Tree:
 
     def _bound(self, of: np.ndarray, open_: np.ndarray, corner: np.ndarray, smallest: np.ndarray) -> None:
         row, node = np.nonzero(open_)
-        for start in range(0, len(row), TOGETHER):
-            r, c = row[start : start + TOGETHER], node[start : start + TOGETHER]
-            overlap = np.minimum(self.points[of[r]], corner[c]).sum(1)
+        step = max(1, TOGETHER // corner.shape[1])
+        for start in range(0, len(row), step):
+            r, c = row[start : start + step], node[start : start + step]
+            overlap = np.minimum(self.points[of[r]], corner[c]).sum(1, dtype=np.int64)
             open_[r, c] = enough(overlap, self.sizes[of[r]], smallest[c])
 
 
+class Trees:
+    """One tree for each number of coordinates, over the points that have it and those that have twice as many, folded.
+
+    Sets that may be linked have numbers of coordinates that differ by a factor of two at most.
+    """
+
+    def __init__(self, sizes: np.ndarray, points: list[np.ndarray]):
+        self.bits = bits_of(sizes)
+        self.trees = []
+        for k in np.unique(self.bits).tolist():
+            at = np.flatnonzero((self.bits == k) | (self.bits == k + 1))
+            rows = np.empty((len(at), 1 << k), np.uint16 if max(int(points[i].max()) for i in at) < 1 << 15 else np.int64)
+            for row, i in zip(rows, at, strict=True):
+                np.sum(points[i].reshape(1 << k, -1), axis=1, out=row, dtype=row.dtype)
+            self.trees.append((k, at, Tree(sizes[at], rows)))
+
+    def passing(self, of: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        found = np.zeros_like(fits)
+        for k, at, tree in self.trees:
+            asked = np.flatnonzero(np.isin(of, at))
+            own = np.searchsorted(at, of[asked])
+            pairs = np.ix_(asked, at)
+            here = np.minimum(self.bits[of[asked], None], self.bits[at]) == k
+            found[pairs] |= tree.passing(own, fits[pairs] & here)
+        return found
+
+
 class Points:
     """Members of one block, the smallest set first: the bounds by sizes, places and group counts."""
 
@@ -272,12 +307,12 @@ class Points:
         self.sizes = sizes
         #: Shingles from the block's own one on, in the common order.
         self.rest = sizes - np.array([int.from_bytes(p[:8], "big") for p in payloads])
-        self.tree = Tree(sizes, unpacked([p[8:] for p in payloads]))
+        self.trees = Trees(sizes, unpacked([p[8:] for p in payloads], sizes))
 
     def passing(self, of: np.ndarray) -> np.ndarray:
         """For each of some members, which ones pass all bounds."""
         overlap = np.minimum(np.minimum(self.sizes, self.rest), self.rest[of, None])
-        return self.tree.passing(of, enough(overlap, self.sizes, self.sizes[of, None]))
+        return self.trees.passing(of, enough(overlap, self.sizes, self.sizes[of, None]))
 
     def confirmed(self, q: int, at: np.ndarray) -> np.ndarray:
         """Those of the passing ``at`` that count as linked with member ``q``."""
@@ -293,10 +328,10 @@ class Sets:
         hashes = np.frombuffer(b"".join(payloads), np.uint64)
         self.ids = np.unique(hashes, return_inverse=True)[1]
         self.marked = np.zeros(self.ids.max() + 1, bool)
-        self.tree = Tree(sizes, counted(hashes, self.first).astype(np.int32))
+        self.trees = Trees(sizes, counted(hashes, self.first))
 
     def passing(self, of: np.ndarray) -> np.ndarray:
-        return self.tree.passing(of, enough(np.minimum(self.sizes, self.sizes[of, None]), self.sizes, self.sizes[of, None]))
+        return self.trees.passing(of, enough(np.minimum(self.sizes, self.sizes[of, None]), self.sizes, self.sizes[of, None]))
 
     def confirmed(self, q: int, at: np.ndarray) -> np.ndarray:
         each = self.sizes[at]
@@ -316,11 +351,12 @@ def clusters(shared: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = shared.groupBy("token").agg(F.count("*").alias("members"), level, *members_print).filter("members > 1")
     # A pair's first shared shingle comes first among the blocks of the same members too.
     blocks = blocks.groupBy("members", "x", "s", "low").agg(F.min(F.struct("level", "token")).alias("first"))
-    blocks = staged(blocks.select(F.col("first.token").alias("token"), "members"), "blocks")
+    blocks = blocks.select(F.col("first.token").alias("token"))
+    members = staged(shared.join(blocks, "token").join(classes.select("class", "n"), "class"), "members")
+    parts = members.groupBy("token").agg(F.ceil(F.sum(F.greatest(F.lit(GROUPS), F.col("n") / FILL)) / PART).alias("parts"))
     rank = F.unhex(F.lpad(F.hex(F.col("place") % RANKS), 16, "0"))
-    given = shared.join(blocks, "token").join(classes.select("class", "n", "point"), "class")
-    given = given.withColumn("payload", F.concat(rank, "point"))
-    links = staged(forests(in_parts(given, "token", F.ceil(F.col("members") / PART)), Points), "candidates")
+    given = members.join(parts, "token").join(classes.select("class", "point"), "class").withColumn("payload", F.concat(rank, "point"))
+    links = staged(forests(in_parts(given, "token", F.col("parts")), Points), "candidates")
     found = components(links)
     names = found.select(F.col("u").alias("class"), F.col("v").alias("cluster"))
     return staged(names.union(found.select("v", "v").distinct()), "clusters")

@@ -48,7 +48,7 @@ def brute_components(rows):
     return [(rows[k][0], len(sets[k]), least[name[k]]) for k in range(len(rows))]
 
 
-@pytest.mark.parametrize(("seed", "part", "shingles_"), [(1, 8192, 1 << 21), (2, 3, 1 << 21), (3, 8192, 150), (5, 2, 100)])
+@pytest.mark.parametrize(("seed", "part", "shingles_"), [(1, 1 << 21, 1 << 21), (2, 700, 1 << 21), (3, 1 << 21, 150), (5, 500, 100)])
 def test_near_copies_match_brute_force(docs, monkeypatch, seed, part, shingles_):
     """Whole blocks and clusters, and ones dealt as pairs of parts."""
     monkeypatch.setattr(jaccard, "PART", part)
@@ -71,6 +71,22 @@ def test_tree_leaves_what_the_bound_leaves(size):
     assert (jaccard.Tree(sizes, points).passing(np.arange(size), fits) == expected).all()
 
 
+def test_trees_of_long_and_short_sets_lose_no_link():
+    """Points of one and of twice as many coordinates meet, and unrelated long sets don't pass."""
+    draw = np.random.default_rng(4)
+    pool = draw.integers(0, 1 << 63, (3, 5000), dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(pool[k % 3, : draw.integers(200, 5000)]) for k in range(120)]
+    sizes = np.array([len(x) for x in sets])
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    trees = jaccard.Trees(sizes, jaccard.counted(np.concatenate(sets), first))
+    passing = trees.passing(np.arange(120), np.ones((120, 120), bool))
+    overlap = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    linked = jaccard.enough(overlap, sizes, sizes[:, None])
+    assert (passing | ~linked).all() and not passing[overlap == 0].any()
+    packed = jaccard.points_of(np.concatenate(sets), first)
+    assert all((a == b).all() for a, b in zip(jaccard.unpacked(packed, sizes), jaccard.counted(np.concatenate(sets), first), strict=True))
+
+
 def test_common_shingles_lose_no_link(docs, monkeypatch):
     """With every shingle called common, salted blocks still meet."""
     monkeypatch.setattr(jaccard, "SALTS", 3)
