@@ -10,6 +10,7 @@ from tariffscope.plans import features as fe
 from tariffscope.plans import model as ml
 from tariffscope.session import staged
 from tariffscope.sources import demo
+from tests.test_plans import plan_of
 
 
 def outcomes(spark, tn, fp, fn, tp):
@@ -93,3 +94,22 @@ def test_scoring_works_in_a_session_that_observes(spark, sample):
     spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
     coded = fe.coded_features(demo.audit_tables(spark, sample))
     assert seen.get == {"n": 3} and ml.score_bills(coded, ml.train(ml.training_frame(coded), 3, 3)).count() == coded.count()
+
+
+def test_a_fit_keeps_its_rows_and_their_nodes_and_grows_the_same_trees(spark, sample, monkeypatch):
+    frame = staged(ml.training_frame(fe.coded_features(demo.audit_tables(spark, sample))), "frame")
+    kept, plain = [], ml.forest
+    monkeypatch.setattr(ml, "forest", lambda *a: kept.append(plain(*a)) or Fit(kept[-1]))
+
+    class Fit:
+        def __init__(self, of):
+            self.of = of
+
+        def fit(self, rows):
+            assert rows.is_cached and self.of.getCacheNodeIds()
+            return self.of.fit(rows)
+
+    mine = ml.train(frame, 5, 6)
+    walked = plain(5, 6).setCacheNodeIds(False).fit(ml.weighted(frame.filter("NOT holdout")))
+    assert kept and mine.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
+    assert "md5" not in plan_of(ml.training_frame(fe.coded_features(demo.audit_tables(spark, sample))))
