@@ -140,3 +140,20 @@ def test_guard_refuses(spark, sample, text):
 def test_guard_answers(spark, sample, text):
     answer = read_only_sql(spark, text, demo.audit_tables(spark, sample))
     assert answer.columns != ["error"], answer.first()
+
+
+def test_a_document_is_read_once(spark, tmp_path):
+    """Looking for a record's first answer doesn't ask the extractor again."""
+    importable(spark)
+    asked = spark.sparkContext.accumulator(0)
+    hook = bt.row_extractor(lambda prompt, text: {"provider_name": "V", "account_number": "12345", "utility_type": "Gas", "total_amount_due": 5.0})
+
+    def counting(batches):
+        for b in batches:
+            asked.add(len(b))
+            yield from hook(iter([b]))
+
+    store = str(tmp_path / "store")
+    prepare_store(spark, store)
+    bt.take_in_documents(spark.createDataFrame([(d, 0, f"{d}.pdf", LONG, None) for d in "abc"], PAGES), 0, store, counting)
+    assert asked.value == 3
