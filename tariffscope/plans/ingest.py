@@ -152,7 +152,9 @@ def parse_records(answers: DataFrame) -> DataFrame:
         )
         .selectExpr(
             "record_id", "source_file", "answer_hash", f"NOT coalesce({whole}, false) AS no_object",
-            "coalesce(array_contains(json_object_keys(answer), 'error'), false) AS has_error", f"inline(array({parsed}))",
+            # The keys are parsed only where the word occurs, or an escape that may spell it.
+            r"coalesce((contains(answer, 'error') OR contains(answer, r'\')) "
+            "AND array_contains(json_object_keys(answer), 'error'), false) AS has_error", f"inline(array({parsed}))",
         )
         .selectExpr(
             "record_id", "source_file", "answer_hash", *[f.name for f in _PAYLOAD if f.name not in dropped],

@@ -142,3 +142,10 @@ def test_extractor_gets_the_whole_raw_text(spark):
             yield batch.assign(payload=batch["text"])[["record_id", "source_file", "payload"]]
 
     assert ig.extract(docs, answer).first()["payload"] == raw
+
+
+def test_an_error_key_is_found_however_it_is_spelled(spark):
+    payloads = ['{"error": 1}', '{"\\u0065rror": null}', '{"provider_name": "error"}', '{"note": {"error": 1}}', '{"provider_name": "V\\n"}', None, "error"]
+    rows = spark.createDataFrame([(str(k), "f", p) for k, p in enumerate(payloads)], "record_id string, source_file string, payload string")
+    found = {int(r["record_id"]): r["read_status"] for r in ig.parse_records(rows).collect()}
+    assert [found[k] for k in range(7)] == ["extractor_error", "extractor_error", "read", "read", "read", "malformed", "malformed"]
