@@ -1365,8 +1365,9 @@ def review_claims_of_two_runs(spark, folder):
 def stream_ingest(spark, folder):
     root = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
     answers = demo.extracted_json(spark, folder).withColumn("record_id", F.col("record_id").cast("string"))
-    answers.repartition(4).write.json(f"{root}/inbox")
-    start_intake(spark, f"{root}/inbox", f"{root}/store", f"{root}/checkpoint", files_per_batch=2).awaitTermination()
+    more = demo.file_count(spark, folder, "orders", 4) // 4  # files for each of four, so that a batch is half of the inbox at any size
+    answers.repartition(4 * more).write.json(f"{root}/inbox")
+    start_intake(spark, f"{root}/inbox", f"{root}/store", f"{root}/checkpoint", files_per_batch=2 * more).awaitTermination()
 
     def stored(table, total):
         return read_table(spark, f"{root}/store", table).agg(
@@ -1395,9 +1396,10 @@ def stream_repeats(spark, folder):
     again = answers.filter("CAST(record_id AS BIGINT) % 7 = 0").join(
         ig.process(answers).filter("status = 'accepted'").select("record_id"), "record_id", "left_semi"
     )
-    answers.repartition(3).write.json(f"{root}/inbox/first")
-    again.withColumn("source_file", F.concat(F.lit("/again"), "source_file")).repartition(2).write.json(f"{root}/inbox/second")
-    start_intake(spark, f"{root}/inbox/*", f"{root}/store", f"{root}/checkpoint", files_per_batch=2).awaitTermination()
+    more = demo.file_count(spark, folder, "orders", 4) // 4
+    answers.repartition(3 * more).write.json(f"{root}/inbox/first")
+    again.withColumn("source_file", F.concat(F.lit("/again"), "source_file")).repartition(2 * more).write.json(f"{root}/inbox/second")
+    start_intake(spark, f"{root}/inbox/*", f"{root}/store", f"{root}/checkpoint", files_per_batch=2 * more).awaitTermination()
     log = spark.read.parquet(f"{root}/store/processed").groupBy(F.col("status").alias("kind")).agg(F.count("*").alias("rows"))
     return log.unionByName(read_table(spark, f"{root}/store", "bills").agg(F.lit("bills").alias("kind"), F.count("*").alias("rows")))
 

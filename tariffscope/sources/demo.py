@@ -190,13 +190,18 @@ def station_weather(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-#: Files of the sample's inbox and of its pages.
-FILES = 16
+#: Least files of the sample's inbox and of its pages, and the most rows of a table that one file stands for.
+FILES, ROWS_PER_FILE = 16, 250_000
 
 
-def _delivered(rows: DataFrame, label: str) -> DataFrame:
+def file_count(spark: SparkSession, folder: str, table: str, least: int) -> int:
+    """A multiple of ``least`` that grows with the table, whose size comes from the files' metadata."""
+    return least * -(-max(_table(spark, folder, table).count(), 1) // (least * ROWS_PER_FILE))
+
+
+def _delivered(rows: DataFrame, label: str, files: int) -> DataFrame:
     """``rows`` as a source that comes in several files, as an inbox does; the sample tables are one file each."""
-    return staged(rows.repartition(FILES), label)
+    return staged(rows.repartition(files), label)
 
 
 def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,7 +251,7 @@ def extracted_json(spark: SparkSession, folder: str) -> DataFrame:
             f"ELSE concat('```json\\n', to_json(struct({record})), '\\n```') END AS payload",
         )
     )
-    return _delivered(answers, "inbox")
+    return _delivered(answers, "inbox", file_count(spark, folder, "orders", FILES))
 
 
 def bill_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,7 +265,7 @@ def bill_pages(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id DIV 4 AS doc_id", "CAST(doc_id % 4 AS INT) AS page_no",
         f"CASE WHEN doc_id % 3 = 0 THEN concat(text, {line}) ELSE text END AS text",
     )
-    return _delivered(pages, "pages")
+    return _delivered(pages, "pages", file_count(spark, folder, "documents", FILES))
 
 
 # The planted numbers of paper bill d, in cents; the other engine states the same.
