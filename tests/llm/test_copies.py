@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tariffscope.llm import decontaminate, graph, jaccard, suffixes
+from tariffscope.llm import arrays, decontaminate, graph, jaccard, suffixes
 
 
 def words(draw, n, pool=10**6):
@@ -184,6 +186,23 @@ def test_long_repeats_of_odd_rows(docs):
     assert suffixes.without_repeats(docs([])).count() == 0
 
 
+def test_long_repeats_take_bounded_memory(monkeypatch):
+    """A class of the largest size that is sorted together: arrays in proportion to its starts, not to a hash's steps."""
+    monkeypatch.setattr(arrays, "_POWERS", {})
+    draw = np.random.default_rng(5)
+    strings = [draw.integers(97, 123, suffixes.LENGTH + 100, np.uint8).tobytes() for _ in range(suffixes.CLASS - 1)]
+    column = pa.array([*strings, strings[7][10:]], pa.binary())
+    tracemalloc.start()
+    try:
+        owner, start, stop = suffixes.repeated_runs(column)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [*zip(owner, start, stop, strict=True)] == [(7, 10, 101), (suffixes.CLASS - 1, 0, 91)]
+    assert peak < 160 << 20
+    assert max(map(len, arrays._POWERS.values())) <= 1 << 20
+
+
 BETWEEN = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
