@@ -1,7 +1,9 @@
 """Context-tree weighting against the sequential definition, language id by held-out accuracy, the pipeline end to end."""
 
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +12,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from tariffscope.llm import ctw, jaccard, langid, packing, pii, quality
+from tariffscope.llm.common import body_bytes
 
 
 def remainder(doc_id, modulus):
@@ -244,3 +247,32 @@ def test_pipeline_stages(spark, sample, sample_docs):
     assert sorted(tuple(r[c] for c in key) for r in last) == sorted(tuple(r[c] for c in key) for r in whole)
     assert {r["doc_id"] for r in last} == set(texts)
     assert max(r["offset"] + r["length"] for r in last) <= packing.SEQUENCE
+
+
+def test_words_and_strings_of_texts_are_counted_as_arrays():
+    """Counts equal plain ones, and the words of a run of texts are no Python objects, which took most of the time."""
+    draw = random.Random(8)
+    texts = ["", " \n\t", *(" ".join(draw.choice(["A\x0bb", "É", "é", "ab", "AB", f"w{draw.randrange(3000)}"]) for _ in range(4000)) for _ in range(4))]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    plain = Counter(w for t in texts for w in t.encode().lower().split()) + Counter({b"": len(texts)})
+    tracemalloc.start()
+    try:
+        _, n, found = ctw.summed_words(ctw.words_of(column.slice(0, 4)) + ctw.words_of(column.slice(4)))
+        blocks = sum(s.count for s in tracemalloc.take_snapshot().statistics("filename"))
+    finally:
+        tracemalloc.stop()
+    assert dict(zip(found.to_pylist(), n.tolist(), strict=True)) == plain
+    assert len(plain) > 1000 > 4 * blocks
+    known = ctw.Known(pa.table({"key": found.slice(1), "c": n[1:]}), 10.0)
+    gone = found[0].as_py()
+    tokens, hits, base = known.base(*body_bytes(column))
+    for k, text in enumerate(texts):
+        own = [*text.encode().lower().split(), b""]
+        logs = [math.log10(((plain[w] if w != gone else 0) + ctw.SMOOTHING) / 10.0) for w in own]
+        assert (tokens[k], hits[k]) == (len(own), sum(w != gone for w in own))
+        assert math.isclose(base[k], math.fsum(logs), rel_tol=1e-12)
+    keys, runs = ctw.part_strings(pa.table({"text": column}))
+    every = [k for run in [ctw.strings_of(*body_bytes(column))[0]] for k in run.tolist()]
+    assert keys.tolist() == sorted(set(every))
+    assert np.concatenate([ctw.dealt_back(own, n, order) for own, n, order, _ in runs]).tolist() == every
+    assert ctw.words_of(pa.array([], pa.binary()))[0][1].tolist() == [0]
