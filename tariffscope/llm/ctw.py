@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tariffscope.llm.arrays import FOLD, byte_values, mix, prefix_hash, run_hash, words
 from tariffscope.llm.common import body_bytes, remainder, slices, staged
 
-#: Context bytes of the tree; at most 7, as contexts and the next byte are one 64-bit key.
+#: Context bytes of the tree; at most 6, as contexts, the next byte and a mark are one 64-bit key.
 DEPTH = 5
 #: Context bytes of its broadcast top: at most 256**TOP rows of 255 nodes with three float32.
 TOP = 2
@@ -186,40 +186,52 @@ def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys[head], np.add.reduceat(n, head)
 
 
-def string_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, keys, n``: one row per bucket with the byte strings of training texts and their counts, packed."""
+def flagged_counts(texts: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct byte strings of some texts, sorted, and how often each occurs in those that aren't held out."""
+    keys, first = strings_of(*body_bytes(texts.column("text")))
+    training = ~texts.column("held_out").to_numpy(zero_copy_only=False)
+    # A key has one free bit at least, so one sort serves strings and counts.
+    keys <<= np.uint64(1)
+    keys |= np.repeat(training.astype(np.uint64), np.diff(first))
+    keys.sort()
+    n = keys & np.uint64(1)
+    keys >>= np.uint64(1)
+    head = heads(keys)
+    return keys[head], np.add.reduceat(n, head).astype(np.int64)
 
-    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, n = summed(held)
-        order, bounds = by_bucket(keys, buckets)
-        cuts = [(b, order[bounds[b] : bounds[b + 1]]) for b in np.flatnonzero(np.diff(bounds))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in cuts], pa.int32()), pa.array([packed(keys[c]) for _, c in cuts], pa.binary()),
-             pa.array([packed(n[c]) for _, c in cuts], pa.binary())],
-            names=["bucket", "keys", "n"],
-        )
 
-    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def part_counts(dealt: DataFrame, buckets: int) -> DataFrame:
+    """``part, bucket, keys, n``: the byte strings of each part and their counts in its training texts, packed by bucket."""
+
+    def count(texts: pa.Table) -> pa.Table:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in source:
+        for batch in texts.to_batches():
             for run in slices(batch, "text"):
-                held.append(np.unique(strings_of(*body_bytes(run.column("text")))[0], return_counts=True))
+                held.append(flagged_counts(run))
                 if sum(len(k) for k, _ in held) > HELD_STRINGS:
                     held = [summed(held)]
-                    if len(held[0][0]) > HELD_STRINGS // 2:
-                        yield rows(held)
-                        held = []
-        if held:
-            yield rows(held)
+        keys, n = summed(held)
+        order, bounds = by_bucket(keys, buckets)
+        cuts = [(b, order[bounds[b] : bounds[b + 1]]) for b in np.flatnonzero(np.diff(bounds))]
+        return pa.table({
+            "part": pa.array([texts.column("part")[0].as_py()] * len(cuts), pa.int32()), "bucket": pa.array([b for b, _ in cuts], pa.int32()),
+            "keys": pa.array([packed(keys[c]) for _, c in cuts], pa.binary()), "n": pa.array([packed(n[c]) for _, c in cuts], pa.binary()),
+        })
+
+    return dealt.select("part", "text", "held_out").groupBy("part").applyInArrow(count, "part int, bucket int, keys binary, n binary")
+
+
+def string_counts(partial: DataFrame) -> DataFrame:
+    """``bucket, keys, n``: one row per bucket with the byte strings of training texts and their counts, packed."""
 
     def together(table: pa.Table) -> pa.Table:
         pairs = zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)
         keys, n = summed([(unpacked(k), unpacked(c)) for k, c in pairs])
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([packed(keys)], pa.binary()), "n": pa.array([packed(n)], pa.binary())})
+        keys, n = keys[n > 0], n[n > 0]
+        made = pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([packed(keys)], pa.binary()), "n": pa.array([packed(n)], pa.binary())})
+        return made.slice(0, min(len(n), 1))
 
-    kinds = "bucket int, keys binary, n binary"
-    partial = docs.filter(~F.col("held_out")).select("text").mapInArrow(count, kinds)
-    return partial.groupBy("bucket").applyInArrow(together, kinds)
+    return partial.select("bucket", "keys", "n").groupBy("bucket").applyInArrow(together, "bucket int, keys binary, n binary")
 
 
 def lower_tree(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, dict[int, tuple], np.ndarray, np.ndarray]]:
@@ -503,10 +515,10 @@ def score(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     total = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct_words = total["n"] or 0, total["v"]
     parts = buckets = max(1, -(-size // part_bytes))
-    strings = staged(string_counts(given, buckets), "string-counts")
-    model = docs.sparkSession.sparkContext.broadcast(top_model(counts, below_top(strings)))
-
     dealt = given.withColumn("part", part_of(parts)).repartition(parts, "part")
+    partial = staged(part_counts(dealt, buckets), "part-counts")
+    strings = staged(string_counts(partial), "string-counts")
+    model = docs.sparkSession.sparkContext.broadcast(top_model(counts, below_top(strings)))
 
     def vocabulary(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[Words]] = {}
@@ -524,16 +536,6 @@ def score(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     wanted = dealt.mapInArrow(vocabulary, "part int, key binary")
     found = wanted.join(known, "key").select("part", "key", "c")
 
-    def ask(texts: pa.Table) -> pa.Table:
-        runs = (run for batch in texts.to_batches() for run in slices(batch, "text"))
-        keys = distinct(np.concatenate([distinct(strings_of(*body_bytes(run.column("text")))[0]) for run in runs]))
-        order, bounds = by_bucket(keys, buckets)
-        asked = np.flatnonzero(np.diff(bounds))
-        return pa.table({
-            "part": pa.array([texts.column("part")[0].as_py()] * len(asked), pa.int32()), "bucket": pa.array(asked, pa.int32()),
-            "keys": pa.array([packed(keys[order[bounds[b] : bounds[b + 1]]]) for b in asked], pa.binary()),
-        })
-
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = [unpacked(k) for k in left.column("keys").to_pylist()]
         wanted = np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.uint64)
@@ -542,8 +544,7 @@ def score(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
         given_back = pa.array([logs[np.searchsorted(wanted, k)].tobytes() for k in asked], pa.binary())
         return pa.table({"part": left.column("part"), "bucket": left.column("bucket"), "logs": given_back})
 
-    asked = dealt.groupBy("part").applyInArrow(ask, "part int, bucket int, keys binary")
-    answers = asked.groupBy("bucket").cogroup(strings.groupBy("bucket")).applyInArrow(answer, "part int, bucket int, logs binary")
+    answers = partial.select("part", "bucket", "keys").groupBy("bucket").cogroup(strings.groupBy("bucket")).applyInArrow(answer, "part int, bucket int, logs binary")
     found = found.unionByName(answers, allowMissingColumns=True)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

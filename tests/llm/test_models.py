@@ -276,3 +276,15 @@ def test_words_and_strings_of_texts_are_counted_as_arrays():
     assert keys.tolist() == sorted(set(every))
     assert np.concatenate([ctw.dealt_back(own, n, order) for own, n, order, _ in runs]).tolist() == every
     assert ctw.words_of(pa.array([], pa.binary()))[0][1].tolist() == [0]
+
+
+def test_strings_of_held_out_texts_are_asked_but_not_counted():
+    texts = [b"abcabc", b"", b"abcx", b"abcabc"]
+    held_out = [False, True, True, False]
+    given = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(held_out)], names=["text", "held_out"])
+    keys, n = ctw.flagged_counts(given.slice(0, 4))
+    own = [ctw.strings_of(*body_bytes(pa.array([t], pa.binary())))[0].tolist() for t in texts]
+    trained = Counter(k for k, out in zip(own, held_out, strict=True) if not out for k in k)
+    assert keys.tolist() == sorted({k for ks in own for k in ks})
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {k: trained[k] for k in keys.tolist()}
+    assert 0 in n.tolist()
