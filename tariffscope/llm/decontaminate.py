@@ -1,10 +1,12 @@
 """Benchmark decontamination with built-in functions only: broadcast test windows, scanned documents.
 
 The benchmark's normalised windows go out as a broadcast hash table when they
-are few enough, by a shuffled join otherwise. A full window holds a run of half
-its words that starts at a multiple of ``stride`` words, so documents are scanned
-in strides; only around a run that some window has are all windows looked up, and
-a hash that hits is verified by its words. No Python runs on executors.
+are few enough. Otherwise a broadcast filter of bounded size says where a window
+may stand, and only those windows are sent, each with its own words, to a shuffled
+join. A full window holds a run of half its words that starts at a multiple of
+``stride`` words, so documents are scanned in strides; only around a run that some
+window has are all windows looked up, and a hash that hits is verified by its
+words. No Python runs on executors, and no shuffle carries a document's words.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tariffscope.llm.common import ascii_lower
+from tariffscope.llm.common import ascii_lower, flagged
 
 WINDOW = 10
 #: What isn't part of a word, after lower-casing: ASCII other than digits and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most distinct windows that are broadcast (some 150 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
+#: Bits of the filter that stands in for more windows: 8 MB of bits, some 50 MB as a hash table.
+WINDOW_FILTER_BITS = 1 << 26
 
 
 def words_of(text: Column) -> Column:
@@ -97,7 +101,7 @@ def places_by_stride(scanned: DataFrame, key: Sequence[str], windows: DataFrame,
     hashed = F.transform(F.filter(starts, lambda p: p <= last), lambda p: F.struct(p.alias("at"), hash_of(F.slice("words", p + 1, length)).alias("run")))
     spread = scanned.select(*key, "words", hashed.alias("each")).select(*key, "words", F.explode("each").alias("one"))
     met = spread.select(*key, "words", F.col("one.at").alias("at"), F.col("one.run").alias("run"))
-    met = met.join(F.broadcast(runs) if few else runs, "run", "left_semi")
+    met = met.join(F.broadcast(runs), "run", "left_semi") if few else maybe(met, "run", runs)
     near = met.select(*key, "words", F.explode(F.sequence(F.col("at") - stride + 1, F.col("at"))).alias("pos"))
     near = near.filter((F.col("pos") >= 0) & (F.col("pos") <= F.size("words") - size))
     window_hash = hash_of(F.slice("words", F.col("pos") + 1, size))
@@ -112,6 +116,12 @@ def all_places(scanned: DataFrame, key: Sequence[str], lengths: Sequence[int]) -
     )
 
 
+def maybe(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose hash in ``column`` isn't in ``wanted``; nothing is shuffled."""
+    near = flagged(rows.withColumn("key", F.col(column)), wanted.select(F.col(column).alias("key")), WINDOW_FILTER_BITS)
+    return near.filter("maybe").select(*rows.columns)
+
+
 def occurrences(docs: DataFrame, key: Sequence[str], windows: DataFrame, lengths: Sequence[int], size: int, few: bool) -> DataFrame:
     """``key, pos, len, hash, window`` for each window of ``windows`` that stands in a document."""
     scanned = with_words(docs, *key)
@@ -119,8 +129,11 @@ def occurrences(docs: DataFrame, key: Sequence[str], windows: DataFrame, lengths
     places = [places_by_stride(scanned, key, windows, size, few)] if size in lengths else []
     places += [all_places(scanned, key, short)] if short else []
     found = places[0] if len(places) == 1 else places[0].unionByName(places[1])
-    hits = found.join(F.broadcast(windows) if few else windows, ["len", "hash"])
-    hits = hits.filter(F.array_join(F.slice("words", F.col("pos") + 1, F.col("len")), " ") == F.col("window"))
+    said = F.array_join(F.slice("words", F.col("pos") + 1, F.col("len")), " ")
+    if few:
+        hits = found.join(F.broadcast(windows), ["len", "hash"]).filter(said == F.col("window"))
+    else:
+        hits = maybe(found, "hash", windows).select(*key, "pos", "len", "hash", said.alias("window")).join(windows, ["len", "hash", "window"])
     return hits.select(*key, "pos", "len", "hash", "window")
 
 

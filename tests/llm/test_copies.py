@@ -270,3 +270,26 @@ def test_leaks_of_odd_rows(spark, docs):
     assert decontaminate.contamination(docs([]), benchmark).count() == 0
     empty = benchmark.filter("item_id > 1")
     assert [r["contaminated"] for r in decontaminate.contamination(docs(rows), empty).collect()] == [False] * 5
+
+
+def test_many_windows_send_no_words_of_documents(spark, docs, monkeypatch):
+    """With more windows than are broadcast: a shuffle carried the whole text once for each stride before."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "WINDOW_FILTER_BITS", 128, raising=False)  # full, so that the joins decide
+    draw = random.Random(3)
+    items = [(k, " ".join(f"w{draw.randrange(900)}" for _ in range(n))) for k, n in enumerate([14] * 40 + [4] * 5)]
+    rows = [(k, " ".join(f"w{draw.randrange(900)}" for _ in range(2000)) + f" {items[k][1]} ") for k in range(4)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    windows = decontaminate.item_windows(benchmark)
+    hits = decontaminate.occurrences(docs(rows), ["doc_id"], windows.drop("item_id"), [4, 10], 10, False)
+    sent, todo = [], [hits._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        todo += below
+        if "Join" in node.nodeName() and "Broadcast" not in node.nodeName():
+            sent += [child.schema().simpleString() for child in below]
+    assert sent and not any("array" in schema for schema in sent)
+    want = brute_contamination(rows, items)
+    got = sorted(tuple(r) for r in decontaminate.contamination(docs(rows), benchmark).collect())
+    assert got == sorted(want) and all(r[3] for r in got)
