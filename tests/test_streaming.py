@@ -1,5 +1,9 @@
 import json
 
+import pytest
+
+from checks import queries
+from tariffscope import session
 from tariffscope.plans.batch import store_answers
 from tariffscope.sources import store
 from tariffscope.sources.store import read_table as read_stored
@@ -62,3 +66,26 @@ def test_a_record_in_two_files_is_stored_once(spark, tmp_path, monkeypatch):
     assert sorted(r[0] for r in known.collect()) == ["a", "b", "c", "d"]
     folders = {f.split("/store/")[1].rsplit("/", 1)[0] for f in known.inputFiles()}
     assert folders <= {"folded/taken/upto=4", "taken/batch_id=4"}
+
+
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@pytest.mark.parametrize("name", ["stream_repeats"])
+def test_a_stream_keeps_neither_its_source_nor_its_shuffles(spark, sample, tmp_path, monkeypatch, name):
+    """Disk held what was staged, a plain-text inbox and every shuffle to the end of the query."""
+    monkeypatch.setattr(queries, "staging_root", lambda _: str(tmp_path))
+    session.drop_staged(spark)
+    seen, stored = [], store.write_batch
+    monkeypatch.setattr("tariffscope.plans.batch.write_batch", lambda rows, *a: seen.append(rows.sparkSession.conf.get(SHUFFLES_GO)) or stored(rows, *a))
+    assert queries.QUERIES[name].run(spark, sample).count() in (4, 5)
+    assert not session._STAGED and set(seen) == {"true"} and spark.conf.get(SHUFFLES_GO) == "false"
+    inbox = [f.name for f in tmp_path.glob("stream-*/inbox/**/part-*")]
+    assert inbox and all(n.endswith(".json.gz") for n in inbox)
+
+
+def test_only_the_tables_read_are_dropped(spark):
+    kept, gone = session.staged(spark.range(3), "kept"), session.staged(spark.range(5), "gone")
+    session.drop_read(gone.filter("id > 1"))
+    assert kept.count() == 3 and not any("/gone-" in p for p in session._STAGED)
+    session.drop_read(kept)
