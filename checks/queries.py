@@ -1366,7 +1366,9 @@ def stream_ingest(spark, folder):
     root = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
     answers = demo.extracted_json(spark, folder).withColumn("record_id", F.col("record_id").cast("string"))
     more = demo.file_count(spark, folder, "orders", 4) // 4  # files for each of four, so that a batch is half of the inbox at any size
-    answers.repartition(4 * more).write.json(f"{root}/inbox")
+    with shuffles_dropped(spark):
+        answers.repartition(4 * more).write.option("compression", "gzip").json(f"{root}/inbox")
+    drop_read(answers)
     start_intake(spark, f"{root}/inbox", f"{root}/store", f"{root}/checkpoint", files_per_batch=2 * more).awaitTermination()
 
     def stored(table, total):

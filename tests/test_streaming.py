@@ -71,7 +71,7 @@ def test_a_record_in_two_files_is_stored_once(spark, tmp_path, monkeypatch):
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-@pytest.mark.parametrize("name", ["stream_repeats"])
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_repeats"])
 def test_a_stream_keeps_neither_its_source_nor_its_shuffles(spark, sample, tmp_path, monkeypatch, name):
     """Disk held what was staged, a plain-text inbox and every shuffle to the end of the query."""
     monkeypatch.setattr(queries, "staging_root", lambda _: str(tmp_path))
