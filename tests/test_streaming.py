@@ -1,13 +1,15 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import queries
 from tariffscope import session
 from tariffscope.plans.batch import store_answers
 from tariffscope.sources import store
 from tariffscope.sources.store import read_table as read_stored
-from tariffscope.streaming.intake import start_intake
+from tariffscope.streaming import intake
+from tariffscope.streaming.intake import start_document_intake, start_intake
 from tests.test_ingest import GOOD
 
 
@@ -89,3 +91,33 @@ def test_only_the_tables_read_are_dropped(spark):
     session.drop_read(gone.filter("id > 1"))
     assert kept.count() == 3 and not any("/gone-" in p for p in session._STAGED)
     session.drop_read(kept)
+
+
+def test_a_run_of_many_batches_is_one_run(spark, sample, monkeypatch):
+    """Runs were told by the batch's number, so that more than a batch of files came out as further runs."""
+    whole = {(r["paper"], r["run"]) for r in queries.QUERIES["file_intake"].run(spark, sample).collect()}
+
+    def small(*given, **named):
+        return start_document_intake(*given, **{**named, "files_per_batch": 9})
+
+    monkeypatch.setattr(queries, "start_document_intake", small)
+    found = {(r["paper"], r["run"]) for r in queries.QUERIES["file_intake"].run(spark, sample).collect()}
+    assert int(spark.conf.get(intake.LISTING)) == 4 * spark.sparkContext.defaultParallelism
+    assert found == whole and {run for _, run in found} == {0, 1} and all(int(paper) % 2 == run for paper, run in found)
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Each file counts four megabytes for Spark, so a batch of many was a task for every few files."""
+    monkeypatch.setattr(intake, "TASKS_PER_CORE", 1)
+    for k in range(40):
+        (tmp_path / f"{k}.txt").write_text(f"text {k}")
+    conf = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        files = spark.read.text(str(tmp_path), wholetext=True).select(F.col("value"))
+        assert files.rdd.getNumPartitions() == 40
+        fewer = intake.in_fewer_tasks(files)
+        assert fewer.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert sorted(r[0] for r in fewer.collect()) == sorted(f"text {k}" for k in range(40))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", conf)
