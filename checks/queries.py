@@ -1353,6 +1353,17 @@ def review_claims_of_two_runs(spark, folder):
     return kept.select("bill_id", (F.col("bill_id") * 10).alias("decision_no"), "run")
 
 
+def in_order(spark: Spark, *folders: str) -> None:
+    """Give an inbox's files the times of their order by name: which ones share a micro-batch depends on no writer's speed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folders[0])
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [sorted((f for f in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(d)) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName()) for d in folders]
+    listed = [f for part in found for f in part]
+    first = min((f.getModificationTime() for f in listed), default=0)
+    for k, f in enumerate(listed):
+        files.setTimes(f.getPath(), first + k, -1)
+
+
 @query(
     "kind:s rows:i total:d",
     """SELECT 'bills' AS kind, count(*) AS rows, sum(total_amount_due) AS total FROM records WHERE reasons = ''
@@ -1368,6 +1379,7 @@ def stream_ingest(spark, folder):
     more = demo.file_count(spark, folder, "orders", 4) // 4  # files for each of four, so that a batch is half of the inbox at any size
     with shuffles_dropped(spark):
         answers.repartition(4 * more).write.option("compression", "gzip").json(f"{root}/inbox")
+    in_order(spark, f"{root}/inbox")
     drop_read(answers)
     start_intake(spark, f"{root}/inbox", f"{root}/store", f"{root}/checkpoint", files_per_batch=2 * more).awaitTermination()
 
@@ -1404,6 +1416,7 @@ def stream_repeats(spark, folder):
         answers.repartition(3 * more).write.option("compression", "gzip").json(f"{root}/inbox/first")
         second = again.withColumn("source_file", F.concat(F.lit("/again"), "source_file")).repartition(2 * more)
         second.write.option("compression", "gzip").json(f"{root}/inbox/second")
+    in_order(spark, f"{root}/inbox/first", f"{root}/inbox/second")
     drop_read(answers)
     start_intake(spark, f"{root}/inbox/*", f"{root}/store", f"{root}/checkpoint", files_per_batch=2 * more).awaitTermination()
     log = spark.read.parquet(f"{root}/store/processed").groupBy(F.col("status").alias("kind")).agg(F.count("*").alias("rows"))
